@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from transvoc.operators.vocab import CLS_ID
 
@@ -75,7 +76,7 @@ def score_with(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.Series]) -> Data
     per row.  It runs as Arrow-batched ``mapInPandas`` inside executor tasks,
     so a user model only ever sees bounded batches.
     """
-    schema = rows.schema.add("loss_nats", "double")
+    schema = StructType([*rows.schema.fields, StructField("loss_nats", DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

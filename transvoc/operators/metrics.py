@@ -80,48 +80,63 @@ def line_surprisal(token_loss: DataFrame, line_keys: Sequence[str], h_col: str |
     )
 
 
-def evaluate_ppl(lines: DataFrame, vocab: DataFrame, lm: DataFrame, mode: str = "word",
-                 pairs="all", max_len: int = 512, alpha: float = 0.1,
-                 only_second_half: bool = True, spe_id: int | None = None,
-                 line_keys: Sequence[str] = ("lang", "doc_id", "line_no"),
-                 known_entries: int | None = None, scorer=None) -> DataFrame:
-    """JOB-8: per ``(vocab_lang, lang)``: ``log_ppl`` (AGG-2, mean total bits per
-    line), ``norm_ppl`` (AGG-3, mean of per-line bits/byte), ``uid_prop``
-    (AGG-4, mean of per-line unknown shares), line counts.
+def ppl_lines(lines: DataFrame, vocab: DataFrame, lm: DataFrame, mode: str = "word",
+              pairs="all", max_len: int = 512, alpha: float = 0.1,
+              only_second_half: bool = True, spe_id: int | None = None,
+              line_keys: Sequence[str] = ("lang", "doc_id", "line_no"),
+              known_entries: int | None = None, scorer=None) -> DataFrame:
+    """Per-line part of JOB-8 (AGG-1, WIN-4, FN-12): one row per
+    ``(vocab_lang, line)`` with ``surprisal`` (bits of the second half),
+    ``n_unk`` / ``n_counted`` (unknown share terms over the whole truncated
+    line), ``nbytes`` (bytes of the scored half) and ``truncated``.
 
     Ids are ``[prepend] + tokens`` cut to ``max_len``; labels are the tokens.
-    Blank lines are filtered and counted (``n_blank``) instead of dividing by
-    zero.  A truncated line still divides by the bytes of its whole second half.
+    Blank lines must be filtered by the caller.
     """
     keys = list(line_keys)
-    blank = is_blank("line")
-    n_blank = lines.filter(blank).groupBy("lang").agg(F.count(F.lit(1)).alias("n_blank"))
-    body = lines.filter(~blank).select(
+    body = lines.select(
         *keys, "line", first_half("line").alias("__half"),
-        byte_len(second_half("line") if only_second_half else F.col("line")).alias("__bytes"))
+        byte_len(second_half("line") if only_second_half else F.col("line")).alias("nbytes"))
+    carry = ["h", "nbytes", "truncated"]
     if mode == "word":
         # token counts of the line and of its first half need no vocabulary
         body = (body.withColumn("h", F.size(words_col("__half")) if only_second_half else F.lit(0))
                 .withColumn("truncated", (F.size(words_col("line")) + 1 > max_len).cast("int")))
-        carry = ["h", "__bytes", "truncated"]
         rows = label_rows_for(body, vocab, mode, pairs, keys, carry, known_entries, max_len - 1)
     else:
         full = encode(body, vocab, mode, pairs, keys, known_entries=known_entries,
-                      carry=["__bytes"])
+                      carry=["nbytes"])
         half = encode(body.select(*keys, F.col("__half").alias("line")), vocab, mode, pairs, keys,
                       known_entries=known_entries, out="__hids")
         full = (full.join(half, ["vocab_lang", *keys])
                 .withColumn("h", F.size("__hids") if only_second_half else F.lit(0))
                 .withColumn("truncated", (F.size("ids") + 1 > max_len).cast("int"))
                 .withColumn("ids", F.slice("ids", 1, max_len - 1)))
-        carry = ["h", "__bytes", "truncated"]
         rows = lm_ops.label_rows(full, ["vocab_lang", *keys, *carry])
     rows = rows.join(F.broadcast(vocab_sizes(vocab)), "vocab_lang")
     tl = _scored(rows, lm, alpha, scorer)
-    per_line = line_surprisal(tl, ["vocab_lang", *keys, *carry, "V"], "h", spe_id)
+    return line_surprisal(tl, ["vocab_lang", *keys, *carry, "V"], "h", spe_id)
+
+
+def evaluate_ppl(lines: DataFrame, vocab: DataFrame, lm: DataFrame, mode: str = "word",
+                 pairs="all", max_len: int = 512, alpha: float = 0.1,
+                 only_second_half: bool = True, spe_id: int | None = None,
+                 line_keys: Sequence[str] = ("lang", "doc_id", "line_no"),
+                 known_entries: int | None = None, scorer=None) -> DataFrame:
+    """JOB-8: per ``(vocab_lang, lang)``: ``log_ppl`` (AGG-2, mean total bits per
+    line), ``norm_ppl`` (AGG-3, mean of per-line bits/byte), ``uid_prop``
+    (AGG-4, mean of per-line unknown shares), line counts.
+
+    Blank lines are filtered and counted (``n_blank``) instead of dividing by
+    zero.  A truncated line still divides by the bytes of its whole second half.
+    """
+    blank = is_blank("line")
+    n_blank = lines.filter(blank).groupBy("lang").agg(F.count(F.lit(1)).alias("n_blank"))
+    per_line = ppl_lines(lines.filter(~blank), vocab, lm, mode, pairs, max_len, alpha,
+                         only_second_half, spe_id, line_keys, known_entries, scorer)
     per_model = per_line.groupBy("vocab_lang", "lang").agg(
         F.avg("surprisal").alias("log_ppl"),
-        F.avg(F.col("surprisal") / F.col("__bytes")).alias("norm_ppl"),
+        F.avg(F.col("surprisal") / F.col("nbytes")).alias("norm_ppl"),
         F.avg(F.col("n_unk") / F.col("n_counted")).alias("uid_prop"),
         F.count(F.lit(1)).cast("long").alias("n_lines"),
         F.sum("truncated").cast("long").alias("n_truncated"),
@@ -182,11 +197,15 @@ def evaluate_mcq(mcq: DataFrame, vocab: DataFrame, lm: DataFrame, mode: str = "w
 def evaluate_min_pairs(pairs_df: DataFrame, vocab: DataFrame, lm: DataFrame,
                        mode: str = "word", max_length: int | None = 50, alpha: float = 0.1,
                        pair_keys: Sequence[str] = ("doc_id", "line_no"),
-                       known_entries: int | None = None, scorer=None) -> DataFrame:
+                       known_entries: int | None = None, scorer=None,
+                       tie_rel: float = 1e-9) -> DataFrame:
     """JOB-10 / AGG-7: share of pairs with ``wrong_nll - sen_nll > 0`` (strict).
 
     Each side is scored from the prepended id on, in nats.  A pair where
-    either side has ``>= max_length`` tokens gets delta 0 (incorrect).
+    either side has ``>= max_length`` tokens gets delta 0 (incorrect).  Two
+    sides with the same multiset of label losses (e.g. all-unknown lines) tie
+    in exact arithmetic; float summation order must not break the tie, so a
+    delta within ``tie_rel`` of the sentence loss counts as 0.
     """
     pair_keys = list(pair_keys)
     sides = pairs_df.select("lang", *pair_keys, F.explode(F.array(
@@ -205,7 +224,9 @@ def evaluate_min_pairs(pairs_df: DataFrame, vocab: DataFrame, lm: DataFrame,
         F.count_if(F.col("side") == 1).alias("wrong_len"))
     over = (F.lit(False) if max_length is None else
             (F.col("sen_len") >= max_length) | (F.col("wrong_len") >= max_length))
-    delta = F.when(over, F.lit(0.0)).otherwise(F.col("wrong_nll") - F.col("sen_nll"))
+    raw = F.col("wrong_nll") - F.col("sen_nll")
+    tol = F.lit(tie_rel) * F.greatest(F.lit(1.0), F.abs(F.col("sen_nll")))
+    delta = F.when(over | (F.abs(raw) <= tol), F.lit(0.0)).otherwise(raw)
     return per_pair.withColumn("delta", delta).groupBy("vocab_lang", "lang").agg(
         F.avg((F.col("delta") > 0).cast("double")).alias("accuracy"),
         F.count(F.lit(1)).cast("long").alias("n_pairs"),

@@ -58,9 +58,9 @@ SELECT lang, token, id FROM vocab
 UNION ALL
 SELECT c.lang, c.ch AS token,
        CAST(m.mx + row_number() OVER (PARTITION BY c.lang ORDER BY c.ch) AS INTEGER) AS id
-FROM (SELECT DISTINCT lang, ch FROM (
-        SELECT lang, unnest(string_split(token, '')) AS ch
-        FROM (SELECT DISTINCT lang, token FROM pool_tokens)) WHERE ch <> '') c
+FROM (SELECT DISTINCT lang, substring(token, i, 1) AS ch FROM (
+        SELECT lang, token, unnest(range(1, length(token) + 1)) AS i
+        FROM (SELECT DISTINCT lang, token FROM pool_tokens))) c
 JOIN (SELECT lang, max(id) AS mx FROM vocab GROUP BY lang) m ON m.lang = c.lang
 WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.lang = c.lang AND v.token = c.ch)""")
 # own-language encoding of the pool (for the bigram model)
@@ -80,7 +80,7 @@ FROM dev_tokens t CROSS JOIN vlangs l
 LEFT JOIN vocab v ON v.lang = l.vocab_lang AND v.token = t.token""")
 
 
-def with_ctes(names: list[str], select: str) -> str:
+def with_ctes(names: list[str], select: str, recursive: bool = False) -> str:
     """``WITH`` clause holding ``names`` and their dependencies, then ``select``."""
     order: list[str] = []
 
@@ -94,7 +94,8 @@ def with_ctes(names: list[str], select: str) -> str:
     for n in names:
         visit(n)
     parts = [f"{n} AS ({CTES[n][1].strip()})" for n in order]
-    return "WITH " + ",\n".join(parts) + "\n" + select.strip()
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(parts) + "\n" + select.strip()
 
 
 def loss_expr(c: str, n: str) -> str:
@@ -103,3 +104,34 @@ def loss_expr(c: str, n: str) -> str:
 
 PARAMS = dict(ALPHA=ALPHA, MAX_SEQ_LEN=MAX_SEQ_LEN, MCQ_MAX_LEN=MCQ_MAX_LEN,
               MIN_PAIR_MAX_LEN=MIN_PAIR_MAX_LEN, MAX_PIECE=MAX_PIECE, VOCAB_SIZE=VOCAB_SIZE)
+
+
+# ---- scoring relations shared by several oracles
+cte("dev_labels", ["dev_enc"], f"""
+SELECT e.vocab_lang, e.lang, e.doc_id, e.line_no, e.pos, e.token_id,
+       coalesce(lag(e.token_id) OVER (PARTITION BY e.vocab_lang, e.lang, e.doc_id, e.line_no
+                                      ORDER BY e.pos), 2) AS prev
+FROM dev_enc e""")
+cte("dev_scored", ["dev_labels", "lm", "lm_ctx"], f"""
+SELECT l.*, {loss_expr('b.n', 'c.n_prev')} AS nats,
+       CASE WHEN l.token_id = 1 THEN log2({VOCAB_SIZE})
+            WHEN l.token_id = 0 THEN 0.0
+            ELSE {loss_expr('b.n', 'c.n_prev')} / ln(2) END AS bits
+FROM dev_labels l
+LEFT JOIN lm b ON b.lang = l.vocab_lang AND b.prev = l.prev AND b.tok = l.token_id
+LEFT JOIN lm_ctx c ON c.lang = l.vocab_lang AND c.prev = l.prev""")
+cte("dev_info", ["devtest"], f"""
+SELECT lang, doc_id, line_no,
+       len({words('substring(line, 1, length(line) // 2)')}) AS h,
+       strlen(substring(line, length(line) // 2 + 1)) AS nbytes,
+       CASE WHEN len({words('line')}) + 1 > {MAX_SEQ_LEN} THEN 1 ELSE 0 END AS trunc
+FROM devtest WHERE line <> ''""")
+cte("dev_per_line", ["dev_scored", "dev_info"], f"""
+SELECT s.vocab_lang, s.lang, s.doc_id, s.line_no,
+       sum(CASE WHEN s.pos >= i.h THEN s.bits ELSE 0.0 END) AS surprisal,
+       sum(CASE WHEN s.token_id = 1 THEN 1 ELSE 0 END) AS n_unk,
+       count(*) AS n_counted,
+       any_value(i.nbytes) AS nbytes, any_value(i.trunc) AS trunc
+FROM dev_scored s JOIN dev_info i ON i.lang = s.lang AND i.doc_id = s.doc_id AND i.line_no = s.line_no
+WHERE s.pos < {MAX_SEQ_LEN - 1}
+GROUP BY s.vocab_lang, s.lang, s.doc_id, s.line_no""")

@@ -3,52 +3,31 @@ multiple choice and minimal pairs (JOB-1/2/6..10, AGG-1..7)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from transvoc import oracle as O
 from transvoc import testbed as tb
 from transvoc.catalog import finish, register
+from transvoc.operators import lm as lm_ops
 from transvoc.operators import metrics
+from transvoc.operators.tokenize import (encode, encode_long, greedy_pieces, token_rows,
+                                         tokenize_with, with_vocab_langs)
+from transvoc.operators.vocab import CLS_ID, UNK_ID
 
 # ---------------------------------------------------------------- norm_ppl
 
-NORM_PPL_SQL = O.with_ctes(["dev_enc", "lm", "lm_ctx", "devtest"], f"""
-, labels AS (
-  SELECT e.vocab_lang, e.lang, e.doc_id, e.line_no, e.pos, e.token_id,
-         coalesce(lag(e.token_id) OVER (PARTITION BY e.vocab_lang, e.lang, e.doc_id, e.line_no
-                                        ORDER BY e.pos), 2) AS prev
-  FROM dev_enc e WHERE e.pos < {tb.MAX_SEQ_LEN - 1}
-), scored AS (
-  SELECT l.*, CASE WHEN l.token_id = 1 THEN log2({tb.VOCAB_SIZE})
-                   WHEN l.token_id = 0 THEN 0.0
-                   ELSE {O.loss_expr('b.n', 'c.n_prev')} / ln(2) END AS bits
-  FROM labels l
-  LEFT JOIN lm b ON b.lang = l.vocab_lang AND b.prev = l.prev AND b.tok = l.token_id
-  LEFT JOIN lm_ctx c ON c.lang = l.vocab_lang AND c.prev = l.prev
-), info AS (
-  SELECT lang, doc_id, line_no,
-         len({O.words('substring(line, 1, length(line) // 2)')}) AS h,
-         strlen(substring(line, length(line) // 2 + 1)) AS nbytes,
-         CASE WHEN len({O.words('line')}) + 1 > {tb.MAX_SEQ_LEN} THEN 1 ELSE 0 END AS trunc
-  FROM devtest WHERE line <> ''
-), per_line AS (
-  SELECT s.vocab_lang, s.lang, s.doc_id, s.line_no,
-         sum(CASE WHEN s.pos >= i.h THEN s.bits ELSE 0.0 END) AS surprisal,
-         avg(CASE WHEN s.token_id = 1 THEN 1.0 ELSE 0.0 END) AS share,
-         any_value(i.nbytes) AS nbytes, any_value(i.trunc) AS trunc
-  FROM scored s JOIN info i ON i.lang = s.lang AND i.doc_id = s.doc_id AND i.line_no = s.line_no
-  GROUP BY s.vocab_lang, s.lang, s.doc_id, s.line_no
-), blanks AS (
-  SELECT lang, count(*) AS n_blank FROM devtest WHERE line = '' GROUP BY lang
-)
+NORM_PPL_SQL = O.with_ctes(["dev_per_line", "devtest"], """
+, blanks AS (SELECT lang, count(*) AS n_blank FROM devtest WHERE line = '' GROUP BY lang)
 SELECT p.vocab_lang, p.lang,
        round(avg(surprisal), 6) AS log_ppl,
        round(avg(surprisal / nbytes), 6) AS norm_ppl,
-       round(avg(share), 6) AS uid_prop,
+       round(avg(n_unk / n_counted), 6) AS uid_prop,
        CAST(count(*) AS BIGINT) AS n_lines,
        CAST(sum(trunc) AS BIGINT) AS n_truncated,
        CAST(coalesce(any_value(b.n_blank), 0) AS BIGINT) AS n_blank
-FROM per_line p LEFT JOIN blanks b ON b.lang = p.lang
+FROM dev_per_line p LEFT JOIN blanks b ON b.lang = p.lang
 GROUP BY p.vocab_lang, p.lang
 """)
 
@@ -63,3 +42,296 @@ def norm_ppl(spark, sf_dir):
                                known_entries=tb.word_bound())
     return finish(res.select("vocab_lang", "lang", "log_ppl", "norm_ppl", "uid_prop",
                              "n_lines", "n_truncated", "n_blank"))
+
+
+# ---------------------------------------------------------------- vocabulary / encoding
+
+@register("build_vocab", O.with_ctes(["vocab"], """
+SELECT lang, token, CAST(id AS BIGINT) AS id, CAST(n AS BIGINT) AS n FROM vocab"""))
+def build_vocab(spark, sf_dir):
+    """JOB-2: top-k words per language, ids after the reserved ones."""
+    return finish(tb.vocab(spark, sf_dir))
+
+
+@register("encode_lines", O.with_ctes(["dev_enc", "devtest"], f"""
+SELECT e.vocab_lang, e.lang, e.doc_id, CAST(e.line_no AS BIGINT) AS line_no,
+       '2' || coalesce(',' || array_to_string(list(e.token_id ORDER BY e.pos)
+                       FILTER (WHERE e.pos < {tb.MAX_SEQ_LEN - 1}), ','), '') AS ids,
+       CAST(count(*) AS BIGINT) AS n_tokens,
+       CAST(count(*) FILTER (WHERE e.token_id = 1) AS BIGINT) AS n_unk
+FROM dev_enc e GROUP BY e.vocab_lang, e.lang, e.doc_id, e.line_no"""))
+def encode_lines(spark, sf_dir):
+    """JOB-1 / JN-7 / SRT-5: every devtest line under every vocabulary;
+    ``[cls] + ids`` truncated to the model context."""
+    enc = encode(tb.devtest(spark, sf_dir).filter(F.col("line") != ""), tb.vocab(spark, sf_dir),
+                 "word", "all", known_entries=tb.word_bound())
+    return finish(enc.select(
+        "vocab_lang", "lang", "doc_id", "line_no",
+        F.array_join(F.slice(F.concat(F.array(F.lit(CLS_ID)), "ids"), 1, tb.MAX_SEQ_LEN), ",")
+        .alias("ids"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.size(F.filter("ids", lambda x: x == UNK_ID)).cast("long").alias("n_unk")))
+
+
+@register("custom_tokenizer", O.with_ctes(["dev_enc"], """
+SELECT e.lang, e.doc_id, CAST(e.line_no AS BIGINT) AS line_no,
+       array_to_string(list(e.token_id ORDER BY e.pos), ',') AS ids,
+       CAST(count(*) AS BIGINT) AS n_tokens
+FROM dev_enc e WHERE e.vocab_lang = 'en' GROUP BY e.lang, e.doc_id, e.line_no"""))
+def custom_tokenizer(spark, sf_dir):
+    """UDF-2: a user tokenizer (here: a Python word lookup over the ``en``
+    vocabulary, as a tokenizer model would be loaded) applied through an
+    Arrow-batched pandas UDF."""
+    v = tb.vocab(spark, sf_dir).filter(F.col("lang") == "en").select("token", "id")
+    table = {r["token"]: int(r["id"]) for r in v.collect()}  # model-sized: k entries
+
+    def tok(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [] if t == "" else [table.get(w, UNK_ID) for w in t.split(" ")])
+
+    udf = tokenize_with(tok)
+    d = tb.devtest(spark, sf_dir).filter(F.col("line") != "")
+    out = d.select("lang", "doc_id", "line_no", udf("line").alias("ids"))
+    return finish(out.select("lang", "doc_id", "line_no", F.array_join("ids", ",").alias("ids"),
+                             F.size("ids").cast("long").alias("n_tokens")))
+
+
+GREEDY_SQL = O.with_ctes(["dev_tokens", "piece_vocab", "vlangs"], f"""
+, gwv AS (SELECT l.vocab_lang, w.word FROM (SELECT DISTINCT token AS word FROM dev_tokens) w
+          CROSS JOIN vlangs l),
+starts AS (SELECT vocab_lang, word, unnest(range(1, length(word) + 1)) AS s FROM gwv),
+subs AS (SELECT vocab_lang, word, s,
+                unnest(range(1, least({tb.MAX_PIECE}, length(word) - s + 1) + 1)) AS l FROM starts),
+hits AS (SELECT x.vocab_lang, x.word, x.s, x.l, p.id FROM subs x
+         JOIN piece_vocab p ON p.lang = x.vocab_lang AND p.token = substring(x.word, x.s, x.l)),
+best AS (SELECT vocab_lang, word, s, max(l) AS l, arg_max(id, l) AS id
+         FROM hits GROUP BY vocab_lang, word, s),
+walk(vocab_lang, word, nxt, ids) AS (
+  SELECT vocab_lang, word, 1, []::INTEGER[] FROM gwv
+  UNION ALL
+  SELECT w.vocab_lang, w.word, w.nxt + coalesce(b.l, 1), list_append(w.ids, coalesce(b.id, 1))
+  FROM walk w LEFT JOIN best b ON b.vocab_lang = w.vocab_lang AND b.word = w.word AND b.s = w.nxt
+  WHERE w.nxt <= length(w.word))
+SELECT vocab_lang, word, array_to_string(ids, ',') AS pieces, CAST(len(ids) AS BIGINT) AS n_pieces
+FROM walk WHERE nxt > length(word)""", recursive=True)
+
+
+@register("greedy_pieces", GREEDY_SQL)
+def greedy_pieces_q(spark, sf_dir):
+    """JOB-1 greedy mode: longest-match pieces of every distinct devtest word
+    under every language's piece vocabulary (words + characters)."""
+    pv = tb.pieces(spark, sf_dir)
+    words = (token_rows(tb.devtest(spark, sf_dir), ["lang"]).select(F.col("token").alias("word"))
+             .distinct())
+    wv = with_vocab_langs(words.withColumn("lang", F.lit("")), pv, "all").select("vocab_lang", "word")
+    res = greedy_pieces(wv, pv, tb.MAX_PIECE, known_entries=None)
+    return finish(res.select("vocab_lang", "word", F.array_join("ids", ",").alias("pieces"),
+                             F.size("ids").cast("long").alias("n_pieces")))
+
+
+@register("token_compression", O.with_ctes(["devtest", "vlangs"], f"""
+SELECT l.vocab_lang, d.lang,
+       round(sum(strlen(d.line)) / sum(len({O.words('d.line')}) + 2), 6) AS bpt,
+       CAST(sum(strlen(d.line)) AS BIGINT) AS n_bytes,
+       CAST(sum(len({O.words('d.line')}) + 2) AS BIGINT) AS n_tokens
+FROM devtest d CROSS JOIN vlangs l GROUP BY l.vocab_lang, d.lang"""))
+def token_compression(spark, sf_dir):
+    """AGG-5: bytes per token (ratio of sums, two special ids per line)."""
+    res = metrics.bytes_per_token(tb.devtest(spark, sf_dir), tb.vocab(spark, sf_dir), "word",
+                                  "all", n_special=2, known_entries=tb.word_bound())
+    return finish(res)
+
+
+# ---------------------------------------------------------------- count model and scores
+
+@register("lm_counts", O.with_ctes(["lm"], """
+SELECT lang, CAST(prev AS BIGINT) AS prev, CAST(tok AS BIGINT) AS tok, CAST(n AS BIGINT) AS n FROM lm"""))
+def lm_counts(spark, sf_dir):
+    """JOB-6: bigram counts of every language's pool under its own vocabulary."""
+    return finish(tb.lm(spark, sf_dir))
+
+
+@register("token_scores", O.with_ctes(["dev_scored"], """
+SELECT vocab_lang, lang, doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(pos AS BIGINT) AS pos,
+       CAST(token_id AS BIGINT) AS token_id, CAST(prev AS BIGINT) AS prev_id,
+       round(nats, 6) AS loss_nats
+FROM dev_scored"""))
+def token_scores(spark, sf_dir):
+    """JOB-7: the ``token_loss`` table - every devtest token under every model."""
+    rows = encode_long(tb.devtest(spark, sf_dir), tb.vocab(spark, sf_dir), "all",
+                       known_entries=tb.word_bound())
+    tl = lm_ops.score(rows, tb.lm(spark, sf_dir), tb.VOCAB_SIZE, alpha=tb.ALPHA)
+    return finish(tl.select("vocab_lang", "lang", "doc_id", "line_no", "pos", "token_id",
+                            "prev_id", "loss_nats"))
+
+
+def _ppl_lines(spark, sf_dir, scorer=None):
+    d = tb.devtest(spark, sf_dir).filter(F.col("line") != "")
+    return metrics.ppl_lines(d, tb.vocab(spark, sf_dir), tb.lm(spark, sf_dir), "word", "all",
+                             tb.MAX_SEQ_LEN, tb.ALPHA, known_entries=tb.word_bound(),
+                             scorer=scorer)
+
+
+@register("line_surprisal", O.with_ctes(["dev_per_line"], """
+SELECT vocab_lang, lang, doc_id, CAST(line_no AS BIGINT) AS line_no,
+       round(surprisal, 6) AS surprisal, CAST(n_unk AS BIGINT) AS n_unk,
+       CAST(n_counted AS BIGINT) AS n_labels, CAST(nbytes AS BIGINT) AS nbytes,
+       CAST(trunc AS BIGINT) AS truncated
+FROM dev_per_line"""))
+def line_surprisal(spark, sf_dir):
+    """AGG-1 with FN-4/12/13 and WIN-4: per-line bits of the second half."""
+    pl = _ppl_lines(spark, sf_dir)
+    return finish(pl.select("vocab_lang", "lang", "doc_id", "line_no", "surprisal", "n_unk",
+                            F.col("n_counted").alias("n_labels"), "nbytes", "truncated"))
+
+
+@register("uid_prop", O.with_ctes(["dev_per_line"], """
+SELECT vocab_lang, lang, round(avg(n_unk / n_counted), 6) AS uid_prop,
+       round(sum(n_unk) / sum(n_counted), 6) AS unk_token_share,
+       CAST(count(*) AS BIGINT) AS n_lines
+FROM dev_per_line GROUP BY vocab_lang, lang"""))
+def uid_prop(spark, sf_dir):
+    """AGG-4: mean per-line unknown share (mean of ratios), next to the
+    corpus-level share (ratio of sums) for contrast."""
+    pl = _ppl_lines(spark, sf_dir)
+    return finish(pl.groupBy("vocab_lang", "lang").agg(
+        F.avg(F.col("n_unk") / F.col("n_counted")).alias("uid_prop"),
+        (F.sum("n_unk") / F.sum("n_counted")).alias("unk_token_share"),
+        F.count(F.lit(1)).alias("n_lines")))
+
+
+def _uniform(batch: pd.DataFrame) -> pd.Series:
+    """A black-box model for the hook test: uniform over the vocabulary."""
+    return np.log(batch["V"].astype("float64"))
+
+
+@register("custom_scorer", O.with_ctes(["dev_labels", "dev_info"], f"""
+, pl AS (
+  SELECT s.vocab_lang, s.lang, s.doc_id, s.line_no,
+         sum(CASE WHEN s.pos >= i.h THEN log2({tb.VOCAB_SIZE}) ELSE 0.0 END) AS surprisal,
+         any_value(i.nbytes) AS nbytes
+  FROM dev_labels s JOIN dev_info i ON i.lang = s.lang AND i.doc_id = s.doc_id AND i.line_no = s.line_no
+  WHERE s.pos < {tb.MAX_SEQ_LEN - 1}
+  GROUP BY s.vocab_lang, s.lang, s.doc_id, s.line_no)
+SELECT vocab_lang, lang, round(avg(surprisal), 6) AS log_ppl,
+       round(avg(surprisal / nbytes), 6) AS norm_ppl, CAST(count(*) AS BIGINT) AS n_lines
+FROM pl GROUP BY vocab_lang, lang"""))
+def custom_scorer(spark, sf_dir):
+    """UDF-1: bits per byte with a user-supplied scorer run via mapInPandas."""
+    pl = _ppl_lines(spark, sf_dir, scorer=_uniform)
+    return finish(pl.groupBy("vocab_lang", "lang").agg(
+        F.avg("surprisal").alias("log_ppl"),
+        F.avg(F.col("surprisal") / F.col("nbytes")).alias("norm_ppl"),
+        F.count(F.lit(1)).alias("n_lines")))
+
+
+# ---------------------------------------------------------------- multiple choice, minimal pairs
+
+O.cte("mcq", [], """
+SELECT i.item_id, substring(i.text, 1, 60) AS passage, substring(i.text, 61, 30) AS question,
+       CAST(1 + i.item_id % 4 AS INTEGER) AS correct,
+       list(substring(a.text, 1, 40) ORDER BY j.j) AS answers
+FROM (SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark) i
+CROSS JOIN (SELECT count(*) AS n FROM benchmark) c
+CROSS JOIN range(1, 5) j(j)
+JOIN (SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark) a
+  ON a.item_id = (i.item_id + 3 * (j.j - 1) + 1) % c.n
+GROUP BY i.item_id, i.text""")
+O.cte("mcq_scored", ["mcq", "vocab", "vlangs", "lm", "lm_ctx"], f"""
+WITH prompts AS (
+  SELECT item_id, correct, CAST(o - 1 AS INTEGER) AS opt,
+         concat_ws(' ', {O.strip('passage')}, {O.strip('question')}, {O.strip('answers[o]')}) AS line
+  FROM (SELECT *, unnest(range(1, 5)) AS o FROM mcq)
+), toks AS (
+  SELECT item_id, correct, opt, unnest(ws) AS token, unnest(range(len(ws))) AS pos
+  FROM (SELECT *, {O.words('line')} AS ws FROM prompts)
+), enc AS (
+  SELECT l.vocab_lang, t.item_id, t.correct, t.opt, t.pos, coalesce(v.id, 1) AS token_id
+  FROM toks t CROSS JOIN vlangs l LEFT JOIN vocab v ON v.lang = l.vocab_lang AND v.token = t.token
+), lab AS (
+  SELECT *, coalesce(lag(token_id) OVER (PARTITION BY vocab_lang, item_id, opt ORDER BY pos), 2) AS prev
+  FROM enc
+)
+SELECT x.vocab_lang, x.item_id, x.correct, x.opt, sum({O.loss_expr('b.n', 'c.n_prev')}) AS loss
+FROM lab x
+LEFT JOIN lm b ON b.lang = x.vocab_lang AND b.prev = x.prev AND b.tok = x.token_id
+LEFT JOIN lm_ctx c ON c.lang = x.vocab_lang AND c.prev = x.prev
+WHERE x.pos < {tb.MCQ_MAX_LEN - 1}
+GROUP BY x.vocab_lang, x.item_id, x.correct, x.opt""")
+
+
+@register("mcq_items", O.with_ctes(["mcq"], """
+SELECT item_id, passage, question, array_to_string(answers, ' || ') AS answers,
+       CAST(correct AS BIGINT) AS correct FROM mcq"""))
+def mcq_items(spark, sf_dir):
+    """SRC-4: multiple-choice items with their four answers."""
+    m = tb.mcq(spark, sf_dir)
+    return finish(m.select("item_id", "passage", "question",
+                           F.array_join("answers", " || ").alias("answers"), "correct"))
+
+
+@register("mcq_accuracy", O.with_ctes(["mcq_scored"], """
+SELECT vocab_lang, round(avg(CASE WHEN opt + 1 = correct THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       CAST(count(*) AS BIGINT) AS n_items
+FROM (SELECT *, row_number() OVER (PARTITION BY vocab_lang, item_id ORDER BY loss, opt) AS rk
+      FROM mcq_scored) WHERE rk = 1
+GROUP BY vocab_lang"""))
+def mcq_accuracy(spark, sf_dir):
+    """JOB-9 / WIN-5 / AGG-6: multiple-choice accuracy of every model."""
+    res = metrics.evaluate_mcq(tb.mcq(spark, sf_dir), tb.vocab(spark, sf_dir),
+                               tb.lm(spark, sf_dir), "word", tb.MCQ_MAX_LEN, tb.ALPHA,
+                               known_entries=tb.word_bound())
+    return finish(res)
+
+
+O.cte("min_pairs", ["devtest"], """
+SELECT lang, doc_id, line_no, line AS sen,
+       array_to_string(list_reverse(string_split(line, ' ')), ' ') AS wrong_sen
+FROM devtest WHERE line <> '' AND len(string_split(line, ' ')) BETWEEN 3 AND 60""")
+O.cte("mp_sides", ["min_pairs", "vocab", "vlangs", "lm", "lm_ctx"], f"""
+WITH sides AS (
+  SELECT lang, doc_id, line_no, 0 AS side, sen AS line FROM min_pairs
+  UNION ALL SELECT lang, doc_id, line_no, 1 AS side, wrong_sen AS line FROM min_pairs
+), toks AS (
+  SELECT lang, doc_id, line_no, side, unnest(ws) AS token, unnest(range(len(ws))) AS pos
+  FROM (SELECT *, {O.words('line')} AS ws FROM sides)
+), enc AS (
+  SELECT l.vocab_lang, t.lang, t.doc_id, t.line_no, t.side, t.pos, coalesce(v.id, 1) AS token_id
+  FROM toks t CROSS JOIN vlangs l LEFT JOIN vocab v ON v.lang = l.vocab_lang AND v.token = t.token
+), lab AS (
+  SELECT *, coalesce(lag(token_id) OVER (PARTITION BY vocab_lang, lang, doc_id, line_no, side
+                                         ORDER BY pos), 2) AS prev FROM enc
+)
+SELECT x.vocab_lang, x.lang, x.doc_id, x.line_no, x.side,
+       sum({O.loss_expr('b.n', 'c.n_prev')}) AS nll, count(*) AS ntok
+FROM lab x
+LEFT JOIN lm b ON b.lang = x.vocab_lang AND b.prev = x.prev AND b.tok = x.token_id
+LEFT JOIN lm_ctx c ON c.lang = x.vocab_lang AND c.prev = x.prev
+GROUP BY x.vocab_lang, x.lang, x.doc_id, x.line_no, x.side""")
+
+
+@register("minimal_pairs", O.with_ctes(["min_pairs"], """
+SELECT lang, doc_id, CAST(line_no AS BIGINT) AS line_no, sen, wrong_sen FROM min_pairs"""))
+def minimal_pairs(spark, sf_dir):
+    """SRC-5: minimal pairs (correct sentence, words reversed)."""
+    return finish(tb.min_pairs(spark, sf_dir))
+
+
+@register("minimal_pair_accuracy", O.with_ctes(["mp_sides"], f"""
+, pp AS (
+  SELECT vocab_lang, lang, doc_id, line_no,
+         sum(CASE WHEN side = 0 THEN nll ELSE 0 END) AS sen_nll,
+         sum(CASE WHEN side = 1 THEN nll ELSE 0 END) AS wrong_nll,
+         max(ntok) >= {tb.MIN_PAIR_MAX_LEN} AS over
+  FROM mp_sides GROUP BY vocab_lang, lang, doc_id, line_no)
+SELECT vocab_lang, lang,
+       round(avg(CASE WHEN NOT over AND wrong_nll - sen_nll > 1e-9 * greatest(1.0, abs(sen_nll))
+                      THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       CAST(count(*) AS BIGINT) AS n_pairs,
+       CAST(sum(CASE WHEN over THEN 1 ELSE 0 END) AS BIGINT) AS n_over
+FROM pp GROUP BY vocab_lang, lang"""))
+def minimal_pair_accuracy(spark, sf_dir):
+    """JOB-10 / AGG-7: minimal-pair accuracy per (model, language)."""
+    res = metrics.evaluate_min_pairs(tb.min_pairs(spark, sf_dir), tb.vocab(spark, sf_dir),
+                                     tb.lm(spark, sf_dir), "word", tb.MIN_PAIR_MAX_LEN,
+                                     tb.ALPHA, known_entries=tb.word_bound())
+    return finish(res)
