@@ -94,6 +94,8 @@ def with_ctes(names: list[str], select: str, recursive: bool = False) -> str:
     for n in names:
         visit(n)
     parts = [f"{n} AS ({CTES[n][1].strip()})" for n in order]
+    if not parts:
+        return select.strip()
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",\n".join(parts) + "\n" + select.strip()
 
@@ -135,3 +137,15 @@ SELECT s.vocab_lang, s.lang, s.doc_id, s.line_no,
 FROM dev_scored s JOIN dev_info i ON i.lang = s.lang AND i.doc_id = s.doc_id AND i.line_no = s.line_no
 WHERE s.pos < {MAX_SEQ_LEN - 1}
 GROUP BY s.vocab_lang, s.lang, s.doc_id, s.line_no""")
+
+cte("sampled", ["lines", "premium"], """
+WITH c AS (
+  SELECT l.lang, l.doc_id, l.line_no, l.line, strlen(l.line) AS bytes, p.factor,
+         coalesce(sum(strlen(l.line)) OVER (PARTITION BY l.lang ORDER BY l.doc_id, l.line_no
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM lines l JOIN premium p ON p.lang = l.lang
+), t AS (SELECT lang, min(before) AS tt FROM c WHERE before > 100000 * factor GROUP BY lang)
+SELECT c.lang, c.doc_id, c.line_no, c.line, c.bytes, c.before,
+       CASE WHEN c.before <= 100000 * c.factor THEN 'train' ELSE 'valid' END AS split
+FROM c LEFT JOIN t ON t.lang = c.lang
+WHERE c.before <= 100000 * c.factor OR c.before - t.tt <= 10000 * c.factor""")

@@ -1,3 +1,3 @@
 """Registered queries, grouped by SURVEY section."""
 
-from transvoc.queries import evaluation  # noqa: F401
+from transvoc.queries import corpus, evaluation  # noqa: F401

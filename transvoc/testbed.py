@@ -105,3 +105,17 @@ def min_pairs(spark, sf_dir) -> DataFrame:
     return d.filter((F.col("line") != "") & (F.size("__w") >= 3) & (F.size("__w") <= 60)).select(
         "lang", "doc_id", "line_no", F.col("line").alias("sen"),
         F.array_join(F.reverse("__w"), " ").alias("wrong_sen"))
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(lang, doc_id, line_no, raw)``: document lines before stripping."""
+    docs = read(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    return docs.select("lang", "doc_id",
+                       F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-budget train/valid split of every language's lines."""
+    from transvoc.operators.sampling import byte_budget_split
+    return byte_budget_split(lines(spark, sf_dir), premium(spark), TRAIN_BYTES, VALID_BYTES,
+                             docs_per_block=DOCS_PER_BLOCK)
