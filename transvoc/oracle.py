@@ -149,3 +149,40 @@ SELECT c.lang, c.doc_id, c.line_no, c.line, c.bytes, c.before,
        CASE WHEN c.before <= 100000 * c.factor THEN 'train' ELSE 'valid' END AS split
 FROM c LEFT JOIN t ON t.lang = c.lang
 WHERE c.before <= 100000 * c.factor OR c.before - t.tt <= 10000 * c.factor""")
+
+cte("mapping", [], """
+SELECT lang, lower('models/' || lang || '_100MB') AS source, lower('models/' || lang || '_10MB') AS target,
+       'data/train/' || lower(lang || '.txt') AS train, 'data/valid/' || lower(lang || '.txt') AS valid
+FROM (SELECT DISTINCT lang FROM documents)""")
+cte("tplan", ["mapping"], """
+SELECT s.lang AS src_lang, t.lang AS tgt_lang, s.source AS src_model, t.target AS tgt_model,
+       s.train AS src_train, s.valid AS src_valid, t.train AS tgt_train, t.valid AS tgt_valid,
+       m.method, s.lang || '-' || t.lang || '-' || m.method AS model
+FROM mapping s JOIN mapping t ON s.lang <> t.lang CROSS JOIN (VALUES ('fvt'), ('omp')) m(method)""")
+cte("manifest", ["tplan"], """
+SELECT *, false AS finetuned FROM tplan
+UNION ALL
+SELECT src_lang, tgt_lang, src_model, tgt_model, src_train, src_valid, tgt_train, tgt_valid, method,
+       model || '_finetuned' AS model, true AS finetuned FROM tplan""")
+cte("ft_jobs", ["manifest"], """
+WITH m AS (SELECT * FROM manifest CROSS JOIN (VALUES ('mono-finetuning', false), ('mixed-finetuning', true)) r(regime, combine)
+           WHERE NOT finetuned),
+jobs AS (
+  SELECT regime, src_lang, 0 AS kind_ord, 'src_base' AS kind, model, src_model AS model_spec,
+         string_split(src_model, '/')[-1] || '_' || tgt_lang || '_finetuned' AS out,
+         CASE WHEN combine THEN [src_train, tgt_train] ELSE [tgt_train] END AS train,
+         CASE WHEN combine THEN [src_valid, tgt_valid] ELSE [tgt_valid] END AS valid FROM m
+  UNION ALL
+  SELECT regime, src_lang, 1, 'tgt_base', model, tgt_model,
+         string_split(tgt_model, '/')[-1] || '_' || src_lang || '_finetuned',
+         CASE WHEN combine THEN [tgt_train, src_train] ELSE [src_train] END,
+         CASE WHEN combine THEN [tgt_valid, src_valid] ELSE [src_valid] END FROM m
+  UNION ALL
+  SELECT regime, src_lang, 2, 'transfer', model, model, string_split(model, '/')[-1] || '_finetuned',
+         CASE WHEN combine THEN [src_train, tgt_train] ELSE [tgt_train] END,
+         CASE WHEN combine THEN [src_valid, tgt_valid] ELSE [tgt_valid] END FROM m)
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY regime, src_lang, out ORDER BY kind_ord, model) AS rn FROM jobs)
+WHERE rn = 1""")
+cte("existing", ["manifest"], "SELECT model || '_finetuned' AS out FROM manifest WHERE NOT finetuned AND src_lang = 'de'")
+cte("ft_plan", ["ft_jobs", "existing"], "SELECT * FROM ft_jobs WHERE out NOT IN (SELECT out FROM existing)")

@@ -119,3 +119,42 @@ def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     from transvoc.operators.sampling import byte_budget_split
     return byte_budget_split(lines(spark, sf_dir), premium(spark), TRAIN_BYTES, VALID_BYTES,
                              docs_per_block=DOCS_PER_BLOCK)
+
+
+# ---- experiment plan relations (all bounded by the number of languages)
+DATADIR = "data"
+MODEL_PREFIX = "models"
+EXISTING_SRC = "de"         # outputs of this source language already exist
+
+
+def languages(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("lang").distinct()
+
+
+def mapping(spark, sf_dir) -> DataFrame:
+    from transvoc.plans.experiment import language_mapping
+    return language_mapping(languages(spark, sf_dir), datadir=DATADIR, model_prefix=MODEL_PREFIX)
+
+
+def transfer(spark, sf_dir) -> DataFrame:
+    from transvoc.plans.experiment import language_pairs, transfer_plan
+    return transfer_plan(language_pairs(mapping(spark, sf_dir)))
+
+
+def manifest(spark, sf_dir) -> DataFrame:
+    from transvoc.plans.experiment import manifest_rows
+    return manifest_rows(transfer(spark, sf_dir))
+
+
+def existing(spark, sf_dir) -> DataFrame:
+    m = manifest(spark, sf_dir)
+    return m.filter(~F.col("finetuned") & (F.col("src_lang") == EXISTING_SRC)).select(
+        F.concat(F.col("model"), F.lit("_finetuned")).alias("out"))
+
+
+def split_files(spark, sf_dir) -> DataFrame:
+    """Sampled lines as the training files ``data/<split>/<lang>.txt``."""
+    s = sampled(spark, sf_dir)
+    return s.select(F.concat_ws("", F.lit(DATADIR + "/"), "split", F.lit("/"),
+                                F.lower(F.concat("lang", F.lit(".txt")))).alias("file"),
+                    "doc_id", "line_no", "line")
