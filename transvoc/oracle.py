@@ -186,3 +186,5 @@ SELECT * EXCLUDE (rn) FROM (
 WHERE rn = 1""")
 cte("existing", ["manifest"], "SELECT model || '_finetuned' AS out FROM manifest WHERE NOT finetuned AND src_lang = 'de'")
 cte("ft_plan", ["ft_jobs", "existing"], "SELECT * FROM ft_jobs WHERE out NOT IN (SELECT out FROM existing)")
+
+cte("emb_n", [], "SELECT count(*) AS n FROM embeddings")

@@ -158,3 +158,22 @@ def split_files(spark, sf_dir) -> DataFrame:
     return s.select(F.concat_ws("", F.lit(DATADIR + "/"), "split", F.lit("/"),
                                 F.lower(F.concat("lang", F.lit(".txt")))).alias("file"),
                     "doc_id", "line_no", "line")
+
+
+# ---- embeddings: rank r of a vocabulary uses row (r - 1) mod N of `embeddings`
+TRANSFER_SRC = "en"
+TRANSFER_TGT = "fr"
+EMB_HALF = 32               # source space = dims 1-32, donor space = dims 33-64
+OMP_K = 8
+
+
+def emb_of_ids(spark, sf_dir, ids: DataFrame, space: str) -> DataFrame:
+    """``ids`` (with an ``id`` column) joined to their vector in ``space``
+    (``source`` or ``donor``); ``vec_id = (id - 4) mod N``."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = e.agg(F.count(F.lit(1)).alias("__n"))
+    start = 1 if space == "source" else EMB_HALF + 1
+    with_n = ids.crossJoin(F.broadcast(n))  # one-row scalar
+    keyed = with_n.withColumn("vec_id", F.pmod(F.col("id") - N_RESERVED, F.col("__n")).cast("long"))
+    return keyed.join(e, "vec_id").withColumn(
+        "vec", F.slice("embedding", start, EMB_HALF)).drop("embedding", "__n")
