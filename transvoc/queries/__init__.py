@@ -1,3 +1,3 @@
 """Registered queries, grouped by SURVEY section."""
 
-from transvoc.queries import corpus, evaluation, plans, transfer  # noqa: F401
+from transvoc.queries import corpus, evaluation, plans, report, transfer  # noqa: F401

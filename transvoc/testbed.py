@@ -177,3 +177,52 @@ def emb_of_ids(spark, sf_dir, ids: DataFrame, space: str) -> DataFrame:
     keyed = with_n.withColumn("vec_id", F.pmod(F.col("id") - N_RESERVED, F.col("__n")).cast("long"))
     return keyed.join(e, "vec_id").withColumn(
         "vec", F.slice("embedding", start, EMB_HALF)).drop("embedding", "__n")
+
+
+# ---- synthetic metrics for the report (values from per-language pool statistics)
+def lang_stats(spark, sf_dir) -> DataFrame:
+    """Per language: ``w`` = bytes per word and ``a`` = words per line of the
+    pool, and ``idx`` = alphabetical position (1-based)."""
+    from pyspark.sql import Window
+    from transvoc.operators.tokenize import words_col
+    p = pool(spark, sf_dir).select("lang", F.octet_length("line").alias("b"),
+                                   F.size(words_col("line")).alias("nw"))
+    st = p.groupBy("lang").agg((F.sum("b") / F.sum("nw")).alias("w"), F.avg("nw").alias("a"))
+    # one row per language: a global window over a bounded table
+    return st.withColumn("idx", F.row_number().over(Window.orderBy("lang")))
+
+
+def metrics(spark, sf_dir) -> DataFrame:
+    """``metrics_wide`` for every regime x ordered pair x report method (see
+    FIXTURES for the formulas); the first pair's ``omp`` cell is NULL."""
+    from transvoc.operators.report import METRICS, REGIMES, REPORT_METHODS, with_pair_sums
+    st = lang_stats(spark, sf_dir)
+    s = st.select(F.col("lang").alias("src_lang"), F.col("idx").alias("i"),
+                  F.col("w").alias("ws"), F.col("a").alias("as_"))
+    t = st.select(F.col("lang").alias("tgt_lang"), F.col("idx").alias("j"),
+                  F.col("w").alias("wt"), F.col("a").alias("at"))
+    reg = spark.createDataFrame([(r, i + 1) for i, r in enumerate(REGIMES)], "regime string, g int")
+    met = spark.createDataFrame([(m, i + 1) for i, m in enumerate(REPORT_METHODS)],
+                                "method string, k int")
+    # languages x languages x 3 x 4: metadata-sized dimensions
+    c = (t.join(F.broadcast(s), F.col("src_lang") != F.col("tgt_lang"))
+         .crossJoin(F.broadcast(reg)).crossJoin(F.broadcast(met)))
+    g, k, i, j = F.col("g"), F.col("k"), F.col("i"), F.col("j")
+    fac_l = F.lit(10.0) + k - F.lit(0.5) * g
+    fac_n = F.lit(8.0) + k - F.lit(0.5) * g
+    off = F.lit(0.01) * (i + F.lit(2) * j)
+    mbp = F.lit(0.5) + F.lit(0.03) * g + F.lit(0.01) * k
+    vals = {
+        "src_log_ppl": F.col("as_") * fac_l, "tgt_log_ppl": F.col("at") * fac_l,
+        "src_norm_ppl": fac_n / F.col("ws") + off, "tgt_norm_ppl": fac_n / F.col("wt") + off,
+        "src_bpt": F.col("ws") * (F.lit(1.0) - F.lit(0.02) * k),
+        "tgt_bpt": F.col("wt") * (F.lit(1.0) - F.lit(0.02) * k),
+        "src_mbp": mbp + F.lit(0.005) * i, "tgt_mbp": mbp + F.lit(0.005) * j,
+        "src_uid_prop": F.pmod(F.lit(7) * i + F.lit(3) * k + F.lit(5) * g + i * j, F.lit(10)) / F.lit(25.0),
+        "tgt_uid_prop": F.pmod(F.lit(7) * j + F.lit(3) * k + F.lit(5) * g + i * j, F.lit(10)) / F.lit(25.0),
+    }
+    null_cell = (k == 2) & (i == 1) & (j == 2)
+    out = c.select("regime", "src_lang", "tgt_lang", "method",
+                   *[F.when(~null_cell, v).cast("double").alias(n) for n, v in vals.items()])
+    out = with_pair_sums(out)
+    return out.select("regime", "src_lang", "tgt_lang", "method", *METRICS)
