@@ -7,6 +7,7 @@ order-insensitive hash compares like with like.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,18 @@ ORACLES: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
+    """Register ``fn(spark, sf_dir)``; each call gets a fresh scope for shared
+    model artifacts, so nothing is reused across queries."""
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def scoped(spark, sf_dir):
+            from transvoc import testbed
+            testbed.reset_scope()
+            try:
+                return fn(spark, sf_dir)
+            finally:
+                testbed.reset_scope()
+        QUERIES[name] = scoped
         if sql is not None:
             ORACLES[name] = sql
         return fn

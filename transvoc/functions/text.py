@@ -22,17 +22,34 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Characters Python treats as whitespace (derived by rule, not listed).
+WHITESPACE = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+
+
+def _edge_ws(c: Column, first: bool = True, last: bool = True) -> Column:
+    cond = F.lit(False)
+    if first:
+        cond = cond | F.substring(c, 1, 1).isin(WHITESPACE)
+    if last:
+        cond = cond | F.substring(c, -1, 1).isin(WHITESPACE)
+    return cond
+
+
 def py_strip(col) -> Column:
-    """FN-1: Python-style strip (``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(col), STRIP_PATTERN, "")
+    """FN-1: Python-style strip (``trim`` only removes spaces).  The regex only
+    runs on values whose first or last character is whitespace."""
+    c = _c(col)
+    return F.when(_edge_ws(c), F.regexp_replace(c, STRIP_PATTERN, "")).otherwise(c)
 
 
 def py_lstrip(col) -> Column:
-    return F.regexp_replace(_c(col), LSTRIP_PATTERN, "")
+    c = _c(col)
+    return F.when(_edge_ws(c, last=False), F.regexp_replace(c, LSTRIP_PATTERN, "")).otherwise(c)
 
 
 def py_rstrip(col) -> Column:
-    return F.regexp_replace(_c(col), RSTRIP_PATTERN, "")
+    c = _c(col)
+    return F.when(_edge_ws(c, first=False), F.regexp_replace(c, RSTRIP_PATTERN, "")).otherwise(c)
 
 
 def is_blank(col) -> Column:

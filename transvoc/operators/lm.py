@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from transvoc.operators.vocab import CLS_ID
+from transvoc.operators.vocab import CLS_ID, UNK_ID
 
 
 def label_rows(enc: DataFrame, keys: Sequence[str], ids: str = "ids",
@@ -42,6 +42,27 @@ def train_lm(rows: DataFrame, lang: str = "vocab_lang") -> DataFrame:
             .agg(F.count(F.lit(1)).cast("long").alias("n")))
 
 
+def train_lm_from_words(bigrams: DataFrame, vocab: DataFrame, known_entries: int | None = None,
+                        max_broadcast_entries: int = 2_000_000, prepend: int = CLS_ID,
+                        unk: int = UNK_ID) -> DataFrame:
+    """JOB-6 from word bigram counts: map both words to ids (two hash-join
+    lookups against the vocabulary; unknown -> ``unk``, line start ->
+    ``prepend``) and re-aggregate.  Works on the bigram table, which is much
+    smaller than the token stream."""
+    v = vocab.select("lang", "token", F.col("id").cast("int").alias("__tid"))
+    pv = vocab.select("lang", F.col("token").alias("prev_token"),
+                      F.col("id").cast("int").alias("__pid"))
+    if known_entries is not None and known_entries <= max_broadcast_entries:
+        v, pv = F.broadcast(v), F.broadcast(pv)
+    j = bigrams.join(v, ["lang", "token"], "left").join(pv, ["lang", "prev_token"], "left")
+    return j.groupBy(
+        "lang",
+        F.when(F.col("prev_token").isNull(), F.lit(prepend))
+        .otherwise(F.coalesce("__pid", F.lit(unk))).cast("int").alias("prev"),
+        F.coalesce("__tid", F.lit(unk)).cast("int").alias("tok"),
+    ).agg(F.sum("n").cast("long").alias("n"))
+
+
 def context_counts(lm: DataFrame) -> DataFrame:
     """``(lang, prev, n_prev)``: at most vocabulary-size rows per language."""
     return lm.groupBy("lang", "prev").agg(F.sum("n").cast("long").alias("n_prev"))

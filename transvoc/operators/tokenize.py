@@ -69,12 +69,16 @@ def with_vocab_langs(lines: DataFrame, vocab: DataFrame, pairs) -> DataFrame:
 
 
 def token_rows(lines: DataFrame, keys: Sequence[str], line_col: str = "line") -> DataFrame:
-    """``(keys..., pos, token, prev_token)``; ``prev_token`` is NULL at pos 0."""
+    """``(keys..., pos, token, prev_token)``; ``prev_token`` is NULL at pos 0.
+
+    The triples are built by one ``transform`` over the word array and then
+    exploded, so an exploded row never carries its line's whole array.
+    """
     ws = "__ws"
+    trip = F.expr(f"transform({ws}, (_w, _i) -> named_struct('pos', _i, 'token', _w, "
+                  f"'prev_token', if(_i > 0, {ws}[_i - 1], cast(null as string))))")
     return (lines.select(*keys, words_col(line_col).alias(ws))
-            .select(*keys, ws, F.posexplode(ws).alias("pos", "token"))
-            .withColumn("prev_token", F.when(F.col("pos") > 0, F.element_at(ws, F.col("pos"))))
-            .drop(ws))
+            .select(*keys, F.inline(trip)))
 
 
 def encode_long(lines: DataFrame, vocab: DataFrame, pairs="same",

@@ -43,13 +43,37 @@ def top_k_per_group(counts: DataFrame, group: str, k: int, n_col: str = "n",
     return cand.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)
 
 
-def build_vocab(lines: DataFrame, k: int, line_col: str = "line") -> DataFrame:
+def word_bigrams(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """``(lang, prev_token, token, n)``: word bigram counts of a corpus
+    (``prev_token`` NULL at line start).  One pass over the token stream with
+    map-side partial aggregation; both the vocabulary (its per-word sums) and
+    the bigram model (after id lookup) are derived from this table."""
+    from transvoc.operators.tokenize import token_rows
+    return (token_rows(lines, ["lang"], line_col)
+            .groupBy("lang", "prev_token", "token")
+            .agg(F.count(F.lit(1)).cast("long").alias("n")))
+
+
+def vocab_from_counts(counts: DataFrame, k: int) -> DataFrame:
+    """JOB-2 from ``(lang, token, n)`` counts."""
+    top = top_k_per_group(counts, "lang", k)
+    return top.select("lang", "token",
+                      (F.col("rank") + F.lit(N_RESERVED - 1)).cast("int").alias("id"), "n")
+
+
+def build_vocab(lines: DataFrame, k: int, line_col: str = "line",
+                bigrams: DataFrame | None = None) -> DataFrame:
     """JOB-2: top-``k`` words per language; ``id = rank + N_RESERVED - 1``.
 
-    Output ``(lang, token, id int, n bigint)``.
+    Output ``(lang, token, id int, n bigint)``.  With ``bigrams`` (from
+    :func:`word_bigrams`) the counts are summed from that table instead of
+    exploding the corpus again.
     """
-    counts = (line_tokens(lines, line_col).groupBy("lang", "token")
-              .agg(F.count(F.lit(1)).cast("long").alias("n")))
+    if bigrams is not None:
+        counts = bigrams.groupBy("lang", "token").agg(F.sum("n").cast("long").alias("n"))
+    else:
+        counts = (line_tokens(lines, line_col).groupBy("lang", "token")
+                  .agg(F.count(F.lit(1)).cast("long").alias("n")))
     top = top_k_per_group(counts, "lang", k)
     return top.select("lang", "token",
                       (F.col("rank") + F.lit(N_RESERVED - 1)).cast("int").alias("id"), "n")

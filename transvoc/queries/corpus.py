@@ -123,7 +123,7 @@ def pack_segments_q(spark, sf_dir):
     segments of ``PACK_LEN`` ids, written as a dataset and read back."""
     train = tb.sampled(spark, sf_dir).filter(F.col("split") == "train").select(
         "lang", "doc_id", "line_no", "line")
-    enc = encode(train, tb.vocab(spark, sf_dir), "word", "same", known_entries=tb.word_bound())
+    enc = encode(train, tb.models(spark, sf_dir).vocab, "word", "same", known_entries=tb.word_bound())
     segs = pack_segments(enc, tb.PACK_LEN, ["lang"], docs_per_block=tb.DOCS_PER_BLOCK)
     path = scratch_path(spark, "segments")
     write_segments(segs.withColumnRenamed("lang", "corpus"), path)

@@ -36,8 +36,8 @@ GROUP BY p.vocab_lang, p.lang
 def norm_ppl(spark, sf_dir):
     """JOB-8, the flagship: bits per byte of every devtest language under every
     language's vocabulary and bigram model."""
-    res = metrics.evaluate_ppl(tb.devtest(spark, sf_dir), tb.vocab(spark, sf_dir),
-                               tb.lm(spark, sf_dir), mode="word", pairs="all",
+    res = metrics.evaluate_ppl(tb.devtest(spark, sf_dir), tb.models(spark, sf_dir).vocab,
+                               tb.models(spark, sf_dir).lm, mode="word", pairs="all",
                                max_len=tb.MAX_SEQ_LEN, alpha=tb.ALPHA,
                                known_entries=tb.word_bound())
     return finish(res.select("vocab_lang", "lang", "log_ppl", "norm_ppl", "uid_prop",
@@ -50,7 +50,7 @@ def norm_ppl(spark, sf_dir):
 SELECT lang, token, CAST(id AS BIGINT) AS id, CAST(n AS BIGINT) AS n FROM vocab"""))
 def build_vocab(spark, sf_dir):
     """JOB-2: top-k words per language, ids after the reserved ones."""
-    return finish(tb.vocab(spark, sf_dir))
+    return finish(tb.models(spark, sf_dir).vocab)
 
 
 @register("encode_lines", O.with_ctes(["dev_enc", "devtest"], f"""
@@ -63,7 +63,7 @@ FROM dev_enc e GROUP BY e.vocab_lang, e.lang, e.doc_id, e.line_no"""))
 def encode_lines(spark, sf_dir):
     """JOB-1 / JN-7 / SRT-5: every devtest line under every vocabulary;
     ``[cls] + ids`` truncated to the model context."""
-    enc = encode(tb.devtest(spark, sf_dir).filter(F.col("line") != ""), tb.vocab(spark, sf_dir),
+    enc = encode(tb.devtest(spark, sf_dir).filter(F.col("line") != ""), tb.models(spark, sf_dir).vocab,
                  "word", "all", known_entries=tb.word_bound())
     return finish(enc.select(
         "vocab_lang", "lang", "doc_id", "line_no",
@@ -82,7 +82,7 @@ def custom_tokenizer(spark, sf_dir):
     """UDF-2: a user tokenizer (here: a Python word lookup over the ``en``
     vocabulary, as a tokenizer model would be loaded) applied through an
     Arrow-batched pandas UDF."""
-    v = tb.vocab(spark, sf_dir).filter(F.col("lang") == "en").select("token", "id")
+    v = tb.models(spark, sf_dir).vocab.filter(F.col("lang") == "en").select("token", "id")
     table = {r["token"]: int(r["id"]) for r in v.collect()}  # model-sized: k entries
 
     def tok(s: pd.Series) -> pd.Series:
@@ -119,7 +119,7 @@ FROM walk WHERE nxt > length(word)""", recursive=True)
 def greedy_pieces_q(spark, sf_dir):
     """JOB-1 greedy mode: longest-match pieces of every distinct devtest word
     under every language's piece vocabulary (words + characters)."""
-    pv = tb.pieces(spark, sf_dir)
+    pv = tb.models(spark, sf_dir).pieces
     words = (token_rows(tb.devtest(spark, sf_dir), ["lang"]).select(F.col("token").alias("word"))
              .distinct())
     wv = with_vocab_langs(words.withColumn("lang", F.lit("")), pv, "all").select("vocab_lang", "word")
@@ -136,7 +136,7 @@ SELECT l.vocab_lang, d.lang,
 FROM devtest d CROSS JOIN vlangs l GROUP BY l.vocab_lang, d.lang"""))
 def token_compression(spark, sf_dir):
     """AGG-5: bytes per token (ratio of sums, two special ids per line)."""
-    res = metrics.bytes_per_token(tb.devtest(spark, sf_dir), tb.vocab(spark, sf_dir), "word",
+    res = metrics.bytes_per_token(tb.devtest(spark, sf_dir), tb.models(spark, sf_dir).vocab, "word",
                                   "all", n_special=2, known_entries=tb.word_bound())
     return finish(res)
 
@@ -147,7 +147,7 @@ def token_compression(spark, sf_dir):
 SELECT lang, CAST(prev AS BIGINT) AS prev, CAST(tok AS BIGINT) AS tok, CAST(n AS BIGINT) AS n FROM lm"""))
 def lm_counts(spark, sf_dir):
     """JOB-6: bigram counts of every language's pool under its own vocabulary."""
-    return finish(tb.lm(spark, sf_dir))
+    return finish(tb.models(spark, sf_dir).lm)
 
 
 @register("token_scores", O.with_ctes(["dev_scored"], """
@@ -157,16 +157,16 @@ SELECT vocab_lang, lang, doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(pos AS
 FROM dev_scored"""))
 def token_scores(spark, sf_dir):
     """JOB-7: the ``token_loss`` table - every devtest token under every model."""
-    rows = encode_long(tb.devtest(spark, sf_dir), tb.vocab(spark, sf_dir), "all",
+    rows = encode_long(tb.devtest(spark, sf_dir), tb.models(spark, sf_dir).vocab, "all",
                        known_entries=tb.word_bound())
-    tl = lm_ops.score(rows, tb.lm(spark, sf_dir), tb.VOCAB_SIZE, alpha=tb.ALPHA)
+    tl = lm_ops.score(rows, tb.models(spark, sf_dir).lm, tb.VOCAB_SIZE, alpha=tb.ALPHA)
     return finish(tl.select("vocab_lang", "lang", "doc_id", "line_no", "pos", "token_id",
                             "prev_id", "loss_nats"))
 
 
 def _ppl_lines(spark, sf_dir, scorer=None):
     d = tb.devtest(spark, sf_dir).filter(F.col("line") != "")
-    return metrics.ppl_lines(d, tb.vocab(spark, sf_dir), tb.lm(spark, sf_dir), "word", "all",
+    return metrics.ppl_lines(d, tb.models(spark, sf_dir).vocab, tb.models(spark, sf_dir).lm, "word", "all",
                              tb.MAX_SEQ_LEN, tb.ALPHA, known_entries=tb.word_bound(),
                              scorer=scorer)
 
@@ -277,8 +277,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY vocab_lang, item_id ORDER BY los
 GROUP BY vocab_lang"""))
 def mcq_accuracy(spark, sf_dir):
     """JOB-9 / WIN-5 / AGG-6: multiple-choice accuracy of every model."""
-    res = metrics.evaluate_mcq(tb.mcq(spark, sf_dir), tb.vocab(spark, sf_dir),
-                               tb.lm(spark, sf_dir), "word", tb.MCQ_MAX_LEN, tb.ALPHA,
+    res = metrics.evaluate_mcq(tb.mcq(spark, sf_dir), tb.models(spark, sf_dir).vocab,
+                               tb.models(spark, sf_dir).lm, "word", tb.MCQ_MAX_LEN, tb.ALPHA,
                                known_entries=tb.word_bound())
     return finish(res)
 
@@ -331,7 +331,7 @@ SELECT vocab_lang, lang,
 FROM pp GROUP BY vocab_lang, lang"""))
 def minimal_pair_accuracy(spark, sf_dir):
     """JOB-10 / AGG-7: minimal-pair accuracy per (model, language)."""
-    res = metrics.evaluate_min_pairs(tb.min_pairs(spark, sf_dir), tb.vocab(spark, sf_dir),
-                                     tb.lm(spark, sf_dir), "word", tb.MIN_PAIR_MAX_LEN,
+    res = metrics.evaluate_min_pairs(tb.min_pairs(spark, sf_dir), tb.models(spark, sf_dir).vocab,
+                                     tb.models(spark, sf_dir).lm, "word", tb.MIN_PAIR_MAX_LEN,
                                      tb.ALPHA, known_entries=tb.word_bound())
     return finish(res)

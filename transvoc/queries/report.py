@@ -297,7 +297,7 @@ def pair_metrics(spark, sf_dir):
     """JOB-11 / JN-4 / PRJ-3: the 13 metrics of the two baselines of every
     pair (source model, target model).  Each (model, language) is scored
     once; both sides of every pair are then attached by equi-joins."""
-    vocab, lm = tb.vocab(spark, sf_dir), tb.lm(spark, sf_dir)
+    vocab, lm = tb.models(spark, sf_dir).vocab, tb.models(spark, sf_dir).lm
     dev = tb.devtest(spark, sf_dir)
     kb = tb.word_bound()
     ppl = MX.evaluate_ppl(dev, vocab, lm, "word", "all", tb.MAX_SEQ_LEN, tb.ALPHA, known_entries=kb)

@@ -24,7 +24,7 @@ GROUP BY sl.lang, t.lang"""))
 def vocab_overlap(spark, sf_dir):
     """JN-8 / JN-9: anchors (shared) and tokens to rebuild (target-only) for
     every ordered pair; an equi-join on the token, then counts."""
-    v = tb.vocab(spark, sf_dir)
+    v = tb.models(spark, sf_dir).vocab
     t = v.select(F.col("lang").alias("tgt_lang"), "token")
     s = v.select(F.col("lang").alias("src_lang"), "token")
     shared = (t.join(s, "token").filter(F.col("src_lang") != F.col("tgt_lang"))
@@ -71,9 +71,9 @@ FROM dims GROUP BY token, tgt_id, kind, n_pieces, dim""", recursive=True)
 def fvt_transfer(spark, sf_dir):
     """JOB-4: target (fr) embeddings from the source (en) model: copy shared
     tokens, average the source pieces of the others."""
-    v = tb.vocab(spark, sf_dir)
+    v = tb.models(spark, sf_dir).vocab
     sv, tv = v.filter(F.col("lang") == S), v.filter(F.col("lang") == T)
-    pv = tb.pieces(spark, sf_dir).filter(F.col("lang") == S)
+    pv = tb.models(spark, sf_dir).pieces.filter(F.col("lang") == S)
     ids = pv.select("id").unionByName(
         spark.range(0, tb.N_RESERVED).select(F.col("id").cast("int")))
     emb = tb.emb_of_ids(spark, sf_dir, ids, "source")
@@ -82,7 +82,7 @@ def fvt_transfer(spark, sf_dir):
 
 
 def _omp_inputs(spark, sf_dir):
-    v = tb.vocab(spark, sf_dir)
+    v = tb.models(spark, sf_dir).vocab
     sv, tv = v.filter(F.col("lang") == S), v.filter(F.col("lang") == T)
     anchors = tv.select("token", F.col("id").alias("tgt_id")).join(
         sv.select("token", F.col("id").alias("src_id")), "token")
