@@ -69,7 +69,7 @@ def context_counts(lm: DataFrame) -> DataFrame:
 
 
 def score(rows: DataFrame, lm: DataFrame, vocab_size, alpha: float = 0.1,
-          model_col: str = "vocab_lang") -> DataFrame:
+          model_col: str = "vocab_lang", ctx: DataFrame | None = None) -> DataFrame:
     """JOB-7: add-alpha bigram loss ``-ln((c + a) / (n + a V))`` per label row.
 
     ``vocab_size`` is a number or the name of a column holding V.  Neither
@@ -79,7 +79,7 @@ def score(rows: DataFrame, lm: DataFrame, vocab_size, alpha: float = 0.1,
     """
     big = lm.select(F.col("lang").alias(model_col), F.col("prev").alias("prev_id"),
                     F.col("tok").alias("token_id"), F.col("n").alias("__c"))
-    ctx = context_counts(lm).select(F.col("lang").alias(model_col),
+    ctx = (context_counts(lm) if ctx is None else ctx).select(F.col("lang").alias(model_col),
                                     F.col("prev").alias("prev_id"),
                                     F.col("n_prev").alias("__n"))
     v = F.col(vocab_size) if isinstance(vocab_size, str) else F.lit(float(vocab_size))

@@ -28,15 +28,20 @@ def vocab_sizes(vocab: DataFrame) -> DataFrame:
         (F.max("id") + 1).cast("double").alias("V"))
 
 
-def _scored(rows: DataFrame, lm: DataFrame, alpha: float, scorer=None) -> DataFrame:
+def _scored(rows: DataFrame, lm: DataFrame, alpha: float, scorer=None,
+            ctx: DataFrame | None = None) -> DataFrame:
     if scorer is not None:
         return lm_ops.score_with(rows, scorer)
-    return lm_ops.score(rows, lm, "V", alpha=alpha)
+    return lm_ops.score(rows, lm, "V", alpha=alpha, ctx=ctx)
+
+
+def _sizes(vocab: DataFrame, info: DataFrame | None) -> DataFrame:
+    return F.broadcast(info if info is not None else vocab_sizes(vocab))
 
 
 def label_rows_for(lines: DataFrame, vocab: DataFrame, mode: str, pairs, keys: Sequence[str],
                    carry: Sequence[str] = (), known_entries: int | None = None,
-                   max_labels: int | None = None) -> DataFrame:
+                   max_labels: int | None = None, info: DataFrame | None = None) -> DataFrame:
     """Label rows ``(vocab_lang, keys..., carry..., pos, token_id, prev_id)``.
 
     Word mode stays in long form (hash-join lookups, no regroup); greedy mode
@@ -46,9 +51,10 @@ def label_rows_for(lines: DataFrame, vocab: DataFrame, mode: str, pairs, keys: S
     keys, carry = list(keys), list(carry)
     if mode == "word":
         rows = encode_long(lines.select(*keys, *carry, "line"), vocab, pairs, [*keys, *carry],
-                           known_entries=known_entries).drop("token")
+                           known_entries=known_entries, info=info).drop("token")
     else:
-        arr = encode(lines, vocab, mode, pairs, keys, known_entries=known_entries, carry=carry)
+        arr = encode(lines, vocab, mode, pairs, keys, known_entries=known_entries, carry=carry,
+                     info=info)
         rows = lm_ops.label_rows(arr, ["vocab_lang", *keys, *carry])
     if max_labels is not None:
         rows = rows.filter(F.col("pos") < max_labels)
@@ -84,7 +90,8 @@ def ppl_lines(lines: DataFrame, vocab: DataFrame, lm: DataFrame, mode: str = "wo
               pairs="all", max_len: int = 512, alpha: float = 0.1,
               only_second_half: bool = True, spe_id: int | None = None,
               line_keys: Sequence[str] = ("lang", "doc_id", "line_no"),
-              known_entries: int | None = None, scorer=None) -> DataFrame:
+              known_entries: int | None = None, scorer=None, info: DataFrame | None = None,
+              ctx: DataFrame | None = None) -> DataFrame:
     """Per-line part of JOB-8 (AGG-1, WIN-4, FN-12): one row per
     ``(vocab_lang, line)`` with ``surprisal`` (bits of the second half),
     ``n_unk`` / ``n_counted`` (unknown share terms over the whole truncated
@@ -102,19 +109,20 @@ def ppl_lines(lines: DataFrame, vocab: DataFrame, lm: DataFrame, mode: str = "wo
         # token counts of the line and of its first half need no vocabulary
         body = (body.withColumn("h", F.size(words_col("__half")) if only_second_half else F.lit(0))
                 .withColumn("truncated", (F.size(words_col("line")) + 1 > max_len).cast("int")))
-        rows = label_rows_for(body, vocab, mode, pairs, keys, carry, known_entries, max_len - 1)
+        rows = label_rows_for(body, vocab, mode, pairs, keys, carry, known_entries, max_len - 1,
+                              info=info)
     else:
         full = encode(body, vocab, mode, pairs, keys, known_entries=known_entries,
-                      carry=["nbytes"])
+                      carry=["nbytes"], info=info)
         half = encode(body.select(*keys, F.col("__half").alias("line")), vocab, mode, pairs, keys,
-                      known_entries=known_entries, out="__hids")
+                      known_entries=known_entries, out="__hids", info=info)
         full = (full.join(half, ["vocab_lang", *keys])
                 .withColumn("h", F.size("__hids") if only_second_half else F.lit(0))
                 .withColumn("truncated", (F.size("ids") + 1 > max_len).cast("int"))
                 .withColumn("ids", F.slice("ids", 1, max_len - 1)))
         rows = lm_ops.label_rows(full, ["vocab_lang", *keys, *carry])
-    rows = rows.join(F.broadcast(vocab_sizes(vocab)), "vocab_lang")
-    tl = _scored(rows, lm, alpha, scorer)
+    rows = rows.join(_sizes(vocab, info), "vocab_lang")
+    tl = _scored(rows, lm, alpha, scorer, ctx)
     return line_surprisal(tl, ["vocab_lang", *keys, *carry, "V"], "h", spe_id)
 
 
@@ -122,7 +130,8 @@ def evaluate_ppl(lines: DataFrame, vocab: DataFrame, lm: DataFrame, mode: str =
                  pairs="all", max_len: int = 512, alpha: float = 0.1,
                  only_second_half: bool = True, spe_id: int | None = None,
                  line_keys: Sequence[str] = ("lang", "doc_id", "line_no"),
-                 known_entries: int | None = None, scorer=None) -> DataFrame:
+                 known_entries: int | None = None, scorer=None, info: DataFrame | None = None,
+                 ctx: DataFrame | None = None) -> DataFrame:
     """JOB-8: per ``(vocab_lang, lang)``: ``log_ppl`` (AGG-2, mean total bits per
     line), ``norm_ppl`` (AGG-3, mean of per-line bits/byte), ``uid_prop``
     (AGG-4, mean of per-line unknown shares), line counts.
@@ -133,7 +142,7 @@ def evaluate_ppl(lines: DataFrame, vocab: DataFrame, lm: DataFrame, mode: str =
     blank = is_blank("line")
     n_blank = lines.filter(blank).groupBy("lang").agg(F.count(F.lit(1)).alias("n_blank"))
     per_line = ppl_lines(lines.filter(~blank), vocab, lm, mode, pairs, max_len, alpha,
-                         only_second_half, spe_id, line_keys, known_entries, scorer)
+                         only_second_half, spe_id, line_keys, known_entries, scorer, info, ctx)
     per_model = per_line.groupBy("vocab_lang", "lang").agg(
         F.avg("surprisal").alias("log_ppl"),
         F.avg(F.col("surprisal") / F.col("nbytes")).alias("norm_ppl"),
@@ -147,17 +156,18 @@ def evaluate_ppl(lines: DataFrame, vocab: DataFrame, lm: DataFrame, mode: str =
 
 def bytes_per_token(lines: DataFrame, vocab: DataFrame, mode: str = "word", pairs="all",
                     n_special: int = 2, known_entries: int | None = None,
-                    line_keys: Sequence[str] = ("lang", "doc_id", "line_no")) -> DataFrame:
+                    line_keys: Sequence[str] = ("lang", "doc_id", "line_no"),
+                    info: DataFrame | None = None) -> DataFrame:
     """AGG-5: total bytes / total tokens (ratio of sums); ``n_special`` ids
     (e.g. cls + sep) are counted for every line."""
     keys = list(line_keys)
     if mode == "word":
-        per_line = with_vocab_langs(lines.select(*keys, "line"), vocab, pairs).select(
+        per_line = with_vocab_langs(lines.select(*keys, "line"), vocab, pairs, info).select(
             "vocab_lang", "lang", byte_len("line").alias("b"),
             F.size(words_col("line")).alias("t"))
     else:
         enc = encode(lines.select(*keys, "line").withColumn("b", byte_len("line")), vocab, mode,
-                     pairs, keys, known_entries=known_entries, carry=["b"])
+                     pairs, keys, known_entries=known_entries, carry=["b"], info=info)
         per_line = enc.select("vocab_lang", "lang", "b", F.size("ids").alias("t"))
     return per_line.groupBy("vocab_lang", "lang").agg(
         (F.sum("b") / F.sum(F.col("t") + F.lit(n_special))).alias("bpt"),
@@ -177,14 +187,15 @@ def option_prompts(mcq: DataFrame) -> DataFrame:
 
 def evaluate_mcq(mcq: DataFrame, vocab: DataFrame, lm: DataFrame, mode: str = "word",
                  max_len: int = 512, alpha: float = 0.1, known_entries: int | None = None,
-                 scorer=None) -> DataFrame:
+                 scorer=None, info: DataFrame | None = None,
+                 ctx: DataFrame | None = None) -> DataFrame:
     """JOB-9 / WIN-5 / AGG-6: accuracy per model; option loss is the total in
     nats with no unknown penalty; the least loss wins, lowest index on ties."""
     prompts = option_prompts(mcq).withColumn("lang", F.lit("mcq"))
     rows = label_rows_for(prompts, vocab, mode, "all", ["item_id", "opt"], ["correct"],
-                          known_entries, max_len - 1)
-    rows = rows.join(F.broadcast(vocab_sizes(vocab)), "vocab_lang")
-    tl = _scored(rows, lm, alpha, scorer)
+                          known_entries, max_len - 1, info=info)
+    rows = rows.join(_sizes(vocab, info), "vocab_lang")
+    tl = _scored(rows, lm, alpha, scorer, ctx)
     opt_loss = tl.groupBy("vocab_lang", "item_id", "correct", "opt").agg(
         F.sum("loss_nats").alias("loss"))
     picked = opt_loss.groupBy("vocab_lang", "item_id", "correct").agg(
@@ -198,7 +209,8 @@ def evaluate_min_pairs(pairs_df: DataFrame, vocab: DataFrame, lm: DataFrame,
                        mode: str = "word", max_length: int | None = 50, alpha: float = 0.1,
                        pair_keys: Sequence[str] = ("doc_id", "line_no"),
                        known_entries: int | None = None, scorer=None,
-                       tie_rel: float = 1e-9) -> DataFrame:
+                       tie_rel: float = 1e-9, info: DataFrame | None = None,
+                       ctx: DataFrame | None = None) -> DataFrame:
     """JOB-10 / AGG-7: share of pairs with ``wrong_nll - sen_nll > 0`` (strict).
 
     Each side is scored from the prepended id on, in nats.  A pair where
@@ -213,9 +225,9 @@ def evaluate_min_pairs(pairs_df: DataFrame, vocab: DataFrame, lm: DataFrame,
         F.struct(F.lit(1).alias("side"), F.col("wrong_sen").alias("line")))).alias("s")
     ).select("lang", *pair_keys, "s.side", "s.line")
     keys = ["lang", *pair_keys, "side"]
-    rows = label_rows_for(sides, vocab, mode, "all", keys, (), known_entries)
-    rows = rows.join(F.broadcast(vocab_sizes(vocab)), "vocab_lang")
-    tl = _scored(rows, lm, alpha, scorer)
+    rows = label_rows_for(sides, vocab, mode, "all", keys, (), known_entries, info=info)
+    rows = rows.join(_sizes(vocab, info), "vocab_lang")
+    tl = _scored(rows, lm, alpha, scorer, ctx)
     # one pass: per pair, the two side totals and lengths from the label rows
     per_pair = tl.groupBy("vocab_lang", "lang", *pair_keys).agg(
         F.coalesce(F.sum(F.when(F.col("side") == 0, F.col("loss_nats"))), F.lit(0.0)).alias("sen_nll"),

@@ -51,9 +51,11 @@ def _vocab_side(vocab: DataFrame, known_entries: int | None, limit: int,
     return v
 
 
-def with_vocab_langs(lines: DataFrame, vocab: DataFrame, pairs) -> DataFrame:
+def with_vocab_langs(lines: DataFrame, vocab: DataFrame, pairs,
+                     info: DataFrame | None = None) -> DataFrame:
     """Attach ``vocab_lang``: ``'same'`` (own language), ``'all'`` (every
-    vocabulary) or an explicit ``(vocab_lang, lang)`` DataFrame."""
+    vocabulary) or an explicit ``(vocab_lang, lang)`` DataFrame.  ``info``
+    (one row per vocabulary) saves the distinct over the vocabulary."""
     if "vocab_lang" in lines.columns:
         return lines
     if isinstance(pairs, DataFrame):
@@ -63,7 +65,8 @@ def with_vocab_langs(lines: DataFrame, vocab: DataFrame, pairs) -> DataFrame:
     if pairs == "all":
         # the vocabulary-language side is one row per language (a small fixed
         # dimension); each line is scored under each of them
-        langs = vocab.select(F.col("lang").alias("vocab_lang")).distinct()
+        langs = (info.select("vocab_lang") if info is not None else
+                 vocab.select(F.col("lang").alias("vocab_lang")).distinct())
         return lines.crossJoin(F.broadcast(langs))
     raise ValueError(f"pairs must be 'same', 'all' or a DataFrame, got {pairs!r}")
 
@@ -85,14 +88,15 @@ def encode_long(lines: DataFrame, vocab: DataFrame, pairs="same",
                 keys: Sequence[str] = ("lang", "doc_id", "line_no"), line_col: str = "line",
                 known_entries: int | None = None,
                 max_broadcast_entries: int = MAX_BROADCAST_ENTRIES,
-                prepend: int = CLS_ID, unk: int = UNK_ID) -> DataFrame:
+                prepend: int = CLS_ID, unk: int = UNK_ID,
+                info: DataFrame | None = None) -> DataFrame:
     """Word-mode JN-7 in long form.
 
     Output ``(vocab_lang, keys..., pos, token, token_id, prev_id)`` where
     ``prev_id`` is ``prepend`` at position 0.
     """
     keys = [k for k in keys if k != "vocab_lang"]
-    base = with_vocab_langs(lines, vocab, pairs)
+    base = with_vocab_langs(lines, vocab, pairs, info)
     rows = token_rows(base, ["vocab_lang", *keys], line_col)
     cur = _vocab_side(vocab, known_entries, max_broadcast_entries, "token", "__id")
     prv = _vocab_side(vocab, known_entries, max_broadcast_entries, "prev_token", "__pid")
@@ -134,26 +138,32 @@ def greedy_pieces(words_df: DataFrame, pieces: DataFrame, max_piece: int = 24,
                     .alias("l"))
             .withColumn("token", F.expr("substring(word, s, l)")))
     pv = _vocab_side(pieces, known_entries, max_broadcast_entries, "token", "id")
-    hits = cand.join(pv, ["vocab_lang", "token"], "inner")
-    gathered = hits.groupBy("vocab_lang", "word").agg(
-        F.collect_list(F.struct("s", "l", "id")).alias("hits"))
+    # best piece per (word, start): longest hit, else one unknown character;
+    # every start has its 1-character candidate, so every start gets a row
+    looked = cand.join(pv, ["vocab_lang", "token"], "left")
+    best = looked.groupBy("vocab_lang", "word", "s").agg(F.max(F.struct(
+        F.when(F.col("id").isNotNull(), F.col("l")).otherwise(F.lit(0)).alias("key"),
+        F.when(F.col("id").isNotNull(), F.col("l")).otherwise(F.lit(1)).alias("len"),
+        F.coalesce(F.col("id"), F.lit(unk)).alias("id"))).alias("b"))
+    dense = best.groupBy("vocab_lang", "word").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("s", "b.len", "b.id"))),
+        lambda x: F.struct(x["len"].alias("len"), x["id"].alias("id"))).alias("at"))
+    # walk: ``at[s - 1]`` is the best piece starting at character s
     walk = (
         "aggregate(sequence(1, greatest(char_length(word), 1)), "
         "named_struct('nxt', 1, 'ids', cast(array() as array<int>)), "
         "(_acc, _s) -> if(_s = _acc.nxt and _s <= char_length(word), "
-        "transform(array(coalesce(array_max(transform(filter(coalesce(hits, array()), _h -> _h.s = _s), "
-        f"_h -> named_struct('l', _h.l, 'id', _h.id))), named_struct('l', 1, 'id', {unk}))), "
-        "_p -> named_struct('nxt', _s + _p.l, 'ids', concat(_acc.ids, array(_p.id))))[0], _acc), "
-        "_acc -> _acc.ids)")
-    return (w.join(gathered, ["vocab_lang", "word"], "left")
-            .withColumn("ids", F.expr(walk)).drop("hits"))
+        "named_struct('nxt', _s + at[_s - 1].len, 'ids', concat(_acc.ids, array(at[_s - 1].id))), "
+        "_acc), _acc -> _acc.ids)")
+    empty = w.filter(n == 0).select("vocab_lang", "word", F.array().cast("array<int>").alias("ids"))
+    return dense.withColumn("ids", F.expr(walk)).drop("at").unionByName(empty)
 
 
 def encode(lines: DataFrame, vocab: DataFrame, mode: str = "word", pairs="same",
            keys: Sequence[str] = ("lang", "doc_id", "line_no"), line_col: str = "line",
            out: str = "ids", max_len: int | None = None, known_entries: int | None = None,
            max_broadcast_entries: int = MAX_BROADCAST_ENTRIES, max_piece: int = 24,
-           carry: Sequence[str] = ()) -> DataFrame:
+           carry: Sequence[str] = (), info: DataFrame | None = None) -> DataFrame:
     """JOB-1 in array form: ``(vocab_lang, keys..., carry..., out array<int>)``.
 
     Lines without tokens get an empty array.  ``max_len`` truncates (SRT-5).
@@ -161,10 +171,10 @@ def encode(lines: DataFrame, vocab: DataFrame, mode: str = "word", pairs="same",
     """
     keys = [k for k in keys if k != "vocab_lang"]
     gkeys = ["vocab_lang", *keys, *carry]
-    base = with_vocab_langs(lines, vocab, pairs)
+    base = with_vocab_langs(lines, vocab, pairs, info)
     if mode == "word":
         longf = encode_long(base.select(*gkeys, line_col), vocab, pairs, [*keys, *carry],
-                            line_col, known_entries, max_broadcast_entries)
+                            line_col, known_entries, max_broadcast_entries, info=info)
         arr = regroup(longf, gkeys, out=out)
     elif mode == "greedy":
         occ = token_rows(base.select(*gkeys, line_col), gkeys, line_col).withColumnRenamed(

@@ -36,10 +36,10 @@ GROUP BY p.vocab_lang, p.lang
 def norm_ppl(spark, sf_dir):
     """JOB-8, the flagship: bits per byte of every devtest language under every
     language's vocabulary and bigram model."""
-    res = metrics.evaluate_ppl(tb.devtest(spark, sf_dir), tb.models(spark, sf_dir).vocab,
-                               tb.models(spark, sf_dir).lm, mode="word", pairs="all",
+    m = tb.models(spark, sf_dir)
+    res = metrics.evaluate_ppl(tb.devtest(spark, sf_dir), m.vocab, m.lm, mode="word", pairs="all",
                                max_len=tb.MAX_SEQ_LEN, alpha=tb.ALPHA,
-                               known_entries=tb.word_bound())
+                               known_entries=tb.word_bound(), info=m.info, ctx=m.ctx)
     return finish(res.select("vocab_lang", "lang", "log_ppl", "norm_ppl", "uid_prop",
                              "n_lines", "n_truncated", "n_blank"))
 
@@ -63,8 +63,9 @@ FROM dev_enc e GROUP BY e.vocab_lang, e.lang, e.doc_id, e.line_no"""))
 def encode_lines(spark, sf_dir):
     """JOB-1 / JN-7 / SRT-5: every devtest line under every vocabulary;
     ``[cls] + ids`` truncated to the model context."""
-    enc = encode(tb.devtest(spark, sf_dir).filter(F.col("line") != ""), tb.models(spark, sf_dir).vocab,
-                 "word", "all", known_entries=tb.word_bound())
+    m = tb.models(spark, sf_dir)
+    enc = encode(tb.devtest(spark, sf_dir).filter(F.col("line") != ""), m.vocab,
+                 "word", "all", known_entries=tb.word_bound(), info=m.info)
     return finish(enc.select(
         "vocab_lang", "lang", "doc_id", "line_no",
         F.array_join(F.slice(F.concat(F.array(F.lit(CLS_ID)), "ids"), 1, tb.MAX_SEQ_LEN), ",")
@@ -136,8 +137,9 @@ SELECT l.vocab_lang, d.lang,
 FROM devtest d CROSS JOIN vlangs l GROUP BY l.vocab_lang, d.lang"""))
 def token_compression(spark, sf_dir):
     """AGG-5: bytes per token (ratio of sums, two special ids per line)."""
-    res = metrics.bytes_per_token(tb.devtest(spark, sf_dir), tb.models(spark, sf_dir).vocab, "word",
-                                  "all", n_special=2, known_entries=tb.word_bound())
+    m = tb.models(spark, sf_dir)
+    res = metrics.bytes_per_token(tb.devtest(spark, sf_dir), m.vocab, "word", "all", n_special=2,
+                                  known_entries=tb.word_bound(), info=m.info)
     return finish(res)
 
 
@@ -157,18 +159,20 @@ SELECT vocab_lang, lang, doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(pos AS
 FROM dev_scored"""))
 def token_scores(spark, sf_dir):
     """JOB-7: the ``token_loss`` table - every devtest token under every model."""
-    rows = encode_long(tb.devtest(spark, sf_dir), tb.models(spark, sf_dir).vocab, "all",
-                       known_entries=tb.word_bound())
-    tl = lm_ops.score(rows, tb.models(spark, sf_dir).lm, tb.VOCAB_SIZE, alpha=tb.ALPHA)
+    m = tb.models(spark, sf_dir)
+    rows = encode_long(tb.devtest(spark, sf_dir), m.vocab, "all",
+                       known_entries=tb.word_bound(), info=m.info)
+    tl = lm_ops.score(rows, m.lm, tb.VOCAB_SIZE, alpha=tb.ALPHA, ctx=m.ctx)
     return finish(tl.select("vocab_lang", "lang", "doc_id", "line_no", "pos", "token_id",
                             "prev_id", "loss_nats"))
 
 
 def _ppl_lines(spark, sf_dir, scorer=None):
     d = tb.devtest(spark, sf_dir).filter(F.col("line") != "")
-    return metrics.ppl_lines(d, tb.models(spark, sf_dir).vocab, tb.models(spark, sf_dir).lm, "word", "all",
-                             tb.MAX_SEQ_LEN, tb.ALPHA, known_entries=tb.word_bound(),
-                             scorer=scorer)
+    m = tb.models(spark, sf_dir)
+    return metrics.ppl_lines(d, m.vocab, m.lm, "word", "all", tb.MAX_SEQ_LEN, tb.ALPHA,
+                             known_entries=tb.word_bound(), scorer=scorer, info=m.info,
+                             ctx=None if scorer is not None else m.ctx)
 
 
 @register("line_surprisal", O.with_ctes(["dev_per_line"], """
@@ -277,9 +281,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY vocab_lang, item_id ORDER BY los
 GROUP BY vocab_lang"""))
 def mcq_accuracy(spark, sf_dir):
     """JOB-9 / WIN-5 / AGG-6: multiple-choice accuracy of every model."""
-    res = metrics.evaluate_mcq(tb.mcq(spark, sf_dir), tb.models(spark, sf_dir).vocab,
-                               tb.models(spark, sf_dir).lm, "word", tb.MCQ_MAX_LEN, tb.ALPHA,
-                               known_entries=tb.word_bound())
+    m = tb.models(spark, sf_dir)
+    res = metrics.evaluate_mcq(tb.mcq(spark, sf_dir), m.vocab, m.lm, "word", tb.MCQ_MAX_LEN,
+                               tb.ALPHA, known_entries=tb.word_bound(), info=m.info, ctx=m.ctx)
     return finish(res)
 
 
@@ -331,7 +335,8 @@ SELECT vocab_lang, lang,
 FROM pp GROUP BY vocab_lang, lang"""))
 def minimal_pair_accuracy(spark, sf_dir):
     """JOB-10 / AGG-7: minimal-pair accuracy per (model, language)."""
-    res = metrics.evaluate_min_pairs(tb.min_pairs(spark, sf_dir), tb.models(spark, sf_dir).vocab,
-                                     tb.models(spark, sf_dir).lm, "word", tb.MIN_PAIR_MAX_LEN,
-                                     tb.ALPHA, known_entries=tb.word_bound())
+    m = tb.models(spark, sf_dir)
+    res = metrics.evaluate_min_pairs(tb.min_pairs(spark, sf_dir), m.vocab, m.lm, "word",
+                                     tb.MIN_PAIR_MAX_LEN, tb.ALPHA, known_entries=tb.word_bound(),
+                                     info=m.info, ctx=m.ctx)
     return finish(res)

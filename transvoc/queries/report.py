@@ -297,13 +297,15 @@ def pair_metrics(spark, sf_dir):
     """JOB-11 / JN-4 / PRJ-3: the 13 metrics of the two baselines of every
     pair (source model, target model).  Each (model, language) is scored
     once; both sides of every pair are then attached by equi-joins."""
-    vocab, lm = tb.models(spark, sf_dir).vocab, tb.models(spark, sf_dir).lm
+    mm = tb.models(spark, sf_dir)
+    vocab, lm, info, ctx = mm.vocab, mm.lm, mm.info, mm.ctx
     dev = tb.devtest(spark, sf_dir)
     kb = tb.word_bound()
-    ppl = MX.evaluate_ppl(dev, vocab, lm, "word", "all", tb.MAX_SEQ_LEN, tb.ALPHA, known_entries=kb)
-    bpt = MX.bytes_per_token(dev, vocab, "word", "all", 2, known_entries=kb)
+    ppl = MX.evaluate_ppl(dev, vocab, lm, "word", "all", tb.MAX_SEQ_LEN, tb.ALPHA, known_entries=kb,
+                          info=info, ctx=ctx)
+    bpt = MX.bytes_per_token(dev, vocab, "word", "all", 2, known_entries=kb, info=info)
     mbp = MX.evaluate_min_pairs(tb.min_pairs(spark, sf_dir), vocab, lm, "word",
-                                tb.MIN_PAIR_MAX_LEN, tb.ALPHA, known_entries=kb)
+                                tb.MIN_PAIR_MAX_LEN, tb.ALPHA, known_entries=kb, info=info, ctx=ctx)
     per = (ppl.select("vocab_lang", "lang", "log_ppl", "norm_ppl", F.col("uid_prop").alias("uid"))
            .join(bpt.select("vocab_lang", "lang", "bpt"), ["vocab_lang", "lang"])
            .join(mbp.select("vocab_lang", "lang", F.col("accuracy").alias("mbp")),

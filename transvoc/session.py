@@ -64,10 +64,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared folder, survives executor loss)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a parquet table below the shared checkpoint folder and
+    read it back: the plan runs once, later references scan the files (with
+    real size statistics for AQE), and a lost executor only costs re-reading
+    shared files.  ``DataFrame.checkpoint`` would run the last stage twice."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:

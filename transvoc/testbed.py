@@ -100,9 +100,27 @@ class Models:
     def _keep(self, name: str, build) -> DataFrame:
         if name not in self._cache:
             df = build()
-            self._cache[name] = cut_lineage(df) if self.materialize else df
+            self._cache[name] = cut_lineage(df, name) if self.materialize else df
         return self._cache[name]
 
+    @property
+    def info(self) -> DataFrame:
+        """``(vocab_lang, V)``: one row per language, collected once (bounded
+        metadata) and used as a local relation, so no later job recomputes it."""
+        if "info" not in self._cache:
+            from transvoc.operators.metrics import vocab_sizes
+            rows = vocab_sizes(self.vocab).collect()
+            if len(rows) > N_LANG_BOUND:
+                raise ValueError(f"{len(rows)} vocabularies exceed {N_LANG_BOUND}")
+            self._cache["info"] = self.spark.createDataFrame(
+                [(r["vocab_lang"], float(r["V"])) for r in rows], "vocab_lang string, V double")
+        return self._cache["info"]
+
+    @property
+    def ctx(self) -> DataFrame:
+        from transvoc.operators.lm import context_counts
+        return self._keep("ctx", lambda: context_counts(self.lm))
+
     @property
     def vocab(self) -> DataFrame:
         return self._keep("vocab", lambda: vocab(self.spark, self.sf_dir))
