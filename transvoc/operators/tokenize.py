@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transvoc.operators.vocab import CLS_ID, UNK_ID
+from transvoc.session import spread
 
 MAX_BROADCAST_ENTRIES = 2_000_000
 
@@ -128,7 +129,7 @@ def greedy_pieces(words_df: DataFrame, pieces: DataFrame, max_piece: int = 24,
     (bounded by ``len(word) * max_piece``) and a fold over the character
     positions walks them.  Output adds ``ids array<int>``.
     """
-    w = words_df.select("vocab_lang", "word").distinct()
+    w = spread(words_df.select("vocab_lang", "word").distinct(), "vocab_lang", "word")
     n = F.char_length("word")
     cand = (w.select("vocab_lang", "word",
                      F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).alias("s"))

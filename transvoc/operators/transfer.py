@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from transvoc.operators.tokenize import greedy_pieces
 from transvoc.operators.vocab import missing_vocab, shared_vocab
+from transvoc.session import spread
 
 MAX_DICTIONARY_BYTES = 512 * 1024 * 1024
 SCORE_DIGITS = 12  # selection scores are compared after rounding (ties -> lowest id)
@@ -121,7 +122,7 @@ def omp_transfer(missing: DataFrame, anchors: pd.DataFrame, k: int, tol: float =
                 out["vec"].append((Bm[s].T @ c).tolist() if s else [0.0] * Bm.shape[1])
             yield pd.DataFrame(out)
 
-    return missing.select("token", "tgt_id", "donor").mapInPandas(run, schema)
+    return spread(missing.select("token", "tgt_id", "donor"), "token").mapInPandas(run, schema)
 
 
 def anchor_dictionary(anchors: DataFrame, dim: int,

@@ -85,7 +85,8 @@ def piece_vocab(vocab: DataFrame, lines: DataFrame, line_col: str = "line") -> D
     Characters that are not already tokens get ids after the largest id of the
     language's vocabulary, in character order.  Output ``(lang, token, id)``.
     """
-    dw = line_tokens(lines, line_col).select("lang", "token").distinct()
+    from transvoc.session import spread
+    dw = spread(line_tokens(lines, line_col).select("lang", "token").distinct(), "lang", "token")
     chars = (dw.select("lang", F.explode(F.transform(
         F.sequence(F.lit(1), F.greatest(F.char_length("token"), F.lit(1))),
         lambda i: F.substring(F.col("token"), i, 1))).alias("token"))

@@ -77,3 +77,15 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
+    """Hash-repartition ``df`` to ``factor x`` the session's parallelism.
+
+    For inputs that are small in bytes but expand into heavy per-row work
+    (candidate substrings of distinct words, per-token least squares): AQE
+    sizes post-shuffle partitions by *bytes* and would coalesce them into a
+    couple of tasks; a repartition with an explicit count is left alone.
+    """
+    n = factor * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *keys) if keys else df.repartition(n)
