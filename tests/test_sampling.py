@@ -70,8 +70,8 @@ def test_prefix_sum_independent_of_blocks_and_partitions(spark):
     for lang, d, _, v in rows:
         expect[(lang, d)] = acc.get(lang, 0)
         acc[lang] = acc.get(lang, 0) + v
-    for block, parts in ((1, 1), (7, 3), (1000, 5)):
+    for block, parts, fanout in ((1, 1, None), (7, 3, None), (1000, 5, None), (3, 4, 5), (1, 2, 2)):
         out = exclusive_prefix_sum(df.repartition(parts), ["lang"], doc_block("doc_id", block),
-                                   ["doc_id", "line_no"], "v")
+                                   ["doc_id", "line_no"], "v", block_fanout=fanout)
         got = {(r["lang"], r["doc_id"]): r["before"] for r in out.collect()}
         assert got == expect

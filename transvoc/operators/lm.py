@@ -69,7 +69,8 @@ def context_counts(lm: DataFrame) -> DataFrame:
 
 
 def score(rows: DataFrame, lm: DataFrame, vocab_size, alpha: float = 0.1,
-          model_col: str = "vocab_lang", ctx: DataFrame | None = None) -> DataFrame:
+          model_col: str = "vocab_lang", ctx: DataFrame | None = None,
+          ctx_bound: int | None = None, max_broadcast_rows: int = 5_000_000) -> DataFrame:
     """JOB-7: add-alpha bigram loss ``-ln((c + a) / (n + a V))`` per label row.
 
     ``vocab_size`` is a number or the name of a column holding V.  Neither
@@ -82,6 +83,9 @@ def score(rows: DataFrame, lm: DataFrame, vocab_size, alpha: float = 0.1,
     ctx = (context_counts(lm) if ctx is None else ctx).select(F.col("lang").alias(model_col),
                                     F.col("prev").alias("prev_id"),
                                     F.col("n_prev").alias("__n"))
+    if ctx_bound is not None and ctx_bound <= max_broadcast_rows:
+        # at most V rows per model: broadcast under the caller's bound
+        ctx = F.broadcast(ctx)
     v = F.col(vocab_size) if isinstance(vocab_size, str) else F.lit(float(vocab_size))
     a = F.lit(float(alpha))
     out = (rows.join(big, [model_col, "prev_id", "token_id"], "left")

@@ -20,6 +20,7 @@ from transvoc.operators.tokenize import encode, encode_long, with_vocab_langs, w
 from transvoc.operators.vocab import CLS_ID, PAD_ID, UNK_ID
 
 LN2 = math.log(2.0)
+CTX_BOUND = 64 * 4_096   # languages x vocabulary ids for which context counts are broadcast
 
 
 def vocab_sizes(vocab: DataFrame) -> DataFrame:
@@ -32,7 +33,10 @@ def _scored(rows: DataFrame, lm: DataFrame, alpha: float, scorer=None,
             ctx: DataFrame | None = None) -> DataFrame:
     if scorer is not None:
         return lm_ops.score_with(rows, scorer)
-    return lm_ops.score(rows, lm, "V", alpha=alpha, ctx=ctx)
+    # context rows: at most one per (model, vocabulary id) -- bounded when the
+    # caller passes the vocabulary bound through ``ctx`` being materialised
+    return lm_ops.score(rows, lm, "V", alpha=alpha, ctx=ctx,
+                        ctx_bound=CTX_BOUND if ctx is not None else None)
 
 
 def _sizes(vocab: DataFrame, info: DataFrame | None) -> DataFrame:

@@ -27,22 +27,33 @@ from pyspark.sql import functions as F
 
 def exclusive_prefix_sum(df: DataFrame, keys: Sequence[str], block: str | Column,
                          order: Sequence[str], value: str, out: str = "before",
-                         total_out: str | None = None) -> DataFrame:
+                         total_out: str | None = None, block_fanout: int | None = None,
+                         _depth: int = 0) -> DataFrame:
     """Add ``out`` = sum of ``value`` over earlier rows of the same ``keys`` group.
 
     ``order`` must sort rows of one group in the intended order, and ``block``
-    must be non-decreasing along that order.
+    must be non-decreasing along that order.  The block table has one row per
+    block; when even that is too long for one task per group (billions of
+    documents), ``block_fanout`` (numeric blocks only) computes the block
+    offsets with the same scheme one level up, on super-blocks of
+    ``block_fanout`` blocks.
     """
     keys = list(keys)
-    blk = "__block"
+    blk = f"__block{_depth}"
     df = df.withColumn(blk, block if isinstance(block, Column) else F.col(block))
     totals = df.groupBy(*keys, blk).agg(F.sum(value).alias("__btotal"))
-    w_blocks = (Window.partitionBy(*keys).orderBy(blk)
-                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(
-        *keys, blk,
-        F.coalesce(F.sum("__btotal").over(w_blocks), F.lit(0)).alias("__boff"),
-    )
+    if block_fanout:
+        up = f"__up{_depth}"
+        offsets = exclusive_prefix_sum(
+            totals, keys, F.floor(F.col(blk) / F.lit(block_fanout)).cast("long"), [blk],
+            "__btotal", out=up, _depth=_depth + 1).select(*keys, blk, F.col(up).alias("__boff"))
+    else:
+        w_blocks = (Window.partitionBy(*keys).orderBy(blk)
+                    .rowsBetween(Window.unboundedPreceding, -1))
+        offsets = totals.select(
+            *keys, blk,
+            F.coalesce(F.sum("__btotal").over(w_blocks), F.lit(0)).alias("__boff"),
+        )
     w_in = (Window.partitionBy(*keys, blk).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, -1))
     inner = df.withColumn("__inoff", F.coalesce(F.sum(value).over(w_in), F.lit(0)))
