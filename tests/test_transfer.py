@@ -60,3 +60,27 @@ def test_fvt_copy_mean_unknown(spark):
     assert got[("ab", 0)] == ("copy", 1.0)          # shared: copied
     assert got[("ba", 0)] == ("mean", 1.0) and got[("ba", 1)] == ("mean", 2.0)   # mean of b, a
     assert got[("q", 0)] == ("mean", 9.0)           # unknown piece -> unknown vector
+
+
+def test_sharded_omp_matches_broadcast(spark):
+    from transvoc.operators.transfer import omp
+    rng = np.random.default_rng(4)
+    D = rng.normal(size=(30, 6))
+    D[[3, 17]] = D[5]                       # exact ties across shards
+    B = rng.normal(size=(30, 5))
+    anchors = spark.createDataFrame(
+        [(f"a{i}", i * 3 + 1, [float(x) for x in D[i]], [float(x) for x in B[i]]) for i in range(30)],
+        "token string, tgt_id int, donor array<float>, base array<float>")
+    Y = rng.normal(size=(12, 6))
+    Y[0] = D[5]
+    missing = spark.createDataFrame([(f"m{i}", 1000 + i, [float(x) for x in Y[i]]) for i in range(12)],
+                                    "token string, tgt_id int, donor array<float>")
+    a = {r["token"]: r for r in omp(missing, anchors, 3, 6).collect()}
+    from transvoc.operators.transfer import omp_sharded
+    b = {r["token"]: r for r in omp_sharded(missing, anchors, 3, shard_ids=20, token_batches=3).collect()}
+    assert a.keys() == b.keys()
+    for t in a:
+        assert list(a[t]["support"]) == list(b[t]["support"])
+        assert a[t]["coefs"] == pytest.approx(list(b[t]["coefs"]), abs=1e-9)
+        assert a[t]["residual"] == pytest.approx(b[t]["residual"], abs=1e-9)
+        assert a[t]["vec"] == pytest.approx(list(b[t]["vec"]), abs=1e-9)

@@ -73,10 +73,11 @@ def score(rows: DataFrame, lm: DataFrame, vocab_size, alpha: float = 0.1,
           ctx_bound: int | None = None, max_broadcast_rows: int = 5_000_000) -> DataFrame:
     """JOB-7: add-alpha bigram loss ``-ln((c + a) / (n + a V))`` per label row.
 
-    ``vocab_size`` is a number or the name of a column holding V.  Neither
-    join is hinted: the bigram table grows with the corpus, so AQE decides at
-    run time (broadcast when small, else sort-merge with skew splitting for
-    frequent bigrams); the context table has at most V rows per language.
+    ``vocab_size`` is a number or the name of a column holding V.  The
+    bigram table grows with the corpus and is not hinted: AQE decides at run
+    time (broadcast when small, else sort-merge with skew splitting for hot
+    bigrams such as unknown-unknown).  The context table has at most V rows
+    per model and is broadcast when the caller's ``ctx_bound`` allows it.
     """
     big = lm.select(F.col("lang").alias(model_col), F.col("prev").alias("prev_id"),
                     F.col("tok").alias("token_id"), F.col("n").alias("__c"))

@@ -139,3 +139,134 @@ def anchor_dictionary(anchors: DataFrame, dim: int,
         raise ValueError(f"{n} anchors x {dim} dims need {need} bytes, above the bound "
                          f"{max_dictionary_bytes}; lower the vocabulary or raise the bound")
     return anchors.orderBy("tgt_id").toPandas()
+
+
+# ---------------------------------------------------------------------------
+# OMP beyond the broadcast bound: the dictionary stays distributed.
+
+def omp_sharded(missing: DataFrame, anchors: DataFrame, k: int, tol: float = 1e-10,
+                shard_ids: int = 4096, token_batches: int = 16) -> DataFrame:
+    """JOB-5 without collecting the dictionary: same selection rule and output
+    as :func:`omp_transfer`.
+
+    Anchors are cut into shards by ``tgt_id div shard_ids`` (each shard holds
+    at most ``shard_ids`` anchors).  Each of the ``k`` steps is:
+
+    1. cogroup (token batch x shard): one matmul scores a batch's residuals
+       against a shard's anchors and keeps each token's best in that shard;
+    2. ``max_by`` over shards picks the global best (ties: lowest id);
+    3. the support's donor vectors (at most ``k`` per token) are joined back
+       and ``mapInPandas`` refits the least squares and the residual.
+
+    The state is written to the shared checkpoint folder after every step.
+    """
+    from transvoc.session import cut_lineage
+
+    spark = missing.sparkSession
+    anc = anchors.select("token", "tgt_id", "donor", "base").withColumn(
+        "shard", F.floor(F.col("tgt_id") / F.lit(shard_ids)).cast("long"))
+    anc = cut_lineage(anc, "omp_anchors")
+    n_shards = anc.agg(F.max("shard")).first()[0]
+    n_shards = 0 if n_shards is None else int(n_shards) + 1
+    batches = spark.range(token_batches).select(F.col("id").cast("int").alias("batch"))
+    # every shard once per token batch: shards x batches rows, both bounded
+    shard_rows = anc.select("shard", "tgt_id", "donor").crossJoin(F.broadcast(batches))
+
+    state = missing.select(
+        "token", "tgt_id", F.col("donor").cast("array<double>").alias("y"),
+        F.col("donor").cast("array<double>").alias("r"),
+        F.array().cast("array<int>").alias("support"),
+        F.array().cast("array<double>").alias("coefs"),
+        F.lit(False).alias("done"),
+        F.pmod(F.xxhash64("token"), F.lit(token_batches)).cast("int").alias("batch"))
+    state = cut_lineage(state, "omp_state")
+
+    best_schema = "token string, shard long, best_id int, score double"
+
+    def best_in_shard(toks: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        if toks.empty or shard.empty:
+            return pd.DataFrame(columns=["token", "shard", "best_id", "score"])
+        ids = shard["tgt_id"].to_numpy()
+        D = np.stack(shard["donor"].to_numpy()).astype(np.float64)
+        norms = np.linalg.norm(D, axis=1)
+        usable = norms > 0
+        R = np.stack(toks["r"].to_numpy()).astype(np.float64)
+        S = np.round(np.abs(R @ D.T) / np.where(usable, norms, 1.0), SCORE_DIGITS)
+        S[:, ~usable] = -1.0
+        for row, sup in enumerate(toks["support"]):
+            if len(sup):
+                S[row, np.isin(ids, np.asarray(sup))] = -1.0
+        order = np.argsort(ids, kind="stable")          # ties -> lowest id
+        S, ids = S[:, order], ids[order]
+        j = np.argmax(S, axis=1)
+        return pd.DataFrame({"token": toks["token"].to_numpy(),
+                             "shard": int(shard["shard"].iloc[0]),
+                             "best_id": ids[j].astype(np.int32),
+                             "score": S[np.arange(len(j)), j]})
+
+    refit_schema = ("token string, tgt_id int, y array<double>, r array<double>, "
+                    "support array<int>, coefs array<double>, done boolean, batch int")
+
+    def refit(batches_it):
+        for b in batches_it:
+            rs, cs, ds = [], [], []
+            for y, vecs, done in zip(b["y"], b["vecs"], b["done"]):
+                yv = np.asarray(y, dtype=np.float64)
+                A = np.stack([np.asarray(v, dtype=np.float64) for v in vecs]).T
+                c, *_ = np.linalg.lstsq(A, yv, rcond=None)
+                r = yv - A @ c
+                rs.append(r.tolist())
+                cs.append(c.tolist())
+                ds.append(bool(done) or np.linalg.norm(r) <= tol * max(1.0, np.linalg.norm(yv)))
+            yield pd.DataFrame({"token": b["token"], "tgt_id": b["tgt_id"], "y": b["y"], "r": rs,
+                                "support": b["support"], "coefs": cs, "done": ds,
+                                "batch": b["batch"]})
+
+    n_anchors = anc.filter(F.aggregate("donor", F.lit(0.0), lambda a, x: a + x * x) > 0).count()
+    for _ in range(min(k, n_anchors)):
+        active = state.filter(~F.col("done"))
+        if active.limit(1).count() == 0:
+            break
+        toks = active.select("token", "r", "support", "batch").crossJoin(
+            F.broadcast(spark.range(n_shards).select(F.col("id").alias("shard"))))
+        cand = toks.groupBy("batch", "shard").cogroup(shard_rows.groupBy("batch", "shard")) \
+            .applyInPandas(best_in_shard, best_schema)
+        pick = cand.filter(F.col("score") >= 0).groupBy("token").agg(
+            F.max_by("best_id", F.struct("score", (-F.col("best_id")).alias("neg"))).alias("pick"))
+        grown = (active.join(pick, "token")
+                 .withColumn("support", F.concat("support", F.array("pick"))).drop("pick"))
+        sup = grown.select("token", F.posexplode("support").alias("i", "tgt_id_s"))
+        vec = sup.join(anc.select(F.col("tgt_id").alias("tgt_id_s"), "donor"), "tgt_id_s")
+        vecs = vec.groupBy("token").agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("i", "donor"))), lambda x: x["donor"]).alias("vecs"))
+        refitted = grown.join(vecs, "token").mapInPandas(refit, refit_schema)
+        state = cut_lineage(state.filter(F.col("done")).unionByName(refitted), "omp_state")
+
+    # apply the coefficients to the anchors' base vectors
+    terms = state.select("token", "tgt_id", "r", F.posexplode(
+        F.arrays_zip(F.col("support").alias("sid"), F.col("coefs").alias("c"))).alias("i", "t"))
+    base = anc.select(F.col("tgt_id").alias("sid"), "base", F.col("token").alias("anchor"))
+    terms = terms.join(base, terms["t.sid"] == base["sid"])
+    dims = terms.select("token", "tgt_id", "i", "anchor", F.col("t.c").alias("c"),
+                        F.posexplode("base").alias("d", "b"))
+    vec = dims.groupBy("token", "tgt_id", "d").agg(F.sum(F.col("c") * F.col("b")).alias("v"))
+    vec = vec.groupBy("token", "tgt_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("vec"))
+    names = dims.select("token", "i", "anchor").distinct().groupBy("token").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", "anchor"))), lambda x: x["anchor"]).alias("support"))
+    resid = state.select("token", "tgt_id", "coefs", F.sqrt(
+        F.aggregate("r", F.lit(0.0), lambda a, x: a + x * x)).alias("residual"))
+    return (resid.join(names, "token", "left").join(vec, ["token", "tgt_id"], "left")
+            .select("token", "tgt_id", "support", "coefs", "residual", "vec"))
+
+
+def omp(missing: DataFrame, anchors: DataFrame, k: int, dim: int, tol: float = 1e-10,
+        max_dictionary_bytes: int = MAX_DICTIONARY_BYTES) -> DataFrame:
+    """JOB-5 entry point: broadcast the anchor dictionary when its size is
+    within ``max_dictionary_bytes`` (checked on the count), otherwise run the
+    sharded plan, which gives the same result."""
+    n = anchors.count()
+    if n * dim * 8 * 2 <= max_dictionary_bytes:
+        return omp_transfer(missing, anchors.orderBy("tgt_id").toPandas(), k, tol,
+                            max_dictionary_bytes)
+    return omp_sharded(missing, anchors, k, tol)

@@ -122,8 +122,7 @@ def omp_k1(spark, sf_dir):
     """JOB-5 with k = 1: each missing target token takes the anchor with the
     largest normalised correlation (ties: lowest anchor id)."""
     dictionary, missing = _omp_inputs(spark, sf_dir)
-    anchors = TR.anchor_dictionary(dictionary, tb.EMB_HALF)
-    res = TR.omp_transfer(missing, anchors, k=1)
+    res = TR.omp(missing, dictionary, 1, tb.EMB_HALF)
     return finish(res.select("token", "tgt_id", F.element_at("support", 1).alias("anchor"),
                              F.element_at("coefs", 1).alias("coef"),
                              F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("new_sum")))
@@ -134,8 +133,7 @@ def omp_k8(spark, sf_dir):
     """JOB-5 with k = 8 (no SQL form: iterative least squares); checked by
     the NumPy reference in the tests."""
     dictionary, missing = _omp_inputs(spark, sf_dir)
-    anchors = TR.anchor_dictionary(dictionary, tb.EMB_HALF)
-    res = TR.omp_transfer(missing, anchors, k=tb.OMP_K)
+    res = TR.omp(missing, dictionary, tb.OMP_K, tb.EMB_HALF)
     return finish(res.select("token", "tgt_id", F.size("support").cast("long").alias("n_support"),
                              F.array_join("support", ",").alias("support"), "residual",
                              F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("new_sum")))
