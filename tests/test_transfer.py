@@ -84,3 +84,34 @@ def test_sharded_omp_matches_broadcast(spark):
         assert a[t]["coefs"] == pytest.approx(list(b[t]["coefs"]), abs=1e-9)
         assert a[t]["residual"] == pytest.approx(b[t]["residual"], abs=1e-9)
         assert a[t]["vec"] == pytest.approx(list(b[t]["vec"]), abs=1e-9)
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_omp_k8_query_against_numpy(spark):
+    """The registered query vs a plain NumPy OMP over the same inputs."""
+    from transvoc import testbed as tb
+    from transvoc.queries import transfer as Q
+    d = "/root/testdata/sf0.001"
+    tb.reset_scope()
+    dictionary, missing = Q._omp_inputs(spark, d)
+    A = dictionary.orderBy("tgt_id").toPandas()
+    M = missing.toPandas()
+    tb.reset_scope()
+    got = {r["token"]: r for r in Q.omp_k8(spark, d).collect()}
+    D = np.stack(A["donor"].to_numpy()).astype(float)
+    Bm = np.stack(A["base"].to_numpy()).astype(float)
+    for tok, y in zip(M["token"], M["donor"]):
+        y = np.asarray(y, dtype=float)
+        chosen, r = [], y.copy()
+        for _ in range(min(tb.OMP_K, len(D))):
+            sc = [(-1.0 if i in chosen else round(abs(D[i] @ r) / np.linalg.norm(D[i]), 12), -i)
+                  for i in range(len(D))]
+            chosen.append(-max(sc)[1])
+            c, *_ = np.linalg.lstsq(D[chosen].T, y, rcond=None)
+            r = y - D[chosen].T @ c
+            if np.linalg.norm(r) <= 1e-10 * max(1.0, np.linalg.norm(y)):
+                break
+        row = got[tok]
+        assert row["n_support"] == len(chosen)
+        assert row["residual"] == pytest.approx(float(np.linalg.norm(r)), abs=1e-6)
+        assert row["new_sum"] == pytest.approx(float((Bm[chosen].T @ c).sum()), abs=1e-6)
