@@ -118,11 +118,63 @@ def regroup(long_rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("
         F.transform(F.array_sort(F.collect_list(st)), lambda s: s["__v"]).alias(out))
 
 
+MAX_PIECE_DICT_ENTRIES = 2_000_000
+
+
 def greedy_pieces(words_df: DataFrame, pieces: DataFrame, max_piece: int = 24,
+                  known_entries: int | None = None,
+                  max_broadcast_entries: int = MAX_BROADCAST_ENTRIES,
+                  unk: int = UNK_ID, engine: str = "auto") -> DataFrame:
+    """JOB-1 greedy mode over distinct ``(vocab_lang, word)`` rows; adds ``ids``.
+
+    ``engine='arrow'`` ships the piece vocabulary (a model artifact, checked
+    against ``MAX_PIECE_DICT_ENTRIES``) to the executors and walks each word
+    in an Arrow-batched ``mapInPandas`` helper; ``engine='join'`` is the pure
+    DataFrame plan for vocabularies of any size.  ``auto`` picks by the
+    counted size.  Both give the same pieces (tested).
+    """
+    if engine == "auto":
+        n = known_entries if known_entries is not None else pieces.count()
+        engine = "arrow" if n <= MAX_PIECE_DICT_ENTRIES else "join"
+    if engine == "join":
+        return greedy_pieces_join(words_df, pieces, max_piece, known_entries,
+                                  max_broadcast_entries, unk)
+    table: dict[str, dict[str, int]] = {}
+    for r in pieces.select("lang", "token", "id").toLocalIterator():
+        table.setdefault(r["lang"], {})[r["token"]] = int(r["id"])
+    bc = words_df.sparkSession.sparkContext.broadcast(table)
+    w = spread(words_df.select("vocab_lang", "word").distinct(), "vocab_lang", "word")
+
+    def walk(word: str, vocab: dict[str, int]) -> list[int]:
+        i, out, n = 0, [], len(word)
+        while i < n:
+            for l in range(min(max_piece, n - i), 0, -1):
+                t = vocab.get(word[i:i + l])
+                if t is not None:
+                    out.append(t)
+                    i += l
+                    break
+            else:
+                out.append(unk)
+                i += 1
+        return out
+
+    def run(batches):
+        tab = bc.value
+        for b in batches:
+            b = b.copy()
+            b["ids"] = [walk(wd, tab.get(vl, {})) for vl, wd in zip(b["vocab_lang"], b["word"])]
+            yield b
+
+    return w.mapInPandas(run, "vocab_lang string, word string, ids array<int>")
+
+
+def greedy_pieces_join(words_df: DataFrame, pieces: DataFrame, max_piece: int = 24,
                   known_entries: int | None = None,
                   max_broadcast_entries: int = MAX_BROADCAST_ENTRIES,
                   unk: int = UNK_ID) -> DataFrame:
-    """Greedy longest-match pieces of distinct ``(vocab_lang, word)`` rows.
+    """Greedy longest-match pieces of distinct ``(vocab_lang, word)`` rows,
+    as a pure DataFrame plan (no size limit on the piece vocabulary).
 
     Candidates are all substrings of at most ``max_piece`` characters; they
     are hash-joined to the piece vocabulary, the hits of a word are gathered
