@@ -196,13 +196,13 @@ SELECT * FROM (PIVOT c ON pair USING max(v) GROUP BY {side}, regime, method, lab
 @register("report_pivot_src", _pivot_sql("src_lang", _pair_ok(T)))
 def report_pivot_src(spark, sf_dir):
     """AGG-11 / SRT-4: per-source pivot of summed bits per byte."""
-    return finish(R.pivot_by_source(tb.metrics(spark, sf_dir)))
+    return finish(R.pivot_by_source(tb.metrics(spark, sf_dir), values=tb.pair_list(spark, sf_dir)))
 
 
 @register("report_pivot_tgt", _pivot_sql("tgt_lang", _ok("tgt", T)))
 def report_pivot_tgt(spark, sf_dir):
     """AGG-12: per-target pivot, gated by the target side only."""
-    return finish(R.pivot_by_target(tb.metrics(spark, sf_dir)))
+    return finish(R.pivot_by_target(tb.metrics(spark, sf_dir), values=tb.pair_list(spark, sf_dir)))
 
 
 MED_SQL = O.with_ctes(["metrics"], f"""
@@ -217,7 +217,7 @@ SELECT * FROM (PIVOT (SELECT label, regime, method, col, round(m, 6) AS m FROM p
                ON col USING max(m) GROUP BY label, regime, method)""")
 def language_medians(spark, sf_dir):
     """AGG-13 / FN-9: median of each per-source pivot row, languages as columns."""
-    return finish(R.language_medians(tb.metrics(spark, sf_dir)))
+    return finish(R.language_medians(tb.metrics(spark, sf_dir), langs=tb.lang_list(spark, sf_dir)))
 
 
 @register("report_ranked", TARGET_SQL + """
@@ -253,7 +253,7 @@ ORDER BY round(m + sign(m) * 1e-9, 3), label, col LIMIT 1""")
 def report_best_cell(spark, sf_dir):
     """SRT-3: the one best cell of the language-median table (first in
     row-major order on ties)."""
-    med = R.language_medians(tb.metrics(spark, sf_dir))
+    med = R.language_medians(tb.metrics(spark, sf_dir), langs=tb.lang_list(spark, sf_dir))
     cols = [c for c in med.columns if c not in ("label", "regime", "method")]
     return finish(R.best_cell(med, "label", sorted(cols)))
 

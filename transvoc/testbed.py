@@ -188,6 +188,20 @@ def languages(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "documents").select("lang").distinct()
 
 
+def lang_list(spark, sf_dir) -> list[str]:
+    """Sorted language codes (bounded metadata; the scan reads one column)."""
+    rows = languages(spark, sf_dir).collect()
+    if len(rows) > N_LANG_BOUND:
+        raise ValueError(f"{len(rows)} languages exceed {N_LANG_BOUND}")
+    return sorted(r["lang"] for r in rows)
+
+
+def pair_list(spark, sf_dir) -> list[str]:
+    """Pivot columns ``SRC-TGT`` of every ordered language pair, sorted."""
+    ls = lang_list(spark, sf_dir)
+    return sorted(f"{a[:3].upper()}-{b[:3].upper()}" for a in ls for b in ls if a != b)
+
+
 def mapping(spark, sf_dir) -> DataFrame:
     from transvoc.plans.experiment import language_mapping
     return language_mapping(languages(spark, sf_dir), datadir=DATADIR, model_prefix=MODEL_PREFIX)
