@@ -68,3 +68,29 @@ def test_strip_file_edges_on_rows(spark):
     df = spark.createDataFrame(rows, "file string, line_no int, raw string")
     got = [r["line"] for r in strip_file_edges(df, ["file"]).orderBy("line_no").collect()]
     assert got == "\n".join(r[2] for r in rows).strip().split("\n")
+
+
+def test_read_mcq_coerces_and_checks_count(spark, tmp_dir):
+    import json
+
+    import pytest
+
+    from transvoc.sources.mcq import read_mcq
+    items = [{"flores_passage": "p", "question": "q", "mc_answer1": "a", "mc_answer2": "b",
+              "mc_answer3": "c", "mc_answer4": "d", "correct_answer_num": v}
+             for v in (2, "3", "1")]
+    with open(os.path.join(tmp_dir, "items.jsonl"), "w") as f:
+        f.write("\n".join(json.dumps(x) for x in items) + "\n")
+    got = read_mcq(spark, tmp_dir, expect=3).orderBy("item_id").collect()
+    assert [r["correct"] for r in got] == [2, 3, 1]
+    assert [r["item_id"] for r in got] == [0, 1, 2]
+    assert list(got[0]["answers"]) == ["a", "b", "c", "d"]
+    with pytest.raises(ValueError, match="expected 900"):
+        read_mcq(spark, tmp_dir, expect=900)
+
+
+def test_format_stat_and_missing(spark):
+    from transvoc.operators.report import format_stat
+    df = spark.createDataFrame([(1.23456, 0.5), (None, None)], "m double, s double")
+    got = [r[0] for r in df.select(format_stat("m", "s")).collect()]
+    assert got == ["1.235 (std=0.500)", "N/A"]

@@ -200,6 +200,16 @@ def round_half_up(col, digits: int) -> Column:
     return F.round(c + F.signum(c) * F.lit(1e-9), digits)
 
 
+def format_stat(median_col, std_col=None, digits: int = 3):
+    """FN-7 display text: ``"m (std=s)"`` or ``"m"``; NULL shows as ``N/A``.
+    Presentation only - comparisons use the numeric columns."""
+    m = F.format_number(round_half_up(median_col, digits), digits)
+    text = m if std_col is None else F.concat(
+        m, F.lit(" (std="), F.format_number(round_half_up(std_col, digits), digits), F.lit(")"))
+    c = F.col(median_col) if isinstance(median_col, str) else median_col
+    return F.when(c.isNull(), F.lit("N/A")).otherwise(F.regexp_replace(text, ",", ""))
+
+
 def rank_report(table: DataFrame, best_min: Sequence[str] = (), best_max: Sequence[str] = (),
                 digits: int = 3, baselines: Sequence[str] = BASELINES) -> DataFrame:
     """SRT-1 / SRT-2: baselines first, then the rest, both in original order

@@ -104,6 +104,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def for_source(manifest: DataFrame, lang: str) -> DataFrame:
+    """FLT-1: manifest rows of one source language."""
+    return manifest.filter(F.col("src_lang") == lang)
+
+
 def finetune_plan(manifest: DataFrame, existing: DataFrame | None = None,
                   overwrite: bool = False,
                   regimes: Sequence[tuple[str, bool]] = (("mono-finetuning", False),

@@ -15,6 +15,8 @@ from transvoc.operators import metrics
 from transvoc.operators.tokenize import (encode, encode_long, greedy_pieces, token_rows,
                                          tokenize_with, with_vocab_langs)
 from transvoc.operators.vocab import CLS_ID, UNK_ID
+from transvoc.session import scratch_path
+from transvoc.sources.mcq import read_mcq, write_mcq
 
 # ---------------------------------------------------------------- norm_ppl
 
@@ -267,10 +269,15 @@ GROUP BY x.vocab_lang, x.item_id, x.correct, x.opt""")
 SELECT item_id, passage, question, array_to_string(answers, ' || ') AS answers,
        CAST(correct AS BIGINT) AS correct FROM mcq"""))
 def mcq_items(spark, sf_dir):
-    """SRC-4: multiple-choice items with their four answers."""
+    """SRC-4: items written as JSONL (the multiple-choice file format) and
+    read back with the exact-cardinality check."""
     m = tb.mcq(spark, sf_dir)
-    return finish(m.select("item_id", "passage", "question",
-                           F.array_join("answers", " || ").alias("answers"), "correct"))
+    path = scratch_path(spark, "mcq_jsonl")
+    write_mcq(m, path)
+    n = tb.read(spark, sf_dir, "benchmark").count()
+    back = read_mcq(spark, path, expect=n)
+    return finish(back.select("item_id", "passage", "question",
+                              F.array_join("answers", " || ").alias("answers"), "correct"))
 
 
 @register("mcq_accuracy", O.with_ctes(["mcq_scored"], """
