@@ -202,8 +202,10 @@ def evaluate_mcq(mcq: DataFrame, vocab: DataFrame, lm: DataFrame, mode: str = "w
     tl = _scored(rows, lm, alpha, scorer, ctx)
     opt_loss = tl.groupBy("vocab_lang", "item_id", "correct", "opt").agg(
         F.sum("loss_nats").alias("loss"))
+    # losses are compared at 9 decimals: float summation order must not
+    # break an exact tie, which goes to the lowest option index
     picked = opt_loss.groupBy("vocab_lang", "item_id", "correct").agg(
-        F.min_by("opt", F.struct("loss", "opt")).alias("pred"))
+        F.min_by("opt", F.struct(F.round("loss", 9), "opt")).alias("pred"))
     return picked.groupBy("vocab_lang").agg(
         F.avg(((F.col("pred") + 1) == F.col("correct")).cast("double")).alias("accuracy"),
         F.count(F.lit(1)).cast("long").alias("n_items"))

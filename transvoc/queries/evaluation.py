@@ -283,7 +283,7 @@ def mcq_items(spark, sf_dir):
 @register("mcq_accuracy", O.with_ctes(["mcq_scored"], """
 SELECT vocab_lang, round(avg(CASE WHEN opt + 1 = correct THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
        CAST(count(*) AS BIGINT) AS n_items
-FROM (SELECT *, row_number() OVER (PARTITION BY vocab_lang, item_id ORDER BY loss, opt) AS rk
+FROM (SELECT *, row_number() OVER (PARTITION BY vocab_lang, item_id ORDER BY round(loss, 9), opt) AS rk
       FROM mcq_scored) WHERE rk = 1
 GROUP BY vocab_lang"""))
 def mcq_accuracy(spark, sf_dir):
