@@ -75,14 +75,19 @@ def with_vocab_langs(lines: DataFrame, vocab: DataFrame, pairs,
 def token_rows(lines: DataFrame, keys: Sequence[str], line_col: str = "line") -> DataFrame:
     """``(keys..., pos, token, prev_token)``; ``prev_token`` is NULL at pos 0.
 
-    The triples are built by one ``transform`` over the word array and then
-    exploded, so an exploded row never carries its line's whole array.
+    The word array is zipped with itself shifted by one and exploded, so an
+    exploded row never carries its line's whole array and the expressions
+    stay inside whole-stage codegen (no lambda functions).
     """
     ws = "__ws"
-    trip = F.expr(f"transform({ws}, (_w, _i) -> named_struct('pos', _i, 'token', _w, "
-                  f"'prev_token', if(_i > 0, {ws}[_i - 1], cast(null as string))))")
-    return (lines.select(*keys, words_col(line_col).alias(ws))
-            .select(*keys, F.inline(trip)))
+    base = lines.select(*keys, words_col(line_col).alias(ws))
+    prev = F.concat(F.array(F.lit(None).cast("string")),
+                    F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))))
+    zipped = F.arrays_zip(F.col(ws).alias("token"), prev.alias("prev_token"))
+    # arrays_zip pads to the longer input: an empty line yields one NULL token
+    return (base.select(*keys, F.posexplode(zipped).alias("pos", "__z"))
+            .select(*keys, "pos", "__z.token", "__z.prev_token")
+            .filter(F.col("token").isNotNull()))
 
 
 def encode_long(lines: DataFrame, vocab: DataFrame, pairs="same",
@@ -115,7 +120,7 @@ def regroup(long_rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("
     """Long rows back to one ordered ``array<int>`` per ``keys`` (one shuffle)."""
     st = F.struct(*[F.col(o) for o in order], F.col(value).alias("__v"))
     return long_rows.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(st)), lambda s: s["__v"]).alias(out))
+        F.array_sort(F.collect_list(st)).getField("__v").alias(out))
 
 
 MAX_PIECE_DICT_ENTRIES = 2_000_000
