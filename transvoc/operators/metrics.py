@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from transvoc.functions.text import byte_len, first_half, is_blank, join_prompt, second_half
 from transvoc.operators import lm as lm_ops
 from transvoc.operators.tokenize import encode, encode_long, with_vocab_langs, words_col
-from transvoc.operators.vocab import CLS_ID, PAD_ID, UNK_ID
+from transvoc.operators.vocab import PAD_ID, UNK_ID
 
 LN2 = math.log(2.0)
 CTX_BOUND = 64 * 4_096   # languages x vocabulary ids for which context counts are broadcast
