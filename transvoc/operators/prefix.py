@@ -25,10 +25,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def block_offsets(df: DataFrame, keys: Sequence[str], block: str | Column, value: str,
+                  block_fanout: int | None = None) -> DataFrame:
+    """The small block table ``(keys..., __block0, __btotal, __boff)``: one row
+    per block with the sum of ``value`` over all earlier blocks of the group.
+    Callers may write it once and pass it to :func:`exclusive_prefix_sum`."""
+    keys = list(keys)
+    b = df.withColumn("__block0", block if isinstance(block, Column) else F.col(block))
+    totals = b.groupBy(*keys, "__block0").agg(F.sum(value).alias("__btotal"))
+    if block_fanout:
+        up = exclusive_prefix_sum(totals, keys,
+                                  F.floor(F.col("__block0") / F.lit(block_fanout)).cast("long"),
+                                  ["__block0"], "__btotal", out="__up", _depth=1)
+        return up.withColumnRenamed("__up", "__boff")
+    w = (Window.partitionBy(*keys).orderBy("__block0")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    return totals.withColumn("__boff", F.coalesce(F.sum("__btotal").over(w), F.lit(0)))
+
+
 def exclusive_prefix_sum(df: DataFrame, keys: Sequence[str], block: str | Column,
                          order: Sequence[str], value: str, out: str = "before",
                          total_out: str | None = None, block_fanout: int | None = None,
-                         _depth: int = 0) -> DataFrame:
+                         _depth: int = 0, offsets: DataFrame | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over earlier rows of the same ``keys`` group.
 
     ``order`` must sort rows of one group in the intended order, and ``block``
@@ -42,7 +60,10 @@ def exclusive_prefix_sum(df: DataFrame, keys: Sequence[str], block: str | Column
     blk = f"__block{_depth}"
     df = df.withColumn(blk, block if isinstance(block, Column) else F.col(block))
     totals = df.groupBy(*keys, blk).agg(F.sum(value).alias("__btotal"))
-    if block_fanout:
+    if offsets is not None:
+        # precomputed by block_offsets (depth 0): no second pass for totals
+        offsets = offsets.select(*keys, F.col("__block0").alias(blk), "__boff")
+    elif block_fanout:
         up = f"__up{_depth}"
         offsets = exclusive_prefix_sum(
             totals, keys, F.floor(F.col(blk) / F.lit(block_fanout)).cast("long"), [blk],

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transvoc.functions.text import byte_len
-from transvoc.operators.prefix import doc_block, exclusive_prefix_sum
+from transvoc.operators.prefix import block_offsets, doc_block, exclusive_prefix_sum
+from transvoc.session import cut_lineage
 
 # Byte premiums per language code.  ``en`` and ``de`` are the
 # published premiums (1.00 and 1.053648018); ``es`` and ``fr`` are our own.
@@ -46,23 +47,70 @@ def with_premium(lines: DataFrame, premium: DataFrame) -> DataFrame:
 
 def byte_budget_split(lines: DataFrame, premium: DataFrame, train_bytes: float = 1e7,
                       valid_bytes: float = 1e6, order: Sequence[str] = ("doc_id", "line_no"),
-                      docs_per_block: int = 256) -> DataFrame:
+                      docs_per_block: int = 256, block_fanout: int | None = None) -> DataFrame:
     """WIN-1/WIN-2: label each line ``train`` or ``valid``; other lines are dropped.
 
-    ``lines`` needs ``lang``, the ``order`` columns (first one used for blocks)
-    and ``line``.  Output adds ``bytes``, ``before`` and ``split``.
+    ``lines`` needs ``lang``, the ``order`` columns (the first one, a document
+    id, defines blocks) and ``line``.  Output adds ``bytes``, ``before`` and
+    ``split``.
+
+    Passes over the corpus: (1) block totals -> the small block-offset table,
+    written once; (2) the lines of each language's *crossing* block only (a
+    range filter on the document id, which parquet row-group statistics can
+    prune) -> the exact bytes that went to train; (3) the line offsets and the
+    labels.  The train total per language is metadata (one value per language).
     """
     order = list(order)
-    df = with_premium(lines, premium).withColumn("bytes", byte_len("line"))
-    df = exclusive_prefix_sum(df, ["lang"], doc_block(order[0], docs_per_block), order,
-                              "bytes", out="before")
-    df = (df.withColumn("t_budget", F.col("factor") * F.lit(float(train_bytes)))
-            .withColumn("v_budget", F.col("factor") * F.lit(float(valid_bytes))))
+    B = int(docs_per_block)
+    df = lines.withColumn("bytes", byte_len("line"))
+    blk = doc_block(order[0], B)
+    offs = cut_lineage(block_offsets(df, ["lang"], blk, "bytes", block_fanout), "sample_blocks")
+    budgets = {r["lang"]: (float(r["factor"]) * float(train_bytes), float(r["factor"]) * float(valid_bytes))
+               for r in premium.collect()}
+    tb = df.sparkSession.createDataFrame([(k, v[0]) for k, v in budgets.items()],
+                                         "lang string, __t double")
+    # JN-3 on the block table (every language appears there): one small job
+    # finds missing premiums and each language's crossing block
+    o = offs.join(F.broadcast(tb), "lang", "left")
+    cross = {r["lang"]: r for r in o.groupBy("lang").agg(
+        F.max(F.col("__t").isNull().cast("int")).alias("missing"),
+        F.max(F.when(F.col("__boff") <= F.col("__t"), F.col("__block0"))).alias("c"),
+        F.max(F.when(F.col("__boff") <= F.col("__t"), F.struct("__block0", "__boff")))
+        .getField("__boff").alias("c_off"),
+        F.min(F.when(F.col("__boff") > F.col("__t"), F.col("__boff"))).alias("next_off"),
+    ).collect()}
+    missing = sorted(k for k, r in cross.items() if r["missing"])
+    if missing:
+        raise KeyError(f"no byte premium for language(s): {missing}")
+    totals: dict[str, int | None] = {}
+    conds = []
+    for lang, r in cross.items():
+        totals[lang] = r["next_off"]
+        if r["c"] is not None:
+            lo, hi = int(r["c"]) * B, (int(r["c"]) + 1) * B
+            conds.append((F.col("lang") == lang) & (F.col(order[0]) >= lo) & (F.col(order[0]) < hi))
+    if conds:
+        cond = conds[0]
+        for c in conds[1:]:
+            cond = cond | c
+        w = Window.partitionBy("lang").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        coff = df.sparkSession.createDataFrame(
+            [(k, int(r["c_off"])) for k, r in cross.items() if r["c"] is not None],
+            "lang string, __coff long")
+        inner = (df.filter(cond).withColumn("__in", F.coalesce(F.sum("bytes").over(w), F.lit(0)))
+                 .join(F.broadcast(coff), "lang").join(F.broadcast(tb), "lang")
+                 .withColumn("__before", F.col("__coff") + F.col("__in")))
+        for r in (inner.filter(F.col("__before") > F.col("__t")).groupBy("lang")
+                  .agg(F.min("__before").alias("m")).collect()):
+            prev = totals.get(r["lang"])
+            totals[r["lang"]] = r["m"] if prev is None else min(prev, r["m"])
+    rows = [(k, budgets[k][0], budgets[k][1], None if totals.get(k) is None else int(totals[k]))
+            for k in budgets]
+    meta = df.sparkSession.createDataFrame(
+        rows, "lang string, t_budget double, v_budget double, train_total long")
+    out = exclusive_prefix_sum(df, ["lang"], blk, order, "bytes", out="before", offsets=offs)
+    out = out.join(F.broadcast(meta), "lang")
     is_train = F.col("before") <= F.col("t_budget")
-    # Bytes that went to train = ``before`` of the first line that did not.
-    train_total = (df.filter(~is_train).groupBy("lang")
-                   .agg(F.min("before").alias("train_total")))
-    out = df.join(F.broadcast(train_total), "lang", "left")
     split = (F.when(is_train, F.lit("train"))
              .when(F.col("before") - F.col("train_total") <= F.col("v_budget"), F.lit("valid")))
     return (out.withColumn("split", split).filter(F.col("split").isNotNull())
