@@ -43,3 +43,22 @@ def test_pairs_routing_and_filters(spark):
 def test_read_min_pairs_by_three_letter_code(spark):
     df = spark.createDataFrame([("eng_latn", "a"), ("deu_latn", "b")], "lang string, sen string")
     assert [r["sen"] for r in read_min_pairs(df, "eng_Latn".lower()).collect()] == ["a"]
+
+
+def test_read_manifest_folder_layout(spark, tmp_dir):
+    import json
+    import os
+    info = {"src_lang": "aa", "tgt_lang": "bb", "src_model": "m/aa_100mb", "tgt_model": "m/bb_10mb",
+            "src_finetune_data": {"train": "t/aa.txt", "valid": "v/aa.txt"},
+            "tgt_finetune_data": {"train": "t/bb.txt", "valid": "v/bb.txt"},
+            "method": "fvt", "finetuned": False}
+    for model, doc in (("aa-bb-fvt", info), ("aa-bb-omp", {**info, "method": "omp", "finetuned": True})):
+        os.makedirs(os.path.join(tmp_dir, model))
+        with open(os.path.join(tmp_dir, model, "transfer_info.json"), "w") as f:
+            json.dump(doc, f, indent=2)
+    os.makedirs(os.path.join(tmp_dir, "no-manifest"))
+    with open(os.path.join(tmp_dir, "no-manifest", "config.json"), "w") as f:
+        f.write("{}")
+    got = {r["model"]: (r["method"], r["finetuned"], r["tgt_finetune_data"]["train"])
+           for r in X.read_manifest(spark, tmp_dir, layout="folders").collect()}
+    assert got == {"aa-bb-fvt": ("fvt", False, "t/bb.txt"), "aa-bb-omp": ("omp", True, "t/bb.txt")}

@@ -97,11 +97,25 @@ def manifest_rows(plan: DataFrame) -> DataFrame:
     return base.unionByName(tuned)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-7: one JSON per model folder; folders without one simply do not
-    appear.  The model name comes from the folder (``model=<name>``)."""
-    schema = T.StructType([*MANIFEST_SCHEMA.fields, T.StructField("model", T.StringType())])
-    return spark.read.schema(schema).json(path)
+def read_manifest(spark: SparkSession, path: str, layout: str = "partitioned",
+                  file_name: str = "transfer_info.json") -> DataFrame:
+    """SRC-7: one JSON document per model folder; folders without one simply
+    do not appear.
+
+    ``layout='partitioned'`` reads what :func:`write_manifest` writes
+    (``model=<name>/part-*.json``).  ``layout='folders'`` reads
+    ``<model>/<file_name>`` trees (each file is one JSON object, possibly
+    pretty-printed); the model name is the parent folder of the file.
+    """
+    if layout == "partitioned":
+        schema = T.StructType([*MANIFEST_SCHEMA.fields, T.StructField("model", T.StringType())])
+        return spark.read.schema(schema).json(path)
+    if layout != "folders":
+        raise ValueError(f"unknown manifest layout {layout!r}")
+    df = (spark.read.schema(MANIFEST_SCHEMA).option("multiLine", "true")
+          .option("recursiveFileLookup", "true").option("pathGlobFilter", file_name).json(path))
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return df.select(*[f.name for f in MANIFEST_SCHEMA.fields], folder.alias("model"))
 
 
 def for_source(manifest: DataFrame, lang: str) -> DataFrame:
