@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transvoc.llm import bpe, langid
+from transvoc.llm import bpe, fingerprint, langid, mix, secret_scan
+from transvoc.llm.words import n_words
 from transvoc.session import table_path
 
 #: Fixed value: the vocabulary file of the tokenizer queries.
@@ -41,8 +42,39 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 3, 1, 2, ... by source, half as many words again as there are."""
+    sized = read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return mix.mix(sized, size=F.col("size")).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, each distinct text scanned once."""
+    found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long")
+    spans = secret_scan.spans_text(F.col("findings"))
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
+                        count("hex").alias("n_hex"), F.sha2(spans, 256).alias("base_sha256"),
+                        spans.alias("spans"), "blob")
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and what they tell of likeness."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    own, other, edited = F.col("sketch"), F.col("next.sketch"), F.col("edited_sketch")
+    rows = (fingerprint.with_next(docs, {"sketch": fingerprint.sketch(F.col("text"))})
+            .withColumn("edited", fingerprint.replace_tail(F.col("text"), F.col("next.text")))
+            .withColumn("edited_sketch", fingerprint.sketch(F.col("edited"))))
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_text(own).alias("fingerprint"), fingerprint.as_text(edited).alias("edited_fingerprint"),
+        fingerprint.resemblance(own, edited).alias("near_edited"),
+        fingerprint.resemblance(own, other).alias("near_next"),
+        fingerprint.distinct_count(own).alias("n_distinct"),
+        fingerprint.containment(own, edited).alias("kept_in_edited"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_language_id": op1_language_id,
-    "op2_byte_bpe": op2_byte_bpe,
-}
+    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_mix_sources, op5_secret_scan, op10_fingerprint)}
 ORACLES: dict[str, str] = {}
