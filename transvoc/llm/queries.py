@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transvoc.llm import bpe, fingerprint, langid, mix, secret_scan
+from transvoc.llm import bpe, fingerprint, langid, mix, near_dedup, secret_scan
 from transvoc.llm.words import n_words
 from transvoc.session import table_path
 
@@ -49,6 +49,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, each distinct text scanned once."""
     found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -76,5 +82,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_mix_sources, op5_secret_scan, op10_fingerprint)}
+    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_mix_sources, op4_near_dedup, op5_secret_scan, op10_fingerprint)}
 ORACLES: dict[str, str] = {}
