@@ -12,9 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transvoc.llm import bpe, fingerprint, langid, mix, near_dedup, secret_scan
+from transvoc.llm import bpe, fingerprint, html_text, langid, mix, near_dedup, quality, secret_scan
 from transvoc.llm.words import n_words
-from transvoc.session import table_path
+from transvoc.session import cut_lineage, table_path
 
 #: Fixed value: the vocabulary file of the tokenizer queries.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -65,6 +65,20 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         spans.alias("spans"), "blob")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every document, with cutoffs learned from the labelled ones."""
+    measured = cut_lineage(quality.features(read(spark, sf_dir, "documents")), "quality-features")
+    cutoffs = quality.calibrate(measured, read(spark, sf_dir, "labels"))
+    return quality.judged(measured, cutoffs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("rejected_by", ", ").alias("rejected_by"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, and what they tell of likeness."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,5 +96,6 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_mix_sources, op4_near_dedup, op5_secret_scan, op10_fingerprint)}
+    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_mix_sources, op4_near_dedup, op5_secret_scan,
+                             op7_quality_rules, op9_html_text, op10_fingerprint)}
 ORACLES: dict[str, str] = {}
