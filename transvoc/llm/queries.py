@@ -12,12 +12,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transvoc.llm import bpe, fingerprint, html_text, langid, mix, near_dedup, quality, secret_scan
+from transvoc.llm import bpe, fingerprint, html_text, langid, mix, near_dedup, pii, quality, secret_scan, warc
 from transvoc.llm.words import n_words
 from transvoc.session import cut_lineage, table_path
 
 #: Fixed value: the vocabulary file of the tokenizer queries.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The queries' key for surrogates; a real run passes a secret one.
+PII_KEY = b"documented test key"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +67,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         spans.alias("spans"), "blob")
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page's response."""
+    return warc.derive(warc.as_responses(read(spark, sf_dir, "pages")), keep=("page_id",))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on every document, with cutoffs learned from the labelled ones."""
     measured = cut_lineage(quality.features(read(spark, sf_dir, "documents")), "quality-features")
@@ -74,6 +81,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("rejected_by", ", ").alias("rejected_by"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for the personal data in it."""
+    return pii.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
@@ -95,7 +107,8 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.containment(own, edited).alias("kept_in_edited"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_mix_sources, op4_near_dedup, op5_secret_scan,
-                             op7_quality_rules, op9_html_text, op10_fingerprint)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_language_id, op2_byte_bpe, op3_mix_sources, op4_near_dedup, op5_secret_scan, op6_warc_derivatives,
+    op7_quality_rules, op8_pii_surrogates, op9_html_text, op10_fingerprint)}
+#: DuckDB equivalents, where SQL can express a query's rows.
 ORACLES: dict[str, str] = {}
