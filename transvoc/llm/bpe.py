@@ -17,7 +17,7 @@ vocabulary's size) and joins the bytes in order.
 
 Scale: no row exists per token, and a word that a block holds a million times
 crosses the network once for that block.  Blocks and buckets are bounded
-(``BLOCK_CHARS`` and the session's shuffle partitions), so a frequent word, a
+(``BLOCK_CHARS``, and the words of one of as many buckets as the session has shuffle partitions), so a frequent word, a
 hot source or a very long document never gathers in one task.  What the first
 step made is written once below ``spark.checkpoint.dir``; later steps read it,
 and a lost executor costs only its own tasks.
@@ -31,22 +31,27 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transvoc.session import scratch_path
 
 #: Characters of documents that share one word list (a longer text is a block of its own).
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 12_000_000
+#: Bytes up to which a word is merged by scanning.
+SHORT_WORD = 64
 #: White space as Unicode's White_Space property, which ``\s`` means in the vocabulary's pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -59,20 +64,37 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def pre_token_pattern(pattern: str) -> regex.Pattern:
     """``pattern`` with white space spelled out, as libraries differ on ``\\s``."""
-    inside = pattern.replace(r"[^\s", f"[^{SPACE}")
-    return regex.compile(inside.replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
+    return regex.compile(_spelled(pattern, SPACE))
+
+
+def _spelled(pattern: str, space: str) -> str:
+    pattern = pattern.replace(r"[^\s", f"[^{space}")
+    return pattern.replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")
+
+
+def pre_tokenizer(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of ``pattern`` in a text.  For a text of ASCII alone the classes
+    are spelled out, which the plain ``re`` module matches twice as fast."""
+    any_text = pre_token_pattern(pattern).findall
+    ascii_text = re.compile(
+        _spelled(pattern, r"\t-\r ").replace(r"\p{L}\p{N}", "A-Za-z0-9")
+        .replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")).findall
+    return lambda text: ascii_text(text) if text.isascii() else any_text(text)
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: again and again, the leftmost pair of lowest rank is joined.
 
     A heap of candidate pairs over a linked list: ``O(n log n)``, so a pre-token
-    of a whole text's length costs no more per byte than a short one.
+    of a whole text's length costs no more per byte than a short one.  For short
+    words a scan for the least rank does the same with less bookkeeping.
     """
     whole = ranks.get(word)
     if whole is not None:
         return [whole]
     n = len(word)
+    if n <= SHORT_WORD:
+        return _merge_short(word, ranks)
     end = list(range(1, n + 1))   # end[i]: where the part that starts at i ends; -1 once joined away
     before = list(range(-1, n))   # start of the part that ends at i
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i:i + 2])) is not None]
@@ -97,6 +119,21 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def _merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    never = len(ranks)
+    get = ranks.get
+    cuts = list(range(len(word) + 1))
+    rank = [get(word[i:i + 2], never) for i in range(len(word) - 1)]
+    while rank and (least := min(rank)) < never:
+        i = rank.index(least)
+        del cuts[i + 1], rank[i]
+        if i < len(rank):
+            rank[i] = get(word[cuts[i]:cuts[i + 2]], never)
+        if i:
+            rank[i - 1] = get(word[cuts[i - 1]:cuts[i + 1]], never)
+    return [ranks[word[a:b]] for a, b in pairwise(cuts)]
+
+
 def _pack(data: bytes) -> bytes:
     return struct.pack("<q", len(data)) + zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -128,6 +165,20 @@ def _unpack_words(data: bytes) -> list[bytes]:
     return [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def _planes(x: np.ndarray) -> list[bytes]:
+    """The four bytes of each number, one string for each place (stored as four
+    columns, the upper ones nearly vanish when Parquet compresses them)."""
+    cut = x.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return [cut[:, k].tobytes() for k in range(4)]
+
+
+def _from_planes(planes: Sequence[bytes]) -> np.ndarray:
+    cut = np.empty((len(planes[0]), 4), np.uint8)
+    for k in range(4):
+        cut[:, k] = np.frombuffer(planes[k], np.uint8)
+    return cut.view("<u4").reshape(-1)
+
+
 class _Numbered(dict):
     """Word -> its number in order of first sight."""
 
@@ -136,8 +187,13 @@ class _Numbered(dict):
         return n
 
 
-SPLIT_SCHEMA = ("kind string, block long, bucket int, row struct<{fields}>, n_tokens long, "
-                "slots binary, payload binary")
+PLANES = ("b0", "b1", "b2", "b3")
+SPLIT_SCHEMA = ("block long, bucket int, row struct<{fields}>, b0 binary, b1 binary, b2 binary, "
+                "b3 binary, slots binary, words binary, kind string")
+
+
+def _fields(struct_type) -> str:
+    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in struct_type.fields)
 
 
 def split_words(docs: DataFrame, pattern: str, buckets: int, *, text: str = "text",
@@ -146,64 +202,62 @@ def split_words(docs: DataFrame, pattern: str, buckets: int, *, text: str = "tex
     document) and ``words`` (the words of one block that fall in one bucket,
     with their slots)."""
     frame = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("text"))
+    schema = SPLIT_SCHEMA.format(fields=_fields(frame.schema["row"].dataType))
+    names = ["block", "bucket", "row", *PLANES, "slots", "words", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = pre_token_pattern(pattern).findall
+        find = pre_tokenizer(pattern)
         task = TaskContext.get().partitionId()
         block, chars, slots = 0, 0, _Numbered()
 
-        def doc_rows(rows, taken, numbers):
+        def doc_rows(rows, taken, planes):
             n = len(taken)
+            none = pa.nulls(n, pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(["doc"] * n), pa.array([(task << 32) | block] * n, pa.int64()),
-                 pa.nulls(n, pa.int32()), rows.take(pa.array(taken, pa.int64())),
-                 pa.array([len(x) for x in numbers], pa.int64()), pa.nulls(n, pa.binary()),
-                 pa.array([_pack_numbers(x) for x in numbers], pa.binary())], names=names)
+                [pa.array([(task << 32) | block] * n, pa.int64()), pa.nulls(n, pa.int32()),
+                 rows.take(pa.array(taken, pa.int64())),
+                 *(pa.array([p[k] for p in planes], pa.binary()) for k in range(4)),
+                 none, none, pa.array(["doc"] * n)], names=names)
 
         def word_rows(row_type):
-            words: list[list[bytes]] = [[] for _ in range(buckets)]
-            numbers: list[list[int]] = [[] for _ in range(buckets)]
-            for slot, word in enumerate(slots):
-                raw = word.encode()
-                b = zlib.crc32(raw) % buckets
-                words[b].append(raw)
-                numbers[b].append(slot)
-            used = [b for b in range(buckets) if words[b]]
-            n = len(used)
+            raw = [word.encode() for word in slots]
+            of = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % buckets
+            order = np.argsort(of, kind="stable")
+            ends = np.cumsum(np.bincount(of, minlength=buckets))
+            groups = [(b, order[start:end]) for b, (start, end) in enumerate(pairwise([0, *ends.tolist()]))
+                      if end > start]
+            n = len(groups)
+            none = pa.nulls(n, pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(["words"] * n), pa.array([(task << 32) | block] * n, pa.int64()),
-                 pa.array(used, pa.int32()), pa.nulls(n, row_type), pa.nulls(n, pa.int64()),
-                 pa.array([_pack_numbers(np.diff(numbers[b], prepend=0)) for b in used], pa.binary()),
-                 pa.array([_pack_words(words[b]) for b in used], pa.binary())], names=names)
+                [pa.array([(task << 32) | block] * n, pa.int64()),
+                 pa.array([b for b, _ in groups], pa.int32()), pa.nulls(n, row_type), none, none, none, none,
+                 pa.array([_pack_numbers(np.diff(g, prepend=0)) for _, g in groups], pa.binary()),
+                 pa.array([_pack_words([raw[i] for i in g.tolist()]) for _, g in groups], pa.binary()),
+                 pa.array(["words"] * n)], names=names)
 
-        names = ["kind", "block", "bucket", "row", "n_tokens", "slots", "payload"]
         row_type = None
         for batch in batches:
             rows, row_type = batch.column(0), batch.column(0).type
-            taken, numbers = [], []
+            taken, planes = [], []
             for i, body in enumerate(batch.column(1)):
                 body = body.as_py() or ""
                 if chars and chars + len(body) > block_chars:
                     if taken:
-                        yield doc_rows(rows, taken, numbers)
-                        taken, numbers = [], []
+                        yield doc_rows(rows, taken, planes)
+                        taken, planes = [], []
                     if slots:
                         yield word_rows(row_type)
                     block, chars, slots = block + 1, 0, _Numbered()
                 found = find(body)
                 taken.append(i)
-                numbers.append(np.fromiter(map(slots.__getitem__, found), np.uint32, len(found)))
+                planes.append(_planes(np.fromiter(map(slots.__getitem__, found), np.uint32, len(found))))
                 chars += len(body)
             if taken:
-                yield doc_rows(rows, taken, numbers)
+                yield doc_rows(rows, taken, planes)
         if slots:
             yield word_rows(row_type)
 
-    return frame.mapInArrow(run, SPLIT_SCHEMA.format(fields=_fields(frame.schema["row"].dataType)))
-
-
-def _fields(struct_type) -> str:
-    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in struct_type.fields)
+    return frame.mapInArrow(run, schema)
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], buckets: int) -> DataFrame:
@@ -222,12 +276,12 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], buckets: int) -> Dat
                         found = known[word] = merge_word(word, ranks)
                     lists.append(found)
                 counts.append(_pack_numbers(np.fromiter(map(len, lists), np.uint32, len(lists))))
-                ids.append(_pack_numbers(np.array([i for x in lists for i in x], np.uint32)))
+                ids.append(_pack_numbers(np.fromiter(chain.from_iterable(lists), np.uint32)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.binary()),
                  pa.array(ids, pa.binary())], names=["block", "slots", "counts", "ids"])
 
-    return (words.repartition(buckets, "bucket").select("block", "slots", "payload")
+    return (words.repartition(buckets, "bucket").select("block", "slots", "words")
             .mapInArrow(run, "block long, slots binary, counts binary, ids binary"))
 
 
@@ -247,18 +301,17 @@ def reassemble(parts: DataFrame, encoded: DataFrame) -> DataFrame:
             flat.append(ids)
             at += len(ids)
         pool = np.concatenate(flat)
-        lists, sizes = [], []
-        for payload in left.column("payload"):
-            slot = _unpack_numbers(payload.as_py())
+        lists, sizes = [np.empty(0, np.uint32)], []
+        for planes in zip(*(left.column(p) for p in PLANES), strict=True):
+            slot = _from_planes([p.as_py() for p in planes])
             n = count[slot]
             end = np.cumsum(n)
             size = int(end[-1]) if len(end) else 0
             lists.append(pool[np.repeat(start[slot] - end + n, n) + np.arange(size)])
             sizes.append(size)
-        values = np.concatenate([np.empty(0, np.uint32), *lists]).astype(np.int32)
         offsets = pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32))
         return pa.table({"row": left.column("row"), "n_tokens": pa.array(sizes, pa.int64()),
-                         "ids": pa.ListArray.from_arrays(offsets, pa.array(values))})
+                         "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists).view(np.int32)))})
 
     schema = f"row struct<{_fields(parts.schema['row'].dataType)}>, n_tokens long, ids array<int>"
     return parts.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(run, schema)
@@ -269,29 +322,29 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
     """The ``keep`` columns of every row of ``docs`` with ``n_tokens`` and ``ids``."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, "bpe-parts")
+    # Bucketed by block, so that the documents' slots are not shuffled again for step 4.  The table
+    # ``bpe_parts_...`` stays in the session's catalog, as the result is read from it lazily.
+    path, name = scratch_path(spark, "bpe-parts"), f"bpe_parts_{uuid.uuid4().hex}"
     (split_words(docs, pattern, buckets, text=text, keep=keep, block_chars=block_chars)
-     .write.partitionBy("kind").parquet(path))
-    parts = spark.read.schema(
-        SPLIT_SCHEMA.format(fields=_fields(docs.select(F.struct(*keep).alias("row")).schema["row"].dataType))
-    ).parquet(path)
-    encoded = encode_words(parts.where("kind = 'words'").select("block", "bucket", "slots", "payload"),
+     .write.partitionBy("kind").bucketBy(buckets, "block").option("path", path)
+     .option("compression", "zstd").saveAsTable(name))
+    parts = spark.table(name)
+    encoded = encode_words(parts.where("kind = 'words'").select("block", "bucket", "slots", "words"),
                            load_ranks(ranks_path), buckets)
-    whole = reassemble(parts.where("kind = 'doc'").select("block", "row", "payload"), encoded)
+    whole = reassemble(parts.where("kind = 'doc'").select("block", "row", *PLANES), encoded)
     return whole.select(*(F.col(f"row.`{c}`").alias(c) for c in keep), "n_tokens", "ids")
 
 
-def decode(encoded: DataFrame, ranks_path: str, *, ids: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``: the bytes of each row's ids, in order (null ids: null)."""
-    token_bytes = [token for token, _ in sorted(load_ranks(ranks_path).items(), key=lambda x: x[1])]
-    frame = encoded.withColumn("decoded", F.lit(None).cast("binary"))
-    at = encoded.columns.index(ids)
+def token_table(ranks_path: str) -> Column:
+    """The token-byte table as a constant: an array of hexadecimal strings by id."""
+    ranks = load_ranks(ranks_path)
+    by_id = [""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        by_id[rank] = token.hex()
+    return F.split(F.lit(" ".join(by_id)), " ")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = token_bytes.__getitem__
-        for batch in batches:
-            whole = [None if x is None else b"".join(map(look, x)) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(whole, pa.binary())],
-                                             names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, frame.schema)
+def decode(encoded: DataFrame, ranks_path: str, *, ids: str = "ids") -> DataFrame:
+    """``encoded`` with ``decoded``: the bytes of each row's ids, in order (null ids: null)."""
+    table = token_table(ranks_path)
+    return encoded.withColumn("decoded", F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")))
