@@ -12,8 +12,8 @@
    a run (a heading, a short last paragraph) belong to it.
 4. Where the page marks its article (``article``, ``main``, role ``main``, or an
    ``articleBody`` property), the longest such element is the field in which all
-   text counts; else the heaviest run and the runs parted from it only by
-   stripped elements are kept.
+   text counts; else the heaviest run is kept, with the runs, and the lines of the
+   same container, that are parted from it only by stripped elements.
 
 A page is handled where it is read, so there is no shuffle; memory is one page's.
 
@@ -58,6 +58,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "s samp small span strike strong sub sup time tt u var wbr nobr picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end tag may be left out: a new block ends them.
+CONTAINERS = frozenset("html body div section article main center table".split())
 LOOSE = frozenset("p li dt dd tr td th option thead tbody tfoot".split())
 
 TOKEN = re.compile(
@@ -75,6 +76,7 @@ class Line:
     linked: int = 0      # characters inside links
     stripped: bool = False
     article: int = -1    # number of the article element that holds it
+    box: int = 0         # number of the innermost container that holds it
 
 
 @dataclass
@@ -83,6 +85,7 @@ class _Open:
     beside: bool   # is itself stripped
     hidden: bool   # it, or an element around it, is stripped
     article: int
+    box: int
 
 
 @dataclass
@@ -91,10 +94,10 @@ class _Page:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
-    def end_line(self, stripped: bool, article: int) -> None:
+    def end_line(self, stripped: bool, article: int, box: int) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
         if text or stripped:
-            self.lines.append(Line("" if stripped else text, self.linked, stripped, article))
+            self.lines.append(Line("" if stripped else text, self.linked, stripped, article, box))
         self.parts, self.linked = [], 0
 
 
@@ -123,16 +126,20 @@ def lines_of(page: str) -> list[Line]:
     """The page's lines, with empty ones for what was stripped."""
     out = _Page()
     stack: list[_Open] = []
-    articles = 0
+    articles = boxes = 0
     # Elements that the page never closes must not hide what follows.
     tokens = list(TOKEN.finditer(page))
     last_end = {m[3].lower(): m.start() for m in tokens if m[2]}
 
-    def state() -> tuple[bool, int]:
-        return (stack[-1].hidden, stack[-1].article) if stack else (False, -1)
+    def state() -> tuple[bool, int, int]:
+        return (stack[-1].hidden, stack[-1].article, stack[-1].box) if stack else (False, -1, 0)
 
     def push(tag: str, beside: bool, article: int) -> None:
-        stack.append(_Open(tag, beside, beside or state()[0], article))
+        nonlocal boxes
+        hidden, _, box = state()
+        if tag in CONTAINERS:
+            boxes = box = boxes + 1
+        stack.append(_Open(tag, beside, beside or hidden, article, box))
 
     def pop_to(i: int) -> None:
         out.end_line(*state())
@@ -191,7 +198,7 @@ def lines_of(page: str) -> list[Line]:
         if attributes.rstrip()[-1:] == "/" and tag not in LOOSE:
             continue
         closed = tag in LOOSE or last_end.get(tag, -1) > m.start()
-        hidden, article = state()
+        hidden, article, _ = state()
         if _is_article(tag, attributes) and not hidden and not beside:
             article, articles = articles, articles + 1
         push(tag, beside and closed, article)
@@ -222,6 +229,18 @@ def runs(weights: list[int]) -> list[tuple[int, int]]:
     return found
 
 
+def _reach(lines: list[Line], weights: list[int], at: int, step: int) -> int:
+    """The last line of text that can be reached from ``at`` past stripped lines alone, in the same container."""
+    i = at + step
+    while 0 <= i < len(lines):
+        if weights[i] and lines[i].box == lines[at].box:
+            at = i
+        elif not lines[i].stripped:
+            break
+        i += step
+    return at
+
+
 def main_text(page: str | None) -> str:
     """The page's article."""
     lines = lines_of(page) if page else []
@@ -245,7 +264,9 @@ def main_text(page: str | None) -> str:
                 first -= 1
             while last + 1 < len(found) and only_stripped(found[last][1], found[last + 1][0]):
                 last += 1
-            kept = [x.text for x in lines[found[first][0]:found[last][1]]]
+            start, end = found[first][0], found[last][1]
+            start, end = _reach(lines, weights, start, -1), _reach(lines, weights, end - 1, 1) + 1
+            kept = [x.text for x in lines[start:end]]
     return "\n".join(t for t in kept if t)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transvoc.llm import bpe, fingerprint, html_text, langid, mix, near_dedup, pii, quality, secret_scan, warc
+from transvoc.llm.oracles import ORACLES  # noqa: F401
 from transvoc.llm.words import n_words
 from transvoc.session import cut_lineage, table_path
 
@@ -110,5 +111,3 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_byte_bpe, op3_mix_sources, op4_near_dedup, op5_secret_scan, op6_warc_derivatives,
     op7_quality_rules, op8_pii_surrogates, op9_html_text, op10_fingerprint)}
-#: DuckDB equivalents, where SQL can express a query's rows.
-ORACLES: dict[str, str] = {}
