@@ -58,6 +58,8 @@ NUMBERS = (
                          r"|(?<!\w)\(\d{3,5}\)[ -]?\d{3,4}[ .-]\d{3,5}(?!\w)"
                          r"|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")),
 )
+#: Attempts after which a surrogate may be longer than its original.
+TIGHT = 30
 DIGITS = re.compile(r"\d[\d ().|*#%$&!-]*")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 IBAN_START = re.compile(r"(?<!\w)[A-Z]{2}\d{2}")
@@ -81,6 +83,11 @@ SYLLABLES = {"LATIN": "ba be da do fe ga ha ka la le ma me mi na ne ni pa ra re
              "CYRILLIC": "ба ве да до ка ла ле ма ми на не ни па ра ре ри са та те то".split()}
 
 
+#: A wider net (a Java pattern): a text without any of these has no entity.
+MAY_HOLD = (r"@|[0-9\p{Nd}][0-9\p{Nd} ().|*#%$&!-]{6,}|[A-Z]{2}\p{Nd}{2}|"
+            + "|".join(map(re.escape, sorted(TITLES))))
+
+
 @dataclass(frozen=True)
 class Mention:
     start: int
@@ -197,8 +204,12 @@ def _luhn(digits: str) -> int:
 
 
 def candidate(kind: str, normal: str, attempt: int, key: bytes) -> str:
-    """The surrogate (in normal form) that ``attempt`` gives to an entity."""
+    """The surrogate (in normal form) that ``attempt`` gives to an entity.
+
+    Where a format has too few values for all entities, later attempts get longer."""
     draw = _Stream(key, kind, normal, str(attempt))
+    if attempt >= TIGHT and kind in ("phone", "card", "ssn"):
+        normal += "0" * (1 + (attempt - TIGHT) // 10)
     number = lambda s, lead=False: "".join(
         str(1 + draw.below(9) if lead and i == 0 and c != "0" else draw.below(10)) for i, c in enumerate(s))
     if kind in ("given_m", "given_f"):
@@ -241,7 +252,7 @@ def in_format(kind: str, mention: str, surrogate: str) -> str:
     """``surrogate`` written the way ``mention`` is: its separators, its case."""
     if kind in ("phone", "card", "ssn", "iban"):
         new = iter(surrogate.replace("|", ""))
-        return "".join(next(new) if c.isalnum() else c for c in mention)
+        return "".join(next(new) if c.isalnum() else c for c in mention) + "".join(new)
     if kind in ("given_m", "given_f", "surname"):
         return surrogate.upper() if mention.isupper() and len(mention) > 1 else surrogate[:1].upper() + surrogate[1:]
     if mention.isupper():
@@ -324,9 +335,12 @@ def pseudonymize(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFram
         "pii-pairs")
     columns = [c for c in docs.columns if c != "n_entities"]
     at = columns.index(text)
-    rows = docs.select(*columns).withColumn("__mark", _mark(text))
-    joined = rows.join(per_text.withColumnRenamed("mark", "__m"), F.col("__mark") == F.col("__m"), "left")
-    joined = joined.select(*columns, F.coalesce("n_entities", F.lit(0)).alias("n_entities"), "pairs")
+    rows = docs.select(*columns)
+    # Texts that cannot hold an entity stay where they are.
+    may = F.coalesce(F.col(text).rlike(MAY_HOLD), F.lit(False))
+    joined = (rows.where(may).withColumn("__mark", _mark(text))
+              .join(per_text.withColumnRenamed("mark", "__m"), F.col("__mark") == F.col("__m"), "left")
+              .select(*columns, F.coalesce("n_entities", F.lit(0)).cast("long").alias("n_entities"), "pairs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,4 +352,5 @@ def pseudonymize(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFram
             kept = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(len(columns) + 1)]
             yield pa.RecordBatch.from_arrays(kept, names=[*columns, "n_entities"])
 
-    return joined.mapInArrow(run, joined.drop("pairs").schema)
+    return (joined.mapInArrow(run, joined.drop("pairs").schema)
+            .unionByName(rows.where(~may).withColumn("n_entities", F.lit(0).cast("long"))))
