@@ -21,8 +21,11 @@ that agrees is concentrated as for independent hashes.
    when the classes not done are of one component, so every pair of different
    components that shares a bucket has been compared.  There is no cap on a bucket.
 4. A comparison first looks at sizes and sketches (fewer than ``LEAST_AGREE`` equal
-   coordinates is 4.5 standard deviations below 0.75); what passes is verified on
-   the full sets: ``100 * intersection >= 75 * union``.
+   coordinates is 4.5 standard deviations below 0.75), from the second round on also
+   at finer sketches, at how many shingles each class shares with any other at work
+   (no intersection can be larger), and only in the first bucket that two classes
+   share.  What passes is verified on the full sets: ``100 * intersection >= 75 *
+   union``.
 5. Components are contracted: each node points to its least neighbour, pointers
    are doubled until they rest, edges are relabelled, and so on until none is left.
 
@@ -49,6 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from transvoc.llm.scratch import Scratch
 from transvoc.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -61,11 +65,14 @@ LEAST_AGREE = math.floor(COORDINATES * PERCENT / 100
                          - 4.5 * math.sqrt(COORDINATES * PERCENT / 100 * (1 - PERCENT / 100)))
 #: One byte of each coordinate, seven to a number (the top byte stays free, so sums don't overflow).
 PACKED = 7
+#: Coordinates of the finer sketch that the second and later rounds compare, and the same bound for it.
+FINE = 560
+LEAST_FINE = math.floor(FINE * PERCENT / 100 - 4.5 * math.sqrt(FINE * PERCENT / 100 * (1 - PERCENT / 100)))
 #: Hubs of a bucket in the second round; each further round has GROWTH times as many.
 HUBS, GROWTH = 64, 8
-#: Rows up to which a table of numbers is broadcast (24 bytes a row).
+#: Rows up to which a table of up to four numbers is broadcast (24 to 32 bytes a row).
 BROADCAST_ROWS = 1_000_000
-WORD_CACHE = 500_000
+WORD_CACHE = 100_000
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,7 +92,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_ROUND = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * _MULTIPLY)
+_ROUND = mixed(np.arange(1, 2 * max(COORDINATES, FINE) + 1, dtype=np.uint64) * _MULTIPLY)
 
 
 def shingle_set(text: str | None, hashes: _WordHashes) -> np.ndarray:
@@ -193,17 +200,36 @@ def full_sets(docs: DataFrame, nodes: DataFrame, *, key: str = "doc_id", text: s
 
 def agreeing(a: Column, b: Column) -> Column:
     """How many of the packed bytes of two sketches are equal."""
-    seven = F.lit(0x007F7F7F7F7F7F7F)
-    total = F.lit(0)
-    for i in range(COORDINATES // PACKED):
-        x = a[i].bitwiseXOR(b[i])
-        # Per byte, the high bit of (low bits + 127) | x is set unless x is zero.
-        differs = ((x.bitwiseAND(seven) + seven).bitwiseOR(x)).bitwiseAND(F.lit(0x0080808080808080))
-        total = total + PACKED - F.bit_count(differs)
-    return total
+    seven, high = F.lit(0x007F7F7F7F7F7F7F), F.lit(0x0080808080808080)
 
+    def equal(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        # Per byte, the high bit of (low bits + 127) | z is set unless z is zero.
+        differs = ((z.bitwiseAND(seven) + seven).bitwiseOR(z)).bitwiseAND(high)
+        return PACKED - F.bit_count(differs).cast("int")
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return F.aggregate(F.zip_with(a, b, equal), F.lit(0), lambda acc, x: acc + x)
+
+
+def first_shared_band(a: Column, b: Column) -> Column:
+    """Number of the first band in which two classes agree (-1 if in none)."""
+    return (F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1).cast("int")
+
+
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """``node, fine``: the packed bytes of a sketch of ``FINE`` coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [packed_bytes(similarity_sketch(np.frombuffer(x.as_py(), np.uint64), FINE))
+                    for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.list_(pa.int64()))],
+                                             names=["node", "fine"])
+
+    return sets.mapInArrow(run, "node long, fine array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, tables: Scratch) -> DataFrame:
     """The pairs ``a, b, ca, cb`` whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,38 +241,54 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
-    hubs = cut_lineage(pairs.select("a").distinct(), "near-hubs")
+    n = pairs.count()
+    hubs = tables.cut(pairs.select("a").distinct(), "hub-nodes")
     hub_sets = sets.join(_small(hubs, hubs.count()), F.col("node") == F.col("a"), "left_semi")
-    return (pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-            .join(hub_sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
+    return (sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")).join(_small(pairs, n), "b")
+            .join(hub_sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")).hint("merge"), "a")
             .select("a", "b", "ca", "cb", "items_a", "items_b")
             .mapInArrow(run, "a long, b long, ca long, cb long"))
 
 
-def components(edges: DataFrame) -> DataFrame | None:
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """``node, alone``: how many items of each node's set no other of ``sets`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+            node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in items])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node, pa.int64()), pa.array(np.concatenate(items) if items else [], pa.int64())],
+                names=["node", "item"])
+
+    return (sets.mapInArrow(run, "node long, item long").groupBy("item").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+            .where("node = other").groupBy("node").agg(F.count("*").alias("alone")))
+
+
+def components(edges: DataFrame, tables: Scratch) -> DataFrame | None:
     """``node, up``: for each node of ``edges`` (``u, v``) that isn't the least of its
     component, that least node; None without edges."""
-    edges = cut_lineage(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-                        .where("u <> v").distinct(), "near-edges")
+    edges = tables.cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+                        .where("u <> v").distinct(), "edges")
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = cut_lineage(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v"))
-                             .select("node", F.least("node", "v").alias("up")), "near-parents")
+        parent = tables.cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v"))
+                             .select("node", F.least("node", "v").alias("up")), "parents")
         while True:
             above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parent = cut_lineage(parent.join(above, "up").select(
-                "node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "near-parents")
+            parent = tables.cut(parent.join(above, "up").select(
+                "node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "parents")
             if parent.where("moved").isEmpty():
                 break
             parent = parent.drop("moved")
         parent = parent.select("node", "up")
         moved = parent.where("node <> up").select(F.col("node").alias("old"), F.col("up").alias("new"))
         labels = relabelled(labels, moved) if labels is not None else parent.where("node <> up")
-        edges = cut_lineage(
+        edges = tables.cut(
             edges.join(parent.select(F.col("node").alias("u"), F.col("up").alias("pu")), "u")
             .join(parent.select(F.col("node").alias("v"), F.col("up").alias("pv")), "v")
-            .select(F.col("pu").alias("u"), F.col("pv").alias("v")).where("u <> v").distinct(), "near-edges")
+            .select(F.col("pu").alias("u"), F.col("pv").alias("v")).where("u <> v").distinct(), "edges")
     return labels
 
 
@@ -257,66 +299,74 @@ def relabelled(labels: DataFrame, moved: DataFrame) -> DataFrame:
     return kept.unionByName(moved.select(F.col("old").alias("node"), F.col("new").alias("up")))
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, *, key: str, text: str) -> DataFrame:
+def linked_classes(docs: DataFrame, classes: DataFrame, tables: Scratch, *, key: str, text: str) -> DataFrame:
     """``digest, rep, root`` of every class that shares a bucket; classes of one component share ``root``."""
-    rows = classes.select("digest", F.explode("bands").alias("key"))
-    shared = cut_lineage(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "near-keys")
-    company = cut_lineage(rows.join(shared, "key"), "near-company")
-    weight = company.groupBy("digest").agg(F.sum("size").alias("weight"))
+    rows = classes.select("digest", F.posexplode("bands").alias("band", "key"))
+    shared = tables.cut(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "keys")
+    company = tables.cut(rows.join(_small(shared, shared.count()), "key"), "company")
+    weight = tables.cut(company.groupBy("digest").agg(F.sum("size").alias("weight")), "weights")
     # Numbered by weight, so that the least node of a component or bucket is its heaviest.
-    nodes = cut_lineage(
-        weight.join(classes.drop("bands"), "digest").orderBy(F.col("weight").desc(), "digest")
-        .select(F.monotonically_increasing_id().alias("node"), "digest", "rep", "n", "agree"), "near-nodes")
-    sets = cut_lineage(full_sets(docs, nodes, key=key, text=text), "near-sets")
-    members = cut_lineage(
-        company.select("key", "digest").join(nodes.select("digest", "node", "n", "agree"), "digest")
-        .select("key", "node", "n", "agree", F.col("node").alias("comp"), F.lit(False).alias("done")),
-        "near-members")
+    nodes = tables.cut(
+        classes.join(_small(weight, weight.count()), "digest").orderBy(F.col("weight").desc(), "digest")
+        .select(F.monotonically_increasing_id().alias("node"), "digest", "rep", "n", "agree", "bands"), "nodes")
+    sets = tables.cut(full_sets(docs, nodes, key=key, text=text), "sets")
+    members = tables.cut(
+        company.select("key", "band", "digest")
+        .join(nodes.select("digest", "node", "n", "agree").hint("merge"), "digest")
+        .select("key", "band", "node", "n", "agree", F.col("node").alias("comp"), F.lit(False).alias("done")),
+        "members")
 
     labels, most = None, 0
     while True:
         open_node = F.when(~F.col("done"), F.col("comp"))
-        keys = cut_lineage(
+        keys = tables.cut(
             members.groupBy("key").agg(F.min(open_node).alias("main"), F.max(open_node).alias("other"),
                                        F.min("node").alias("top"))
-            .where("main <> other").drop("other"), "near-open")
-        if keys.isEmpty():
+            .where("main <> other").drop("other"), "open")
+        n_keys = keys.count()
+        if not n_keys:
             break
-        at_work = members.join(keys, "key")
+        at_work = members.join(_small(keys, n_keys), "key")
+        if most == HUBS:
+            at_work = tables.cut(with_details(at_work, nodes, sets, tables), "at-work")
         if most:
             order = Window.partitionBy("key").orderBy("node")
             hubs = (at_work.where("not done and comp <> main")
-                    .withColumn("place", F.row_number().over(order)).where(F.col("place") <= most))
+                    .withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place"))
         else:
             hubs = at_work.where("node = top")
-        hubs = cut_lineage(hubs.select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"),
-                                       F.col("agree").alias("hub_agree"), F.col("comp").alias("hub_comp")),
-                           "near-hubs")
+        hubs = hubs.drop("main", "top", "band", "done")
+        hubs = tables.cut(hubs.withColumnsRenamed({c: f"hub_{c}" for c in hubs.columns if c != "key"}), "hubs")
         near = ((F.col("comp") != F.col("hub_comp"))
-                & (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n"))
-                & (agreeing(F.col("agree"), F.col("hub_agree")) >= LEAST_AGREE))
-        met = members.withColumnRenamed("key", "k").join(hubs, (F.col("k") == F.col("key")) & near)
-        first = F.col("node") < F.col("hub")
-        pairs = cut_lineage(met.select(
-            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"),
+                & (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")))
+        if most:
+            common = F.least("common", "hub_common")
+            near = (near & (100 * common >= PERCENT * (F.col("n") + F.col("hub_n") - common))
+                    & (first_shared_band(F.col("bands"), F.col("hub_bands")) == F.col("band")))
+        near = near & (agreeing(F.col("agree"), F.col("hub_agree")) >= LEAST_AGREE)
+        if most:
+            near = near & (agreeing(F.col("fine"), F.col("hub_fine")) >= LEAST_FINE)
+        met = at_work.withColumnRenamed("key", "k").join(hubs.hint("merge"), (F.col("k") == F.col("key")) & near)
+        first = F.col("node") < F.col("hub_node")
+        pairs = tables.cut(met.select(
+            F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b"),
             F.when(first, F.col("comp")).otherwise(F.col("hub_comp")).alias("ca"),
-            F.when(first, F.col("hub_comp")).otherwise(F.col("comp")).alias("cb")).distinct(), "near-pairs")
+            F.when(first, F.col("hub_comp")).otherwise(F.col("comp")).alias("cb")).distinct(), "pairs")
         moved = None
         if not pairs.isEmpty():
-            links = verified(pairs, sets)
-            moved = components(links.select(F.col("ca").alias("u"), F.col("cb").alias("v")))
+            links = verified(pairs, sets, tables)
+            moved = components(links.select(F.col("ca").alias("u"), F.col("cb").alias("v")), tables)
         after = (at_work.drop("main", "top")
-                 .join(hubs.select("key", F.col("hub").alias("node"), F.lit(True).alias("now")),
+                 .join(hubs.select("key", F.col("hub_node").alias("node"), F.lit(True).alias("now")),
                        ["key", "node"], "left")
                  .withColumn("done", F.col("done") | F.col("now").isNotNull()).drop("now"))
         if moved is not None:
-            step = cut_lineage(moved.select(F.col("node").alias("old"), F.col("up").alias("new")), "near-moved")
-            after = (after.join(step, F.col("comp") == F.col("old"), "left")
+            step = tables.cut(moved.select(F.col("node").alias("old"), F.col("up").alias("new")), "moved")
+            after = (after.join(_small(step, step.count()), F.col("comp") == F.col("old"), "left")
                      .withColumn("comp", F.coalesce("new", "comp")).drop("old", "new"))
-            labels = cut_lineage(relabelled(labels, step) if labels is not None
-                                 else step.select(F.col("old").alias("node"), F.col("new").alias("up")),
-                                 "near-labels")
-        members = cut_lineage(after.select(*members.columns), "near-members")
+            labels = tables.cut(relabelled(labels, step) if labels is not None
+                                else step.select(F.col("old").alias("node"), F.col("new").alias("up")), "labels")
+        members = tables.cut(after, "members")
         most = most * GROWTH or HUBS
     if labels is None:
         return nodes.select("digest", "rep", F.col("node").alias("root"))
@@ -324,21 +374,38 @@ def linked_classes(docs: DataFrame, classes: DataFrame, *, key: str, text: str)
             .select("digest", "rep", F.coalesce("up", "node").alias("root")))
 
 
+def with_details(at_work: DataFrame, nodes: DataFrame, sets: DataFrame, tables: Scratch) -> DataFrame:
+    """``at_work`` with what the later rounds compare besides: ``common`` (items that
+    another class at work has too, so no intersection is larger), all ``bands`` (a
+    pair is compared in its first common bucket alone) and the ``fine`` sketch."""
+    busy = tables.cut(at_work.select("node").distinct(), "busy")
+    n = busy.count()
+    own = tables.cut(sets.join(_small(busy, n), "node", "left_semi"), "busy-sets")
+    details = tables.cut(
+        fine_sketches(own).join(shared_counts(own), "node", "left")
+        .join(nodes.select("node", "bands", "n"), "node")
+        .select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"), "bands", "fine"), "details")
+    return at_work.join(details.hint("merge"), "node")
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the id (as ``key``), ``mark`` (hash of its text), ``n_shingles``,
     ``component_id`` and ``kept``."""
-    found = cut_lineage(sketches(docs, key=key, text=text), "near-sketches")
-    classes = cut_lineage(
-        found.where("n > 0").groupBy("digest").agg(
+    tables = Scratch(docs.sparkSession, "near")
+    sketched = tables.cut(sketches(docs, key=key, text=text), "sketches")
+    classes = tables.cut(
+        sketched.where("n > 0").groupBy("digest").agg(
             F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-            F.first("agree").alias("agree")), "near-classes")
-    linked = cut_lineage(linked_classes(docs, classes, key=key, text=text), "near-linked")
-    ids = cut_lineage(linked.groupBy("root").agg(F.min("rep").alias("least")), "near-ids")
+            F.first("agree").alias("agree")), "classes")
+    linked = tables.cut(linked_classes(docs, classes, tables, key=key, text=text), "linked")
+    ids = tables.cut(linked.groupBy("root").agg(F.min("rep").alias("least")), "ids")
     of_class = cut_lineage(
         classes.select("digest", "rep")
         .join(linked.join(ids, "root").select("digest", "least"), "digest", "left")
         .select(F.col("digest").alias("class"), F.coalesce("least", "rep").alias("component")), "near-of-class")
-    joined = found.select("id", "mark", "n", "digest").join(of_class, F.col("digest") == F.col("class"), "left")
+    found = cut_lineage(sketched.select("id", "mark", "n", "digest"), "near-rows")
+    tables.clear()
+    joined = found.join(of_class, F.col("digest") == F.col("class"), "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return joined.select(F.col("id").alias(key), "mark", F.col("n").alias("n_shingles"),
                          component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
