@@ -1,6 +1,7 @@
-"""Segment packing against a sequential packer."""
+"""Segment packing against its definition."""
 
-import random
+import itertools
+import math
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,23 +11,17 @@ from transvoc.operators.packing import pack_segments
 PRE, SEP, PAD = 2, 3, 0
 
 
-def sequential_pack(lines, L, reference_mask=False):
-    stream = [t for ids in lines for t in (*ids, SEP)]
-    n, i, out = len(stream), 0, []
-    while i < n:
-        if i + (L - 1) > n:
-            body = stream[i:n]
-            pad = (i + L - 1) - n
-            ids = [PRE, *body] + [PAD] * pad
-            mask = ([1] * len(body) + [0] * (pad + 1)) if reference_mask else \
-                ([1] * (len(body) + 1) + [0] * pad)
-            i = n
-        else:
-            body = stream[i:i + L - 1]
-            ids, mask = [PRE, *body], [1] * L
-            i += L - 1
-        out.append((ids, mask))
-    return out
+def defined_segments(lines, L, reference_mask=False):
+    """Pieces of the stream between multiples of L - 1; only the last may be short."""
+    stream = list(itertools.chain.from_iterable([*ids, SEP] for ids in lines))
+    pieces = [stream[k * (L - 1):(k + 1) * (L - 1)] for k in range(math.ceil(len(stream) / (L - 1)))]
+    out = []
+    for piece in pieces:
+        real = 1 + len(piece)
+        marked = real - (1 if reference_mask and real < L else 0)
+        out.append(((PRE, *piece, *itertools.repeat(PAD, L - real)),
+                    tuple(int(place < marked) for place in range(L))))
+    return [(list(a), list(b)) for a, b in out]
 
 
 def run(spark, lines, L, reference_mask=False, block=2):
@@ -58,8 +53,9 @@ def test_one_token_missing(spark):
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.lists(st.integers(4, 50), max_size=7), min_size=1, max_size=12),
        st.integers(2, 9))
-def test_matches_sequential(spark, lines, L):
-    assert run(spark, lines, L) == sequential_pack(lines, L)
+def test_matches_definition(spark, lines, L):
+    assert run(spark, lines, L) == defined_segments(lines, L)
+    assert run(spark, lines, L, reference_mask=True) == defined_segments(lines, L, True)
     # concatenating the unpadded bodies gives the stream back
     body = [t for ids, mask in run(spark, lines, L) for t, m in zip(ids[1:], mask[1:]) if m]
     assert body == [t for ids in lines for t in (*ids, SEP)]

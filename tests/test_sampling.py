@@ -1,5 +1,6 @@
-"""Byte-budget sampler and the two-level prefix sum against sequential models."""
+"""Byte-budget sampler and the two-level prefix sum against their definitions."""
 
+import itertools
 import random
 
 import pytest
@@ -9,19 +10,15 @@ from transvoc.operators.prefix import doc_block, exclusive_prefix_sum
 from transvoc.operators.sampling import byte_budget_split, premiums
 
 
-def sequential_sampler(lines, train, valid):
-    """The sequential two-counter loop, written from the semantics."""
-    tb = vb = 0
-    out = []
-    for i, line in enumerate(lines):
-        n = len(line.encode("utf-8"))
-        if tb <= train:
-            tb += n
-            out.append((i, "train"))
-        elif vb <= valid:
-            vb += n
-            out.append((i, "valid"))
-    return out
+def defined_split(lines, train, valid):
+    """Train: lines whose preceding bytes are within the train budget.  Valid: of the
+    others, those whose preceding bytes, counted from the first of them, are within
+    the valid budget."""
+    sizes = [len(line.encode("utf-8")) for line in lines]
+    before = [0, *itertools.accumulate(sizes)]
+    first = next((i for i in range(len(lines)) if before[i] > train), len(lines))
+    last = next((i for i in range(first, len(lines)) if before[i] - before[first] > valid), len(lines))
+    return [(i, "train" if i < first else "valid") for i in range(last)]
 
 
 def run(spark, lines, train, valid, lang="xx", factor=1.0, block=2):
@@ -45,7 +42,7 @@ def test_equality_is_inclusive(spark):
 
 def test_blank_lines_kept(spark):
     lines = ["abc", "", "de", "", "fghij", "", "k"]
-    assert run(spark, lines, 4, 3) == sequential_sampler(lines, 4, 3)
+    assert run(spark, lines, 4, 3) == defined_split(lines, 4, 3)
 
 
 def test_missing_premium_names_language(spark):
@@ -59,7 +56,7 @@ def test_random_against_sequential(spark, seed):
     rnd = random.Random(seed)
     lines = ["é" * rnd.randint(0, 9) + "x" * rnd.randint(0, 5) for _ in range(60)]
     for block in (1, 4, 50):
-        assert run(spark, lines, 80, 30, block=block) == sequential_sampler(lines, 80, 30)
+        assert run(spark, lines, 80, 30, block=block) == defined_split(lines, 80, 30)
 
 
 def test_prefix_sum_independent_of_blocks_and_partitions(spark):
