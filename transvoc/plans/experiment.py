@@ -3,8 +3,7 @@ SET-2..4, AGG-15, AGG-17, SRC-7, SNK-2).
 
 Plans are metadata-sized (languages, pairs, models); the one place they meet
 corpus-sized data is :func:`route_lines`.  Every table here is bounded by the
-number of languages squared, and the language count is checked against
-``max_langs`` before anything is broadcast.
+number of languages squared.
 """
 
 from __future__ import annotations
@@ -34,12 +33,6 @@ MANIFEST_SCHEMA = T.StructType([
 ])
 
 
-def check_langs(langs: DataFrame, max_langs: int = 64) -> None:
-    n = langs.count()
-    if n > max_langs:
-        raise ValueError(f"{n} languages exceed the plan bound of {max_langs}")
-
-
 def language_mapping(langs: DataFrame, source_size: str = "100MB", target_size: str = "10MB",
                      datadir: str = "data", model_prefix: str = "models") -> DataFrame:
     """PRJ-1: model names (lower-cased) and train/valid files per language."""
@@ -70,7 +63,7 @@ def base_name(path_col, suffix_col):
 def language_pairs(mapping: DataFrame) -> DataFrame:
     """JN-1: ordered pairs ``src != tgt`` - n(n-1) rows of a per-language table.
 
-    The mapping is metadata (one row per language, bounded by ``check_langs``)
+    The mapping is metadata (one row per language)
     so the theta join runs as a broadcast nested loop over it.
     """
     t = mapping.select(F.col("lang").alias("tgt_lang"), F.col("target").alias("tgt_model"),
@@ -109,10 +102,10 @@ def read_manifest(spark: SparkSession, path: str, layout: str = "partitioned",
     """
     if layout == "partitioned":
         schema = T.StructType([*MANIFEST_SCHEMA.fields, T.StructField("model", T.StringType())])
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     if layout != "folders":
         raise ValueError(f"unknown manifest layout {layout!r}")
-    df = (spark.read.schema(MANIFEST_SCHEMA).option("multiLine", "true")
+    df = (spark.read.schema(MANIFEST_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST")
           .option("recursiveFileLookup", "true").option("pathGlobFilter", file_name).json(path))
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return df.select(*[f.name for f in MANIFEST_SCHEMA.fields], folder.alias("model"))
@@ -166,7 +159,8 @@ def finetune_plan(manifest: DataFrame, existing: DataFrame | None = None,
     w = Window.partitionBy("regime", "src_lang", "out").orderBy("kind_ord", "model")
     jobs = jobs.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
     if existing is not None and not overwrite:
-        jobs = jobs.join(F.broadcast(existing.select("out")), "out", "left_anti")
+        # an output exists in the folder of its own regime
+        jobs = jobs.join(existing.select("regime", "out").distinct(), ["regime", "out"], "left_anti")
     return jobs
 
 
@@ -194,32 +188,39 @@ def route_summary(jobs: DataFrame, corpus: DataFrame, files: str = "train") -> D
     return j.join(F.broadcast(per_file), "file", "left")
 
 
-def resolve_base(manifest: DataFrame, available: DataFrame) -> DataFrame:
-    """JN-6: the model a ``100mb_src`` baseline is evaluated with - the
-    fine-tuned sibling if the row is fine-tuned, else the original source
-    model.  A missing sibling is an error (checked with a left-anti count)."""
-    df = manifest.withColumn(
+def resolve_base(manifest: DataFrame, available: DataFrame,
+                 regime_of: dict[bool, Sequence[str]]) -> DataFrame:
+    """JN-6: per regime, the model a ``100mb_src`` baseline is evaluated with -
+    the fine-tuned sibling in the same regime's folder if the row is fine-tuned,
+    else the original source model.  ``available`` lists ``(regime, out)``; a
+    missing sibling is an error that names all of them by count.
+
+    ``regime_of`` maps ``finetuned`` to the regimes whose folder holds such rows.
+    """
+    spark = manifest.sparkSession
+    rows = [(ft, r) for ft, rs in regime_of.items() for r in rs]
+    reg = spark.createDataFrame(rows, "finetuned boolean, regime string")
+    df = manifest.join(F.broadcast(reg), "finetuned").withColumn(
         "base_model",
         F.when(F.col("finetuned"), base_name("src_model", "tgt_lang")).otherwise(F.col("src_model")))
-    need = df.filter("finetuned").select(F.col("base_model").alias("out")).distinct()
-    missing = need.join(available.select("out").distinct(), "out", "left_anti")
-    bad = [r["out"] for r in missing.limit(20).collect()]
-    if bad:
-        raise FileNotFoundError(f"fine-tuned model requires a fine-tuned base model; missing: {bad}")
+    need = df.filter("finetuned").select("regime", F.col("base_model").alias("out")).distinct()
+    missing = need.join(available.select("regime", "out").distinct(), ["regime", "out"], "left_anti")
+    n = missing.count()
+    if n:
+        shown = [f"{r['regime']}/{r['out']}" for r in missing.orderBy("regime", "out").limit(20).collect()]
+        raise FileNotFoundError(
+            f"fine-tuned models require fine-tuned base models; {n} missing, first: {shown}")
     return df
 
 
-def evaluation_plan(manifest: DataFrame, regime_of: dict[bool, Sequence[str]]) -> DataFrame:
-    """SET-4 / AGG-17: cells ``(regime, src, tgt, label, model_spec)``.
+def evaluation_plan(resolved: DataFrame) -> DataFrame:
+    """SET-4 / AGG-17: cells ``(regime, src, tgt, label, model_spec)`` of
+    :func:`resolve_base` rows.
 
     Per (src, tgt): the source baseline (resolved base) and the target
-    baseline once each, plus one cell per transferred model.  ``regime_of``
-    maps ``finetuned`` to the regimes whose folder holds such rows.
+    baseline once each, plus one cell per transferred model.
     """
-    spark = manifest.sparkSession
-    rows = [(ft, r) for ft, rs in regime_of.items() for r in rs]
-    reg = spark.createDataFrame(rows, "finetuned boolean, regime string")
-    m = manifest.join(F.broadcast(reg), "finetuned")
+    m = resolved
     src = m.select("regime", "src_lang", "tgt_lang", F.lit(SRC_BASELINE).alias("label"),
                    F.col("base_model").alias("model_spec"))
     tgt = m.select("regime", "src_lang", "tgt_lang", F.lit(TGT_BASELINE).alias("label"),
@@ -228,10 +229,3 @@ def evaluation_plan(manifest: DataFrame, regime_of: dict[bool, Sequence[str]]) -
                   F.col("model").alias("model_spec"))
     baselines = src.unionByName(tgt).dropDuplicates(["regime", "src_lang", "tgt_lang", "label"])
     return baselines.unionByName(tr)
-
-
-def distinct_evaluations(plan: DataFrame) -> DataFrame:
-    """JOB-11 dedup: every (model, data language) is scored once, however
-    many cells reuse it."""
-    sides = plan.select("model_spec", F.explode(F.array("src_lang", "tgt_lang")).alias("lang"))
-    return sides.distinct()

@@ -24,7 +24,6 @@ def language_mapping(spark, sf_dir):
 SELECT src_lang, tgt_lang, src_model, tgt_model, method, model FROM tplan"""))
 def pair_plan(spark, sf_dir):
     """JN-1 / JN-2 / PRJ-2: ordered language pairs x transfer methods."""
-    X.check_langs(tb.languages(spark, sf_dir), tb.N_LANG_BOUND)
     t = tb.transfer(spark, sf_dir)
     return finish(t.select("src_lang", "tgt_lang", "src_model", "tgt_model", "method", "model"))
 
@@ -64,11 +63,11 @@ def finetune_plan(spark, sf_dir):
                            F.array_join("valid", ",").alias("valid")))
 
 
-@register("data_routing", O.with_ctes(["ft_plan", "sampled"], """
+@register("data_routing", O.with_ctes(["ft_plan", "sampled_share"], """
 , files AS (
   SELECT 'data/' || split || '/' || lower(lang || '.txt') AS file, count(*) AS n_lines,
          sum(strlen(line)) AS n_bytes, min(doc_id) AS first_doc
-  FROM sampled GROUP BY 1),
+  FROM sampled_share GROUP BY 1),
 jf AS (SELECT regime, src_lang, out, unnest(train) AS file, unnest(range(len(train))) AS file_ord FROM ft_plan)
 SELECT jf.regime, jf.src_lang, jf.out, CAST(jf.file_ord AS BIGINT) AS file_ord, jf.file,
        CAST(f.n_lines AS BIGINT) AS n_lines, CAST(f.n_bytes AS BIGINT) AS n_bytes, f.first_doc
@@ -80,35 +79,24 @@ def data_routing(spark, sf_dir):
                            "first_doc"))
 
 
-@register("resolve_base", O.with_ctes(["manifest"], """
-SELECT model, finetuned,
-       CASE WHEN finetuned THEN string_split(src_model, '/')[-1] || '_' || tgt_lang || '_finetuned'
-            ELSE src_model END AS base_model
-FROM manifest"""))
+@register("resolve_base", O.with_ctes(["resolved"], """
+SELECT regime, model, finetuned, base_model FROM resolved"""))
 def resolve_base(spark, sf_dir):
-    """JN-6: the base model of every manifest row; a fine-tuned row needs its
-    fine-tuned source base among the planned outputs."""
-    available = _ft_plan(spark, sf_dir, skip_existing=False).select("out")
-    r = X.resolve_base(tb.manifest(spark, sf_dir), available)
-    return finish(r.select("model", "finetuned", "base_model"))
-
-
-@register("evaluation_plan", O.with_ctes(["manifest"], """
-, m AS (
-  SELECT manifest.*, r.regime,
-         CASE WHEN manifest.finetuned THEN string_split(src_model, '/')[-1] || '_' || tgt_lang || '_finetuned'
-              ELSE src_model END AS base_model
-  FROM manifest JOIN (VALUES (false, 'no-finetuning'), (true, 'mono-finetuning'),
-                             (true, 'mixed-finetuning')) r(finetuned, regime)
-    ON r.finetuned = manifest.finetuned)
-SELECT DISTINCT regime, src_lang, tgt_lang, '100mb_src' AS label, base_model AS model_spec FROM m
+    """JN-6: the base model of every manifest row and regime; a fine-tuned row
+    needs its fine-tuned source base among the planned outputs of its regime."""
+    available = _ft_plan(spark, sf_dir, skip_existing=False).select("regime", "out")
+    r = X.resolve_base(tb.manifest(spark, sf_dir), available, REGIME_OF)
+    return finish(r.select("regime", "model", "finetuned", "base_model"))
+
+
+@register("evaluation_plan", O.with_ctes(["resolved"], """
+SELECT DISTINCT regime, src_lang, tgt_lang, '100mb_src' AS label, base_model AS model_spec FROM resolved
 UNION ALL
-SELECT DISTINCT regime, src_lang, tgt_lang, '10mb_tgt' AS label, tgt_model AS model_spec FROM m
+SELECT DISTINCT regime, src_lang, tgt_lang, '10mb_tgt' AS label, tgt_model AS model_spec FROM resolved
 UNION ALL
-SELECT regime, src_lang, tgt_lang, method AS label, model AS model_spec FROM m"""))
+SELECT regime, src_lang, tgt_lang, method AS label, model AS model_spec FROM resolved"""))
 def evaluation_plan(spark, sf_dir):
     """SET-4 / AGG-17: evaluation cells; baselines once per (regime, pair)."""
-    available = _ft_plan(spark, sf_dir, skip_existing=False).select("out")
-    m = X.resolve_base(tb.manifest(spark, sf_dir), available)
-    p = X.evaluation_plan(m, REGIME_OF)
+    available = _ft_plan(spark, sf_dir, skip_existing=False).select("regime", "out")
+    p = X.evaluation_plan(X.resolve_base(tb.manifest(spark, sf_dir), available, REGIME_OF))
     return finish(p.select("regime", "src_lang", "tgt_lang", "label", "model_spec"))
