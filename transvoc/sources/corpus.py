@@ -42,12 +42,13 @@ def _lang_of(file_col: Column, lang_from: str) -> Column:
     raise ValueError(lang_from)
 
 
-def number_lines(df: DataFrame, keys: Sequence[str], out: str = "line_no") -> DataFrame:
+def number_lines(df: DataFrame, keys: Sequence[str], out: str = "line_no",
+                 within: Sequence[str] = ()) -> DataFrame:
     """0-based line number within ``keys`` by the ``(file, block_start,
-    row_in_split)`` order, via the two-level prefix sum over file splits."""
+    row_in_split, within...)`` order, via the two-level prefix sum over file splits."""
     return exclusive_prefix_sum(
         df.withColumn("__one", F.lit(1)), keys, F.struct("file", "block_start"),
-        ["file", "block_start", "row_in_split"], "__one", out=out).drop("__one")
+        ["file", "block_start", "row_in_split", *within], "__one", out=out).drop("__one")
 
 
 def read_corpus(spark: SparkSession, path: str, lang_from: str = "stem",
@@ -75,8 +76,7 @@ def read_devtest(spark: SparkSession, path: str, lang_from: str = "stem",
         df = df.withColumn("sub_no", F.lit(0)).withColumn("piece", F.col("raw"))
     df = df.withColumn("line", py_strip("piece")).drop("raw", "piece")
     # sub-lines keep the order of their physical line
-    df = df.withColumn("row_in_split", F.col("row_in_split") * F.lit(1 << 20) + F.col("sub_no"))
-    return number_lines(df, ["lang"]).drop("sub_no")
+    return number_lines(df, ["lang"], within=["sub_no"])
 
 
 def split_unicode_lines(lines: DataFrame, line_col: str = "raw") -> DataFrame:
@@ -117,13 +117,29 @@ def strip_file_edges(lines: DataFrame, file_keys: Sequence[str], line_no: str =
             .drop("__first", "__last", "__min"))
 
 
+def _file_uri(spark: SparkSession, path: str) -> str:
+    """``path`` qualified and escaped, as ``_metadata.file_path`` is (but for slashes, see _slashes)."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+
+
+def _slashes(uri: Column) -> Column:
+    """Local files are reported as ``file:/x`` or ``file:///x``."""
+    return F.regexp_replace(uri, "^file:/+", "file:/")
+
+
 def read_training_lines(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """SRC-2: several files concatenated in list order, each stripped as a
-    whole then split on ``\\n``.  Output ``(file_ord, line_no, line)``."""
-    ords = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "path string, file_ord int")
-    df = _text_with_order(spark, list(files))
-    df = number_lines(df, ["file"])
-    # _metadata.file_path is a URI; match on the path suffix
-    df = df.join(F.broadcast(ords), F.col("file").endswith(F.col("path"))).drop("path")
-    out = strip_file_edges(df, ["file_ord"], "line_no", "raw")
-    return out.select("file_ord", "line_no", "line")
+    whole then split on ``\\n``.  Output ``(file_ord, line_no, line)``.
+
+    A file listed twice is there twice; an empty file is one empty line.
+    """
+    uris = [_file_uri(spark, f) for f in files]
+    ords = spark.createDataFrame(list(zip(uris, range(len(uris)), strict=True)), "uri string, file_ord int")
+    df = number_lines(_text_with_order(spark, sorted(set(files))), ["file"])
+    out = strip_file_edges(df, ["file"], "line_no", "raw")
+    # one row a listed file; a file without any row is the empty file
+    return (ords.join(out, _slashes(F.col("uri")) == _slashes(F.col("file")), "left")
+            .select("file_ord", F.coalesce("line_no", F.lit(0)).alias("line_no"),
+                    F.coalesce("line", F.lit("")).alias("line")))

@@ -21,7 +21,7 @@ def read_mcq(spark: SparkSession, path: str, expect: int | None = None) -> DataF
     string, then cast).  With ``expect`` the item count must match exactly.
     ``item_id`` is the line's position (file, split, row order).
     """
-    df = spark.read.schema(MCQ_SCHEMA).json(path).select(
+    df = spark.read.schema(MCQ_SCHEMA).option("mode", "FAILFAST").json(path).select(
         "*", F.col("_metadata.file_path").alias("__f"),
         F.col("_metadata.file_block_start").alias("__b"),
         F.monotonically_increasing_id().alias("__r"))
@@ -50,7 +50,7 @@ def write_mcq(items: DataFrame, path: str) -> None:
         .write.mode("overwrite").json(path)
 
 
-def read_min_pairs(df: DataFrame, lang: str) -> DataFrame:
-    """SRC-5: minimal pairs of one language, selected by its 3-letter code
+def read_min_pairs(df: DataFrame, *langs: str) -> DataFrame:
+    """SRC-5: minimal pairs of the given languages, selected by 3-letter code
     (a partition filter when the table is stored by language)."""
-    return df.filter(lang3("lang") == lang[:3])
+    return df.filter(lang3("lang").isin([x[:3] for x in langs]))

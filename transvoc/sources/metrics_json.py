@@ -53,11 +53,11 @@ def flatten(nested: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def read_metrics(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
-    """SRC-8 + SET-1: one document per regime, labelled and unioned."""
+    """SRC-8 + SET-1: one document per regime, labelled and unioned; a malformed one is an error."""
     out = None
     for regime, path in paths.items():
         doc = spark.read.option("wholetext", "true").text(path).select(
-            F.lit(regime).alias("regime"), F.from_json("value", NESTED).alias("doc"))
+            F.lit(regime).alias("regime"), F.from_json("value", NESTED, {"mode": "FAILFAST"}).alias("doc"))
         part = flatten(doc)
         out = part if out is None else out.unionByName(part)
     return out

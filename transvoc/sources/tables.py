@@ -41,7 +41,9 @@ def read_parquet(spark: SparkSession, path: str, balance_key: str | None = None)
     if balance_key is None:
         return df
     target = spark.sparkContext.defaultParallelism
-    groups = row_groups(path)
+    # Footers are opened only where the files are fewer than the cores.
+    files = df.inputFiles()
+    groups = row_groups(path) if len(files) < target else None
     if groups is not None and groups < target:
         return df.repartition(2 * target, balance_key)
     return df
