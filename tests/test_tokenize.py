@@ -37,11 +37,17 @@ def test_greedy_matches_python(spark):
                     for _ in range(200)})
     wdf = spark.createDataFrame([("xx", w) for w in words], "vocab_lang string, word string")
     expect = {w: py_greedy(w, table, 3) for w in words}
-    for engine in ("join", "arrow"):
+    for known in (10, None):
         got = {r["word"]: list(r["ids"]) for r in
-               greedy_pieces(wdf, vocab_df(spark, table), max_piece=3, known_entries=10,
-                             engine=engine).collect()}
-        assert got == expect, engine
+               greedy_pieces(wdf, vocab_df(spark, table), known_entries=known).collect()}
+        assert got == expect
+
+
+def test_greedy_takes_entries_of_any_length(spark):
+    table = {"a" * 30: 4, "a": 5}
+    wdf = spark.createDataFrame([("xx", "a" * 30), ("xx", "a" * 31)], "vocab_lang string, word string")
+    got = {r["word"]: list(r["ids"]) for r in greedy_pieces(wdf, vocab_df(spark, table)).collect()}
+    assert got == {"a" * 30: [4], "a" * 31: [4, 5]}
 
 
 def test_word_encode_unknown_and_empty(spark):

@@ -1,24 +1,28 @@
 """OMP against exact cases and a NumPy reference; FVT rules."""
 
 import numpy as np
-import pandas as pd
 import pytest
 
-from transvoc.operators.transfer import _omp_one, fvt_transfer, omp_transfer
+from transvoc.operators.transfer import _omp_one, fvt_transfer, omp
 
 
-def anchors_frame(D, B, names):
-    return pd.DataFrame({"token": names, "tgt_id": list(range(len(names))),
-                         "donor": [list(r) for r in D], "base": [list(r) for r in B]})
+def anchors_frame(spark, D, B, names):
+    rows = [("s", "t", n, i, [float(x) for x in D[i]], [float(x) for x in B[i]]) for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "src_lang string, tgt_lang string, token string, tgt_id int, "
+                                       "donor array<float>, base array<float>")
+
+
+def missing_frame(spark, rows, src="s"):
+    return spark.createDataFrame([(src, "t", *r) for r in rows],
+                                 "src_lang string, tgt_lang string, token string, tgt_id int, donor array<float>")
 
 
 def test_omp_exact_reconstruction(spark):
     D = np.eye(4)[:3]                       # orthonormal anchors a1, a2, a3
     B = np.arange(12, dtype=float).reshape(3, 4)
     y = 2 * D[0] + 3 * D[1]
-    missing = spark.createDataFrame([("m", 100, [float(x) for x in y])],
-                                    "token string, tgt_id int, donor array<float>")
-    r = omp_transfer(missing, anchors_frame(D, B, ["a1", "a2", "a3"]), k=2).first()
+    missing = missing_frame(spark, [("m", 100, [float(x) for x in y])])
+    r = omp(missing, anchors_frame(spark, D, B, ["a1", "a2", "a3"]), k=2).first()
     assert list(r["support"]) == ["a2", "a1"]
     assert r["coefs"] == pytest.approx([3.0, 2.0])
     assert r["residual"] == pytest.approx(0.0, abs=1e-9)
@@ -45,73 +49,76 @@ def test_omp_residual_monotone_and_support_bounded():
 def test_omp_ties_pick_lowest_id(spark):
     D = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
     B = np.eye(3, 2)
-    missing = spark.createDataFrame([("m", 9, [1.0, 0.0])], "token string, tgt_id int, donor array<float>")
-    r = omp_transfer(missing, anchors_frame(D, B, ["x", "y", "z"]), k=1).first()
+    missing = missing_frame(spark, [("m", 9, [1.0, 0.0])])
+    r = omp(missing, anchors_frame(spark, D, B, ["x", "y", "z"]), k=1).first()
     assert list(r["support"]) == ["x"]
 
 
 def test_fvt_copy_mean_unknown(spark):
-    src = spark.createDataFrame([("s", "ab", 4), ("s", "a", 5), ("s", "b", 6)], "lang string, token string, id int")
-    tgt = spark.createDataFrame([("t", "ab", 4), ("t", "ba", 5), ("t", "q", 6)], "lang string, token string, id int")
+    vocab = spark.createDataFrame([("s", "ab", 4), ("s", "a", 5), ("s", "b", 6),
+                                   ("t", "ab", 4), ("t", "ba", 5), ("t", "q", 6)], "lang string, token string, id int")
     emb = spark.createDataFrame([(1, [9.0, 9.0]), (4, [1.0, 1.0]), (5, [2.0, 0.0]), (6, [0.0, 4.0])],
                                 "id int, vec array<float>")
-    res = fvt_transfer(src, tgt, src, emb, "s", max_piece=4).collect()
+    res = fvt_transfer(vocab, vocab, emb).where("src_lang = 's'").collect()
     got = {(r["token"], r["dim"]): (r["kind"], r["value"]) for r in res}
     assert got[("ab", 0)] == ("copy", 1.0)          # shared: copied
     assert got[("ba", 0)] == ("mean", 1.0) and got[("ba", 1)] == ("mean", 2.0)   # mean of b, a
     assert got[("q", 0)] == ("mean", 9.0)           # unknown piece -> unknown vector
+    with pytest.raises(Exception, match="no source vector"):
+        fvt_transfer(vocab, vocab, emb.where("id <> 1")).collect()
+
+
+def test_omp_without_anchors(spark):
+    anchors = anchors_frame(spark, np.eye(2), np.eye(2), ["x", "y"])
+    missing = missing_frame(spark, [("m", 9, [3.0, 4.0])], src="other")
+    r = omp(missing, anchors, 3).first()
+    assert (list(r["support"]), list(r["coefs"]), r["residual"], list(r["vec"])) == ([], [], 5.0, [])
 
 
-def test_sharded_omp_matches_broadcast(spark):
-    from transvoc.operators.transfer import omp
+def test_omp_independent_of_batches(spark):
     rng = np.random.default_rng(4)
-    D = rng.normal(size=(30, 6))
-    D[[3, 17]] = D[5]                       # exact ties across shards
-    B = rng.normal(size=(30, 5))
-    anchors = spark.createDataFrame(
-        [(f"a{i}", i * 3 + 1, [float(x) for x in D[i]], [float(x) for x in B[i]]) for i in range(30)],
-        "token string, tgt_id int, donor array<float>, base array<float>")
+    D = rng.normal(size=(30, 6)).astype(np.float32)
+    D[[3, 17]] = D[5]                       # exact ties
+    anchors = anchors_frame(spark, D, rng.normal(size=(30, 5)), [f"a{i}" for i in range(30)])
     Y = rng.normal(size=(12, 6))
     Y[0] = D[5]
-    missing = spark.createDataFrame([(f"m{i}", 1000 + i, [float(x) for x in Y[i]]) for i in range(12)],
-                                    "token string, tgt_id int, donor array<float>")
-    a = {r["token"]: r for r in omp(missing, anchors, 3, 6).collect()}
-    from transvoc.operators.transfer import omp_sharded
-    b = {r["token"]: r for r in omp_sharded(missing, anchors, 3, shard_ids=20, token_batches=3).collect()}
-    assert a.keys() == b.keys()
-    for t in a:
-        assert list(a[t]["support"]) == list(b[t]["support"])
-        assert a[t]["coefs"] == pytest.approx(list(b[t]["coefs"]), abs=1e-9)
-        assert a[t]["residual"] == pytest.approx(b[t]["residual"], abs=1e-9)
-        assert a[t]["vec"] == pytest.approx(list(b[t]["vec"]), abs=1e-9)
+    missing = missing_frame(spark, [(f"m{i}", 1000 + i, [float(x) for x in Y[i]]) for i in range(12)])
+    one = {r["token"]: r for r in omp(missing, anchors, 3).collect()}
+    two = {r["token"]: r for r in omp(missing, anchors, 3, batch_tokens=2).collect()}
+    assert one == two and list(one["m0"]["support"]) == ["a3"]
 
 
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test data")
-def test_omp_k8_query_against_numpy(spark):
-    """The registered query vs a plain NumPy OMP over the same inputs."""
+@pytest.mark.parametrize("k", [8, 64])
+def test_omp_queries_against_numpy(spark, k):
+    """The registered queries vs a plain NumPy OMP over the same inputs, two pairs of languages."""
     from transvoc import testbed as tb
     from transvoc.queries import transfer as Q
     d = "/root/testdata/sf0.001"
     tb.reset_scope()
-    dictionary, missing = Q._omp_inputs(spark, d)
-    A = dictionary.orderBy("tgt_id").toPandas()
-    M = missing.toPandas()
+    anchors, missing = Q._omp_inputs(spark, d)
+    A, M = anchors.toPandas(), missing.toPandas()
     tb.reset_scope()
-    got = {r["token"]: r for r in Q.omp_k8(spark, d).collect()}
-    D = np.stack(A["donor"].to_numpy()).astype(float)
-    Bm = np.stack(A["base"].to_numpy()).astype(float)
-    for tok, y in zip(M["token"], M["donor"]):
-        y = np.asarray(y, dtype=float)
-        chosen, r = [], y.copy()
-        for _ in range(min(tb.OMP_K, len(D))):
-            sc = [(-1.0 if i in chosen else round(abs(D[i] @ r) / np.linalg.norm(D[i]), 12), -i)
-                  for i in range(len(D))]
-            chosen.append(-max(sc)[1])
-            c, *_ = np.linalg.lstsq(D[chosen].T, y, rcond=None)
-            r = y - D[chosen].T @ c
-            if np.linalg.norm(r) <= 1e-10 * max(1.0, np.linalg.norm(y)):
-                break
-        row = got[tok]
-        assert row["n_support"] == len(chosen)
-        assert row["residual"] == pytest.approx(float(np.linalg.norm(r)), abs=1e-6)
-        assert row["new_sum"] == pytest.approx(float((Bm[chosen].T @ c).sum()), abs=1e-6)
+    got = {(r["src_lang"], r["tgt_lang"], r["token"]): r
+           for r in {8: Q.omp_k8, 64: Q.omp_k64}[k](spark, d).collect()}
+    assert len(got) == len(M)
+    for pair in (("en", "fr"), ("de", "en")):
+        own = A[(A.src_lang == pair[0]) & (A.tgt_lang == pair[1])].sort_values("tgt_id")
+        D = np.stack(own["donor"].to_numpy()).astype(float)
+        Bm = np.stack(own["base"].to_numpy()).astype(float)
+        rows = M[(M.src_lang == pair[0]) & (M.tgt_lang == pair[1])].head(150)
+        for tok, y in zip(rows["token"], rows["donor"], strict=True):
+            y = np.asarray(y, dtype=float)
+            chosen, r = [], y.copy()
+            for _ in range(min(k, len(D))):
+                sc = [(-1.0 if i in chosen else round(abs(D[i] @ r) / np.linalg.norm(D[i]), 12), -i)
+                      for i in range(len(D))]
+                chosen.append(-max(sc)[1])
+                c, *_ = np.linalg.lstsq(D[chosen].T, y, rcond=None)
+                r = y - D[chosen].T @ c
+                if np.linalg.norm(r) <= 1e-10 * max(1.0, np.linalg.norm(y)):
+                    break
+            row = got[(*pair, tok)]
+            assert row["n_support"] == len(chosen)
+            assert row["residual"] == pytest.approx(float(np.linalg.norm(r)), abs=1e-6)
+            assert row["new_sum"] == pytest.approx(float((Bm[chosen].T @ c).sum()), abs=1e-5)

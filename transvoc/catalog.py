@@ -45,7 +45,7 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits)
+            c = F.round(c.cast("double"), digits) + F.lit(0.0)  # no negative zero
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

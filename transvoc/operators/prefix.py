@@ -35,7 +35,7 @@ def block_offsets(df: DataFrame, keys: Sequence[str], block: str | Column, value
     totals = b.groupBy(*keys, "__block0").agg(F.sum(value).alias("__btotal"))
     if block_fanout:
         up = exclusive_prefix_sum(totals, keys,
-                                  F.floor(F.col("__block0") / F.lit(block_fanout)).cast("long"),
+                                  F.expr(f"__block0 div {int(block_fanout)}"),
                                   ["__block0"], "__btotal", out="__up", _depth=1)
         return up.withColumnRenamed("__up", "__boff")
     w = (Window.partitionBy(*keys).orderBy("__block0")
@@ -45,7 +45,7 @@ def block_offsets(df: DataFrame, keys: Sequence[str], block: str | Column, value
 
 def exclusive_prefix_sum(df: DataFrame, keys: Sequence[str], block: str | Column,
                          order: Sequence[str], value: str, out: str = "before",
-                         total_out: str | None = None, block_fanout: int | None = None,
+                         block_fanout: int | None = None,
                          _depth: int = 0, offsets: DataFrame | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over earlier rows of the same ``keys`` group.
 
@@ -66,7 +66,7 @@ def exclusive_prefix_sum(df: DataFrame, keys: Sequence[str], block: str | Column
     elif block_fanout:
         up = f"__up{_depth}"
         offsets = exclusive_prefix_sum(
-            totals, keys, F.floor(F.col(blk) / F.lit(block_fanout)).cast("long"), [blk],
+            totals, keys, F.expr(f"{blk} div {int(block_fanout)}"), [blk],
             "__btotal", out=up, _depth=_depth + 1).select(*keys, blk, F.col(up).alias("__boff"))
     else:
         w_blocks = (Window.partitionBy(*keys).orderBy(blk)
@@ -80,12 +80,9 @@ def exclusive_prefix_sum(df: DataFrame, keys: Sequence[str], block: str | Column
     inner = df.withColumn("__inoff", F.coalesce(F.sum(value).over(w_in), F.lit(0)))
     res = inner.join(offsets, on=[*keys, blk], how="inner")
     res = res.withColumn(out, (F.col("__boff") + F.col("__inoff")).cast("long"))
-    if total_out:
-        grand = totals.groupBy(*keys).agg(F.sum("__btotal").cast("long").alias(total_out))
-        res = res.join(grand, on=keys, how="inner")
     return res.drop(blk, "__boff", "__inoff")
 
 
 def doc_block(doc_col: str = "doc_id", docs_per_block: int = 256) -> Column:
     """Block key for rows ordered by ``(doc_id, line_no)``."""
-    return F.floor(F.col(doc_col) / F.lit(docs_per_block)).cast("long")
+    return F.expr(f"`{doc_col}` div {int(docs_per_block)}")

@@ -29,22 +29,6 @@ def premiums(spark: SparkSession, mapping: Mapping[str, float]) -> DataFrame:
     return spark.createDataFrame(rows, "lang string, factor double")
 
 
-def with_premium(lines: DataFrame, premium: DataFrame) -> DataFrame:
-    """JN-3: attach the premium; a language without one is an error.
-
-    The premium table is a per-language dimension (one row per language), so
-    it is broadcast; the check for missing languages is a distinct over the
-    language column only (partial aggregation, one row per language).
-    """
-    missing = [r["lang"] for r in
-               lines.select("lang").distinct()
-               .join(F.broadcast(premium.select("lang")), "lang", "left_anti")
-               .collect()]
-    if missing:
-        raise KeyError(f"no byte premium for language(s): {sorted(missing)}")
-    return lines.join(F.broadcast(premium), "lang", "inner")
-
-
 def byte_budget_split(lines: DataFrame, premium: DataFrame, train_bytes: float = 1e7,
                       valid_bytes: float = 1e6, order: Sequence[str] = ("doc_id", "line_no"),
                       docs_per_block: int = 256, block_fanout: int | None = None) -> DataFrame:
@@ -58,7 +42,8 @@ def byte_budget_split(lines: DataFrame, premium: DataFrame, train_bytes: float =
     written once; (2) the lines of each language's *crossing* block only (a
     range filter on the document id, which parquet row-group statistics can
     prune) -> the exact bytes that went to train; (3) the line offsets and the
-    labels.  The train total per language is metadata (one value per language).
+    labels, for the blocks that begin within a budget alone.  The train total per
+    language is metadata (one value per language).
     """
     order = list(order)
     B = int(docs_per_block)
@@ -108,7 +93,15 @@ def byte_budget_split(lines: DataFrame, premium: DataFrame, train_bytes: float =
             for k in budgets]
     meta = df.sparkSession.createDataFrame(
         rows, "lang string, t_budget double, v_budget double, train_total long")
-    out = exclusive_prefix_sum(df, ["lang"], blk, order, "bytes", out="before", offsets=offs)
+    # Only blocks that begin within a budget can hold a sampled line: a range filter on the
+    # document id keeps the others out of the scan, before anything is sorted.
+    needed = {r["lang"]: r["last"] for r in offs.join(F.broadcast(meta), "lang").where(
+        F.col("__boff") <= F.greatest("t_budget", F.coalesce("train_total", F.lit(0)) + F.col("v_budget")))
+        .groupBy("lang").agg(F.max("__block0").alias("last")).collect()}
+    within = F.lit(False)
+    for lang, last in sorted(needed.items()):
+        within = within | ((F.col("lang") == lang) & (F.col(order[0]) < (int(last) + 1) * B))
+    out = exclusive_prefix_sum(df.filter(within), ["lang"], blk, order, "bytes", out="before", offsets=offs)
     out = out.join(F.broadcast(meta), "lang")
     is_train = F.col("before") <= F.col("t_budget")
     split = (F.when(is_train, F.lit("train"))

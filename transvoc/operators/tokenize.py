@@ -16,8 +16,7 @@ needed.  (Spark maps are arrays with linear key search, so ``map[...]``
 lookups against a vocabulary would cost O(V) per token; joins are hashed.)
 
 Two tokenizers: ``word`` (split on single spaces, unknown -> ``UNK_ID``) and
-``greedy`` longest-match subword pieces of at most ``max_piece`` characters
-(an unmatched character is one unknown piece), computed once per distinct
+``greedy`` longest-match subword pieces (an unmatched character is one unknown piece), computed once per distinct
 word and joined back.
 """
 
@@ -123,69 +122,18 @@ def regroup(long_rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("
         F.array_sort(F.collect_list(st)).getField("__v").alias(out))
 
 
-MAX_PIECE_DICT_ENTRIES = 2_000_000
-
-
-def greedy_pieces(words_df: DataFrame, pieces: DataFrame, max_piece: int = 24,
-                  known_entries: int | None = None,
-                  max_broadcast_entries: int = MAX_BROADCAST_ENTRIES,
-                  unk: int = UNK_ID, engine: str = "auto") -> DataFrame:
-    """JOB-1 greedy mode over distinct ``(vocab_lang, word)`` rows; adds ``ids``.
-
-    ``engine='arrow'`` ships the piece vocabulary (a model artifact, checked
-    against ``MAX_PIECE_DICT_ENTRIES``) to the executors and walks each word
-    in an Arrow-batched ``mapInPandas`` helper; ``engine='join'`` is the pure
-    DataFrame plan for vocabularies of any size.  ``auto`` picks by the
-    counted size.  Both give the same pieces (tested).
-    """
-    if engine == "auto":
-        n = known_entries if known_entries is not None else pieces.count()
-        engine = "arrow" if n <= MAX_PIECE_DICT_ENTRIES else "join"
-    if engine == "join":
-        return greedy_pieces_join(words_df, pieces, max_piece, known_entries,
-                                  max_broadcast_entries, unk)
-    table: dict[str, dict[str, int]] = {}
-    for r in pieces.select("lang", "token", "id").toLocalIterator():
-        table.setdefault(r["lang"], {})[r["token"]] = int(r["id"])
-    bc = words_df.sparkSession.sparkContext.broadcast(table)
-    w = spread(words_df.select("vocab_lang", "word").distinct(), "vocab_lang", "word")
-
-    def walk(word: str, vocab: dict[str, int]) -> list[int]:
-        i, out, n = 0, [], len(word)
-        while i < n:
-            for l in range(min(max_piece, n - i), 0, -1):
-                t = vocab.get(word[i:i + l])
-                if t is not None:
-                    out.append(t)
-                    i += l
-                    break
-            else:
-                out.append(unk)
-                i += 1
-        return out
-
-    def run(batches):
-        tab = bc.value
-        for b in batches:
-            b = b.copy()
-            b["ids"] = [walk(wd, tab.get(vl, {})) for vl, wd in zip(b["vocab_lang"], b["word"])]
-            yield b
-
-    return w.mapInPandas(run, "vocab_lang string, word string, ids array<int>")
-
-
-def greedy_pieces_join(words_df: DataFrame, pieces: DataFrame, max_piece: int = 24,
-                  known_entries: int | None = None,
+def greedy_pieces(words_df: DataFrame, pieces: DataFrame, known_entries: int | None = None,
                   max_broadcast_entries: int = MAX_BROADCAST_ENTRIES,
                   unk: int = UNK_ID) -> DataFrame:
-    """Greedy longest-match pieces of distinct ``(vocab_lang, word)`` rows,
-    as a pure DataFrame plan (no size limit on the piece vocabulary).
+    """JOB-1 greedy mode: longest-match pieces of distinct ``(vocab_lang, word)``
+    rows; adds ``ids array<int>``.
 
-    Candidates are all substrings of at most ``max_piece`` characters; they
-    are hash-joined to the piece vocabulary, the hits of a word are gathered
-    (bounded by ``len(word) * max_piece``) and a fold over the character
-    positions walks them.  Output adds ``ids array<int>``.
+    Candidates are the substrings no longer than the longest entry of any piece
+    vocabulary (one aggregate); they are joined to the piece vocabulary, the hits
+    of a word are gathered (bounded by the word's length times that entry's) and
+    a fold over the character positions walks them.
     """
+    max_piece = int(pieces.agg(F.max(F.char_length("token"))).first()[0] or 1)
     w = spread(words_df.select("vocab_lang", "word").distinct(), "vocab_lang", "word")
     n = F.char_length("word")
     cand = (w.select("vocab_lang", "word",
@@ -220,7 +168,7 @@ def greedy_pieces_join(words_df: DataFrame, pieces: DataFrame, max_piece: int =
 def encode(lines: DataFrame, vocab: DataFrame, mode: str = "word", pairs="same",
            keys: Sequence[str] = ("lang", "doc_id", "line_no"), line_col: str = "line",
            out: str = "ids", max_len: int | None = None, known_entries: int | None = None,
-           max_broadcast_entries: int = MAX_BROADCAST_ENTRIES, max_piece: int = 24,
+           max_broadcast_entries: int = MAX_BROADCAST_ENTRIES,
            carry: Sequence[str] = (), info: DataFrame | None = None) -> DataFrame:
     """JOB-1 in array form: ``(vocab_lang, keys..., carry..., out array<int>)``.
 
@@ -237,7 +185,7 @@ def encode(lines: DataFrame, vocab: DataFrame, mode: str = "word", pairs="same",
     elif mode == "greedy":
         occ = token_rows(base.select(*gkeys, line_col), gkeys, line_col).withColumnRenamed(
             "token", "word")
-        pcs = greedy_pieces(occ.select("vocab_lang", "word"), vocab, max_piece, known_entries,
+        pcs = greedy_pieces(occ.select("vocab_lang", "word"), vocab, known_entries,
                             max_broadcast_entries)
         exploded = (occ.join(pcs, ["vocab_lang", "word"], "inner")
                     .select(*gkeys, "pos", F.posexplode("ids").alias("k", "token_id")))

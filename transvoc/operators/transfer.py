@@ -1,5 +1,5 @@
 """Embedding transfer between vocabularies (JOB-4 averaging, JOB-5 sparse
-reconstruction).
+reconstruction), for any number of (source, target) pairs at once.
 
 Embedding tables are long: ``(token, id, vec array<float>)`` per space.
 
@@ -7,55 +7,63 @@ Embedding tables are long: ``(token, id, vec array<float>)`` per space.
   vector; every other target token is split into source pieces (greedy
   longest match), the pieces' source vectors are joined and averaged per
   dimension.
-* OMP (orthogonal matching pursuit) needs a dense dictionary per step.  The
-  anchors (shared tokens) are model-sized - at most one vocabulary - and are
-  shipped to the executors as two NumPy matrices after a size check; the
-  missing tokens are spread over tasks and solved in Arrow batches with
-  ``mapInPandas``.
+* OMP (orthogonal matching pursuit) needs a pair's anchors (shared tokens, at
+  most one vocabulary) as one matrix.  Missing tokens are dealt into batches
+  whose number follows their count; each batch meets the anchors of its pair
+  in a cogroup and is solved there, so nothing passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from transvoc.operators.tokenize import greedy_pieces
-from transvoc.operators.vocab import missing_vocab, shared_vocab
-from transvoc.session import spread
 
-MAX_DICTIONARY_BYTES = 512 * 1024 * 1024
 SCORE_DIGITS = 12  # selection scores are compared after rounding (ties -> lowest id)
-
-
-def fvt_transfer(src_vocab: DataFrame, tgt_vocab: DataFrame, src_pieces: DataFrame,
-                 src_emb: DataFrame, src_lang: str, max_piece: int = 24) -> DataFrame:
-    """JOB-4: ``(token, tgt_id, kind, n_pieces, dim, value)`` - the new
-    embedding of every target token in long form.
-
-    ``src_emb`` is ``(id, vec)`` over source piece ids (the unknown id
-    included).  ``kind`` is ``copy`` for shared tokens and ``mean`` otherwise.
+#: Missing tokens that share one copy of their pair's anchors.
+BATCH_TOKENS = 512
+
+
+def pair_tokens(vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """JN-8 / JN-9 for every ordered pair of languages of ``vocab``: the shared
+    tokens (``src_lang, tgt_lang, token, tgt_id, src_id``) and the target tokens
+    that the source lacks (without ``src_id``)."""
+    tgt = vocab.select(F.col("lang").alias("tgt_lang"), "token", F.col("id").alias("tgt_id"))
+    src = vocab.select(F.col("lang").alias("src_lang"), "token", F.col("id").alias("src_id"))
+    shared = tgt.join(src, "token").where("src_lang <> tgt_lang")
+    # one row per vocabulary: each target token once per other language
+    langs = vocab.select(F.col("lang").alias("src_lang")).distinct()
+    missing = (tgt.join(F.broadcast(langs), F.col("src_lang") != F.col("tgt_lang"))
+               .join(src.select("src_lang", "token"), ["src_lang", "token"], "left_anti"))
+    return shared, missing
+
+
+def fvt_transfer(vocab: DataFrame, pieces: DataFrame, src_emb: DataFrame) -> DataFrame:
+    """JOB-4: ``(src_lang, tgt_lang, token, tgt_id, kind, n_pieces, dim, value)`` -
+    the new embedding of every target token of every ordered pair, in long form.
+
+    ``pieces`` are the piece vocabularies, ``src_emb`` is ``(id, vec)`` over piece
+    ids (the unknown id included); a piece without a vector is an error.
+    ``kind`` is ``copy`` for shared tokens and ``mean`` otherwise.
     """
-    shared = shared_vocab(src_vocab, tgt_vocab).select(
-        "token", "tgt_id", F.array(F.col("src_id")).alias("ids"), F.lit("copy").alias("kind"))
-    missing = missing_vocab(src_vocab, tgt_vocab)
-    words = missing.select(F.lit(src_lang).alias("vocab_lang"), F.col("token").alias("word"),
-                           "tgt_id")
-    pcs = greedy_pieces(words.select("vocab_lang", "word"), src_pieces, max_piece)
-    meaned = (words.join(pcs, ["vocab_lang", "word"])
-              .select(F.col("word").alias("token"), "tgt_id", "ids", F.lit("mean").alias("kind")))
-    allt = shared.unionByName(meaned).withColumn("n_pieces", F.size("ids"))
-    per_piece = allt.select("token", "tgt_id", "kind", "n_pieces",
-                            F.explode("ids").alias("id"))
-    vec = per_piece.join(src_emb.select("id", "vec"), "id")
-    dims = vec.select("token", "tgt_id", "kind", "n_pieces",
-                      F.posexplode("vec").alias("dim", "x"))
-    return dims.groupBy("token", "tgt_id", "kind", "n_pieces", "dim").agg(
-        F.avg(F.col("x").cast("double")).alias("value"))
+    keys = ["src_lang", "tgt_lang", "token", "tgt_id"]
+    shared, missing = pair_tokens(vocab)
+    copied = shared.select(*keys, F.array("src_id").alias("ids"), F.lit("copy").alias("kind"))
+    words = missing.select(*keys, F.col("src_lang").alias("vocab_lang"), F.col("token").alias("word"))
+    found = greedy_pieces(words.select("vocab_lang", "word"), pieces)
+    meaned = (words.join(found, ["vocab_lang", "word"])
+              .select(*keys, "ids", F.lit("mean").alias("kind")))
+    allt = copied.unionByName(meaned).withColumn("n_pieces", F.size("ids"))
+    per_piece = allt.select(*keys, "kind", "n_pieces", F.explode("ids").alias("id"))
+    known = F.coalesce("vec", F.raise_error(F.concat(F.lit("no source vector for piece "), F.col("id"))))
+    vec = (per_piece.join(src_emb.select("id", "vec"), "id", "left")
+           .select(*keys, "kind", "n_pieces", F.posexplode(known).alias("dim", "x")))
+    return vec.groupBy(*keys, "kind", "n_pieces", "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
 def _omp_one(y: np.ndarray, D: np.ndarray, norms: np.ndarray, k: int, tol: float):
@@ -80,193 +88,49 @@ def _omp_one(y: np.ndarray, D: np.ndarray, norms: np.ndarray, k: int, tol: float
     return support, coef, r
 
 
-def omp_transfer(missing: DataFrame, anchors: pd.DataFrame, k: int, tol: float = 1e-10,
-                 max_dictionary_bytes: int = MAX_DICTIONARY_BYTES) -> DataFrame:
-    """JOB-5: OMP with at most ``k`` anchors per missing token.
-
-    ``missing``: ``(token, tgt_id, donor array<float>)`` rows (Spark).
-    ``anchors``: pandas frame ``(token, tgt_id, donor, base)`` sorted by
-    ``tgt_id`` - collected by :func:`anchor_dictionary` under the size bound.
-    Output ``(token, tgt_id, support array<string>, coefs array<double>,
-    residual double, vec array<double>)``: ``vec`` applies the coefficients
-    to the anchors' base-space vectors.
-    """
-    D = np.asarray(np.stack(anchors["donor"].to_numpy()), dtype=np.float64)
-    B = np.asarray(np.stack(anchors["base"].to_numpy()), dtype=np.float64)
-    if D.nbytes + B.nbytes > max_dictionary_bytes:
-        raise ValueError("anchor dictionary exceeds the broadcast bound")
-    names = anchors["token"].tolist()
-    sc = missing.sparkSession.sparkContext
-    bc = sc.broadcast((D, B, names))
-    schema = T.StructType([
-        T.StructField("token", T.StringType()), T.StructField("tgt_id", T.IntegerType()),
-        T.StructField("support", T.ArrayType(T.StringType())),
-        T.StructField("coefs", T.ArrayType(T.DoubleType())),
-        T.StructField("residual", T.DoubleType()),
-        T.StructField("vec", T.ArrayType(T.DoubleType())),
-    ])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        Dm, Bm, nm = bc.value
-        norms = np.linalg.norm(Dm, axis=1)
-        for b in batches:
-            out = {"token": [], "tgt_id": [], "support": [], "coefs": [], "residual": [], "vec": []}
-            for tok, tid, y in zip(b["token"], b["tgt_id"], b["donor"]):
-                yv = np.asarray(y, dtype=np.float64)
-                s, c, r = _omp_one(yv, Dm, norms, k, tol)
-                out["token"].append(tok)
-                out["tgt_id"].append(int(tid))
-                out["support"].append([nm[i] for i in s])
-                out["coefs"].append([float(x) for x in c])
-                out["residual"].append(float(np.linalg.norm(r)))
-                out["vec"].append((Bm[s].T @ c).tolist() if s else [0.0] * Bm.shape[1])
-            yield pd.DataFrame(out)
-
-    return spread(missing.select("token", "tgt_id", "donor"), "token").mapInPandas(run, schema)
+def omp(missing: DataFrame, anchors: DataFrame, k: int, groups: Sequence[str] = ("src_lang", "tgt_lang"),
+        tol: float = 1e-10, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """JOB-5: each missing token from at most ``k`` anchors of its group.
 
-
-def anchor_dictionary(anchors: DataFrame, dim: int,
-                      max_dictionary_bytes: int = MAX_DICTIONARY_BYTES) -> pd.DataFrame:
-    """Collect the anchor matrices after checking their size.
-
-    Anchors are the shared tokens of two vocabularies, so their count is at
-    most one vocabulary; the byte bound is checked on the count first, before
-    anything is collected.
+    ``missing``: ``(groups..., token, tgt_id, donor array<float>)``; ``anchors``:
+    ``(groups..., token, tgt_id, donor, base)``.  Output ``(groups..., token,
+    tgt_id, support array<string>, coefs array<double>, residual double, vec
+    array<double>)``: ``vec`` applies the coefficients to the anchors' base-space
+    vectors.  A group without usable anchors gives empty support, the token's own
+    length as residual and an empty ``vec``.
     """
-    n = anchors.count()
-    need = n * dim * 8 * 2
-    if need > max_dictionary_bytes:
-        raise ValueError(f"{n} anchors x {dim} dims need {need} bytes, above the bound "
-                         f"{max_dictionary_bytes}; lower the vocabulary or raise the bound")
-    return anchors.orderBy("tgt_id").toPandas()
-
-
-# ---------------------------------------------------------------------------
-# OMP beyond the broadcast bound: the dictionary stays distributed.
-
-def omp_sharded(missing: DataFrame, anchors: DataFrame, k: int, tol: float = 1e-10,
-                shard_ids: int = 4096, token_batches: int = 16) -> DataFrame:
-    """JOB-5 without collecting the dictionary: same selection rule and output
-    as :func:`omp_transfer`.
-
-    Anchors are cut into shards by ``tgt_id div shard_ids`` (each shard holds
-    at most ``shard_ids`` anchors).  Each of the ``k`` steps is:
-
-    1. cogroup (token batch x shard): one matmul scores a batch's residuals
-       against a shard's anchors and keeps each token's best in that shard;
-    2. ``max_by`` over shards picks the global best (ties: lowest id);
-    3. the support's donor vectors (at most ``k`` per token) are joined back
-       and ``mapInPandas`` refits the least squares and the residual.
-
-    The state is written to the shared checkpoint folder after every step.
-    """
-    from transvoc.session import cut_lineage
-
-    spark = missing.sparkSession
-    anc = anchors.select("token", "tgt_id", "donor", "base").withColumn(
-        "shard", F.floor(F.col("tgt_id") / F.lit(shard_ids)).cast("long"))
-    anc = cut_lineage(anc, "omp_anchors")
-    n_shards = anc.agg(F.max("shard")).first()[0]
-    n_shards = 0 if n_shards is None else int(n_shards) + 1
-    batches = spark.range(token_batches).select(F.col("id").cast("int").alias("batch"))
-    # every shard once per token batch: shards x batches rows, both bounded
-    shard_rows = anc.select("shard", "tgt_id", "donor").crossJoin(F.broadcast(batches))
-
-    state = missing.select(
-        "token", "tgt_id", F.col("donor").cast("array<double>").alias("y"),
-        F.col("donor").cast("array<double>").alias("r"),
-        F.array().cast("array<int>").alias("support"),
-        F.array().cast("array<double>").alias("coefs"),
-        F.lit(False).alias("done"),
-        F.pmod(F.xxhash64("token"), F.lit(token_batches)).cast("int").alias("batch"))
-    state = cut_lineage(state, "omp_state")
-
-    best_schema = "token string, shard long, best_id int, score double"
-
-    def best_in_shard(toks: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        if toks.empty or shard.empty:
-            return pd.DataFrame(columns=["token", "shard", "best_id", "score"])
-        ids = shard["tgt_id"].to_numpy()
-        D = np.stack(shard["donor"].to_numpy()).astype(np.float64)
+    groups = list(groups)
+    sizes = missing.groupBy(*groups).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(batch_tokens)).alias("batches"))
+    left = (missing.join(sizes, groups)
+            .withColumn("batch", F.pmod(F.xxhash64("token"), F.col("batches")))
+            .select(*groups, "batch", "token", "tgt_id", "donor"))
+    right = (anchors.join(sizes, groups)
+             .withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)))
+             .select(*groups, "batch", "token", "tgt_id", "donor", "base"))
+    kinds = missing.select(*groups).schema
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + (
+        ", token string, tgt_id int, support array<string>, coefs array<double>, "
+        "residual double, vec array<double>")
+
+    def solve(tokens: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
+        dictionary = dictionary.sort_values("tgt_id", kind="stable")
+        names = dictionary["token"].tolist()
+        empty = not len(dictionary)
+        D = np.zeros((0, 0)) if empty else np.stack(dictionary["donor"].to_numpy()).astype(np.float64)
+        B = np.zeros((0, 0)) if empty else np.stack(dictionary["base"].to_numpy()).astype(np.float64)
         norms = np.linalg.norm(D, axis=1)
-        usable = norms > 0
-        R = np.stack(toks["r"].to_numpy()).astype(np.float64)
-        S = np.round(np.abs(R @ D.T) / np.where(usable, norms, 1.0), SCORE_DIGITS)
-        S[:, ~usable] = -1.0
-        for row, sup in enumerate(toks["support"]):
-            if len(sup):
-                S[row, np.isin(ids, np.asarray(sup))] = -1.0
-        order = np.argsort(ids, kind="stable")          # ties -> lowest id
-        S, ids = S[:, order], ids[order]
-        j = np.argmax(S, axis=1)
-        return pd.DataFrame({"token": toks["token"].to_numpy(),
-                             "shard": int(shard["shard"].iloc[0]),
-                             "best_id": ids[j].astype(np.int32),
-                             "score": S[np.arange(len(j)), j]})
-
-    refit_schema = ("token string, tgt_id int, y array<double>, r array<double>, "
-                    "support array<int>, coefs array<double>, done boolean, batch int")
-
-    def refit(batches_it):
-        for b in batches_it:
-            rs, cs, ds = [], [], []
-            for y, vecs, done in zip(b["y"], b["vecs"], b["done"]):
-                yv = np.asarray(y, dtype=np.float64)
-                A = np.stack([np.asarray(v, dtype=np.float64) for v in vecs]).T
-                c, *_ = np.linalg.lstsq(A, yv, rcond=None)
-                r = yv - A @ c
-                rs.append(r.tolist())
-                cs.append(c.tolist())
-                ds.append(bool(done) or np.linalg.norm(r) <= tol * max(1.0, np.linalg.norm(yv)))
-            yield pd.DataFrame({"token": b["token"], "tgt_id": b["tgt_id"], "y": b["y"], "r": rs,
-                                "support": b["support"], "coefs": cs, "done": ds,
-                                "batch": b["batch"]})
-
-    n_anchors = anc.filter(F.aggregate("donor", F.lit(0.0), lambda a, x: a + x * x) > 0).count()
-    for _ in range(min(k, n_anchors)):
-        active = state.filter(~F.col("done"))
-        if active.limit(1).count() == 0:
-            break
-        toks = active.select("token", "r", "support", "batch").crossJoin(
-            F.broadcast(spark.range(n_shards).select(F.col("id").alias("shard"))))
-        cand = toks.groupBy("batch", "shard").cogroup(shard_rows.groupBy("batch", "shard")) \
-            .applyInPandas(best_in_shard, best_schema)
-        pick = cand.filter(F.col("score") >= 0).groupBy("token").agg(
-            F.max_by("best_id", F.struct("score", (-F.col("best_id")).alias("neg"))).alias("pick"))
-        grown = (active.join(pick, "token")
-                 .withColumn("support", F.concat("support", F.array("pick"))).drop("pick"))
-        sup = grown.select("token", F.posexplode("support").alias("i", "tgt_id_s"))
-        vec = sup.join(anc.select(F.col("tgt_id").alias("tgt_id_s"), "donor"), "tgt_id_s")
-        vecs = vec.groupBy("token").agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("i", "donor"))), lambda x: x["donor"]).alias("vecs"))
-        refitted = grown.join(vecs, "token").mapInPandas(refit, refit_schema)
-        state = cut_lineage(state.filter(F.col("done")).unionByName(refitted), "omp_state")
-
-    # apply the coefficients to the anchors' base vectors
-    terms = state.select("token", "tgt_id", "r", F.posexplode(
-        F.arrays_zip(F.col("support").alias("sid"), F.col("coefs").alias("c"))).alias("i", "t"))
-    base = anc.select(F.col("tgt_id").alias("sid"), "base", F.col("token").alias("anchor"))
-    terms = terms.join(base, terms["t.sid"] == base["sid"])
-    dims = terms.select("token", "tgt_id", "i", "anchor", F.col("t.c").alias("c"),
-                        F.posexplode("base").alias("d", "b"))
-    vec = dims.groupBy("token", "tgt_id", "d").agg(F.sum(F.col("c") * F.col("b")).alias("v"))
-    vec = vec.groupBy("token", "tgt_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("vec"))
-    names = dims.select("token", "i", "anchor").distinct().groupBy("token").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("i", "anchor"))), lambda x: x["anchor"]).alias("support"))
-    resid = state.select("token", "tgt_id", "coefs", F.sqrt(
-        F.aggregate("r", F.lit(0.0), lambda a, x: a + x * x)).alias("residual"))
-    return (resid.join(names, "token", "left").join(vec, ["token", "tgt_id"], "left")
-            .select("token", "tgt_id", "support", "coefs", "residual", "vec"))
-
-
-def omp(missing: DataFrame, anchors: DataFrame, k: int, dim: int, tol: float = 1e-10,
-        max_dictionary_bytes: int = MAX_DICTIONARY_BYTES) -> DataFrame:
-    """JOB-5 entry point: broadcast the anchor dictionary when its size is
-    within ``max_dictionary_bytes`` (checked on the count), otherwise run the
-    sharded plan, which gives the same result."""
-    n = anchors.count()
-    if n * dim * 8 * 2 <= max_dictionary_bytes:
-        return omp_transfer(missing, anchors.orderBy("tgt_id").toPandas(), k, tol,
-                            max_dictionary_bytes)
-    return omp_sharded(missing, anchors, k, tol)
+        out = tokens[[*groups, "token", "tgt_id"]].copy()
+        support, coefs, residual, vec = [], [], [], []
+        for y in tokens["donor"]:
+            s, c, r = _omp_one(np.asarray(y, dtype=np.float64), D, norms, k, tol)
+            support.append([names[i] for i in s])
+            coefs.append([float(x) for x in c])
+            residual.append(float(np.linalg.norm(r)))
+            vec.append((B[s].T @ c).tolist() if s else [0.0] * B.shape[1])
+        out["support"], out["coefs"], out["residual"], out["vec"] = support, coefs, residual, vec
+        return out
+
+    keys = [*groups, "batch"]
+    right = right.toDF(*(f"a_{c}" for c in right.columns)).toDF(*right.columns)  # columns of its own
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(solve, schema)

@@ -8,8 +8,8 @@ self-contained ``WITH ... SELECT`` over the pre-registered tables.
 
 from __future__ import annotations
 
-from transvoc.testbed import (ALPHA, DEVTEST_MOD, MAX_PIECE, MAX_SEQ_LEN, MCQ_MAX_LEN,
-                              MIN_PAIR_MAX_LEN, VOCAB_K, VOCAB_SIZE)
+from transvoc.testbed import (ALPHA, DEVTEST_MOD, MAX_SEQ_LEN, MCQ_MAX_LEN, MIN_PAIR_MAX_LEN,
+                              TRAIN_SHARE, VALID_SHARE, VOCAB_K, VOCAB_SIZE)
 
 STRIP = r"regexp_replace({x}, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')"
 
@@ -105,7 +105,7 @@ def loss_expr(c: str, n: str) -> str:
 
 
 PARAMS = dict(ALPHA=ALPHA, MAX_SEQ_LEN=MAX_SEQ_LEN, MCQ_MAX_LEN=MCQ_MAX_LEN,
-              MIN_PAIR_MAX_LEN=MIN_PAIR_MAX_LEN, MAX_PIECE=MAX_PIECE, VOCAB_SIZE=VOCAB_SIZE)
+              MIN_PAIR_MAX_LEN=MIN_PAIR_MAX_LEN, VOCAB_SIZE=VOCAB_SIZE)
 
 
 # ---- scoring relations shared by several oracles
@@ -150,6 +150,19 @@ SELECT c.lang, c.doc_id, c.line_no, c.line, c.bytes, c.before,
 FROM c LEFT JOIN t ON t.lang = c.lang
 WHERE c.before <= 100000 * c.factor OR c.before - t.tt <= 10000 * c.factor""")
 
+cte("sampled_share", ["lines"], f"""
+WITH p AS (SELECT lang, sum(strlen(line)) AS factor FROM lines GROUP BY lang),
+c AS (
+  SELECT l.lang, l.doc_id, l.line_no, l.line, strlen(l.line) AS bytes, p.factor::DOUBLE AS factor,
+         coalesce(sum(strlen(l.line)) OVER (PARTITION BY l.lang ORDER BY l.doc_id, l.line_no
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM lines l JOIN p ON p.lang = l.lang
+), t AS (SELECT lang, min(before) AS tt FROM c WHERE before > {TRAIN_SHARE}::DOUBLE * factor GROUP BY lang)
+SELECT c.lang, c.doc_id, c.line_no, c.line, c.bytes, c.before,
+       CASE WHEN c.before <= {TRAIN_SHARE}::DOUBLE * c.factor THEN 'train' ELSE 'valid' END AS split
+FROM c LEFT JOIN t ON t.lang = c.lang
+WHERE c.before <= {TRAIN_SHARE}::DOUBLE * c.factor OR c.before - t.tt <= {VALID_SHARE}::DOUBLE * c.factor""")
+
 cte("mapping", [], """
 SELECT lang, lower('models/' || lang || '_100MB') AS source, lower('models/' || lang || '_10MB') AS target,
        'data/train/' || lower(lang || '.txt') AS train, 'data/valid/' || lower(lang || '.txt') AS valid
@@ -184,8 +197,21 @@ jobs AS (
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY regime, src_lang, out ORDER BY kind_ord, model) AS rn FROM jobs)
 WHERE rn = 1""")
-cte("existing", ["manifest"], "SELECT model || '_finetuned' AS out FROM manifest WHERE NOT finetuned AND src_lang = 'de'")
-cte("ft_plan", ["ft_jobs", "existing"], "SELECT * FROM ft_jobs WHERE out NOT IN (SELECT out FROM existing)")
+cte("existing", ["manifest"], """
+SELECT 'mono-finetuning' AS regime, model || '_finetuned' AS out FROM manifest
+WHERE NOT finetuned AND src_lang = 'de'""")
+cte("ft_plan", ["ft_jobs", "existing"], """
+SELECT * FROM ft_jobs j WHERE NOT EXISTS (
+  SELECT 1 FROM existing e WHERE e.regime = j.regime AND e.out = j.out)""")
+cte("resolved", ["manifest", "ft_jobs"], """
+SELECT m.*, r.regime,
+       CASE WHEN m.finetuned THEN string_split(m.src_model, '/')[-1] || '_' || m.tgt_lang || '_finetuned'
+            ELSE m.src_model END AS base_model
+FROM manifest m JOIN (VALUES (false, 'no-finetuning'), (true, 'mono-finetuning'),
+                             (true, 'mixed-finetuning')) r(finetuned, regime) ON r.finetuned = m.finetuned
+WHERE NOT m.finetuned OR EXISTS (
+  SELECT 1 FROM ft_jobs j WHERE j.regime = r.regime
+    AND j.out = string_split(m.src_model, '/')[-1] || '_' || m.tgt_lang || '_finetuned')""")
 
 cte("emb_n", [], "SELECT count(*) AS n FROM embeddings")
 

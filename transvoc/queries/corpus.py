@@ -78,13 +78,13 @@ def sample_summary_q(spark, sf_dir):
     return finish(sample_summary(tb.sampled(spark, sf_dir)))
 
 
-@register("sink_roundtrip", O.with_ctes(["sampled"], """
+@register("sink_roundtrip", O.with_ctes(["sampled_share"], """
 SELECT split, lang, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(bytes) AS BIGINT) AS n_bytes,
-       min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM sampled GROUP BY split, lang"""))
+       min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM sampled_share GROUP BY split, lang"""))
 def sink_roundtrip(spark, sf_dir):
     """SNK-1: write the split by (split, lang) in order, read it back."""
     path = scratch_path(spark, "sink_roundtrip")
-    write_split(tb.sampled(spark, sf_dir).select("lang", "doc_id", "line_no", "line", "bytes",
+    write_split(tb.sampled_share(spark, sf_dir).select("lang", "doc_id", "line_no", "line", "bytes",
                                                  "split"), path)
     back = spark.read.parquet(path)
     return finish(back.groupBy("split", "lang").agg(
@@ -93,8 +93,8 @@ def sink_roundtrip(spark, sf_dir):
 
 
 _B = tb.PACK_LEN - 1
-PACK_SQL = O.with_ctes(["sampled", "vocab"], f"""
-, tr AS (SELECT lang, doc_id, line_no, {O.words('line')} AS ws FROM sampled WHERE split = 'train'),
+PACK_SQL = O.with_ctes(["sampled_share", "vocab"], f"""
+, tr AS (SELECT lang, doc_id, line_no, {O.words('line')} AS ws FROM sampled_share WHERE split = 'train'),
 starts AS (
   SELECT lang, doc_id, line_no, len(ws) + 1 AS n,
          coalesce(sum(len(ws) + 1) OVER (PARTITION BY lang ORDER BY doc_id, line_no
@@ -121,9 +121,10 @@ FROM segs""")
 def pack_segments_q(spark, sf_dir):
     """WIN-3 / JOB-3 / SNK-4: the train split of every language packed into
     segments of ``PACK_LEN`` ids, written as a dataset and read back."""
-    train = tb.sampled(spark, sf_dir).filter(F.col("split") == "train").select(
+    train = tb.sampled_share(spark, sf_dir).filter(F.col("split") == "train").select(
         "lang", "doc_id", "line_no", "line")
-    enc = encode(train, tb.models(spark, sf_dir).vocab, "word", "same", known_entries=tb.word_bound())
+    m = tb.models(spark, sf_dir)
+    enc = encode(train, m.vocab, "word", "same", known_entries=m.known)
     segs = pack_segments(enc, tb.PACK_LEN, ["lang"], docs_per_block=tb.DOCS_PER_BLOCK)
     path = scratch_path(spark, "segments")
     write_segments(segs.withColumnRenamed("lang", "corpus"), path)

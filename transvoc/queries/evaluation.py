@@ -16,7 +16,7 @@ from transvoc.operators.tokenize import (encode, encode_long, greedy_pieces, tok
                                          tokenize_with, with_vocab_langs)
 from transvoc.operators.vocab import CLS_ID, UNK_ID
 from transvoc.session import scratch_path
-from transvoc.sources.mcq import read_mcq, write_mcq
+from transvoc.sources.mcq import read_mcq, read_min_pairs, write_mcq
 
 # ---------------------------------------------------------------- norm_ppl
 
@@ -41,7 +41,7 @@ def norm_ppl(spark, sf_dir):
     m = tb.models(spark, sf_dir)
     res = metrics.evaluate_ppl(tb.devtest(spark, sf_dir), m.vocab, m.lm, mode="word", pairs="all",
                                max_len=tb.MAX_SEQ_LEN, alpha=tb.ALPHA,
-                               known_entries=tb.word_bound(), info=m.info, ctx=m.ctx)
+                               known_entries=m.known, info=m.info, ctx=m.ctx)
     return finish(res.select("vocab_lang", "lang", "log_ppl", "norm_ppl", "uid_prop",
                              "n_lines", "n_truncated", "n_blank"))
 
@@ -67,7 +67,7 @@ def encode_lines(spark, sf_dir):
     ``[cls] + ids`` truncated to the model context."""
     m = tb.models(spark, sf_dir)
     enc = encode(tb.devtest(spark, sf_dir).filter(F.col("line") != ""), m.vocab,
-                 "word", "all", known_entries=tb.word_bound(), info=m.info)
+                 "word", "all", known_entries=m.known, info=m.info)
     return finish(enc.select(
         "vocab_lang", "lang", "doc_id", "line_no",
         F.array_join(F.slice(F.concat(F.array(F.lit(CLS_ID)), "ids"), 1, tb.MAX_SEQ_LEN), ",")
@@ -98,12 +98,13 @@ def custom_tokenizer(spark, sf_dir):
                              F.size("ids").cast("long").alias("n_tokens")))
 
 
-GREEDY_SQL = O.with_ctes(["dev_tokens", "piece_vocab", "vlangs"], f"""
+GREEDY_SQL = O.with_ctes(["dev_tokens", "piece_vocab", "vlangs"], """
 , gwv AS (SELECT l.vocab_lang, w.word FROM (SELECT DISTINCT token AS word FROM dev_tokens) w
           CROSS JOIN vlangs l),
 starts AS (SELECT vocab_lang, word, unnest(range(1, length(word) + 1)) AS s FROM gwv),
 subs AS (SELECT vocab_lang, word, s,
-                unnest(range(1, least({tb.MAX_PIECE}, length(word) - s + 1) + 1)) AS l FROM starts),
+                unnest(range(1, least((SELECT max(length(token)) FROM piece_vocab), length(word) - s + 1) + 1)) AS l
+         FROM starts),
 hits AS (SELECT x.vocab_lang, x.word, x.s, x.l, p.id FROM subs x
          JOIN piece_vocab p ON p.lang = x.vocab_lang AND p.token = substring(x.word, x.s, x.l)),
 best AS (SELECT vocab_lang, word, s, max(l) AS l, arg_max(id, l) AS id
@@ -126,7 +127,7 @@ def greedy_pieces_q(spark, sf_dir):
     words = (token_rows(tb.devtest(spark, sf_dir), ["lang"]).select(F.col("token").alias("word"))
              .distinct())
     wv = with_vocab_langs(words.withColumn("lang", F.lit("")), pv, "all").select("vocab_lang", "word")
-    res = greedy_pieces(wv, pv, tb.MAX_PIECE, known_entries=None)
+    res = greedy_pieces(wv, pv)
     return finish(res.select("vocab_lang", "word", F.array_join("ids", ",").alias("pieces"),
                              F.size("ids").cast("long").alias("n_pieces")))
 
@@ -141,7 +142,7 @@ def token_compression(spark, sf_dir):
     """AGG-5: bytes per token (ratio of sums, two special ids per line)."""
     m = tb.models(spark, sf_dir)
     res = metrics.bytes_per_token(tb.devtest(spark, sf_dir), m.vocab, "word", "all", n_special=2,
-                                  known_entries=tb.word_bound(), info=m.info)
+                                  known_entries=m.known, info=m.info)
     return finish(res)
 
 
@@ -163,7 +164,7 @@ def token_scores(spark, sf_dir):
     """JOB-7: the ``token_loss`` table - every devtest token under every model."""
     m = tb.models(spark, sf_dir)
     rows = encode_long(tb.devtest(spark, sf_dir), m.vocab, "all",
-                       known_entries=tb.word_bound(), info=m.info)
+                       known_entries=m.known, info=m.info)
     tl = lm_ops.score(rows, m.lm, tb.VOCAB_SIZE, alpha=tb.ALPHA, ctx=m.ctx)
     return finish(tl.select("vocab_lang", "lang", "doc_id", "line_no", "pos", "token_id",
                             "prev_id", "loss_nats"))
@@ -173,7 +174,7 @@ def _ppl_lines(spark, sf_dir, scorer=None):
     d = tb.devtest(spark, sf_dir).filter(F.col("line") != "")
     m = tb.models(spark, sf_dir)
     return metrics.ppl_lines(d, m.vocab, m.lm, "word", "all", tb.MAX_SEQ_LEN, tb.ALPHA,
-                             known_entries=tb.word_bound(), scorer=scorer, info=m.info,
+                             known_entries=m.known, scorer=scorer, info=m.info,
                              ctx=None if scorer is not None else m.ctx)
 
 
@@ -233,9 +234,10 @@ def custom_scorer(spark, sf_dir):
 # ---------------------------------------------------------------- multiple choice, minimal pairs
 
 O.cte("mcq", [], """
-SELECT i.item_id, substring(i.text, 1, 60) AS passage, substring(i.text, 61, 30) AS question,
+SELECT i.item_id, substring(i.text, 1, 2 * length(i.text) // 3) AS passage,
+       substring(i.text, 2 * length(i.text) // 3 + 1) AS question,
        CAST(1 + i.item_id % 4 AS INTEGER) AS correct,
-       list(substring(a.text, 1, 40) ORDER BY j.j) AS answers
+       list(a.text ORDER BY j.j) AS answers
 FROM (SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark) i
 CROSS JOIN (SELECT count(*) AS n FROM benchmark) c
 CROSS JOIN range(1, 5) j(j)
@@ -290,14 +292,14 @@ def mcq_accuracy(spark, sf_dir):
     """JOB-9 / WIN-5 / AGG-6: multiple-choice accuracy of every model."""
     m = tb.models(spark, sf_dir)
     res = metrics.evaluate_mcq(tb.mcq(spark, sf_dir), m.vocab, m.lm, "word", tb.MCQ_MAX_LEN,
-                               tb.ALPHA, known_entries=tb.word_bound(), info=m.info, ctx=m.ctx)
+                               tb.ALPHA, known_entries=m.known, info=m.info, ctx=m.ctx)
     return finish(res)
 
 
 O.cte("min_pairs", ["devtest"], """
 SELECT lang, doc_id, line_no, line AS sen,
        array_to_string(list_reverse(string_split(line, ' ')), ' ') AS wrong_sen
-FROM devtest WHERE line <> '' AND len(string_split(line, ' ')) BETWEEN 3 AND 60""")
+FROM devtest WHERE line <> ''""")
 O.cte("mp_sides", ["min_pairs", "vocab", "vlangs", "lm", "lm_ctx"], f"""
 WITH sides AS (
   SELECT lang, doc_id, line_no, 0 AS side, sen AS line FROM min_pairs
@@ -323,8 +325,8 @@ GROUP BY x.vocab_lang, x.lang, x.doc_id, x.line_no, x.side""")
 @register("minimal_pairs", O.with_ctes(["min_pairs"], """
 SELECT lang, doc_id, CAST(line_no AS BIGINT) AS line_no, sen, wrong_sen FROM min_pairs"""))
 def minimal_pairs(spark, sf_dir):
-    """SRC-5: minimal pairs (correct sentence, words reversed)."""
-    return finish(tb.min_pairs(spark, sf_dir))
+    """SRC-5: minimal pairs (correct sentence, words reversed), of the run's languages."""
+    return finish(read_min_pairs(tb.min_pairs(spark, sf_dir), *tb.lang_list(spark, sf_dir)))
 
 
 @register("minimal_pair_accuracy", O.with_ctes(["mp_sides"], f"""
@@ -344,6 +346,6 @@ def minimal_pair_accuracy(spark, sf_dir):
     """JOB-10 / AGG-7: minimal-pair accuracy per (model, language)."""
     m = tb.models(spark, sf_dir)
     res = metrics.evaluate_min_pairs(tb.min_pairs(spark, sf_dir), m.vocab, m.lm, "word",
-                                     tb.MIN_PAIR_MAX_LEN, tb.ALPHA, known_entries=tb.word_bound(),
+                                     tb.MIN_PAIR_MAX_LEN, tb.ALPHA, known_entries=m.known,
                                      info=m.info, ctx=m.ctx)
     return finish(res)

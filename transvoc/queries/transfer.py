@@ -9,9 +9,6 @@ from transvoc import testbed as tb
 from transvoc.catalog import finish, register
 from transvoc.operators import transfer as TR
 
-S, T = tb.TRANSFER_SRC, tb.TRANSFER_TGT
-
-
 @register("vocab_overlap", O.with_ctes(["vocab"], """
 SELECT sl.lang AS src_lang, t.lang AS tgt_lang,
        CAST(count(s.token) AS BIGINT) AS n_shared,
@@ -36,103 +33,121 @@ def vocab_overlap(spark, sf_dir):
                              (F.col("k") - F.col("n_shared")).cast("long").alias("n_missing")))
 
 
-FVT_SQL = O.with_ctes(["vocab", "piece_vocab", "emb_n"], f"""
-, tv AS (SELECT token, id AS tgt_id FROM vocab WHERE lang = '{T}'),
-sv AS (SELECT token, id AS src_id FROM vocab WHERE lang = '{S}'),
-miss AS (SELECT tv.* FROM tv WHERE token NOT IN (SELECT token FROM sv)),
-starts AS (SELECT token AS word, unnest(range(1, length(token) + 1)) AS s FROM miss),
-subs AS (SELECT word, s, unnest(range(1, least({tb.MAX_PIECE}, length(word) - s + 1) + 1)) AS l FROM starts),
-hits AS (SELECT x.word, x.s, x.l, p.id FROM subs x
-         JOIN piece_vocab p ON p.lang = '{S}' AND p.token = substring(x.word, x.s, x.l)),
-best AS (SELECT word, s, max(l) AS l, arg_max(id, l) AS id FROM hits GROUP BY word, s),
-walk(word, nxt, ids) AS (
-  SELECT token, 1, []::INTEGER[] FROM miss
-  UNION ALL
-  SELECT w.word, w.nxt + coalesce(b.l, 1), list_append(w.ids, coalesce(b.id, 1))
-  FROM walk w LEFT JOIN best b ON b.word = w.word AND b.s = w.nxt
-  WHERE w.nxt <= length(w.word)),
-pieces AS (
-  SELECT w.word AS token, m.tgt_id, 'mean' AS kind, w.ids FROM walk w JOIN miss m ON m.token = w.word
-  WHERE w.nxt > length(w.word)
+O.cte("pair_missing", ["vocab", "vlangs"], """
+SELECT l.vocab_lang AS src_lang, t.lang AS tgt_lang, t.token, t.id AS tgt_id
+FROM vocab t JOIN vlangs l ON l.vocab_lang <> t.lang
+WHERE NOT EXISTS (SELECT 1 FROM vocab s WHERE s.lang = l.vocab_lang AND s.token = t.token)""")
+O.cte("pair_shared", ["vocab"], """
+SELECT s.lang AS src_lang, t.lang AS tgt_lang, t.token, t.id AS tgt_id, s.id AS src_id
+FROM vocab t JOIN vocab s ON s.token = t.token AND s.lang <> t.lang""")
+
+FVT_SQL = O.with_ctes(["pair_missing", "pair_shared", "piece_vocab", "emb_n"], f"""
+, todo AS MATERIALIZED (SELECT row_number() OVER () AS k, src_lang, word
+         FROM (SELECT DISTINCT src_lang, token AS word FROM pair_missing)),
+starts AS (SELECT k, src_lang, word, unnest(range(1, length(word) + 1)) AS s FROM todo),
+subs AS (SELECT k, src_lang, word, s, unnest(range(1, least((SELECT max(length(token)) FROM piece_vocab),
+                                                           length(word) - s + 1) + 1)) AS l FROM starts),
+hits AS (SELECT x.k, x.s, x.l, p.id FROM subs x
+         JOIN piece_vocab p ON p.lang = x.src_lang AND p.token = substring(x.word, x.s, x.l)),
+best AS (SELECT k, s, max(l) AS l, arg_max(id, l) AS id FROM hits GROUP BY k, s),
+walk(k, size, nxt, ids) AS (
+  SELECT k, length(word), 1, []::INTEGER[] FROM todo
   UNION ALL
-  SELECT tv.token, tv.tgt_id, 'copy', [sv.src_id] FROM tv JOIN sv ON sv.token = tv.token),
-pp AS (SELECT token, tgt_id, kind, len(ids) AS n_pieces, unnest(ids) AS id FROM pieces),
-ev AS (SELECT pp.*, e.embedding FROM pp CROSS JOIN emb_n
-       JOIN embeddings e ON e.vec_id = ((pp.id - 4) % emb_n.n + emb_n.n) % emb_n.n),
-dims AS (SELECT token, tgt_id, kind, n_pieces, unnest(range({tb.EMB_HALF})) AS dim,
-                unnest(embedding[1:{tb.EMB_HALF}]) AS x FROM ev)
-SELECT token, CAST(tgt_id AS BIGINT) AS tgt_id, kind, CAST(n_pieces AS BIGINT) AS n_pieces,
-       CAST(dim AS BIGINT) AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS value
-FROM dims GROUP BY token, tgt_id, kind, n_pieces, dim""", recursive=True)
+  SELECT w.k, w.size, w.nxt + coalesce(b.l, 1), list_append(w.ids, coalesce(b.id, 1))
+  FROM walk w LEFT JOIN best b ON b.k = w.k AND b.s = w.nxt
+  WHERE w.nxt <= w.size),
+pieces AS MATERIALIZED (
+  SELECT row_number() OVER () AS p, * FROM (
+    SELECT m.src_lang, m.tgt_lang, m.token, m.tgt_id, 'mean' AS kind, w.ids
+    FROM walk w JOIN todo t ON t.k = w.k JOIN pair_missing m ON m.token = t.word AND m.src_lang = t.src_lang
+    WHERE w.nxt > w.size
+    UNION ALL
+    SELECT src_lang, tgt_lang, token, tgt_id, 'copy', [src_id] FROM pair_shared)),
+vecs AS (SELECT vec_id, CAST(embedding[1:{tb.EMB_HALF}] AS DOUBLE[]) AS v FROM embeddings),
+means AS (
+  SELECT p, list_transform(range({tb.EMB_HALF}), lambda d: list_avg(list_transform(list(v), lambda x: x[d + 1]))) AS mean
+  FROM (SELECT p, unnest(ids) AS id FROM pieces) q CROSS JOIN emb_n
+  JOIN vecs e ON e.vec_id = ((q.id - 4) % emb_n.n + emb_n.n) % emb_n.n GROUP BY p)
+SELECT src_lang, tgt_lang, token, CAST(tgt_id AS BIGINT) AS tgt_id, kind, CAST(len(ids) AS BIGINT) AS n_pieces,
+       CAST(unnest(range({tb.EMB_HALF})) AS BIGINT) AS dim, round(unnest(mean), 6) + 0.0::DOUBLE AS value
+FROM means JOIN pieces USING (p)""", recursive=True)
 
 
 @register("fvt_transfer", FVT_SQL)
 def fvt_transfer(spark, sf_dir):
-    """JOB-4: target (fr) embeddings from the source (en) model: copy shared
+    """JOB-4: target embeddings of every ordered language pair: copy shared
     tokens, average the source pieces of the others."""
-    v = tb.models(spark, sf_dir).vocab
-    sv, tv = v.filter(F.col("lang") == S), v.filter(F.col("lang") == T)
-    pv = tb.models(spark, sf_dir).pieces.filter(F.col("lang") == S)
-    ids = pv.select("id").unionByName(
+    m = tb.models(spark, sf_dir)
+    ids = m.pieces.select("id").distinct().unionByName(
         spark.range(0, tb.N_RESERVED).select(F.col("id").cast("int")))
     emb = tb.emb_of_ids(spark, sf_dir, ids, "source")
-    res = TR.fvt_transfer(sv, tv, pv, emb, S, tb.MAX_PIECE)
-    return finish(res)
+    return finish(TR.fvt_transfer(m.vocab, m.pieces, emb))
 
 
 def _omp_inputs(spark, sf_dir):
+    """Anchors with donor and base vectors, and missing tokens with donor vectors, of all pairs."""
     v = tb.models(spark, sf_dir).vocab
-    sv, tv = v.filter(F.col("lang") == S), v.filter(F.col("lang") == T)
-    anchors = tv.select("token", F.col("id").alias("tgt_id")).join(
-        sv.select("token", F.col("id").alias("src_id")), "token")
-    donor = tb.emb_of_ids(spark, sf_dir, tv.select("token", "id"), "donor").select(
-        "token", F.col("id").alias("tgt_id"), F.col("vec").alias("donor"))
-    base = tb.emb_of_ids(spark, sf_dir, sv.select("token", "id"), "source").select(
-        "token", F.col("vec").alias("base"))
-    dictionary = anchors.join(donor, ["token", "tgt_id"]).join(base, "token").select(
-        "token", "tgt_id", "donor", "base")
-    missing = donor.join(sv.select("token"), "token", "left_anti")
-    return dictionary, missing
-
-
-OMP1_SQL = O.with_ctes(["vocab", "emb_n"], f"""
-, tv AS (SELECT token, id AS tgt_id FROM vocab WHERE lang = '{T}'),
-sv AS (SELECT token, id AS src_id FROM vocab WHERE lang = '{S}'),
-tvec AS (SELECT tv.*, CAST(e.embedding[{tb.EMB_HALF + 1}:{2 * tb.EMB_HALF}] AS DOUBLE[]) AS donor
-         FROM tv CROSS JOIN emb_n JOIN embeddings e ON e.vec_id = ((tv.tgt_id - 4) % emb_n.n + emb_n.n) % emb_n.n),
-svec AS (SELECT sv.*, CAST(e.embedding[1:{tb.EMB_HALF}] AS DOUBLE[]) AS base
-         FROM sv CROSS JOIN emb_n JOIN embeddings e ON e.vec_id = ((sv.src_id - 4) % emb_n.n + emb_n.n) % emb_n.n),
-anc AS (SELECT t.token, t.tgt_id, t.donor, s.base FROM tvec t JOIN svec s ON s.token = t.token
-        WHERE list_dot_product(t.donor, t.donor) > 0),
-miss AS (SELECT * FROM tvec WHERE token NOT IN (SELECT token FROM sv)),
-sc AS (SELECT m.token, m.tgt_id, a.token AS anchor, a.tgt_id AS anchor_id,
+    shared, missing = TR.pair_tokens(v)
+    donor = tb.emb_of_ids(spark, sf_dir, v.select("id").distinct(), "donor").select(
+        F.col("id").alias("tgt_id"), F.col("vec").alias("donor"))
+    base = tb.emb_of_ids(spark, sf_dir, v.select("id").distinct(), "source").select(
+        F.col("id").alias("src_id"), F.col("vec").alias("base"))
+    keys = ["src_lang", "tgt_lang", "token", "tgt_id"]
+    anchors = shared.join(donor, "tgt_id").join(base, "src_id").select(*keys, "donor", "base")
+    return anchors, missing.join(donor, "tgt_id").select(*keys, "donor")
+
+
+OMP1_SQL = O.with_ctes(["pair_missing", "pair_shared", "emb_n"], f"""
+, anc AS (
+  SELECT p.src_lang, p.tgt_lang, p.token, p.tgt_id,
+         CAST(d.embedding[{tb.EMB_HALF + 1}:{2 * tb.EMB_HALF}] AS DOUBLE[]) AS donor,
+         CAST(b.embedding[1:{tb.EMB_HALF}] AS DOUBLE[]) AS base
+  FROM pair_shared p CROSS JOIN emb_n
+  JOIN embeddings d ON d.vec_id = ((p.tgt_id - 4) % emb_n.n + emb_n.n) % emb_n.n
+  JOIN embeddings b ON b.vec_id = ((p.src_id - 4) % emb_n.n + emb_n.n) % emb_n.n),
+miss AS (
+  SELECT p.*, CAST(d.embedding[{tb.EMB_HALF + 1}:{2 * tb.EMB_HALF}] AS DOUBLE[]) AS donor
+  FROM pair_missing p CROSS JOIN emb_n
+  JOIN embeddings d ON d.vec_id = ((p.tgt_id - 4) % emb_n.n + emb_n.n) % emb_n.n),
+sc AS (SELECT m.src_lang, m.tgt_lang, m.token, m.tgt_id, a.token AS anchor, a.tgt_id AS anchor_id,
               list_dot_product(m.donor, a.donor) AS dot, list_dot_product(a.donor, a.donor) AS nn,
               list_sum(a.base) AS base_sum
-       FROM miss m CROSS JOIN anc a),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY round(abs(dot) / sqrt(nn), 12) DESC,
-                                        anchor_id) AS rk FROM sc)
-SELECT token, CAST(tgt_id AS BIGINT) AS tgt_id, anchor, round(dot / nn, 6) AS coef,
-       round(dot / nn * base_sum, 6) AS new_sum
+       FROM miss m JOIN anc a ON a.src_lang = m.src_lang AND a.tgt_lang = m.tgt_lang
+       WHERE list_dot_product(a.donor, a.donor) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY src_lang, tgt_lang, token
+                                        ORDER BY round(abs(dot) / sqrt(nn), 12) DESC, anchor_id) AS rk FROM sc)
+SELECT src_lang, tgt_lang, token, CAST(tgt_id AS BIGINT) AS tgt_id, anchor, round(dot / nn, 6) + 0.0::DOUBLE AS coef,
+       round(dot / nn * base_sum, 6) + 0.0::DOUBLE AS new_sum
 FROM ranked WHERE rk = 1""")
 
 
 @register("omp_k1", OMP1_SQL)
 def omp_k1(spark, sf_dir):
-    """JOB-5 with k = 1: each missing target token takes the anchor with the
-    largest normalised correlation (ties: lowest anchor id)."""
-    dictionary, missing = _omp_inputs(spark, sf_dir)
-    res = TR.omp(missing, dictionary, 1, tb.EMB_HALF)
-    return finish(res.select("token", "tgt_id", F.element_at("support", 1).alias("anchor"),
+    """JOB-5 with k = 1: each missing target token of every pair takes the anchor
+    with the largest normalised correlation (ties: lowest anchor id)."""
+    anchors, missing = _omp_inputs(spark, sf_dir)
+    res = TR.omp(missing, anchors, 1).where(F.size("support") > 0)
+    return finish(res.select("src_lang", "tgt_lang", "token", "tgt_id",
+                             F.element_at("support", 1).alias("anchor"),
                              F.element_at("coefs", 1).alias("coef"),
                              F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("new_sum")))
 
 
-@register("omp_k8")
-def omp_k8(spark, sf_dir):
-    """JOB-5 with k = 8 (no SQL form: iterative least squares); checked by
-    the NumPy reference in the tests."""
-    dictionary, missing = _omp_inputs(spark, sf_dir)
-    res = TR.omp(missing, dictionary, tb.OMP_K, tb.EMB_HALF)
-    return finish(res.select("token", "tgt_id", F.size("support").cast("long").alias("n_support"),
+def _omp_k(spark, sf_dir, k):
+    anchors, missing = _omp_inputs(spark, sf_dir)
+    res = TR.omp(missing, anchors, k)
+    return finish(res.select("src_lang", "tgt_lang", "token", "tgt_id", F.size("support").cast("long").alias("n_support"),
                              F.array_join("support", ",").alias("support"), "residual",
                              F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("new_sum")))
+
+
+@register("omp_k8")
+def omp_k8(spark, sf_dir):
+    """JOB-5 with k = 8, all pairs; checked by the NumPy model in the tests."""
+    return _omp_k(spark, sf_dir, 8)
+
+
+@register("omp_k64")
+def omp_k64(spark, sf_dir):
+    """JOB-5 with the workload's own k, all pairs; checked by the NumPy model in the tests."""
+    return _omp_k(spark, sf_dir, tb.OMP_K)

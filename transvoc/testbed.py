@@ -25,14 +25,13 @@ VOCAB_SIZE = VOCAB_K + N_RESERVED
 ALPHA = 0.1                 # add-alpha smoothing of the bigram model
 MAX_SEQ_LEN = 512           # model context, prepended id included
 MCQ_MAX_LEN = 512
-MIN_PAIR_MAX_LEN = 50
-MAX_PIECE = 24
+MIN_PAIR_MAX_LEN = MAX_SEQ_LEN
 TRAIN_BYTES = 100_000
 VALID_BYTES = 10_000
 PACK_LEN = 128
 DOCS_PER_BLOCK = 64
 DEVTEST_MOD = 9             # doc_id % 10 == 9 is held out
-N_LANG_BOUND = 64           # languages we accept per run (broadcast bound)
+TRAIN_SHARE, VALID_SHARE = 0.6, 0.1   # budgets that grow with the corpus
 
 
 # tables whose rows carry heavy per-row work, and the key that spreads them
@@ -72,10 +71,6 @@ def pieces(spark, sf_dir, voc: DataFrame | None = None) -> DataFrame:
     return piece_vocab(voc, pool(spark, sf_dir))
 
 
-def word_bound() -> int:
-    return VOCAB_K * N_LANG_BOUND
-
-
 def lm(spark, sf_dir, voc: DataFrame | None = None) -> DataFrame:
     """Bigram counts of every language's pool under its own vocabulary."""
     # Two passes over the pool (counts, then ids): the id-pair aggregation
@@ -83,7 +78,7 @@ def lm(spark, sf_dir, voc: DataFrame | None = None) -> DataFrame:
     # language, whereas word bigrams barely aggregate on diverse text.
     voc = vocab(spark, sf_dir) if voc is None else voc
     rows = encode_long(pool(spark, sf_dir), voc, "same", keys=["lang"],
-                       known_entries=word_bound())
+                       known_entries=voc.count())
     return train_lm(rows)
 
 
@@ -110,12 +105,17 @@ class Models:
         if "info" not in self._cache:
             from transvoc.operators.metrics import vocab_sizes
             rows = vocab_sizes(self.vocab).collect()
-            if len(rows) > N_LANG_BOUND:
-                raise ValueError(f"{len(rows)} vocabularies exceed {N_LANG_BOUND}")
+            self._known = int(sum(r["V"] for r in rows))
             self._cache["info"] = self.spark.createDataFrame(
                 [(r["vocab_lang"], float(r["V"])) for r in rows], "vocab_lang string, V double")
         return self._cache["info"]
 
+    @property
+    def known(self) -> int:
+        """Counted entries of all vocabularies (what a broadcast of them would hold)."""
+        _ = self.info
+        return self._known
+
     @property
     def ctx(self) -> DataFrame:
         from transvoc.operators.lm import context_counts
@@ -135,33 +135,33 @@ class Models:
 
 
 def mcq(spark, sf_dir) -> DataFrame:
-    """Multiple-choice items from ``benchmark``: passage = first 60 characters,
-    question = next 30, answer j = first 40 characters of item
-    ``(i + 3(j-1) + 1) mod N``; correct = ``1 + i mod 4``; newlines -> spaces."""
+    """Multiple-choice items from ``benchmark``, whole texts: passage = the first
+    two thirds of an item's characters, question = the rest, answer j = the text
+    of item ``(i + 3(j-1) + 1) mod N``; correct = ``1 + i mod 4``; newlines -> spaces."""
     b = read(spark, sf_dir, "benchmark").select(
         "item_id", F.regexp_replace("text", "\n", " ").alias("text"))
     n = b.agg(F.count(F.lit(1)).alias("N"))
     items = b.crossJoin(F.broadcast(n))  # one-row scalar
-    opts = items.select("item_id", "text", "N", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("j"))
+    opts = items.select("item_id", "N", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("j"))
     opts = opts.withColumn("src_id", F.pmod(F.col("item_id") + 3 * (F.col("j") - 1) + 1, F.col("N")))
-    ans = b.select(F.col("item_id").alias("src_id"), F.substring("text", 1, 40).alias("answer"))
-    opts = opts.join(ans, "src_id")
+    opts = opts.join(b.select(F.col("item_id").alias("src_id"), F.col("text").alias("answer")), "src_id")
     grouped = opts.groupBy("item_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("j", "answer"))),
                     lambda s: s["answer"]).alias("answers"))
+    cut = F.expr("2 * length(text) div 3").cast("int")
     base = b.select("item_id",
-                    F.substring("text", 1, 60).alias("passage"),
-                    F.substring("text", 61, 30).alias("question"),
+                    F.substring("text", F.lit(1), cut).alias("passage"),
+                    F.substring("text", cut + 1, F.length("text")).alias("question"),
                     (F.lit(1) + F.pmod("item_id", F.lit(4))).cast("int").alias("correct"))
     return base.join(grouped, "item_id")
 
 
 def min_pairs(spark, sf_dir) -> DataFrame:
-    """Devtest lines of 3..60 words; the wrong sentence reverses the words."""
-    d = devtest(spark, sf_dir).withColumn("__w", F.split("line", " ", -1))
-    return d.filter((F.col("line") != "") & (F.size("__w") >= 3) & (F.size("__w") <= 60)).select(
+    """Every non-blank devtest line; the wrong sentence reverses the words."""
+    d = devtest(spark, sf_dir).filter(F.col("line") != "")
+    return d.select(
         "lang", "doc_id", "line_no", F.col("line").alias("sen"),
-        F.array_join(F.reverse("__w"), " ").alias("wrong_sen"))
+        F.array_join(F.reverse(F.split("line", " ", -1)), " ").alias("wrong_sen"))
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,10 +178,20 @@ def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
                              docs_per_block=DOCS_PER_BLOCK)
 
 
+def sampled_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same split with budgets that are shares of each language's bytes, for
+    the queries whose work is to grow with the corpus."""
+    from transvoc.operators.sampling import byte_budget_split
+    rows = lines(spark, sf_dir)
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("line")).cast("double").alias("factor"))
+    return byte_budget_split(rows, sizes, TRAIN_SHARE, VALID_SHARE, docs_per_block=DOCS_PER_BLOCK)
+
+
 # ---- experiment plan relations (all bounded by the number of languages)
 DATADIR = "data"
 MODEL_PREFIX = "models"
-EXISTING_SRC = "de"         # outputs of this source language already exist
+EXISTING_SRC = "de"         # outputs of this source language already exist ...
+EXISTING_REGIME = "mono-finetuning"  # ... in this regime's folder
 
 
 def languages(spark, sf_dir) -> DataFrame:
@@ -191,8 +201,6 @@ def languages(spark, sf_dir) -> DataFrame:
 def lang_list(spark, sf_dir) -> list[str]:
     """Sorted language codes (bounded metadata; the scan reads one column)."""
     rows = languages(spark, sf_dir).collect()
-    if len(rows) > N_LANG_BOUND:
-        raise ValueError(f"{len(rows)} languages exceed {N_LANG_BOUND}")
     return sorted(r["lang"] for r in rows)
 
 
@@ -218,24 +226,24 @@ def manifest(spark, sf_dir) -> DataFrame:
 
 
 def existing(spark, sf_dir) -> DataFrame:
+    """Outputs that one regime's folder holds already."""
     m = manifest(spark, sf_dir)
     return m.filter(~F.col("finetuned") & (F.col("src_lang") == EXISTING_SRC)).select(
+        F.lit(EXISTING_REGIME).alias("regime"),
         F.concat(F.col("model"), F.lit("_finetuned")).alias("out"))
 
 
 def split_files(spark, sf_dir) -> DataFrame:
     """Sampled lines as the training files ``data/<split>/<lang>.txt``."""
-    s = sampled(spark, sf_dir)
+    s = sampled_share(spark, sf_dir)
     return s.select(F.concat_ws("", F.lit(DATADIR + "/"), "split", F.lit("/"),
                                 F.lower(F.concat("lang", F.lit(".txt")))).alias("file"),
                     "doc_id", "line_no", "line")
 
 
 # ---- embeddings: rank r of a vocabulary uses row (r - 1) mod N of `embeddings`
-TRANSFER_SRC = "en"
-TRANSFER_TGT = "fr"
 EMB_HALF = 32               # source space = dims 1-32, donor space = dims 33-64
-OMP_K = 8
+OMP_K = 64                  # most anchors a token is rebuilt from
 
 
 def emb_of_ids(spark, sf_dir, ids: DataFrame, space: str) -> DataFrame:
