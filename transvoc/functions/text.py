@@ -89,16 +89,6 @@ def join_prompt(*cols) -> Column:
     return F.concat_ws(" ", *[py_strip(c) for c in cols])
 
 
-def to_number(col) -> Column:
-    """FN-9: text to double, bad values to NULL."""
-    return _c(col).try_cast("double")
-
-
-def default(col, value) -> Column:
-    """FN-11: default for a missing value."""
-    return F.coalesce(_c(col), F.lit(value))
-
-
 def words(col) -> Column:
     """Words of a line split on single spaces; the empty line has none."""
     c = _c(col)

@@ -54,13 +54,6 @@ def word_bigrams(lines: DataFrame, line_col: str = "line") -> DataFrame:
             .agg(F.count(F.lit(1)).cast("long").alias("n")))
 
 
-def vocab_from_counts(counts: DataFrame, k: int) -> DataFrame:
-    """JOB-2 from ``(lang, token, n)`` counts."""
-    top = top_k_per_group(counts, "lang", k)
-    return top.select("lang", "token",
-                      (F.col("rank") + F.lit(N_RESERVED - 1)).cast("int").alias("id"), "n")
-
-
 def build_vocab(lines: DataFrame, k: int, line_col: str = "line",
                 bigrams: DataFrame | None = None) -> DataFrame:
     """JOB-2: top-``k`` words per language; ``id = rank + N_RESERVED - 1``.

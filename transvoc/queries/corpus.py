@@ -13,8 +13,9 @@ from transvoc.operators.packing import pack_segments
 from transvoc.operators.sampling import sample_summary
 from transvoc.operators.tokenize import encode
 from transvoc.session import scratch_path
-from transvoc.sources.corpus import read_corpus, split_unicode_lines, strip_file_edges
-from transvoc.sources.sinks import write_segments, write_split, write_text_corpus
+from transvoc.sources.corpus import (read_corpus, read_devtest, read_training_lines,
+                                     split_unicode_lines, strip_file_edges)
+from transvoc.sources.sinks import write_files, write_segments, write_split, write_text_corpus
 
 
 @register("corpus_lines", O.with_ctes(["lines"], """
@@ -58,6 +59,50 @@ def devtest_lines(spark, sf_dir):
     return finish(out.select("lang", "doc_id", "line_no", "sub_no", "line"))
 
 
+@register("training_files", O.with_ctes([], f"""
+, raw AS (
+  SELECT lang, doc_id // {tb.DOCS_PER_FILE} AS file_no, doc_id, i, parts[i] AS line
+  FROM (SELECT lang, doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS parts FROM documents))),
+files AS (
+  SELECT lang, file_no, {O.strip("string_agg(line, chr(10) ORDER BY doc_id, i)")} AS body
+  FROM raw GROUP BY lang, file_no),
+split AS (SELECT lang, file_no, string_split(body, chr(10)) AS parts FROM files)
+SELECT lang, CAST(file_no AS BIGINT) AS file_no, CAST(i - 1 AS BIGINT) AS line_no, parts[i] AS line
+FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM split)""".replace(", raw AS", "WITH raw AS", 1)))
+def training_files(spark, sf_dir):
+    """SRC-2 through the reader: documents written as text files of some thousand
+    documents of one language, read back in list order, each stripped as a whole."""
+    rows = tb.raw_lines(spark, sf_dir).withColumn("file_no", F.expr(f"doc_id div {tb.DOCS_PER_FILE}"))
+    files = write_files(rows, scratch_path(spark, "training_files"), ["lang", "file_no"], line_col="raw")
+    names = spark.createDataFrame(list(enumerate(files)), "file_ord int, path string").select(
+        "file_ord", F.regexp_extract("path", r"/lang=([^/]+)/", 1).alias("lang"),
+        F.regexp_extract("path", r"/file_no=(\d+)/", 1).cast("long").alias("file_no"))
+    out = read_training_lines(spark, files).join(names, "file_ord")
+    return finish(out.select("lang", "file_no", "line_no", "line"))
+
+
+@register("devtest_files", O.with_ctes([], f"""
+WITH sub AS (
+  SELECT lang, doc_id, line_no, j, {O.strip('pieces[j]')} AS line
+  FROM (SELECT lang, doc_id, line_no, pieces, unnest(range(1, len(pieces) + 1)) AS j
+        FROM (SELECT lang, doc_id, i AS line_no,
+                     regexp_split_to_array(parts[i], '[\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS pieces
+              FROM (SELECT lang, doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
+                    FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS parts FROM documents
+                          WHERE doc_id % 10 = {tb.DEVTEST_MOD})))))
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no, j) - 1 AS BIGINT) AS line_no, line
+FROM sub"""))
+def devtest_files(spark, sf_dir):
+    """SRC-3 through the reader: held-out lines written as text, read back with
+    the Unicode line breaks."""
+    path = scratch_path(spark, "devtest_files")
+    d = tb.raw_lines(spark, sf_dir).filter(F.col("doc_id") % 10 == tb.DEVTEST_MOD)
+    write_text_corpus(d.withColumnRenamed("raw", "line"), path)
+    back = read_devtest(spark, path, lang_from="partition", glob="*.txt")
+    return finish(back.select("lang", "line_no", "line"))
+
+
 @register("byte_budget_split", O.with_ctes(["sampled"], """
 SELECT lang, doc_id, CAST(line_no AS BIGINT) AS line_no, split, CAST(bytes AS BIGINT) AS bytes,
        CAST(before AS BIGINT) AS before FROM sampled"""))
@@ -117,18 +162,31 @@ SELECT lang, CAST(seg_no AS BIGINT) AS seg_no,
 FROM segs""")
 
 
-@register("pack_segments", PACK_SQL)
-def pack_segments_q(spark, sf_dir):
-    """WIN-3 / JOB-3 / SNK-4: the train split of every language packed into
-    segments of ``PACK_LEN`` ids, written as a dataset and read back."""
+def _packed(spark, sf_dir, reference_mask):
     train = tb.sampled_share(spark, sf_dir).filter(F.col("split") == "train").select(
         "lang", "doc_id", "line_no", "line")
     m = tb.models(spark, sf_dir)
     enc = encode(train, m.vocab, "word", "same", known_entries=m.known)
-    segs = pack_segments(enc, tb.PACK_LEN, ["lang"], docs_per_block=tb.DOCS_PER_BLOCK)
+    segs = pack_segments(enc, tb.PACK_LEN, ["lang"], docs_per_block=tb.DOCS_PER_BLOCK,
+                         reference_mask=reference_mask)
     path = scratch_path(spark, "segments")
     write_segments(segs.withColumnRenamed("lang", "corpus"), path)
     back = spark.read.parquet(path).withColumnRenamed("corpus", "lang")
     return finish(back.select("lang", "seg_no", F.array_join("input_ids", ",").alias("input_ids"),
                               F.array_join("attention_mask", ",").alias("attention_mask"),
                               "n_real"))
+
+
+@register("pack_segments", PACK_SQL)
+def pack_segments_q(spark, sf_dir):
+    """WIN-3 / JOB-3 / SNK-4: the train split of every language packed into
+    segments of ``PACK_LEN`` ids, written as a dataset and read back."""
+    return _packed(spark, sf_dir, False)
+
+
+@register("pack_segments_short_mask", PACK_SQL.replace(
+    "CASE WHEN i <= len(body) THEN 1 ELSE 0 END",
+    f"CASE WHEN i < len(body) OR len(body) = {_B} THEN 1 ELSE 0 END"))
+def pack_segments_short_mask(spark, sf_dir):
+    """The same with the original's mask, one short in a padded segment."""
+    return _packed(spark, sf_dir, True)

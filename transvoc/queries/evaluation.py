@@ -206,15 +206,17 @@ def uid_prop(spark, sf_dir):
         F.count(F.lit(1)).alias("n_lines")))
 
 
-def _uniform(batch: pd.DataFrame) -> pd.Series:
-    """A black-box model for the hook test: uniform over the vocabulary."""
-    return np.log(batch["V"].astype("float64"))
+def _by_ids(batch: pd.DataFrame) -> pd.Series:
+    """A black-box model for the hook: a loss that tells every token and its
+    predecessor apart, so that a lost key or order would show."""
+    return np.log(2.0 + batch["token_id"].astype("float64") + 3.0 * batch["prev_id"].astype("float64"))
 
 
 @register("custom_scorer", O.with_ctes(["dev_labels", "dev_info"], f"""
 , pl AS (
   SELECT s.vocab_lang, s.lang, s.doc_id, s.line_no,
-         sum(CASE WHEN s.pos >= i.h THEN log2({tb.VOCAB_SIZE}) ELSE 0.0 END) AS surprisal,
+         sum(CASE WHEN s.pos < i.h THEN 0.0 WHEN s.token_id = 1 THEN log2({tb.VOCAB_SIZE})
+                  ELSE ln(2.0::DOUBLE + s.token_id + 3 * s.prev) / ln(2) END) AS surprisal,
          any_value(i.nbytes) AS nbytes
   FROM dev_labels s JOIN dev_info i ON i.lang = s.lang AND i.doc_id = s.doc_id AND i.line_no = s.line_no
   WHERE s.pos < {tb.MAX_SEQ_LEN - 1}
@@ -224,7 +226,7 @@ SELECT vocab_lang, lang, round(avg(surprisal), 6) AS log_ppl,
 FROM pl GROUP BY vocab_lang, lang"""))
 def custom_scorer(spark, sf_dir):
     """UDF-1: bits per byte with a user-supplied scorer run via mapInPandas."""
-    pl = _ppl_lines(spark, sf_dir, scorer=_uniform)
+    pl = _ppl_lines(spark, sf_dir, scorer=_by_ids)
     return finish(pl.groupBy("vocab_lang", "lang").agg(
         F.avg("surprisal").alias("log_ppl"),
         F.avg(F.col("surprisal") / F.col("nbytes")).alias("norm_ppl"),

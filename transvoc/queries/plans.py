@@ -79,6 +79,29 @@ def data_routing(spark, sf_dir):
                            "first_doc"))
 
 
+@register("routed_lines", O.with_ctes(["ft_plan", "sampled_share"], """
+, files AS (
+  SELECT 'data/' || split || '/' || lower(lang || '.txt') AS file, doc_id, line_no, line FROM sampled_share),
+jf AS (
+  SELECT regime, src_lang, out, 'train' AS split, unnest(train) AS file, unnest(range(len(train))) AS file_ord
+  FROM ft_plan
+  UNION ALL
+  SELECT regime, src_lang, out, 'valid', unnest(valid), unnest(range(len(valid))) FROM ft_plan)
+SELECT jf.regime, jf.src_lang, jf.out, jf.split, CAST(jf.file_ord AS BIGINT) AS file_ord, f.doc_id,
+       CAST(f.line_no AS BIGINT) AS line_no, md5(f.line) AS line_md5
+FROM jf JOIN files f ON f.file = jf.file"""))
+def routed_lines(spark, sf_dir):
+    """SET-2: the lines of every job's train and valid files, with their order
+    ``(file_ord, doc_id, line_no)``."""
+    jobs, corpus = _ft_plan(spark, sf_dir), tb.split_files(spark, sf_dir)
+    both = None
+    for split in ("train", "valid"):
+        rows = X.route_lines(jobs, corpus, split).withColumn("split", F.lit(split))
+        both = rows if both is None else both.unionByName(rows)
+    return finish(both.select("regime", "src_lang", "out", "split", "file_ord", "doc_id", "line_no",
+                              F.md5("line").alias("line_md5")))
+
+
 @register("resolve_base", O.with_ctes(["resolved"], """
 SELECT regime, model, finetuned, base_model FROM resolved"""))
 def resolve_base(spark, sf_dir):

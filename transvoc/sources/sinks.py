@@ -45,9 +45,13 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.repartition("model").write.mode("overwrite").partitionBy("model").json(path)
 
 
-def mark_finetuned(manifest: DataFrame) -> DataFrame:
-    """SNK-2: the fine-tuned copy of a manifest row flips ``finetuned``."""
-    return manifest.withColumn("finetuned", F.lit(True))
+def write_files(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = ("doc_id", "line_no"),
+                line_col: str = "line") -> list[str]:
+    """One text file for each value of ``keys``, lines in ``order``; returns the
+    files, sorted (a group's lines meet in one task: keep groups small)."""
+    (df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, line_col)
+     .write.mode("overwrite").partitionBy(*keys).text(path))
+    return sorted(df.sparkSession.read.text(path).inputFiles())
 
 
 def write_segments(df: DataFrame, path: str) -> None:

@@ -30,6 +30,7 @@ TRAIN_BYTES = 100_000
 VALID_BYTES = 10_000
 PACK_LEN = 128
 DOCS_PER_BLOCK = 64
+DOCS_PER_FILE = 4096        # document ids in a written training file
 DEVTEST_MOD = 9             # doc_id % 10 == 9 is held out
 TRAIN_SHARE, VALID_SHARE = 0.6, 0.1   # budgets that grow with the corpus
 
