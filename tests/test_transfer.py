@@ -96,7 +96,7 @@ def test_omp_queries_against_numpy(spark, k):
     from transvoc.queries import transfer as Q
     d = "/root/testdata/sf0.001"
     tb.reset_scope()
-    anchors, missing = Q._omp_inputs(spark, d)
+    anchors, missing = tb.transfer_inputs(spark, d)
     A, M = anchors.toPandas(), missing.toPandas()
     tb.reset_scope()
     got = {(r["src_lang"], r["tgt_lang"], r["token"]): r

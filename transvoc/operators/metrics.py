@@ -216,7 +216,7 @@ def evaluate_min_pairs(pairs_df: DataFrame, vocab: DataFrame, lm: DataFrame,
                        pair_keys: Sequence[str] = ("doc_id", "line_no"),
                        known_entries: int | None = None, scorer=None,
                        tie_rel: float = 1e-9, info: DataFrame | None = None,
-                       ctx: DataFrame | None = None) -> DataFrame:
+                       ctx: DataFrame | None = None, pairs="all") -> DataFrame:
     """JOB-10 / AGG-7: share of pairs with ``wrong_nll - sen_nll > 0`` (strict).
 
     Each side is scored from the prepended id on, in nats.  A pair where
@@ -231,7 +231,7 @@ def evaluate_min_pairs(pairs_df: DataFrame, vocab: DataFrame, lm: DataFrame,
         F.struct(F.lit(1).alias("side"), F.col("wrong_sen").alias("line")))).alias("s")
     ).select("lang", *pair_keys, "s.side", "s.line")
     keys = ["lang", *pair_keys, "side"]
-    rows = label_rows_for(sides, vocab, mode, "all", keys, (), known_entries, info=info)
+    rows = label_rows_for(sides, vocab, mode, pairs, keys, (), known_entries, info=info)
     rows = rows.join(_sizes(vocab, info), "vocab_lang")
     tl = _scored(rows, lm, alpha, scorer, ctx)
     # one pass: per pair, the two side totals and lengths from the label rows

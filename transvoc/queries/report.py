@@ -10,7 +10,9 @@ from transvoc import testbed as tb
 from transvoc.catalog import finish, register
 from transvoc.operators import metrics as MX
 from transvoc.operators import report as R
-from transvoc.session import scratch_path
+from transvoc.operators.lm import context_counts
+from transvoc.queries import evaluation, transfer  # noqa: F401 - their CTEs
+from transvoc.session import cut_lineage, scratch_path
 from transvoc.sources import metrics_json as MJ
 
 T = R.REPORT_THRESHOLD
@@ -270,25 +272,77 @@ def report_best_cell(spark, sf_dir):
 
 # ---------------------------------------------------------------- real metric matrix
 
-PAIR_METRICS_SQL = O.with_ctes(["dev_per_line", "devtest", "vlangs", "mp_sides"], f"""
-, pm AS (SELECT vocab_lang, lang, avg(surprisal) AS log_ppl, avg(surprisal / nbytes) AS norm_ppl,
-                avg(n_unk / n_counted) AS uid FROM dev_per_line GROUP BY vocab_lang, lang),
-bp AS (SELECT l.vocab_lang, d.lang, sum(strlen(d.line)) / sum(len({O.words('d.line')}) + 2) AS bpt
-       FROM devtest d CROSS JOIN vlangs l GROUP BY l.vocab_lang, d.lang),
-pp AS (SELECT vocab_lang, lang, doc_id, line_no,
+# Transferred models: the target vocabulary with source ids, scored by the source's bigrams.
+O.cte("tmap", ["pair_shared", "token_pieces", "first_anchor"], """
+SELECT src_lang, tgt_lang, method, token, src_id AS id
+FROM pair_shared CROSS JOIN (VALUES ('fvt'), ('omp')) x(method)
+UNION ALL
+SELECT src_lang, tgt_lang, 'fvt', token, id FROM (
+  SELECT src_lang, tgt_lang, token, id,
+         row_number() OVER (PARTITION BY src_lang, tgt_lang, token ORDER BY count(*) DESC, id) AS rk
+  FROM (SELECT src_lang, tgt_lang, token, unnest(ids) AS id FROM token_pieces)
+  GROUP BY src_lang, tgt_lang, token, id) WHERE rk = 1
+UNION ALL
+SELECT src_lang, tgt_lang, 'omp', token, anchor_src FROM first_anchor""")
+O.cte("tmodels", ["vlangs"], """
+SELECT s.vocab_lang || '-' || t.vocab_lang || '-' || x.method AS model, s.vocab_lang AS src_lang,
+       t.vocab_lang AS tgt_lang, x.method
+FROM vlangs s JOIN vlangs t ON s.vocab_lang <> t.vocab_lang CROSS JOIN (VALUES ('fvt'), ('omp')) x(method)""")
+
+
+def _scored_sql(tokens: str, keys: str) -> str:
+    """Tokens (``lang, token, pos`` and ``keys``) under the transferred models of their language."""
+    return f"""
+SELECT e.*, {O.loss_expr('b.n', 'c.n_prev')} AS nats
+FROM (SELECT *, coalesce(lag(token_id) OVER (PARTITION BY model, lang, {keys} ORDER BY pos), 2) AS prev
+      FROM (SELECT m.model, m.src_lang, t.*, coalesce(x.id, 1) AS token_id
+            FROM {tokens} t JOIN tmodels m ON t.lang IN (m.src_lang, m.tgt_lang)
+            LEFT JOIN tmap x ON x.src_lang = m.src_lang AND x.tgt_lang = m.tgt_lang AND x.method = m.method
+              AND x.token = t.token)) e
+LEFT JOIN lm b ON b.lang = e.src_lang AND b.prev = e.prev AND b.tok = e.token_id
+LEFT JOIN lm_ctx c ON c.lang = e.src_lang AND c.prev = e.prev"""
+
+
+O.cte("tscored", ["dev_tokens", "tmodels", "tmap", "lm", "lm_ctx"], _scored_sql("dev_tokens", "doc_id, line_no"))
+O.cte("side_tokens", ["min_pairs"], f"""
+SELECT lang, doc_id, line_no, side, unnest(ws) AS token, unnest(range(len(ws))) AS pos
+FROM (SELECT lang, doc_id, line_no, 0 AS side, {O.words('sen')} AS ws FROM min_pairs
+      UNION ALL SELECT lang, doc_id, line_no, 1, {O.words('wrong_sen')} FROM min_pairs)""")
+O.cte("tsides", ["side_tokens", "tmodels", "tmap", "lm", "lm_ctx"],
+      _scored_sql("side_tokens", "doc_id, line_no, side"))
+
+PAIR_METRICS_SQL = O.with_ctes(["dev_per_line", "devtest", "vlangs", "mp_sides", "tscored", "tsides", "dev_info"], f"""
+, lines_scored AS (
+  SELECT vocab_lang AS model, lang, surprisal, nbytes, n_unk, n_counted FROM dev_per_line
+  UNION ALL
+  SELECT s.model, s.lang,
+         sum(CASE WHEN s.pos < i.h THEN 0.0 WHEN s.token_id = 1 THEN log2({tb.VOCAB_SIZE}) ELSE s.nats / ln(2) END),
+         any_value(i.nbytes), sum(CASE WHEN s.token_id = 1 THEN 1 ELSE 0 END), count(*)
+  FROM tscored s JOIN dev_info i ON i.lang = s.lang AND i.doc_id = s.doc_id AND i.line_no = s.line_no
+  WHERE s.pos < {tb.MAX_SEQ_LEN - 1} GROUP BY s.model, s.lang, s.doc_id, s.line_no),
+pm AS (SELECT model, lang, avg(surprisal) AS log_ppl, avg(surprisal / nbytes) AS norm_ppl,
+              avg(n_unk / n_counted) AS uid FROM lines_scored GROUP BY model, lang),
+bp AS (SELECT d.lang, sum(strlen(d.line)) / sum(len({O.words('d.line')}) + 2) AS bpt FROM devtest d GROUP BY d.lang),
+sides AS (
+  SELECT vocab_lang AS model, lang, doc_id, line_no, side, nll, ntok FROM mp_sides
+  UNION ALL
+  SELECT model, lang, doc_id, line_no, side, sum(nats), count(*) FROM tsides
+  GROUP BY model, lang, doc_id, line_no, side),
+pp AS (SELECT model, lang, doc_id, line_no,
               sum(CASE WHEN side = 0 THEN nll ELSE 0 END) AS sen_nll,
               sum(CASE WHEN side = 1 THEN nll ELSE 0 END) AS wrong_nll,
               max(ntok) >= {tb.MIN_PAIR_MAX_LEN} AS over
-       FROM mp_sides GROUP BY vocab_lang, lang, doc_id, line_no),
-mb AS (SELECT vocab_lang, lang,
+       FROM sides GROUP BY model, lang, doc_id, line_no),
+mb AS (SELECT model, lang,
               avg(CASE WHEN NOT over AND wrong_nll - sen_nll > 1e-9 * greatest(1.0, abs(sen_nll))
                        THEN 1.0 ELSE 0.0 END) AS mbp
-       FROM pp GROUP BY vocab_lang, lang),
-m AS (SELECT pm.*, bp.bpt, mb.mbp FROM pm JOIN bp USING (vocab_lang, lang) JOIN mb USING (vocab_lang, lang)),
+       FROM pp GROUP BY model, lang),
+m AS (SELECT pm.*, bp.bpt, mb.mbp FROM pm JOIN bp USING (lang) JOIN mb USING (model, lang)),
 cells AS (SELECT s.vocab_lang AS src_lang, t.vocab_lang AS tgt_lang, x.label,
-                 CASE WHEN x.label = '100mb_src' THEN s.vocab_lang ELSE t.vocab_lang END AS model
+                 CASE x.label WHEN '100mb_src' THEN s.vocab_lang WHEN '10mb_tgt' THEN t.vocab_lang
+                      ELSE s.vocab_lang || '-' || t.vocab_lang || '-' || x.label END AS model
           FROM vlangs s JOIN vlangs t ON s.vocab_lang <> t.vocab_lang
-          CROSS JOIN (VALUES ('100mb_src'), ('10mb_tgt')) x(label))
+          CROSS JOIN (VALUES ('100mb_src'), ('10mb_tgt'), ('fvt'), ('omp')) x(label))
 SELECT c.src_lang, c.tgt_lang, c.label,
        round(a.log_ppl, 6) AS src_log_ppl, round(b.log_ppl, 6) AS tgt_log_ppl,
        round(a.log_ppl + b.log_ppl, 6) AS sum_log_ppl,
@@ -298,37 +352,46 @@ SELECT c.src_lang, c.tgt_lang, c.label,
        round(a.bpt, 6) AS src_bpt, round(b.bpt, 6) AS tgt_bpt,
        round(a.mbp, 6) AS src_mbp, round(b.mbp, 6) AS tgt_mbp, round(a.mbp + b.mbp, 6) AS sum_mbp
 FROM cells c
-JOIN m a ON a.vocab_lang = c.model AND a.lang = c.src_lang
-JOIN m b ON b.vocab_lang = c.model AND b.lang = c.tgt_lang""")
+JOIN m a ON a.model = c.model AND a.lang = c.src_lang
+JOIN m b ON b.model = c.model AND b.lang = c.tgt_lang""", recursive=True)
+
+
+def _per_model(dev, pairs_df, vocab, lm, known, info, ctx, cells):
+    """``vocab_lang, lang`` and the five one-sided metrics of every cell."""
+    ppl = MX.evaluate_ppl(dev, vocab, lm, "word", cells, tb.MAX_SEQ_LEN, tb.ALPHA, known_entries=known,
+                          info=info, ctx=ctx)
+    bpt = MX.bytes_per_token(dev, vocab, "word", cells, 2, known_entries=known, info=info)
+    mbp = MX.evaluate_min_pairs(pairs_df, vocab, lm, "word", tb.MIN_PAIR_MAX_LEN, tb.ALPHA,
+                                known_entries=known, info=info, ctx=ctx, pairs=cells)
+    return (ppl.select("vocab_lang", "lang", "log_ppl", "norm_ppl", F.col("uid_prop").alias("uid"))
+            .join(bpt.select("vocab_lang", "lang", "bpt"), ["vocab_lang", "lang"])
+            .join(mbp.select("vocab_lang", "lang", F.col("accuracy").alias("mbp")), ["vocab_lang", "lang"]))
 
 
 @register("pair_metrics", PAIR_METRICS_SQL)
 def pair_metrics(spark, sf_dir):
-    """JOB-11 / JN-4 / PRJ-3: the 13 metrics of the two baselines of every
-    pair (source model, target model).  Each (model, language) is scored
-    once; both sides of every pair are then attached by equi-joins."""
+    """JOB-11 / JN-4 / PRJ-3: the 13 metrics of the four models of every pair:
+    source and target baseline, and the source model carried over to the target
+    vocabulary by FVT and by OMP.  Each (model, language) is scored once; both
+    sides of every pair are then attached by equi-joins."""
     mm = tb.models(spark, sf_dir)
-    vocab, lm, info, ctx = mm.vocab, mm.lm, mm.info, mm.ctx
-    dev = tb.devtest(spark, sf_dir)
-    kb = tb.models(spark, sf_dir).known
-    ppl = MX.evaluate_ppl(dev, vocab, lm, "word", "all", tb.MAX_SEQ_LEN, tb.ALPHA, known_entries=kb,
-                          info=info, ctx=ctx)
-    bpt = MX.bytes_per_token(dev, vocab, "word", "all", 2, known_entries=kb, info=info)
-    mbp = MX.evaluate_min_pairs(tb.min_pairs(spark, sf_dir), vocab, lm, "word",
-                                tb.MIN_PAIR_MAX_LEN, tb.ALPHA, known_entries=kb, info=info, ctx=ctx)
-    per = (ppl.select("vocab_lang", "lang", "log_ppl", "norm_ppl", F.col("uid_prop").alias("uid"))
-           .join(bpt.select("vocab_lang", "lang", "bpt"), ["vocab_lang", "lang"])
-           .join(mbp.select("vocab_lang", "lang", F.col("accuracy").alias("mbp")),
-                 ["vocab_lang", "lang"]))
-    langs = per.select(F.col("vocab_lang").alias("l")).distinct()
-    labels = spark.createDataFrame([("100mb_src",), ("10mb_tgt",)], "label string")
+    dev, pairs_df = tb.devtest(spark, sf_dir), tb.min_pairs(spark, sf_dir)
+    base = _per_model(dev, pairs_df, mm.vocab, mm.lm, mm.known, mm.info, mm.ctx, "all")
+    vocab, lm, cells = tb.transferred_models(spark, sf_dir)
+    info = cells.select("vocab_lang").distinct().withColumn("V", F.lit(float(tb.VOCAB_SIZE)))
+    moved = _per_model(dev, pairs_df, vocab, lm, vocab.count(), info,
+                       cut_lineage(context_counts(lm), "transferred_ctx"), cells)
+    per = base.unionByName(moved)
+    langs = mm.info.select(F.col("vocab_lang").alias("l"))
+    labels = spark.createDataFrame([("100mb_src",), ("10mb_tgt",), ("fvt",), ("omp",)], "label string")
+    model = (F.when(F.col("label") == "100mb_src", F.col("src_lang"))
+             .when(F.col("label") == "10mb_tgt", F.col("tgt_lang"))
+             .otherwise(F.concat_ws("-", "src_lang", "tgt_lang", "label")))
     cells = (langs.select(F.col("l").alias("src_lang"))
              .join(F.broadcast(langs.select(F.col("l").alias("tgt_lang"))),
                    F.col("src_lang") != F.col("tgt_lang"))
-             .crossJoin(F.broadcast(labels))
-             .withColumn("model", F.when(F.col("label") == "100mb_src", F.col("src_lang"))
-                         .otherwise(F.col("tgt_lang"))))
-    side = per.select("vocab_lang", "lang", "log_ppl", "norm_ppl", "uid", "bpt", "mbp")
+             .crossJoin(F.broadcast(labels)).withColumn("model", model))
+    side = cut_lineage(per, "per_model")
     a = side.select(F.col("vocab_lang").alias("model"), F.col("lang").alias("src_lang"),
                     *[F.col(c).alias(f"src_{c}") for c in ("log_ppl", "norm_ppl", "uid", "bpt", "mbp")])
     b = side.select(F.col("vocab_lang").alias("model"), F.col("lang").alias("tgt_lang"),

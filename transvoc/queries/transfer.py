@@ -41,26 +41,51 @@ O.cte("pair_shared", ["vocab"], """
 SELECT s.lang AS src_lang, t.lang AS tgt_lang, t.token, t.id AS tgt_id, s.id AS src_id
 FROM vocab t JOIN vocab s ON s.token = t.token AND s.lang <> t.lang""")
 
-FVT_SQL = O.with_ctes(["pair_missing", "pair_shared", "piece_vocab", "emb_n"], f"""
-, todo AS MATERIALIZED (SELECT row_number() OVER () AS k, src_lang, word
-         FROM (SELECT DISTINCT src_lang, token AS word FROM pair_missing)),
-starts AS (SELECT k, src_lang, word, unnest(range(1, length(word) + 1)) AS s FROM todo),
-subs AS (SELECT k, src_lang, word, s, unnest(range(1, least((SELECT max(length(token)) FROM piece_vocab),
-                                                           length(word) - s + 1) + 1)) AS l FROM starts),
-hits AS (SELECT x.k, x.s, x.l, p.id FROM subs x
-         JOIN piece_vocab p ON p.lang = x.src_lang AND p.token = substring(x.word, x.s, x.l)),
-best AS (SELECT k, s, max(l) AS l, arg_max(id, l) AS id FROM hits GROUP BY k, s),
-walk(k, size, nxt, ids) AS (
-  SELECT k, length(word), 1, []::INTEGER[] FROM todo
-  UNION ALL
-  SELECT w.k, w.size, w.nxt + coalesce(b.l, 1), list_append(w.ids, coalesce(b.id, 1))
-  FROM walk w LEFT JOIN best b ON b.k = w.k AND b.s = w.nxt
-  WHERE w.nxt <= w.size),
-pieces AS MATERIALIZED (
+# Every missing word once per source vocabulary, cut greedily into its pieces.
+O.cte("todo", ["pair_missing"], """
+SELECT row_number() OVER (ORDER BY src_lang, word) AS k, src_lang, word
+FROM (SELECT DISTINCT src_lang, token AS word FROM pair_missing)""")
+O.cte("best_piece", ["todo", "piece_vocab"], """
+SELECT k, s, max(l) AS l, arg_max(id, l) AS id FROM (
+  SELECT x.k, x.s, x.l, p.id
+  FROM (SELECT k, src_lang, word, s, unnest(range(1, least((SELECT max(length(token)) FROM piece_vocab),
+                                                           length(word) - s + 1) + 1)) AS l
+        FROM (SELECT k, src_lang, word, unnest(range(1, length(word) + 1)) AS s FROM todo)) x
+  JOIN piece_vocab p ON p.lang = x.src_lang AND p.token = substring(x.word, x.s, x.l))
+GROUP BY k, s""")
+O.cte("walk", ["todo", "best_piece"], """
+SELECT k, length(word) AS size, 1 AS nxt, []::INTEGER[] AS ids FROM todo
+UNION ALL
+SELECT w.k, w.size, w.nxt + coalesce(b.l, 1), list_append(w.ids, coalesce(b.id, 1))
+FROM walk w LEFT JOIN best_piece b ON b.k = w.k AND b.s = w.nxt
+WHERE w.nxt <= w.size""")
+O.cte("token_pieces", ["walk", "todo", "pair_missing"], """
+SELECT m.src_lang, m.tgt_lang, m.token, m.tgt_id, w.ids
+FROM walk w JOIN todo t ON t.k = w.k JOIN pair_missing m ON m.token = t.word AND m.src_lang = t.src_lang
+WHERE w.nxt > w.size""")
+O.cte("first_anchor", ["pair_missing", "pair_shared", "emb_n"], f"""
+SELECT * EXCLUDE (rk) FROM (
+  SELECT m.src_lang, m.tgt_lang, m.token, m.tgt_id, a.token AS anchor, a.src_id AS anchor_src, a.base,
+         list_dot_product(m.donor, a.donor) AS dot, list_dot_product(a.donor, a.donor) AS nn,
+         row_number() OVER (PARTITION BY m.src_lang, m.tgt_lang, m.token
+                            ORDER BY round(abs(list_dot_product(m.donor, a.donor))
+                                           / sqrt(list_dot_product(a.donor, a.donor)), 12) DESC, a.tgt_id) AS rk
+  FROM (SELECT p.*, CAST(d.embedding[{tb.EMB_HALF + 1}:{2 * tb.EMB_HALF}] AS DOUBLE[]) AS donor
+        FROM pair_missing p CROSS JOIN emb_n
+        JOIN embeddings d ON d.vec_id = ((p.tgt_id - 4) % emb_n.n + emb_n.n) % emb_n.n) m
+  JOIN (SELECT p.*, CAST(d.embedding[{tb.EMB_HALF + 1}:{2 * tb.EMB_HALF}] AS DOUBLE[]) AS donor,
+               CAST(b.embedding[1:{tb.EMB_HALF}] AS DOUBLE[]) AS base
+        FROM pair_shared p CROSS JOIN emb_n
+        JOIN embeddings d ON d.vec_id = ((p.tgt_id - 4) % emb_n.n + emb_n.n) % emb_n.n
+        JOIN embeddings b ON b.vec_id = ((p.src_id - 4) % emb_n.n + emb_n.n) % emb_n.n) a
+    ON a.src_lang = m.src_lang AND a.tgt_lang = m.tgt_lang
+  WHERE list_dot_product(a.donor, a.donor) > 0)
+WHERE rk = 1""")
+
+FVT_SQL = O.with_ctes(["token_pieces", "pair_shared", "emb_n"], f"""
+, pieces AS MATERIALIZED (
   SELECT row_number() OVER () AS p, * FROM (
-    SELECT m.src_lang, m.tgt_lang, m.token, m.tgt_id, 'mean' AS kind, w.ids
-    FROM walk w JOIN todo t ON t.k = w.k JOIN pair_missing m ON m.token = t.word AND m.src_lang = t.src_lang
-    WHERE w.nxt > w.size
+    SELECT src_lang, tgt_lang, token, tgt_id, 'mean' AS kind, ids FROM token_pieces
     UNION ALL
     SELECT src_lang, tgt_lang, token, tgt_id, 'copy', [src_id] FROM pair_shared)),
 vecs AS (SELECT vec_id, CAST(embedding[1:{tb.EMB_HALF}] AS DOUBLE[]) AS v FROM embeddings),
@@ -84,48 +109,17 @@ def fvt_transfer(spark, sf_dir):
     return finish(TR.fvt_transfer(m.vocab, m.pieces, emb))
 
 
-def _omp_inputs(spark, sf_dir):
-    """Anchors with donor and base vectors, and missing tokens with donor vectors, of all pairs."""
-    v = tb.models(spark, sf_dir).vocab
-    shared, missing = TR.pair_tokens(v)
-    donor = tb.emb_of_ids(spark, sf_dir, v.select("id").distinct(), "donor").select(
-        F.col("id").alias("tgt_id"), F.col("vec").alias("donor"))
-    base = tb.emb_of_ids(spark, sf_dir, v.select("id").distinct(), "source").select(
-        F.col("id").alias("src_id"), F.col("vec").alias("base"))
-    keys = ["src_lang", "tgt_lang", "token", "tgt_id"]
-    anchors = shared.join(donor, "tgt_id").join(base, "src_id").select(*keys, "donor", "base")
-    return anchors, missing.join(donor, "tgt_id").select(*keys, "donor")
-
-
-OMP1_SQL = O.with_ctes(["pair_missing", "pair_shared", "emb_n"], f"""
-, anc AS (
-  SELECT p.src_lang, p.tgt_lang, p.token, p.tgt_id,
-         CAST(d.embedding[{tb.EMB_HALF + 1}:{2 * tb.EMB_HALF}] AS DOUBLE[]) AS donor,
-         CAST(b.embedding[1:{tb.EMB_HALF}] AS DOUBLE[]) AS base
-  FROM pair_shared p CROSS JOIN emb_n
-  JOIN embeddings d ON d.vec_id = ((p.tgt_id - 4) % emb_n.n + emb_n.n) % emb_n.n
-  JOIN embeddings b ON b.vec_id = ((p.src_id - 4) % emb_n.n + emb_n.n) % emb_n.n),
-miss AS (
-  SELECT p.*, CAST(d.embedding[{tb.EMB_HALF + 1}:{2 * tb.EMB_HALF}] AS DOUBLE[]) AS donor
-  FROM pair_missing p CROSS JOIN emb_n
-  JOIN embeddings d ON d.vec_id = ((p.tgt_id - 4) % emb_n.n + emb_n.n) % emb_n.n),
-sc AS (SELECT m.src_lang, m.tgt_lang, m.token, m.tgt_id, a.token AS anchor, a.tgt_id AS anchor_id,
-              list_dot_product(m.donor, a.donor) AS dot, list_dot_product(a.donor, a.donor) AS nn,
-              list_sum(a.base) AS base_sum
-       FROM miss m JOIN anc a ON a.src_lang = m.src_lang AND a.tgt_lang = m.tgt_lang
-       WHERE list_dot_product(a.donor, a.donor) > 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY src_lang, tgt_lang, token
-                                        ORDER BY round(abs(dot) / sqrt(nn), 12) DESC, anchor_id) AS rk FROM sc)
-SELECT src_lang, tgt_lang, token, CAST(tgt_id AS BIGINT) AS tgt_id, anchor, round(dot / nn, 6) + 0.0::DOUBLE AS coef,
-       round(dot / nn * base_sum, 6) + 0.0::DOUBLE AS new_sum
-FROM ranked WHERE rk = 1""")
+OMP1_SQL = O.with_ctes(["first_anchor"], """
+SELECT src_lang, tgt_lang, token, CAST(tgt_id AS BIGINT) AS tgt_id, anchor,
+       round(dot / nn, 6) + 0.0::DOUBLE AS coef, round(dot / nn * list_sum(base), 6) + 0.0::DOUBLE AS new_sum
+FROM first_anchor""")
 
 
 @register("omp_k1", OMP1_SQL)
 def omp_k1(spark, sf_dir):
     """JOB-5 with k = 1: each missing target token of every pair takes the anchor
     with the largest normalised correlation (ties: lowest anchor id)."""
-    anchors, missing = _omp_inputs(spark, sf_dir)
+    anchors, missing = tb.transfer_inputs(spark, sf_dir)
     res = TR.omp(missing, anchors, 1).where(F.size("support") > 0)
     return finish(res.select("src_lang", "tgt_lang", "token", "tgt_id",
                              F.element_at("support", 1).alias("anchor"),
@@ -134,7 +128,7 @@ def omp_k1(spark, sf_dir):
 
 
 def _omp_k(spark, sf_dir, k):
-    anchors, missing = _omp_inputs(spark, sf_dir)
+    anchors, missing = tb.transfer_inputs(spark, sf_dir)
     res = TR.omp(missing, anchors, k)
     return finish(res.select("src_lang", "tgt_lang", "token", "tgt_id", F.size("support").cast("long").alias("n_support"),
                              F.array_join("support", ",").alias("support"), "residual",

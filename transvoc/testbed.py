@@ -259,6 +259,61 @@ def emb_of_ids(spark, sf_dir, ids: DataFrame, space: str) -> DataFrame:
         "vec", F.slice("embedding", start, EMB_HALF)).drop("embedding", "__n")
 
 
+def transfer_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """OMP's inputs for all ordered pairs: anchors with donor and base vectors,
+    missing tokens with donor vectors."""
+    from transvoc.operators.transfer import pair_tokens
+    v = models(spark, sf_dir).vocab
+    shared, missing = pair_tokens(v)
+    donor = emb_of_ids(spark, sf_dir, v.select("id").distinct(), "donor").select(
+        F.col("id").alias("tgt_id"), F.col("vec").alias("donor"))
+    base = emb_of_ids(spark, sf_dir, v.select("id").distinct(), "source").select(
+        F.col("id").alias("src_id"), F.col("vec").alias("base"))
+    keys = ["src_lang", "tgt_lang", "token", "tgt_id"]
+    anchors = shared.join(donor, "tgt_id").join(base, "src_id").select(*keys, "donor", "base")
+    return anchors, missing.join(donor, "tgt_id").select(*keys, "donor")
+
+
+def transferred_models(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(vocab, lm, cells)`` of every transferred model ``src-tgt-method``.
+
+    A count model has one row of statistics a token, so a transferred token takes
+    the row of the source token that weighs most in its new embedding: itself
+    where shared, the commonest (then least) source piece under ``fvt``, the
+    first anchor that OMP picks under ``omp``.  The model's vocabulary is the
+    target's with these source ids, its bigrams are the source's, and ``cells``
+    pairs it with the two languages it is evaluated on.
+    """
+    from transvoc.operators.tokenize import greedy_pieces
+    from transvoc.operators.transfer import omp, pair_tokens
+    m = models(spark, sf_dir)
+    key = ["src_lang", "tgt_lang", "token"]
+    shared, missing = pair_tokens(m.vocab)
+    methods = F.explode(F.array(F.lit("fvt"), F.lit("omp"))).alias("method")
+    copied = shared.select(*key, F.col("src_id").alias("id"), methods)
+    words = missing.select(*key, F.col("src_lang").alias("vocab_lang"), F.col("token").alias("word"))
+    found = greedy_pieces(words.select("vocab_lang", "word"), m.pieces)
+    pieces = (words.join(found, ["vocab_lang", "word"]).select(*key, F.explode("ids").alias("id"))
+              .groupBy(*key, "id").agg(F.count(F.lit(1)).alias("n"))
+              .groupBy(*key).agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("id"))
+              .withColumn("method", F.lit("fvt")))
+    anchors, todo = transfer_inputs(spark, sf_dir)
+    first = omp(todo, anchors, 1).where(F.size("support") > 0).select(
+        *key, F.element_at("support", 1).alias("anchor"))
+    anchored = first.join(
+        shared.select("src_lang", "tgt_lang", F.col("token").alias("anchor"), F.col("src_id").alias("id")),
+        ["src_lang", "tgt_lang", "anchor"]).select(*key, "id", F.lit("omp").alias("method"))
+    rows = copied.unionByName(pieces).unionByName(anchored)
+    name = F.concat_ws("-", "src_lang", "tgt_lang", "method")
+    rows = cut_lineage(rows.withColumn("lang", name), "transferred")
+    known = rows.select("lang", "src_lang", "tgt_lang").distinct()
+    lm_rows = m.lm.withColumnRenamed("lang", "src_lang").join(
+        F.broadcast(known.select("lang", "src_lang")), "src_lang").select("lang", "prev", "tok", "n")
+    cells = known.select(F.col("lang").alias("vocab_lang"),
+                         F.explode(F.array("src_lang", "tgt_lang")).alias("lang"))
+    return rows.select("lang", "token", "id"), cut_lineage(lm_rows, "transferred_lm"), cells
+
+
 # ---- synthetic metrics for the report (values from per-language pool statistics)
 def lang_stats(spark, sf_dir) -> DataFrame:
     """Per language: ``w`` = bytes per word and ``a`` = words per line of the
