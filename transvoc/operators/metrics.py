@@ -20,7 +20,6 @@ from transvoc.operators.tokenize import encode, encode_long, with_vocab_langs, w
 from transvoc.operators.vocab import PAD_ID, UNK_ID
 
 LN2 = math.log(2.0)
-CTX_BOUND = 64 * 4_096   # languages x vocabulary ids for which context counts are broadcast
 
 
 def vocab_sizes(vocab: DataFrame) -> DataFrame:
@@ -33,10 +32,9 @@ def _scored(rows: DataFrame, lm: DataFrame, alpha: float, scorer=None,
             ctx: DataFrame | None = None) -> DataFrame:
     if scorer is not None:
         return lm_ops.score_with(rows, scorer)
-    # context rows: at most one per (model, vocabulary id) -- bounded when the
-    # caller passes the vocabulary bound through ``ctx`` being materialised
+    # context rows: at most one per (model, vocabulary id), counted where they are a written table
     return lm_ops.score(rows, lm, "V", alpha=alpha, ctx=ctx,
-                        ctx_bound=CTX_BOUND if ctx is not None else None)
+                        ctx_bound=ctx.count() if ctx is not None else None)
 
 
 def _sizes(vocab: DataFrame, info: DataFrame | None) -> DataFrame:
@@ -150,7 +148,7 @@ def evaluate_ppl(lines: DataFrame, vocab: DataFrame, lm: DataFrame, mode: str =
     per_model = per_line.groupBy("vocab_lang", "lang").agg(
         F.avg("surprisal").alias("log_ppl"),
         F.avg(F.col("surprisal") / F.col("nbytes")).alias("norm_ppl"),
-        F.avg(F.col("n_unk") / F.col("n_counted")).alias("uid_prop"),
+        F.avg(F.try_divide("n_unk", "n_counted")).alias("uid_prop"),
         F.count(F.lit(1)).cast("long").alias("n_lines"),
         F.sum("truncated").cast("long").alias("n_truncated"),
     )

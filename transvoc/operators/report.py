@@ -180,11 +180,11 @@ def pivot_by_target(df: DataFrame, t: float = REPORT_THRESHOLD, allowed=REPORT_M
 
 def language_medians(df: DataFrame, t: float = REPORT_THRESHOLD, allowed=REPORT_METHODS,
                      excluded=None, langs: Sequence[str] | None = None) -> DataFrame:
-    """AGG-13: median across each per-source pivot row (gated cells only),
-    computed before pivoting: ``groupBy(src, method).median`` then
-    ``pivot(src)``.  NULL when a row has no numeric cell."""
+    """AGG-13: median across each per-source pivot row (gated cells only, as
+    shown: at three decimals), computed before pivoting: ``groupBy(src,
+    method).median`` then ``pivot(src)``.  NULL when a row has no numeric cell."""
     cells = with_labels(select_methods(df, allowed, excluded).filter(is_evaluated()))
-    cells = cells.withColumn("__v", F.when(pair_ok(t), F.col("sum_norm_ppl")))
+    cells = cells.withColumn("__v", F.when(pair_ok(t), round_half_up("sum_norm_ppl", 3)))
     per = cells.groupBy("label", "regime", "method", "src_lang").agg(F.median("__v").alias("m"))
     per = per.withColumn("col", F.upper("src_lang"))
     if langs is None:
@@ -233,14 +233,15 @@ def rank_report(table: DataFrame, best_min: Sequence[str] = (), best_max: Sequen
 
 
 def best_cell(table: DataFrame, row_key: str, value_cols: Sequence[str],
-              digits: int = 3) -> DataFrame:
+              digits: int = 3, order: str | None = None) -> DataFrame:
     """SRT-3: the single smallest cell (after rounding), first in row-major
-    order (rows by ``row_key``, columns in the given order).  The table is
-    stacked to long form and reduced with ``min_by``."""
-    stacked = table.select(row_key, F.explode(F.array(*[
+    order (rows by ``order``, else ``row_key``; columns in the given order).
+    The table is stacked to long form and reduced with ``min_by``."""
+    place = order or row_key
+    stacked = table.select(row_key, F.col(place).alias("__place"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("ci"), F.lit(c).alias("col"),
                  round_half_up(c, digits).alias("value"))
-        for i, c in enumerate(value_cols)])).alias("s")).select(row_key, "s.*")
+        for i, c in enumerate(value_cols)])).alias("s")).select(row_key, "__place", "s.*")
     stacked = stacked.filter(F.col("value").isNotNull())
     return stacked.agg(F.min_by(F.struct(row_key, "col", "value"),
-                                F.struct("value", row_key, "ci")).alias("b")).select("b.*")
+                                F.struct("value", "__place", "ci")).alias("b")).select("b.*")
