@@ -31,8 +31,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from transvoc.session import scratch_path
+from transvoc.session import cut_lineage, scratch_path
 
+#: Measured size up to which the findings by blob are broadcast; beyond, they are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 SPANS = "array<struct<start: long, kind_no: int, end: long, kind: string>>"
 
 
@@ -145,8 +147,12 @@ def scan(docs: DataFrame, *, content: str = "text", rules: Sequence[Rule] = RULE
                               _triple(F.col("kind"), F.col("version")))
     found = spark.read.schema("blob binary, kind string, version int, start long, end long").parquet(
         f"{ledger}/findings").distinct().withColumn("no", number.cast("int")).where(F.col("no") > 0)
-    by_blob = found.groupBy(F.col("blob").alias("__blob")).agg(F.sort_array(F.collect_list(
-        F.struct("start", F.col("no").alias("kind_no"), "end", "kind"))).cast(SPANS).alias("__found"))
+    by_blob = cut_lineage(found.groupBy(F.col("blob").alias("__blob")).agg(F.sort_array(F.collect_list(
+        F.struct("start", F.col("no").alias("kind_no"), "end", "kind"))).cast(SPANS).alias("__found")),
+        "secret-findings")
+    size = by_blob.agg(F.count("*"), F.sum(F.size("__found"))).first()
+    if 64 * size[0] + 64 * (size[1] or 0) <= BROADCAST_BYTES:
+        by_blob = F.broadcast(by_blob)
     paths = docs.select(F.struct("*").alias("__doc"), blob_id(F.col(content)).alias("__key"))
     joined = paths.join(by_blob, F.col("__key") == F.col("__blob"), "left")
     own = [c for c in docs.columns if c not in ("blob", "findings")]
