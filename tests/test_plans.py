@@ -1,5 +1,6 @@
 """Plan operators and the alternative bigram-model route."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from transvoc.operators.lm import train_lm, train_lm_from_words
@@ -62,3 +63,17 @@ def test_read_manifest_folder_layout(spark, tmp_dir):
     got = {r["model"]: (r["method"], r["finetuned"], r["tgt_finetune_data"]["train"])
            for r in X.read_manifest(spark, tmp_dir, layout="folders").collect()}
     assert got == {"aa-bb-fvt": ("fvt", False, "t/bb.txt"), "aa-bb-omp": ("omp", True, "t/bb.txt")}
+
+
+def test_existing_outputs_count_in_their_own_regime(spark):
+    langs = spark.createDataFrame([("aa",), ("bb",)], "lang string")
+    manifest = X.manifest_rows(X.transfer_plan(X.language_pairs(X.language_mapping(langs))))
+    every = X.finetune_plan(manifest)
+    mono = every.filter("regime = 'mono-finetuning'").select("regime", "out")
+    left = X.finetune_plan(manifest, mono)
+    assert {r["regime"] for r in left.collect()} == {"mixed-finetuning"}
+    assert left.count() == every.filter("regime = 'mixed-finetuning'").count()
+    regimes = {False: ["no-finetuning"], True: ["mono-finetuning", "mixed-finetuning"]}
+    assert X.resolve_base(manifest, every.select("regime", "out"), regimes).count() == 4 + 2 * 4
+    with pytest.raises(FileNotFoundError, match="2 missing"):
+        X.resolve_base(manifest, mono, regimes)      # the mixed siblings are not there

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from transvoc.functions.text import first_half, py_strip, second_half
@@ -94,3 +95,38 @@ def test_format_stat_and_missing(spark):
     df = spark.createDataFrame([(1.23456, 0.5), (None, None)], "m double, s double")
     got = [r[0] for r in df.select(format_stat("m", "s")).collect()]
     assert got == ["1.235 (std=0.500)", "N/A"]
+
+
+def test_training_files_by_place_in_the_list(spark, tmp_dir):
+    """Escaped paths, an empty file, one listed twice, one path the end of another."""
+    os.makedirs(os.path.join(tmp_dir, "sub"))
+    files = {"a b%.txt": " x \ny", "empty.txt": "", "c.txt": "c", "sub/c.txt": "\n sub c"}
+    for name, text in files.items():
+        with open(os.path.join(tmp_dir, name), "w") as f:
+            f.write(text)
+    order = ["c.txt", "a b%.txt", "empty.txt", "sub/c.txt", "a b%.txt"]
+    df = read_training_lines(spark, [os.path.join(tmp_dir, n) for n in order])
+    got = [[r["line"] for r in df.filter(F.col("file_ord") == i).orderBy("line_no").collect()]
+           for i in range(len(order))]
+    assert got == [files[n].strip().split("\n") for n in order]
+
+
+def test_devtest_order_with_many_breaks(spark, tmp_dir):
+    text = " ".join(str(i) for i in range(3000)) + "\nlast\x0bone"
+    with open(os.path.join(tmp_dir, "xx.devtest"), "w") as f:
+        f.write(text)
+    rows = read_devtest(spark, tmp_dir).orderBy("line_no").collect()
+    assert [r["line"] for r in rows] == [*map(str, range(3000)), "last", "one"]
+
+
+def test_malformed_json_fails(spark, tmp_dir):
+    from transvoc.sources.mcq import read_mcq
+    from transvoc.sources.metrics_json import read_metrics
+    for name, text in (("m", '{"en": {"fr": {"fvt": {"src_bpt": 1.0'), ("q", '{"question": "a", ')):
+        os.makedirs(os.path.join(tmp_dir, name))
+        with open(os.path.join(tmp_dir, name, "x.json"), "w") as f:
+            f.write(text)
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        read_metrics(spark, {"r": os.path.join(tmp_dir, "m")}).collect()
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        read_mcq(spark, os.path.join(tmp_dir, "q")).collect()
