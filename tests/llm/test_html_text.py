@@ -48,6 +48,26 @@ def test_line_blocks_without_marks():
     assert H.runs(weights) == [(2, 7), (14, 15)]
 
 
+MARKS = {
+    "nested": (f"<main><h1>Head</h1><p>Lead.</p><article><p>{LONG}</p></article></main>", ["Head", "Lead.", one(LONG)]),
+    "body inside": (f"<article><h1>Head</h1><p>Lead.</p><div itemprop=articleBody><p>{LONG}</p></div></article>",
+                    ["Head", "Lead.", one(LONG)]),
+    "parts": (f"<article><p>{LONG}1</p></article><div class=ad>Buy</div><article><p>{LONG}2</p></article>"
+              f"<p>Between.</p><article><p>{LONG}3</p></article>",
+              [one(LONG + "1"), one(LONG + "2"), "Between.", one(LONG + "3")]),
+    "teaser": (f"<article><p>Read this as well.</p></article><ul>{'<li><a href=/>Item</a></li>' * 4}</ul>"
+               f"<div><p>{LONG}</p><p>{LONG}</p></div>", [one(LONG), one(LONG)]),
+    "links beside": (f"<main><article><p>{LONG}</p></article><ul>{'<li><a href=/>Item</a></li>' * 8}</ul></main>",
+                     [one(LONG)])}
+
+
+@pytest.mark.parametrize("case", MARKS)
+def test_marks_are_evidence(case):
+    """The distribution runs on marked pages too: nested marks, parts, a mark that is not the article."""
+    page, want = MARKS[case]
+    assert H.main_text(page) == "\n".join(want)
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
     assert H.main_text(deep) == "x"

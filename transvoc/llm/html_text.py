@@ -10,10 +10,15 @@
    ``SURGE`` characters and whose next lines carry text as well, and ends at a dive
    point, the next line from which the block is empty.  Lines of text that touch
    a run (a heading, a short last paragraph) belong to it.
-4. Where the page marks its article (``article``, ``main``, role ``main``, or an
-   ``articleBody`` property), the longest such element is the field in which all
-   text counts; else the heaviest run is kept, with the runs, and the lines of the
-   same container, that are parted from it only by stripped elements.
+4. The heaviest run is the field, with the runs, and the lines of the same
+   container, that are parted from it only by stripped elements.
+5. Where the page marks its article (``article``, ``main``, role ``main``, or an
+   ``articleBody`` property; the outermost such element counts), the mark is
+   evidence for the field's bounds.  The heaviest marked element is the field, with the marked
+   elements whose runs reach it through lines of runs or stripped elements alone, and the unlinked text
+   between them; short lines inside a mark count without a surge.  Lines of an
+   outer mark beside its inner ones need unlinked text or a run.  If a field of runs
+   outside outweighs it, the runs decide as if there were no mark.
 
 A page is handled where it is read, so there is no shuffle; memory is one page's.
 
@@ -75,7 +80,8 @@ class Line:
     text: str
     linked: int = 0      # characters inside links
     stripped: bool = False
-    article: int = -1    # number of the article element that holds it
+    article: int = -1    # number of the outermost article element that holds it
+    inner: int = -1      # number of the innermost one
     box: int = 0         # number of the innermost container that holds it
 
 
@@ -85,6 +91,7 @@ class _Open:
     beside: bool   # is itself stripped
     hidden: bool   # it, or an element around it, is stripped
     article: int
+    inner: int
     box: int
 
 
@@ -94,10 +101,10 @@ class _Page:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
-    def end_line(self, stripped: bool, article: int, box: int) -> None:
+    def end_line(self, stripped: bool, article: int, inner: int, box: int) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
         if text or stripped:
-            self.lines.append(Line("" if stripped else text, self.linked, stripped, article, box))
+            self.lines.append(Line("" if stripped else text, self.linked, stripped, article, inner, box))
         self.parts, self.linked = [], 0
 
 
@@ -131,15 +138,17 @@ def lines_of(page: str) -> list[Line]:
     tokens = list(TOKEN.finditer(page))
     last_end = {m[3].lower(): m.start() for m in tokens if m[2]}
 
-    def state() -> tuple[bool, int, int]:
-        return (stack[-1].hidden, stack[-1].article, stack[-1].box) if stack else (False, -1, 0)
+    def state() -> tuple[bool, int, int, int]:
+        return (stack[-1].hidden, stack[-1].article, stack[-1].inner, stack[-1].box) if stack else (False, -1, -1, 0)
 
-    def push(tag: str, beside: bool, article: int) -> None:
+    def push(tag: str, beside: bool, mark: int = -1) -> None:
         nonlocal boxes
-        hidden, _, box = state()
+        hidden, article, inner, box = state()
         if tag in CONTAINERS:
             boxes = box = boxes + 1
-        stack.append(_Open(tag, beside, beside or hidden, article, box))
+        if mark >= 0:
+            article, inner = mark if article < 0 else article, mark
+        stack.append(_Open(tag, beside, beside or hidden, article, inner, box))
 
     def pop_to(i: int) -> None:
         out.end_line(*state())
@@ -187,7 +196,7 @@ def lines_of(page: str) -> list[Line]:
         if tag in INLINE:
             if beside and attributes.rstrip()[-1:] != "/" and last_end.get(tag, -1) > m.start():
                 out.end_line(*state())
-                push(tag, True, state()[1])
+                push(tag, True)
             continue
         out.end_line(*state())
         links = 0
@@ -198,10 +207,10 @@ def lines_of(page: str) -> list[Line]:
         if attributes.rstrip()[-1:] == "/" and tag not in LOOSE:
             continue
         closed = tag in LOOSE or last_end.get(tag, -1) > m.start()
-        hidden, article, _ = state()
-        if _is_article(tag, attributes) and not hidden and not beside:
-            article, articles = articles, articles + 1
-        push(tag, beside and closed, article)
+        mark = -1
+        if _is_article(tag, attributes) and not state()[0] and not beside:
+            mark, articles = articles, articles + 1
+        push(tag, beside and closed, mark)
     tail = page[at:]
     if tail and not state()[0]:
         # A tag that the page's end cuts off is not text.
@@ -241,33 +250,69 @@ def _reach(lines: list[Line], weights: list[int], at: int, step: int) -> int:
     return at
 
 
+def _field(lines: list[Line], weights: list[int]) -> tuple[int, int] | None:
+    """First line and end of the heaviest run and what belongs to it."""
+    found = runs(weights)
+    if not found:
+        return None
+    heavy = max(range(len(found)), key=lambda k: sum(weights[found[k][0]:found[k][1]]))
+    first = last = heavy
+    only_stripped = lambda a, b: all(x.stripped for x in lines[a:b])
+    while first and only_stripped(found[first - 1][1], found[first][0]):
+        first -= 1
+    while last + 1 < len(found) and only_stripped(found[last][1], found[last + 1][0]):
+        last += 1
+    start, end = found[first][0], found[last][1]
+    return _reach(lines, weights, start, -1), _reach(lines, weights, end - 1, 1) + 1
+
+
+def _marked_field(lines: list[Line], weights: list[int]) -> list[int]:
+    """The lines of the marked article, none if the page has no mark or a field outside outweighs it."""
+    spans: dict[int, tuple[int, int]] = {}
+    sizes: dict[int, tuple[int, int]] = {}
+    for i, (x, w) in enumerate(zip(lines, weights, strict=True)):
+        if x.article >= 0 and x.text:
+            spans[x.article] = (spans.get(x.article, (i, i))[0], i + 1)
+            a, b = sizes.get(x.article, (0, 0))
+            sizes[x.article] = (a + w, b + len(x.text))
+    if not sizes:
+        return []
+    covered = [False] * len(lines)
+    for a, b in runs(weights):
+        covered[a:b] = [True] * (b - a)
+    order = sorted(spans, key=lambda k: spans[k])
+    first = last = order.index(max(sizes, key=lambda k: (sizes[k], -k)))
+
+    def joined(k: int, a: int, b: int) -> bool:
+        """The ``k``-th mark holds text of a run, and only runs and stripped elements lie in between."""
+        return (any(covered[i] and weights[i] for i in range(*spans[order[k]]))
+                and all(covered[i] or lines[i].stripped for i in range(a, b)))
+
+    while first and joined(first - 1, spans[order[first - 1]][1], spans[order[first]][0]):
+        first -= 1
+    while last + 1 < len(order) and joined(last + 1, spans[order[last]][1], spans[order[last + 1]][0]):
+        last += 1
+    start, end = spans[order[first]][0], spans[order[last]][1]
+    outside = [0 if start <= i < end else w for i, w in enumerate(weights)]
+    other = _field(lines, outside)
+    if other and sum(outside[slice(*other)]) > sum(weights[start:end]):
+        return []
+    nested = {x.article for x in lines if x.inner != x.article}
+    return [i for i in range(start, end)
+            if weights[i] or (lines[i].article >= 0 and (
+                covered[i] or lines[i].inner != lines[i].article or lines[i].article not in nested))]
+
+
 def main_text(page: str | None) -> str:
     """The page's article."""
     lines = lines_of(page) if page else []
-    sizes: dict[int, int] = {}
-    for x in lines:
-        if x.article >= 0:
-            sizes[x.article] = sizes.get(x.article, 0) + len(x.text)
-    if sizes and max(sizes.values()):
-        best = max(sizes, key=lambda k: (sizes[k], -k))
-        kept = [x.text for x in lines if x.article == best]
-    else:
-        weights = [0 if x.stripped or 2 * x.linked > len(x.text) else len(x.text) for x in lines]
-        found = runs(weights)
-        if not found:  # no surge on so short a page: all lines outside links
-            kept = [x.text for x, w in zip(lines, weights, strict=True) if w]
-        else:
-            heavy = max(range(len(found)), key=lambda k: sum(weights[found[k][0]:found[k][1]]))
-            first = last = heavy
-            only_stripped = lambda a, b: all(x.stripped for x in lines[a:b])
-            while first and only_stripped(found[first - 1][1], found[first][0]):
-                first -= 1
-            while last + 1 < len(found) and only_stripped(found[last][1], found[last + 1][0]):
-                last += 1
-            start, end = found[first][0], found[last][1]
-            start, end = _reach(lines, weights, start, -1), _reach(lines, weights, end - 1, 1) + 1
-            kept = [x.text for x in lines[start:end]]
-    return "\n".join(t for t in kept if t)
+    weights = [0 if x.stripped or 2 * x.linked > len(x.text) else len(x.text) for x in lines]
+    kept = _marked_field(lines, weights)
+    if not kept:
+        field_ = _field(lines, weights)
+        # No surge on so short a page: all lines outside links.
+        kept = range(*field_) if field_ else [i for i, w in enumerate(weights) if w]
+    return "\n".join(lines[i].text for i in kept if lines[i].text)
 
 
 def extract(pages: DataFrame, *, content: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
