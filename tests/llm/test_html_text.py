@@ -68,6 +68,31 @@ def test_marks_are_evidence(case):
     assert H.main_text(page) == "\n".join(want)
 
 
+NAMES = {
+    "layout": (f'<div class="page has-sidebar"><article><p>{LONG}</p></article></div>', [one(LONG)]),
+    "negated": (f'<div class="layout no-comments"><p>{LONG}</p></div><p>{LONG}</p><p>{LONG}</p>', [one(LONG)] * 3),
+    "page": (f'<div class="content search-page"><div class="sidebar"><p>{LONG}</p></div><article><p>{LONG}</p><p>{LONG}</p>'
+             f'</article></div>', [one(LONG)] * 2),
+    "unmarked": (f'<div class="widget-page"><p>{LONG}</p><p>{LONG}</p></div><div class="sidebar"><p>{LONG}</p></div>',
+                 [one(LONG)] * 2),
+    "inside": (f'<article><h2 id="social-impact">Impact</h2><p>{LONG}</p><section id="related-work"><p>Short.</p></section>'
+               f'<div id="login"><p>Log in.</p></div><div class="notice"><p>{LONG}</p></div>'
+               f'<div class="share"><a href=/>Post it</a></div><p>As <span class="search">said</span>.</p></article>',
+               ["Impact", one(LONG), "Short.", "Log in.", one(LONG), "As said."]),
+    "comments": (f'<article class="post comments-open"><p>{LONG}</p></article><footer>us</footer>', [one(LONG)]),
+    "more comments than article": (
+        f'<article><p>{LONG}</p></article><section class="comments">'
+        f'{f"<article class=comment><p>{LONG}no</p></article>" * 9}</section>', [one(LONG)]),
+    "teasers": (f'<div><p>{LONG}</p><p>{LONG}</p></div><div class="related"><article><p>{LONG}no</p></article></div>',
+                [one(LONG)] * 2)}
+
+
+@pytest.mark.parametrize("case", NAMES)
+def test_names_are_weak_evidence(case):
+    page, want = NAMES[case]
+    assert H.main_text(page) == "\n".join(want)
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
     assert H.main_text(deep) == "x"

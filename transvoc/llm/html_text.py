@@ -3,7 +3,10 @@
 1. Markup is stripped: scripts, styles, comments and the elements that are not
    text, and elements that their tag, role, class or id calls a menu, page header,
    footer, sidebar, notice, advert, form or reader comments, leave empty lines;
-   block elements and ``br`` end a line, other tags vanish.
+   block elements and ``br`` end a line, other tags vanish.  A class, role or id
+   is weak evidence (see :func:`_name` and :func:`_settle`): an element that holds the article or most of the page's
+   unlinked text stays, and inside an article a word that may be a topic counts
+   only for short or linked text.
 2. Each line has a weight, the length of its text outside links; the block at a
    line is the sum of weights over a window of ``WINDOW`` lines that starts there.
 3. A run of text begins at a surge point, a line whose block reaches
@@ -55,7 +58,15 @@ BESIDE_WORDS = frozenset(
     "gdpr notice popup modal overlay newsletter subscribe subscription paywall sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs masthead footer comment comments disqus replies share sharing social related recommended "
     "recommendations widget login signup search toolbar pagination pager complementary contentinfo".split())
-#: Of these, the ones that name a page's head only where no article is open.
+#: Of these, the ones that an article may be about or a part of it be called.
+TOPIC_WORDS = frozenset(
+    "promotion cookies consent notice popup modal overlay subscribe subscription menu navigation share sharing social "
+    "related recommended recommendations widget login signup search toolbar".split())
+READER_WORDS = frozenset("comment comments disqus replies".split())
+#: What follows one of these in a name is said of the element, not its name.
+NEGATED = frozenset("has no with without hide".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that name a page's head only where no article is open.
 HEADER_WORDS = frozenset({"header"})
 ARTICLE_ROLES = frozenset({"main", "article"})
 #: Elements that stand inside a line, and those without an end tag.
@@ -71,7 +82,7 @@ TOKEN = re.compile(
     r"|<(script|style|textarea|title|noscript|template|iframe|svg)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
-ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|aria-label|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -83,16 +94,27 @@ class Line:
     article: int = -1    # number of the outermost article element that holds it
     inner: int = -1      # number of the innermost one
     box: int = 0         # number of the innermost container that holds it
+    name: int = -1       # number of the innermost element that holds it and has a name of what stands beside
 
 
 @dataclass
 class _Open:
     tag: str
-    beside: bool   # is itself stripped
+    beside: bool   # is itself stripped, or may be for its name
     hidden: bool   # it, or an element around it, is stripped
     article: int
     inner: int
     box: int
+    name: int
+
+
+@dataclass
+class _Name:
+    """An element with a name of what stands beside the article."""
+    strong: bool    # whatever it holds
+    reader: bool    # reader comments
+    short: bool     # so little text is stripped, linked or not
+    parent: int = -1
 
 
 @dataclass
@@ -101,24 +123,101 @@ class _Page:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
-    def end_line(self, stripped: bool, article: int, inner: int, box: int) -> None:
+    def end_line(self, stripped: bool, article: int, inner: int, box: int, name: int) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
-        if text or stripped:
-            self.lines.append(Line("" if stripped else text, self.linked, stripped, article, inner, box))
+        if text or stripped or name >= 0:
+            self.lines.append(Line("" if stripped else text, self.linked, stripped, article, inner, box, name))
         self.parts, self.linked = [], 0
 
 
-def _beside(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in NO_TEXT or (tag in BESIDE and not (tag == "header" and in_article)):
-        return True
-    if tag in ("html", "body", "article", "main") and "comment" not in attributes:
-        return False
+def _beside(tag: str, in_article: bool) -> bool:
+    return tag in NO_TEXT or (tag in BESIDE and not (tag == "header" and in_article))
+
+
+def _name(tag: str, attributes: str, in_article: bool) -> _Name | None:
+    """What the element's class, role and id say, if they hold a word of what stands beside the article."""
+    if tag in ("html", "body") or not attributes:
+        return None
+    classes, ids = set(), set()
     for name, value in ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id", "role"):
-            words = {w.lower() for w in NAME_PART.findall(value)}
-            if words & BESIDE_WORDS or (words & HEADER_WORDS and not in_article):
-                return True
-    return False
+        name = name.lower()
+        if name not in ("class", "id", "role") or (
+                name == "id" and (tag in HEADINGS or (tag == "section" and in_article))):
+            continue
+        for part in value.strip("\"'").split():
+            words = [w.lower() for w in NAME_PART.findall(part)]
+            end = next((i for i, w in enumerate(words) if w in NEGATED), len(words))
+            (ids if name == "id" else classes).update(words[:end])
+    known = READER_WORDS if tag in ("article", "main") else BESIDE_WORDS if in_article else BESIDE_WORDS | HEADER_WORDS
+    classes, ids = classes & known, ids & known
+    if in_article and tag in INLINE and tag != "a":
+        classes, ids = classes - TOPIC_WORDS, ids - TOPIC_WORDS
+    if not classes and not ids:
+        return None
+    topic = (classes | ids) <= TOPIC_WORDS and (in_article or (tag == "section" and not classes))
+    return _Name(not topic, bool((classes | ids) & READER_WORDS), bool(classes) or not in_article)
+
+
+def _weight(line: Line) -> int:
+    return 0 if line.stripped or 2 * line.linked > len(line.text) else len(line.text)
+
+
+def _settle(lines: list[Line], names: list[_Name], marks: list[int]) -> list[Line]:
+    """``lines`` with those of named elements stripped, or not.
+
+    ``marks`` has the innermost named element around each article element.  A named element stays if it holds the
+    article, which is the heaviest marked element outside named ones, or else one in them that outweighs all text
+    outside them; or if it holds most of the page's unlinked text (reader comments: if no article is marked outside).
+    Of the rest, those that may be a part of the article stay if their unlinked text is as dense as a run's."""
+    if not names:
+        return lines
+    weight, size, linked, count = ([0] * len(names) for _ in range(4))
+    marked, plain = [0] * len(marks), 0
+    for x in lines:
+        w = _weight(x)
+        if x.inner >= 0 and x.name == marks[x.inner]:
+            marked[x.inner] += w
+        if x.name < 0:
+            plain += w
+        else:
+            weight[x.name] += w
+            size[x.name] += len(x.text)
+            linked[x.name] += x.linked
+            count[x.name] += bool(x.text)
+    total = plain + sum(weight)
+    for i in range(len(names) - 1, -1, -1):
+        up = names[i].parent
+        if up >= 0:
+            for of in (weight, size, linked, count):
+                of[up] += of[i]
+    reader = []
+    for e in names:
+        reader.append(e.reader or (e.parent >= 0 and reader[e.parent]))
+    free = any(n < 0 and w >= SURGE for n, w in zip(marks, marked, strict=True))
+    holds = set()
+    if not free:
+        inside = [(w, -k) for k, (n, w) in enumerate(zip(marks, marked, strict=True))
+                  if n >= 0 and not reader[n] and w > plain]
+        at = marks[-max(inside)[1]] if inside else -1
+        while at >= 0:
+            holds.add(at)
+            at = names[at].parent
+    gone: list[bool] = []
+    for i, e in enumerate(names):
+        if e.parent >= 0 and gone[e.parent]:
+            gone.append(True)
+        elif i in holds or (2 * weight[i] > total and not (reader[i] and free)):
+            gone.append(False)
+        else:
+            dense = weight[i] >= SURGE and weight[i] * WINDOW >= SURGE * count[i]
+            gone.append(e.strong or 2 * linked[i] > size[i] or (e.short and not dense))
+    out = []
+    for x in lines:
+        if x.name >= 0 and gone[x.name]:
+            out.append(Line("", 0, True, x.article, x.inner, x.box, x.name))
+        elif x.text or x.stripped:
+            out.append(x)
+    return out
 
 
 def _is_article(tag: str, attributes: str) -> bool:
@@ -133,22 +232,32 @@ def lines_of(page: str) -> list[Line]:
     """The page's lines, with empty ones for what was stripped."""
     out = _Page()
     stack: list[_Open] = []
-    articles = boxes = 0
+    boxes = 0
+    names: list[_Name] = []
+    marks: list[int] = []
     # Elements that the page never closes must not hide what follows.
     tokens = list(TOKEN.finditer(page))
     last_end = {m[3].lower(): m.start() for m in tokens if m[2]}
 
-    def state() -> tuple[bool, int, int, int]:
-        return (stack[-1].hidden, stack[-1].article, stack[-1].inner, stack[-1].box) if stack else (False, -1, -1, 0)
+    def state() -> tuple[bool, int, int, int, int]:
+        if not stack:
+            return False, -1, -1, 0, -1
+        x = stack[-1]
+        return x.hidden, x.article, x.inner, x.box, x.name
 
-    def push(tag: str, beside: bool, mark: int = -1) -> None:
+    def push(tag: str, beside: bool, named: _Name | None, marked: bool = False) -> None:
         nonlocal boxes
-        hidden, article, inner, box = state()
+        hidden, article, inner, box, name = state()
         if tag in CONTAINERS:
             boxes = box = boxes + 1
-        if mark >= 0:
-            article, inner = mark if article < 0 else article, mark
-        stack.append(_Open(tag, beside, beside or hidden, article, inner, box))
+        if named:
+            named.parent, name = name, len(names)
+            names.append(named)
+        if marked:
+            inner = len(marks)
+            marks.append(name)
+            article = inner if article < 0 else article
+        stack.append(_Open(tag, beside or named is not None, beside or hidden, article, inner, box, name))
 
     def pop_to(i: int) -> None:
         out.end_line(*state())
@@ -186,7 +295,8 @@ def lines_of(page: str) -> list[Line]:
             continue
         attributes = m[4]
         in_article = state()[1] >= 0
-        beside = _beside(tag, attributes, in_article)
+        beside = _beside(tag, in_article)
+        named = None if beside or state()[0] else _name(tag, attributes, in_article)
         if tag == "a":
             links += 1
         if tag in VOID:
@@ -194,9 +304,9 @@ def lines_of(page: str) -> list[Line]:
                 out.end_line(*state())
             continue
         if tag in INLINE:
-            if beside and attributes.rstrip()[-1:] != "/" and last_end.get(tag, -1) > m.start():
+            if (beside or named) and attributes.rstrip()[-1:] != "/" and last_end.get(tag, -1) > m.start():
                 out.end_line(*state())
-                push(tag, True)
+                push(tag, beside, named)
             continue
         out.end_line(*state())
         links = 0
@@ -207,16 +317,14 @@ def lines_of(page: str) -> list[Line]:
         if attributes.rstrip()[-1:] == "/" and tag not in LOOSE:
             continue
         closed = tag in LOOSE or last_end.get(tag, -1) > m.start()
-        mark = -1
-        if _is_article(tag, attributes) and not state()[0] and not beside:
-            mark, articles = articles, articles + 1
-        push(tag, beside and closed, mark)
+        push(tag, beside and closed, named if closed else None,
+             _is_article(tag, attributes) and not state()[0] and not beside)
     tail = page[at:]
     if tail and not state()[0]:
         # A tag that the page's end cuts off is not text.
         out.parts.append(re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", tail))
     out.end_line(*state())
-    return out.lines
+    return _settle(out.lines, names, marks)
 
 
 def runs(weights: list[int]) -> list[tuple[int, int]]:
@@ -306,7 +414,7 @@ def _marked_field(lines: list[Line], weights: list[int]) -> list[int]:
 def main_text(page: str | None) -> str:
     """The page's article."""
     lines = lines_of(page) if page else []
-    weights = [0 if x.stripped or 2 * x.linked > len(x.text) else len(x.text) for x in lines]
+    weights = [_weight(x) for x in lines]
     kept = _marked_field(lines, weights)
     if not kept:
         field_ = _field(lines, weights)
