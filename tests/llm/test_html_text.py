@@ -6,7 +6,7 @@ import re
 import pytest
 
 from transvoc.llm import html_text as H
-from transvoc.llm import queries
+from transvoc.llm import queries, warc
 
 SF = "/root/testdata/sf0.001"
 LONG = "Lorem ipsum dolor sit amet " * 8
@@ -93,6 +93,16 @@ def test_names_are_weak_evidence(case):
     assert H.main_text(page) == "\n".join(want)
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<p>a <svg class="i"/> b</p><p>c</p>', "a b\nc"), ("<p>a <svg/> b <svg><title>t</title><p>z</svg> c</p><p>d", "a b c\nd"),
+    ("<p>a <noscript> b</p><p>c</p><noscript>z</noscript><p>d</p>", "a b\nc\nd"), ("<p>a<iframe src=x></p><p>b</p>", "a\nb"),
+    ("<template>z<p>z</p><template>z</template>z</template><p>a", "a"), ("<p>a</noscript> b", "a b"),
+    ("<p>a <noscript><img src=x><p>z</noscript>b", "a b")])
+def test_skipped_elements_do_not_swallow(page, want):
+    assert H.main_text(page) == want
+    assert warc.plain_text("text/html", page) == want
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
     assert H.main_text(deep) == "x"

@@ -75,11 +75,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end tag may be left out: a new block ends them.
 CONTAINERS = frozenset("html body div section article main center table".split())
+#: Elements inside a line whose content is not read, up to their own end tag; without one, or closed in their own tag,
+#: they hold nothing.
+SKIPPED = frozenset("svg noscript template iframe".split())
 LOOSE = frozenset("p li dt dd tr td th option thead tbody tfoot".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title|noscript|template|iframe|svg)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|aria-label|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -228,6 +231,23 @@ def _is_article(tag: str, attributes: str) -> bool:
                for name, value in ATTRIBUTE.findall(attributes))
 
 
+def _skips(tokens: list[re.Match[str]]) -> dict[int, int]:
+    """The token that ends each element of ``SKIPPED``, by the token that starts it; an end tag belongs to the last
+    open start tag of its name."""
+    open_: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for i, m in enumerate(tokens):
+        tag = (m[3] or "").lower()
+        if tag in SKIPPED:
+            starts = open_.setdefault(tag, [])
+            if not m[2]:
+                if not (tag == "svg" and m[4].rstrip()[-1:] == "/"):
+                    starts.append(i)
+            elif starts:
+                ends[starts.pop()] = i
+    return ends
+
+
 def lines_of(page: str) -> list[Line]:
     """The page's lines, with empty ones for what was stripped."""
     out = _Page()
@@ -237,6 +257,7 @@ def lines_of(page: str) -> list[Line]:
     marks: list[int] = []
     # Elements that the page never closes must not hide what follows.
     tokens = list(TOKEN.finditer(page))
+    skips = _skips(tokens)
     last_end = {m[3].lower(): m.start() for m in tokens if m[2]}
 
     def state() -> tuple[bool, int, int, int, int]:
@@ -263,8 +284,11 @@ def lines_of(page: str) -> list[Line]:
         out.end_line(*state())
         del stack[i:]
 
-    at, links = 0, 0
-    for m in tokens:
+    at, links, until = 0, 0, -1
+    for k, m in enumerate(tokens):
+        if k <= until:
+            at = m.end()
+            continue
         piece = page[at:m.start()]
         at = m.end()
         if piece:
@@ -275,6 +299,9 @@ def lines_of(page: str) -> list[Line]:
         tag = (m[3] or "").lower()
         if not tag:
             continue
+        if tag in SKIPPED:
+            until = skips.get(k, -1)
+            continue
         if tag == "br":
             out.end_line(*state())
             continue

@@ -131,7 +131,8 @@ def plain_text(content_type: str, text: str) -> str:
 
 def _without_names(page: str) -> str:
     """Attributes gone, so that nothing is stripped for its class or role."""
-    return re.sub(r"<([a-zA-Z][^\s/>]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", r"<\1>", page)
+    bare = lambda m: "" if m[1].lower() == "svg" and m[0].endswith("/>") else f"<{m[1]}>"
+    return re.sub(r"<([a-zA-Z][^\s/>]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", bare, page)
 
 
 def links(uri: str | None, page: str) -> list[str]:
