@@ -6,7 +6,10 @@ separators stay where they are; telephone numbers keep their country code,
 account and card numbers their check sums, given names their gender.
 
 1. Entities are found where a text is read, in a normal form: the same number in
-   two formats, or the same address in two cases, is one entity.
+   two formats, or the same address in two cases, is one entity.  Names are found
+   after a title or several, with initials, particles and any number of name
+   words; the words found are joined back to all their capitalized mentions in the
+   text, titled or not, with listed given names and initials before a found surname.
 2. The distinct entities of the whole corpus get a candidate each from an HMAC of
    kind, normal form and attempt.  A candidate is refused if it is an original of
    the corpus, has been given to another entity, or is asked for by several in
@@ -14,7 +17,7 @@ account and card numbers their check sums, given names their gender.
    entities stay different and no surrogate is somebody's real value, and the same
    entity has the same surrogate in all documents (coreference).  Parts of a
    person's name are entities of their own, so ``John Smith`` and ``Mr. Smith``
-   still share a surname.
+   still share a surname; particles stay.
 3. Surrogates are joined back to the rows that mention the entity, and put into the
    format of each mention.
 
@@ -35,6 +38,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +48,7 @@ from pyspark.sql import functions as F
 
 from transvoc.session import cut_lineage
 
-KINDS = ("email", "iban", "ip", "card", "ssn", "phone", "given_m", "given_f", "surname")
+KINDS = ("email", "iban", "ip", "card", "ssn", "phone", "given_m", "given_f", "surname", "initial")
 
 #: Formats of the detected entities.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -57,18 +61,46 @@ NUMBERS = (
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}" + _BETWEEN + r"(?:\(\d{1,5}\)|\d{1,5})(?:" + _BETWEEN + r"\d{2,5}){1,4}(?!\w)"
                          r"|(?<!\w)\(\d{3,5}\)[ -]?\d{3,4}[ .-]\d{3,5}(?!\w)"
                          r"|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")),
+    ("phone", re.compile("|".join((
+        r"(?<![\w.,:+/-])(?:"
+        # international with 00; trunk prefix 0, not a date: in pairs, in groups, in one
+        r"00[1-9]\d{0,2}(?:[ ./-]?\(\d{1,5}\)|[ ./-]\d{1,5})(?:[ ./-]?\d{2,8}){1,4}",
+        r"0[1-9]([ .-])\d{2}\1\d{2}\1\d{2}\1\d{2}",
+        r"(?!\d{1,2}([ -])\d{1,2}\2(?:19|20)\d\d(?!\d))0[1-9]\d{0,4}(?: ?/ ?|[ -])(?=(?:[ -]?\d){5,9}(?![ -]?\d))"
+        r"\d{2,8}(?:[ -]\d{1,5}){0,4}",
+        r"0[1-9]\d{8,9}",
+        r"\(0\d{1,5}\) ?/? ?\d{2,8}(?:[ -]\d{2,5}){0,3}",
+        # Russia and the NANP with their prefixes, and by groups; Spain, Italy
+        r"8[ -]\(?\d{3,4}\)?[ -]\d{2,3}[ -]\d{2}[ -]\d{2}",
+        r"(?:1[ .-])?\(?[2-9]\d{2}\)?[ .-][2-9]\d{2}[ .-]\d{4}",
+        r"9\d \d{3} \d{2} \d{2}", r"[679]\d{2} \d{2} \d{2} \d{2}", r"3[2-9]\d \d{7}")) + r")(?![\w/]|[.,-]\d)")),
 )
 #: Attempts after which a surrogate may be longer than its original.
 TIGHT = 30
-DIGITS = re.compile(r"\d[\d ().|*#%$&!-]*")
+DIGITS = re.compile(r"\d[\d ()./|*#%$&!-]*")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 IBAN_START = re.compile(r"(?<!\w)[A-Z]{2}\d{2}")
 DOMAIN = re.compile(r"[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}")
 TITLES = {"Mr.": "m", "Herr": "m", "Señor": "m", "Sr.": "m", "господин": "m",
           "Mrs.": "f", "Ms.": "f", "Frau": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra.": "f", "госпожа": "f",
           "Dr.": "", "Prof.": ""}
-NAMED = re.compile("(?<!\\w)(" + "|".join(map(re.escape, sorted(TITLES, key=len, reverse=True)))
-                   + r")\s+([^\W\d_][\w'-]+)(?:\s+([^\W\d_][\w'-]+))?")
+#: What stands inside a name, and what ends one though it is capitalized.
+PARTICLES = frozenset("van von der den de del della di da das do dos du la le el al bin ibn ben ter ten zu zur zum af av y e "
+                      "фон де".split())
+NOT_NAMES = frozenset(
+    "i he she it we you they the a an and or but if in on at of to for from with is was has had his her their this that these "
+    "when while who as so then there here not no yes er sie es wir ihr der die das ein eine und oder aber il elle nous vous "
+    "ils elles le la les un une et ou él ella y o monday tuesday wednesday thursday friday saturday sunday он она они и но "
+    "в на с по это".split())
+_TITLE = "(?:" + "|".join(map(re.escape, sorted(TITLES, key=len, reverse=True))) + r")(?!\w)"
+TITLE = re.compile(rf"(?<!\w){_TITLE}")
+WORD = re.compile(r"(?<![\w'’-])[^\W\d_][\w'’-]*")
+#: The next part of a name; an empty line ends it.
+PART = re.compile(rf"(?:[^\S\n]+(?:\n[^\S\n]*)?|\n[^\S\n]*)(?:(?P<title>{_TITLE})"
+                  r"|(?P<initial>(?:[^\W\d_]\.[ -]?)*[^\W\d_]\.)|(?P<word>[^\W\d_][\w'’-]*))")
+INITIAL_BEFORE = re.compile(r"(?<![\w'’-])((?:[^\W\d_]\.[ -]?)*[^\W\d_]\.)\s+\Z")
+POSSESSIVE = re.compile(r"['’-]+(?:s['’-]*)?\Z")
+ELIDED = re.compile(r"[a-z]{1,2}['’][A-Z]")
 #: Given names by gender and script; they decide a mention's gender and serve as surrogates.
 GIVEN = {
     ("m", "LATIN"): "James John Robert Michael William David Thomas Daniel Paul Mark Peter Karl Hans Jean Pierre "
@@ -84,7 +116,7 @@ SYLLABLES = {"LATIN": "ba be da do fe ga ha ka la le ma me mi na ne ni pa ra re
 
 
 #: A wider net (a Java pattern): a text without any of these has no entity.
-MAY_HOLD = (r"@|[0-9\p{Nd}][0-9\p{Nd} ().|*#%$&!-]{6,}|[A-Z]{2}\p{Nd}{2}|"
+MAY_HOLD = (r"@|[0-9\p{Nd}][0-9\p{Nd} ()./|*#%$&!-]{6,}|[A-Z]{2}\p{Nd}{2}|"
             + "|".join(map(re.escape, sorted(TITLES))))
 
 
@@ -105,11 +137,15 @@ def normal_form(kind: str, text: str) -> str:
         if text.startswith("+"):
             code = re.match(r"\+(\d{1,3})(?=\D)", text) or re.match(r"\+(\d)", text)
             return f"{code[1]}|{_digits(text[code.end():])}"
+        if text.startswith("00"):
+            return normal_form(kind, "+" + text[2:])
         return "|" + _digits(text)
     if kind in ("card", "ssn"):
         return _digits(text)
     if kind == "iban":
         return text.replace(" ", "")
+    if kind == "initial":
+        text = text.replace(" ", "")
     return unicodedata.normalize("NFC", text).casefold()
 
 
@@ -144,20 +180,112 @@ def detect(text: str | None) -> list[Mention]:
         for kind, pattern in NUMBERS:
             found += [(KINDS.index(kind), m.start(), m.end(), kind) for m in pattern.finditer(text, first, last)]
     if any(t in text for t in TITLES):
-        for m in NAMED.finditer(text):
-            one, two = m[2], m[3]
-            if not one[0].isupper():
-                continue
-            if two and two[0].isupper():
-                gender = TITLES[m[1]] or _GENDER.get(one.casefold(), "m")
-                found += [(6, m.start(2), m.end(2), f"given_{gender}"), (8, m.start(3), m.end(3), "surname")]
-            else:
-                found.append((8, m.start(2), m.end(2), "surname"))
+        found += [(KINDS.index(kind), a, b, kind) for a, b, kind in _names(text)]
+    starts: list[int] = []
     taken: list[Mention] = []
     for _, a, b, kind in sorted(set(found)):
-        if all(b <= x.start or a >= x.end for x in taken):
-            taken.append(Mention(a, b, kind, normal_form(kind, text[a:b])))
-    return sorted(taken, key=lambda x: x.start)
+        at = bisect_right(starts, a)
+        if (not at or taken[at - 1].end <= a) and (at == len(taken) or b <= taken[at].start):
+            starts.insert(at, a)
+            taken.insert(at, Mention(a, b, kind, normal_form(kind, text[a:b])))
+    return taken
+
+
+def _titled(text: str) -> Iterator[tuple[int, int, str]]:
+    """Parts of the names that follow titles."""
+    at = 0
+    while first := TITLE.search(text, at):
+        gender, at = TITLES[first[0]], first.end()
+        parts: list[tuple[int, int, str]] = []
+        while m := PART.match(text, at):
+            kind = m.lastgroup
+            a, b = m.span(kind)
+            piece, last = m[kind], False
+            if kind == "title":
+                if parts:
+                    break
+                gender = gender or TITLES[piece]
+            elif kind == "initial":
+                if not piece[0].isupper():
+                    break
+            else:
+                own = POSSESSIVE.search(piece)
+                if own:
+                    piece, b, last = piece[:own.start()], a + own.start(), True
+                if piece.casefold() in PARTICLES:
+                    kind = "particle"
+                elif not (piece[:1].isupper() or ELIDED.match(piece)) or (parts and piece.casefold() in NOT_NAMES):
+                    break
+            at = m.end()
+            if kind != "title":
+                parts.append((a, b, kind))
+            if last:
+                break
+        while parts and parts[-1][2] == "particle":
+            a, b, _ = parts.pop()
+            if text[a].isupper():  # a name after all
+                parts.append((a, b, "word"))
+        words = [p for p in parts if p[2] == "word"]
+        split = next((p[0] for k, p in enumerate(parts) if p[2] == "particle" and any(x[2] == "word" for x in parts[:k])), None)
+        given = [p for p in words[:-1] if split is None or p[0] < split]
+        if not gender and given:
+            gender = next((g for g in (_GENDER.get(normal_form("surname", text[a:b])) for a, b, _ in given) if g), "m")
+        for a, b, kind in parts:
+            if kind == "initial":
+                yield a, b, kind
+            elif kind == "word":
+                yield a, b, f"given_{gender}" if (a, b, kind) in given else "surname"
+
+
+def _names(text: str) -> list[tuple[int, int, str]]:
+    """Parts of names: after titles, and wherever a word found there is mentioned again."""
+    found = list(_titled(text))
+    held = {a: kind for a, _, kind in found}
+    known: dict[str, dict[str, str]] = {"given": {}, "surname": {}}
+    for a, b, kind in found:
+        if kind != "initial":
+            known[kind.split("_")[0]].setdefault(normal_form(kind, text[a:b]), kind)
+    if not known["given"] and not known["surname"]:
+        return found
+    words = [m.span() for m in WORD.finditer(text)]
+    after = ""  # kind of the next word, if only space lies between
+    start = len(text)
+    for a, b in reversed(words):
+        near = after if not text[b:start].strip() else ""
+        if a in held:
+            after, start = held[a], a
+            continue
+        own = POSSESSIVE.search(text, a, b)
+        end = own.start() if own else b
+        kind = _kind_of(text[a:end], known, near if end == b else "")
+        after, start = kind, a
+        if kind:
+            found.append((a, end, kind))
+        elif "-" in text[a:end]:
+            x = a
+            for piece in text[a:end].split("-"):
+                if kind := _kind_of(piece, known, ""):
+                    found.append((x, x + len(piece), kind))
+                x += len(piece) + 1
+    for a, _, kind in list(found):  # initials before a name
+        if m := INITIAL_BEFORE.search(text, max(0, a - 24), a):
+            if kind != "initial" and m[1][0].isupper():
+                found.append((*m.span(1), "initial"))
+    return found
+
+
+def _kind_of(word: str, known: dict[str, dict[str, str]], after: str) -> str:
+    """The kind of an untitled mention, or nothing; ``after`` is the kind of the word behind it."""
+    if not (word[:1].isupper() or ELIDED.match(word)):
+        return ""
+    normal = normal_form("surname", word)
+    if after and normal in known["given"]:
+        return known["given"][normal]
+    if normal in known["surname"]:
+        return "surname"
+    if after and normal in _GENDER:
+        return f"given_{_GENDER[normal]}"
+    return known["given"].get(normal, "")
 
 
 class _Stream:
@@ -221,6 +349,9 @@ def candidate(kind: str, normal: str, attempt: int, key: bytes) -> str:
         if parts:
             return "".join(parts[draw.below(len(parts))] for _ in range(2 + min(attempt, 20) // 4 + draw.below(2)))
         return "".join(_letter(c, draw) if c.isalpha() else c for c in normal)
+    if kind == "initial":
+        new = "".join(_letter(c, draw) if c.isalpha() else c for c in normal)
+        return new[:1] + "".join(_letter(normal[0], draw) for _ in range(attempt // 2)) + new[1:]
     if kind == "email":
         local, domain = normal.rsplit("@", 1)
         labels = domain.split(".")
@@ -235,7 +366,9 @@ def candidate(kind: str, normal: str, attempt: int, key: bytes) -> str:
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "phone":
         code, rest = normal.split("|")
-        return f"{code}|{number(rest, lead=True)}"
+        # Prefixes of national numbers stay: 0, or 8 and 1 before ten digits.
+        keep = not code and (rest[:1] == "0" or (len(rest) == 11 and rest[0] in "18"))
+        return f"{code}|{rest[:keep]}{number(rest[keep:], lead=True)}"
     if kind == "card":
         new = number(normal, lead=True)
         if _luhn(normal) == 0:
@@ -251,8 +384,12 @@ def candidate(kind: str, normal: str, attempt: int, key: bytes) -> str:
 def in_format(kind: str, mention: str, surrogate: str) -> str:
     """``surrogate`` written the way ``mention`` is: its separators, its case."""
     if kind in ("phone", "card", "ssn", "iban"):
-        new = iter(surrogate.replace("|", ""))
+        new = iter(("00" if kind == "phone" and mention.startswith("00") else "") + surrogate.replace("|", ""))
         return "".join(next(new) if c.isalnum() else c for c in mention) + "".join(new)
+    if kind == "initial":
+        parts = [x[:1].upper() + x[1:] for x in surrogate.split(".") if x]
+        signs = re.split(r"\w\.", mention)[1:]
+        return "".join(f"{x}.{sign}" for x, sign in zip(parts, signs, strict=True))
     if kind in ("given_m", "given_f", "surname"):
         return surrogate.upper() if mention.isupper() and len(mention) > 1 else surrogate[:1].upper() + surrogate[1:]
     if mention.isupper():
