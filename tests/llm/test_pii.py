@@ -107,6 +107,33 @@ def test_collisions(spark):
     assert not {(r["kind"], r["surrogate"]) for r in table} & set(rows)
 
 
+def form(name):
+    """The genders that a made or listed name shows."""
+    script = pii.script_of(name)
+    return {g for (g, x), names in pii.GIVEN.items() if x == script and name in [n.casefold() for n in names]} or {
+        g for (g, x), ends in pii.ENDINGS.items() if x == script and name.endswith(tuple(ends))}
+
+
+def test_gender_never_runs_out(spark):
+    """Every listed name is an original and there are hundreds more."""
+    listed = [(f"given_{g}", n.casefold()) for (g, _), names in pii.GIVEN.items() for n in names]
+    more = [(f"given_{g}", f"{x}{i}") for g in "mfx" for x in ("name", "имя") for i in range(300)]
+    rows = {r["normal"] + r["kind"]: r for r in pii.surrogate_table(
+        spark.createDataFrame(listed + more, "kind string, normal string"), KEY).collect()}
+    assert len(rows) == len({(r["kind"], r["surrogate"]) for r in rows.values()}) == len(listed) + len(more)
+    for r in rows.values():
+        assert form(r["surrogate"]) == {r["kind"][-1]}, r
+        assert pii.script_of(r["surrogate"]) == pii.script_of(r["normal"])
+    assert not {(r["kind"], r["surrogate"]) for r in rows.values()} & set(listed + more)
+
+
+def test_unknown_gender():
+    """Neither title nor list tells a gender: neutral, unless the text does elsewhere."""
+    assert kinds("Dr. Zoltan Kiss")[0] == ("given_x", "zoltan")
+    assert kinds("Dr. Anna Kiss")[0] == ("given_f", "anna") and kinds("Dr. Anna Zoltan Kiss")[1] == ("given_f", "zoltan")
+    assert kinds("Dr. Zoe Kiss and Mrs. Zoe Kiss")[0] == ("given_f", "zoe")
+
+
 def test_key_matters_and_reruns_agree(spark):
     df = spark.createDataFrame([(1, TEXT)], "doc_id long, text string")
     one, two, other = (pii.pseudonymize(df, k).first()["text"] for k in (KEY, KEY, b"other"))

@@ -3,7 +3,11 @@
 Detected entities (:data:`KINDS`) get keyed replacements that look like the
 original: letters stay letters of the same script and case, digits stay digits,
 separators stay where they are; telephone numbers keep their country code,
-account and card numbers their check sums, given names their gender.
+account and card numbers their check sums, given names their gender.  A given name's
+gender is that of its title, or else of a listed name; a name of neither gets a
+neutral surrogate.  After the listed names, gendered surrogates are stems with an
+ending of that gender, so there are as many as the corpus needs (Latin and Cyrillic;
+names in other scripts have no gendered forms).
 
 1. Entities are found where a text is read, in a normal form: the same number in
    two formats, or the same address in two cases, is one entity.  Names are found
@@ -48,7 +52,7 @@ from pyspark.sql import functions as F
 
 from transvoc.session import cut_lineage
 
-KINDS = ("email", "iban", "ip", "card", "ssn", "phone", "given_m", "given_f", "surname", "initial")
+KINDS = ("email", "iban", "ip", "card", "ssn", "phone", "given_m", "given_f", "given_x", "surname", "initial")
 
 #: Formats of the detected entities.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -110,6 +114,15 @@ GIVEN = {
     ("m", "CYRILLIC"): "Иван Пётр Алексей Сергей Дмитрий Николай Андрей Михаил Павел Олег".split(),
     ("f", "CYRILLIC"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Вера Нина".split(),
 }
+#: Endings that mark made given names by gender; no ending of one is an ending of another.
+ENDINGS = {
+    ("m", "LATIN"): "bert rich win mund us ian hard or".split(), ("f", "LATIN"): "ina ella etta issa ia ana linda ora".split(),
+    ("x", "LATIN"): "y ey i u".split(),
+    ("m", "CYRILLIC"): "слав мир бор ан ент ий ослав ей".split(), ("f", "CYRILLIC"): "ина ия ана елла етта ида ора уша".split(),
+    ("x", "CYRILLIC"): "и о ю ри".split(),
+}
+#: Attempts that draw from the listed names.
+LISTED = 4
 _GENDER = {n.casefold(): g for (g, _), names in GIVEN.items() for n in names}
 SYLLABLES = {"LATIN": "ba be da do fe ga ha ka la le ma me mi na ne ni pa ra re ri sa se ta te to va".split(),
              "CYRILLIC": "ба ве да до ка ла ле ма ми на не ни па ра ре ри са та те то".split()}
@@ -229,7 +242,7 @@ def _titled(text: str) -> Iterator[tuple[int, int, str]]:
         split = next((p[0] for k, p in enumerate(parts) if p[2] == "particle" and any(x[2] == "word" for x in parts[:k])), None)
         given = [p for p in words[:-1] if split is None or p[0] < split]
         if not gender and given:
-            gender = next((g for g in (_GENDER.get(normal_form("surname", text[a:b])) for a, b, _ in given) if g), "m")
+            gender = next((g for g in (_GENDER.get(normal_form("surname", text[a:b])) for a, b, _ in given) if g), "x")
         for a, b, kind in parts:
             if kind == "initial":
                 yield a, b, kind
@@ -240,6 +253,9 @@ def _titled(text: str) -> Iterator[tuple[int, int, str]]:
 def _names(text: str) -> list[tuple[int, int, str]]:
     """Parts of names: after titles, and wherever a word found there is mentioned again."""
     found = list(_titled(text))
+    # A name of unknown gender takes the one that it has elsewhere in the text.
+    gendered = {normal_form(k, text[a:b]): k for a, b, k in reversed(found) if k in ("given_m", "given_f")}
+    found = [(a, b, gendered.get(normal_form(k, text[a:b]), k) if k == "given_x" else k) for a, b, k in found]
     held = {a: kind for a, _, kind in found}
     known: dict[str, dict[str, str]] = {"given": {}, "surname": {}}
     for a, b, kind in found:
@@ -340,15 +356,21 @@ def candidate(kind: str, normal: str, attempt: int, key: bytes) -> str:
         normal += "0" * (1 + (attempt - TIGHT) // 10)
     number = lambda s, lead=False: "".join(
         str(1 + draw.below(9) if lead and i == 0 and c != "0" else draw.below(10)) for i, c in enumerate(s))
-    if kind in ("given_m", "given_f"):
-        names = GIVEN.get((kind[-1], script_of(normal)), [])
-        if names and attempt < len(names):
+    if kind.startswith("given_") or kind == "surname":
+        script = script_of(normal)
+        names, parts = GIVEN.get((kind[-1], script), []), SYLLABLES.get(script)
+        if kind != "surname" and names and attempt < LISTED:
             return names[draw.below(len(names))].casefold()
-    if kind in ("given_m", "given_f", "surname"):
-        parts = SYLLABLES.get(script_of(normal))
         if parts:
-            return "".join(parts[draw.below(len(parts))] for _ in range(2 + min(attempt, 20) // 4 + draw.below(2)))
-        return "".join(_letter(c, draw) if c.isalpha() else c for c in normal)
+            stem = "".join(parts[draw.below(len(parts))] for _ in range(2 + attempt // 4 + draw.below(2)))
+            if kind == "surname":
+                return stem
+            ends = ENDINGS[kind[-1], script]
+            new = stem[:-1] + ends[draw.below(len(ends))]
+            # A listed name may be of another gender.
+            return parts[draw.below(len(parts))] + new if new in _GENDER else new
+        longer = normal[:1] * (1 + (attempt - TIGHT) // 10) if attempt >= TIGHT else ""
+        return "".join(_letter(c, draw) if c.isalpha() else c for c in normal + longer)
     if kind == "initial":
         new = "".join(_letter(c, draw) if c.isalpha() else c for c in normal)
         return new[:1] + "".join(_letter(normal[0], draw) for _ in range(attempt // 2)) + new[1:]
@@ -390,7 +412,7 @@ def in_format(kind: str, mention: str, surrogate: str) -> str:
         parts = [x[:1].upper() + x[1:] for x in surrogate.split(".") if x]
         signs = re.split(r"\w\.", mention)[1:]
         return "".join(f"{x}.{sign}" for x, sign in zip(parts, signs, strict=True))
-    if kind in ("given_m", "given_f", "surname"):
+    if kind.startswith("given_") or kind == "surname":
         return surrogate.upper() if mention.isupper() and len(mention) > 1 else surrogate[:1].upper() + surrogate[1:]
     if mention.isupper():
         return surrogate.upper()
