@@ -76,6 +76,13 @@ def test_null_ids(spark):
     assert [r["decoded"] for r in bpe.decode(df, PATH).orderBy("k").collect()] == [None, b""]
 
 
+@pytest.mark.parametrize("ids", [[max(RANKS.values()) + 1], [-1], [0, None]])
+def test_unknown_ids(spark, ids):
+    df = spark.createDataFrame([(1, ids)], "k int, ids array<int>")
+    with pytest.raises(Exception, match="no token for id"):
+        bpe.decode(df, PATH).collect()
+
+
 def test_query(spark, library):
     got = {r["doc_id"]: r for r in queries.op2_byte_bpe(spark, SF).collect()}
     texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.col("text")).collect()

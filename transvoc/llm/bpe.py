@@ -12,8 +12,9 @@ Encoding, in four steps:
 4. documents and ids meet by block, and the ids are put in the order of the
    slots.
 
-Decoding joins ids to the token-byte table (one row a token, at most the
-vocabulary's size) and joins the bytes in order.
+Decoding looks ids up in a constant array, the token-byte table by id (at most the
+vocabulary's size), which replaces a join, and joins the bytes in order; an id
+without a token is an error.
 
 Scale: no row exists per token, and a word that a block holds a million times
 crosses the network once for that block.  Blocks and buckets are bounded
@@ -345,6 +346,9 @@ def token_table(ranks_path: str) -> Column:
 
 
 def decode(encoded: DataFrame, ranks_path: str, *, ids: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``: the bytes of each row's ids, in order (null ids: null)."""
+    """``encoded`` with ``decoded``: the bytes of each row's ids, in order (null ids: null; an unknown id: an error)."""
     table = token_table(ranks_path)
-    return encoded.withColumn("decoded", F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")))
+    known = lambda i: F.coalesce(
+        F.nullif(F.get(table, i), F.lit("")),
+        F.raise_error(F.concat(F.lit("no token for id "), F.coalesce(i.cast("string"), F.lit("null")))))
+    return encoded.withColumn("decoded", F.unhex(F.array_join(F.transform(ids, known), "")))
