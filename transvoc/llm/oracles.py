@@ -61,4 +61,40 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM documents d LEFT JOIN joined USING (doc_id)
 """
 
-ORACLES = {"op4_near_dedup": NEAR_DEDUP, "op5_secret_scan": SECRETS}
+
+def _round(number: int) -> str:
+    """Assigned vectors and new centroids of one round."""
+    return f"""
+apart{number} AS (
+  SELECT v.row_no, v.vec_id, v.x, c.cluster,
+         list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS distance
+  FROM vectors v, centroids{number} c),
+near{number} AS (
+  SELECT row_no, vec_id, x, min({{'distance': distance, 'cluster': cluster}}) AS best FROM apart{number} GROUP BY ALL),
+sums{number} AS (
+  SELECT best.cluster AS cluster, i, count(*)::BIGINT AS n, sum(x[i])::BIGINT AS s
+  FROM near{number}, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),
+means{number} AS (
+  SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM sums{number} GROUP BY cluster),
+centroids{number + 1} AS (
+  SELECT c.cluster, coalesce(m.x, c.x) AS x FROM centroids{number} c LEFT JOIN means{number} m USING (cluster))"""
+
+
+CENTROIDS = f"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS row_no, vec_id,
+         list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+centroids0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, x FROM vectors
+  ORDER BY sha256('1:' || vec_id) LIMIT 16),
+{",".join(map(_round, range(4)))},
+inertias AS (SELECT best.cluster AS cluster, sum(best.distance)::BIGINT AS s FROM near3 GROUP BY 1)
+SELECT a.vec_id, a.best.cluster::INTEGER AS cluster, a.best.distance AS distance, t.s AS cluster_inertia,
+       (SELECT sum(s)::BIGINT FROM inertias) AS inertia,
+       sha256(array_to_string(list_transform(c.x, lambda e: e::VARCHAR), ',')) AS centroid_sha256
+FROM near3 a JOIN inertias t ON t.cluster = a.best.cluster JOIN centroids3 c ON c.cluster = a.best.cluster
+"""
+
+ORACLES = {"op11_centroids": CENTROIDS, "op4_near_dedup": NEAR_DEDUP, "op5_secret_scan": SECRETS}

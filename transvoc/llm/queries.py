@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transvoc.llm import bpe, fingerprint, html_text, langid, mix, near_dedup, pii, quality, secret_scan, warc
+from transvoc.llm import bpe, centroids, fingerprint, html_text, langid, mix, near_dedup, pii, quality, secret_scan, warc
 from transvoc.llm.oracles import ORACLES  # noqa: F401
 from transvoc.llm.words import n_words
 from transvoc.session import cut_lineage, table_path
@@ -108,6 +108,14 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.containment(own, edited).alias("kept_in_edited"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after three rounds with 16 centroids."""
+    found = centroids.cluster(read(spark, sf_dir, "embeddings"))
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_byte_bpe, op3_mix_sources, op4_near_dedup, op5_secret_scan, op6_warc_derivatives,
-    op7_quality_rules, op8_pii_surrogates, op9_html_text, op10_fingerprint)}
+    op7_quality_rules, op8_pii_surrogates, op9_html_text, op10_fingerprint, op11_centroids)}
