@@ -12,13 +12,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transvoc.llm import bpe, centroids, fingerprint, html_text, langid, mix, near_dedup, pii, quality, secret_scan, warc
+from transvoc.llm import bpe, centroids, fingerprint, html_text, langid, mix, near_dedup, packing, pii, quality, secret_scan, warc
 from transvoc.llm.oracles import ORACLES  # noqa: F401
 from transvoc.llm.words import n_words
 from transvoc.session import cut_lineage, table_path
 
-#: Fixed value: the vocabulary file of the tokenizer queries.
+#: Fixed value: the vocabulary files of the tokenizer queries.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+WORD_VOCABULARY = "word_bpe_49k.json"
 #: The queries' key for surrogates; a real run passes a secret one.
 PII_KEY = b"documented test key"
 
@@ -116,6 +117,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 2048 tokens, by pieces."""
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_byte_bpe, op3_mix_sources, op4_near_dedup, op5_secret_scan, op6_warc_derivatives,
-    op7_quality_rules, op8_pii_surrogates, op9_html_text, op10_fingerprint, op11_centroids)}
+    op7_quality_rules, op8_pii_surrogates, op9_html_text, op10_fingerprint, op11_centroids,
+    op12_best_fit_packing)}
