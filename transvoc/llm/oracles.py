@@ -97,4 +97,31 @@ SELECT a.vec_id, a.best.cluster::INTEGER AS cluster, a.best.distance AS distance
 FROM near3 a JOIN inertias t ON t.cluster = a.best.cluster JOIN centroids3 c ON c.cluster = a.best.cluster
 """
 
-ORACLES = {"op11_centroids": CENTROIDS, "op4_near_dedup": NEAR_DEDUP, "op5_secret_scan": SECRETS}
+LEXICAL = r"""
+WITH doc_terms AS (
+  SELECT doc_id, row_no, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row_no, * FROM documents)),
+item_terms AS (
+  SELECT item_id, row_no, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row_no, * FROM benchmark)),
+sizes AS (SELECT row_no, count(*) AS n FROM doc_terms GROUP BY ALL),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+tf AS (SELECT doc_id, row_no, term, count(*) AS tf FROM doc_terms SEMI JOIN item_terms USING (term) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, totals GROUP BY term, docs),
+scores AS (
+  SELECT i.item_id, i.row_no AS item_no, tf.doc_id, tf.row_no,
+         sum(w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM item_terms i JOIN tf USING (term) JOIN weights USING (term) JOIN sizes s ON s.row_no = tf.row_no, totals
+  GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {"op13_lexical_search": LEXICAL, "op11_centroids": CENTROIDS, "op4_near_dedup": NEAR_DEDUP, "op5_secret_scan": SECRETS}

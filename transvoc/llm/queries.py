@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transvoc.llm import bpe, centroids, fingerprint, html_text, langid, mix, near_dedup, packing, pii, quality, secret_scan, warc
+from transvoc.llm import bpe, centroids, fingerprint, html_text, langid, lexical, mix, near_dedup, packing, pii, quality, secret_scan, warc
 from transvoc.llm.oracles import ORACLES  # noqa: F401
 from transvoc.llm.words import n_words
 from transvoc.session import cut_lineage, table_path
@@ -122,7 +122,12 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_byte_bpe, op3_mix_sources, op4_near_dedup, op5_secret_scan, op6_warc_derivatives,
     op7_quality_rules, op8_pii_surrogates, op9_html_text, op10_fingerprint, op11_centroids,
-    op12_best_fit_packing)}
+    op12_best_fit_packing, op13_lexical_search)}
