@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from transvoc.operators.transfer import _omp_one, fvt_transfer, omp
+from transvoc.operators import transfer
+from transvoc.operators.transfer import fvt_transfer, omp
 
 
 def anchors_frame(spark, D, B, names):
@@ -29,21 +30,39 @@ def test_omp_exact_reconstruction(spark):
     assert r["vec"] == pytest.approx(list(3 * B[1] + 2 * B[0]))
 
 
-def test_omp_residual_monotone_and_support_bounded():
-    rng = np.random.default_rng(0)
-    D = rng.normal(size=(40, 16))
-    y = rng.normal(size=16)
-    norms = np.linalg.norm(D, axis=1)
-    prev = np.inf
-    for k in (1, 2, 4, 8):
-        s, c, r = _omp_one(y, D, norms, k, 1e-12)
-        assert len(s) <= k and len(set(s)) == len(s)
-        res = np.linalg.norm(r)
-        assert res <= prev + 1e-12
-        prev = res
-        # coefficients are the least-squares fit on the support
-        ref, *_ = np.linalg.lstsq(D[s].T, y, rcond=None)
-        assert np.allclose(c, ref)
+def plain_omp(y, D, k, tol=1e-10):
+    """Matching pursuit by definition: a least-squares fit on all chosen anchors a step."""
+    norms, chosen, c, r = np.linalg.norm(D, axis=1), [], np.zeros(0), y.copy()
+    while len(chosen) < k and np.linalg.norm(r) > tol * max(1.0, np.linalg.norm(y)):
+        score = np.round(np.abs(D @ r) / norms, 12)
+        if score.max() <= tol:
+            break
+        chosen.append(int(np.argmax(score)))
+        c, *_ = np.linalg.lstsq(D[chosen].T, y, rcond=None)
+        r = y - D[chosen].T @ c
+    return chosen, c, r
+
+
+@pytest.mark.parametrize("shard", [3, 7, 1000])
+@pytest.mark.parametrize(("anchors", "dims", "k"), [(40, 16, 1), (40, 16, 8), (40, 16, 64), (10, 16, 64), (90, 64, 64)])
+def test_batch_equals_least_squares(monkeypatch, anchors, dims, k, shard):
+    monkeypatch.setattr(transfer, "SHARD_ANCHORS", shard)
+    rng = np.random.default_rng(anchors + k)
+    D, Y = rng.normal(size=(anchors, dims)), rng.normal(size=(25, dims))
+    Y[3], Y[4], Y[5] = 2 * D[2], D[1] - 3 * D[7], 0.0
+    state, support = transfer._solve_batch(Y, D, D / np.linalg.norm(D, axis=1)[:, None], k, 1e-10)
+    for y, s, c, r in zip(Y, support, state.coefficients(), state.rest, strict=True):
+        want = plain_omp(y, D, k)
+        assert s == want[0] and len(set(s)) == len(s)
+        assert np.allclose(c, want[1], atol=1e-7) and np.allclose(r, want[2], atol=1e-8)
+    assert support[3] == [2] and support[5] == []
+
+
+def test_dependent_anchors_end_the_pursuit():
+    D = np.array([[1.0, 0, 0], [0, 1.0, 0], [1.0, 1.0, 0]])
+    Y = np.array([[3.0, 1.0, 5.0]])
+    state, support = transfer._solve_batch(Y, D, D / np.linalg.norm(D, axis=1)[:, None], 3, 1e-10)
+    assert len(support[0]) == 2 and np.allclose(np.abs(state.rest[0]), [0, 0, 5])
 
 
 def test_omp_ties_pick_lowest_id(spark):
@@ -107,17 +126,10 @@ def test_omp_queries_against_numpy(spark, k):
         D = np.stack(own["donor"].to_numpy()).astype(float)
         Bm = np.stack(own["base"].to_numpy()).astype(float)
         rows = M[(M.src_lang == pair[0]) & (M.tgt_lang == pair[1])].head(150)
+        _, distinct = np.unique(D, axis=0, return_index=True)
+        D, Bm = D[np.sort(distinct)], Bm[np.sort(distinct)]
         for tok, y in zip(rows["token"], rows["donor"], strict=True):
-            y = np.asarray(y, dtype=float)
-            chosen, r = [], y.copy()
-            for _ in range(min(k, len(D))):
-                sc = [(-1.0 if i in chosen else round(abs(D[i] @ r) / np.linalg.norm(D[i]), 12), -i)
-                      for i in range(len(D))]
-                chosen.append(-max(sc)[1])
-                c, *_ = np.linalg.lstsq(D[chosen].T, y, rcond=None)
-                r = y - D[chosen].T @ c
-                if np.linalg.norm(r) <= 1e-10 * max(1.0, np.linalg.norm(y)):
-                    break
+            chosen, c, r = plain_omp(np.asarray(y, dtype=float), D, k)
             row = got[(*pair, tok)]
             assert row["n_support"] == len(chosen)
             assert row["residual"] == pytest.approx(float(np.linalg.norm(r)), abs=1e-6)

@@ -24,10 +24,11 @@ def words(x: str) -> str:
 
 # name -> (dependencies, body)
 CTES: dict[str, tuple[list[str], str]] = {}
+HEADS: dict[str, str] = {}  # columns and keys of recursive relations that keep one row a key
 
 
-def cte(name: str, deps: list[str], body: str) -> None:
-    CTES[name] = (deps, body)
+def cte(name: str, deps: list[str], body: str, head: str = "") -> None:
+    CTES[name], HEADS[name] = (deps, body), head
 
 
 cte("lines", [], f"""
@@ -93,7 +94,7 @@ def with_ctes(names: list[str], select: str, recursive: bool = False) -> str:
 
     for n in names:
         visit(n)
-    parts = [f"{n} AS ({CTES[n][1].strip()})" for n in order]
+    parts = [f"{n}{HEADS[n]} AS ({CTES[n][1].strip()})" for n in order]
     if not parts:
         return select.strip()
     head = "WITH RECURSIVE " if recursive else "WITH "

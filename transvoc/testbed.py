@@ -242,21 +242,22 @@ def split_files(spark, sf_dir) -> DataFrame:
                     "doc_id", "line_no", "line")
 
 
-# ---- embeddings: rank r of a vocabulary uses row (r - 1) mod N of `embeddings`
-EMB_HALF = 32               # source space = dims 1-32, donor space = dims 33-64
+# ---- embeddings: in the donor space rank r of a vocabulary has row (r - 1) mod N of `embeddings`,
+# in the source space the row half a table further on
+EMB_DIMS = 64
 OMP_K = 64                  # most anchors a token is rebuilt from
 
 
 def emb_of_ids(spark, sf_dir, ids: DataFrame, space: str) -> DataFrame:
     """``ids`` (with an ``id`` column) joined to their vector in ``space``
-    (``source`` or ``donor``); ``vec_id = (id - 4) mod N``."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    (``source`` or ``donor``)."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     n = e.agg(F.count(F.lit(1)).alias("__n"))
-    start = 1 if space == "source" else EMB_HALF + 1
     with_n = ids.crossJoin(F.broadcast(n))  # one-row scalar
-    keyed = with_n.withColumn("vec_id", F.pmod(F.col("id") - N_RESERVED, F.col("__n")).cast("long"))
-    return keyed.join(e, "vec_id").withColumn(
-        "vec", F.slice("embedding", start, EMB_HALF)).drop("embedding", "__n")
+    row = F.col("id") - N_RESERVED
+    if space == "source":
+        row = row + F.floor(F.col("__n") / 2)
+    return with_n.withColumn("vec_id", F.pmod(row, F.col("__n")).cast("long")).join(e, "vec_id").drop("__n")
 
 
 def transfer_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
