@@ -78,8 +78,12 @@ def test_minimal_pair_tie_and_over_long(spark, model):
     assert r["accuracy"] == pytest.approx(1 / 3)
 
 
-def test_ratio_of_sums_for_compression(spark, model):
-    vocab, _ = model
-    r = metrics.bytes_per_token(lines_df(spark, ["a b", "abcdef"]), vocab, pairs="same",
-                                n_special=2, known_entries=2).first()
-    assert r["bpt"] == pytest.approx((3 + 6) / ((2 + 2) + (1 + 2)))
+def test_ratio_of_sums_for_compression(spark):
+    rows = [("xx", "a", 4), ("xx", "b", 5), ("yy", "abc", 4), ("yy", "a", 5)]
+    pieces = spark.createDataFrame(rows, "lang string, token string, id int")
+    lines = lines_df(spark, ["a b", "abcabc a", ""])
+    got = {r["vocab_lang"]: r for r in metrics.bytes_per_token(lines, pieces).collect()}
+    # xx: a, b, then a b ? a b ? and a; yy: a, ?, then abc abc and a - and two ids a line
+    assert got["xx"]["n_tokens"] == 2 + 7 + 6 and got["yy"]["n_tokens"] == 2 + 3 + 6
+    assert got["xx"]["bpt"] == pytest.approx(11 / 15) and got["yy"]["bpt"] == pytest.approx(11 / 11)
+    assert {r["n_bytes"] for r in got.values()} == {11}

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from transvoc.operators.tokenize import encode, encode_long, greedy_pieces
+from transvoc.operators.tokenize import encode, encode_long
+from transvoc.operators.trie import Trie, greedy_pieces
 from transvoc.operators.vocab import build_vocab, piece_vocab, top_k_per_group
 
 UNK = 1
@@ -37,12 +38,24 @@ def test_greedy_matches_python(spark):
                     for _ in range(200)})
     wdf = spark.createDataFrame([("xx", w) for w in words], "vocab_lang string, word string")
     expect = {w: py_greedy(w, table, 3) for w in words}
-    for known in (10, None):
+    for batch in (7, 50_000):
         got = {r["word"]: list(r["ids"]) for r in
-               greedy_pieces(wdf, vocab_df(spark, table), known_entries=known).collect()}
+               greedy_pieces(wdf, vocab_df(spark, table), batch_words=batch).collect()}
         assert got == expect
 
 
+def test_trie_takes_the_longest_entry_and_falls_back():
+    trie = Trie([("a", 4), ("abcd", 5), ("bc", 6), ("a", 9), ("", 8)])
+    assert trie.pieces("abcd") == [5] and trie.pieces("abce") == [4, 6, UNK] and trie.pieces("") == []
+    assert Trie([]).pieces("xy") == [UNK, UNK]
+
+
+def test_greedy_words_of_an_unknown_language(spark):
+    wdf = spark.createDataFrame([("xx", "ab"), ("yy", "ab")], "vocab_lang string, word string")
+    got = {r["vocab_lang"]: list(r["ids"]) for r in greedy_pieces(wdf, vocab_df(spark, {"ab": 4})).collect()}
+    assert got == {"xx": [4], "yy": [UNK, UNK]}
+
+
 def test_greedy_takes_entries_of_any_length(spark):
     table = {"a" * 30: 4, "a": 5}
     wdf = spark.createDataFrame([("xx", "a" * 30), ("xx", "a" * 31)], "vocab_lang string, word string")

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from transvoc.functions.text import byte_len, first_half, is_blank, join_prompt, second_half
 from transvoc.operators import lm as lm_ops
-from transvoc.operators.tokenize import encode, encode_long, with_vocab_langs, words_col
+from transvoc.operators.tokenize import encode, encode_long, token_rows, with_vocab_langs, words_col
+from transvoc.operators.trie import greedy_pieces
 from transvoc.operators.vocab import PAD_ID, UNK_ID
 
 LN2 = math.log(2.0)
@@ -156,26 +157,28 @@ def evaluate_ppl(lines: DataFrame, vocab: DataFrame, lm: DataFrame, mode: str =
             .withColumn("n_blank", F.coalesce(F.col("n_blank"), F.lit(0)).cast("long")))
 
 
-def bytes_per_token(lines: DataFrame, vocab: DataFrame, mode: str = "word", pairs="all",
-                    n_special: int = 2, known_entries: int | None = None,
-                    line_keys: Sequence[str] = ("lang", "doc_id", "line_no"),
+def bytes_per_token(lines: DataFrame, pieces: DataFrame, pairs="all", n_special: int = 2,
                     info: DataFrame | None = None) -> DataFrame:
-    """AGG-5: total bytes / total tokens (ratio of sums); ``n_special`` ids
-    (e.g. cls + sep) are counted for every line."""
-    keys = list(line_keys)
-    if mode == "word":
-        per_line = with_vocab_langs(lines.select(*keys, "line"), vocab, pairs, info).select(
-            "vocab_lang", "lang", byte_len("line").alias("b"),
-            F.size(words_col("line")).alias("t"))
-    else:
-        enc = encode(lines.select(*keys, "line").withColumn("b", byte_len("line")), vocab, mode,
-                     pairs, keys, known_entries=known_entries, carry=["b"], info=info)
-        per_line = enc.select("vocab_lang", "lang", "b", F.size("ids").alias("t"))
-    return per_line.groupBy("vocab_lang", "lang").agg(
-        (F.sum("b") / F.sum(F.col("t") + F.lit(n_special))).alias("bpt"),
-        F.sum("b").cast("long").alias("n_bytes"),
-        F.sum(F.col("t") + F.lit(n_special)).cast("long").alias("n_tokens"),
-    )
+    """AGG-5: total bytes / total tokens (ratio of sums) under every vocabulary's
+    greedy tokenizer; ``n_special`` ids (e.g. cls + sep) are counted for every line.
+
+    Words are counted by language before they meet a vocabulary, so neither the
+    lines nor the words' occurrences are repeated for each vocabulary.
+    """
+    words = token_rows(lines, ["lang"]).groupBy("lang", F.col("token").alias("word")).agg(
+        F.count(F.lit(1)).alias("n"))
+    sizes = lines.groupBy("lang").agg(F.sum(byte_len("line")).cast("long").alias("n_bytes"),
+                                      F.count(F.lit(1)).alias("n_lines"))
+    grid = with_vocab_langs(words, pieces, pairs, info).select("vocab_lang", "lang", "word", "n")
+    found = greedy_pieces(grid.select("vocab_lang", "word"), pieces).select(
+        "vocab_lang", "word", F.size("ids").alias("k"))
+    tokens = grid.join(found, ["vocab_lang", "word"]).groupBy("vocab_lang", "lang").agg(
+        F.sum(F.col("n") * F.col("k")).alias("n_pieces"))
+    cells = with_vocab_langs(sizes, pieces, pairs, info)  # one row a cell
+    total = (F.coalesce("n_pieces", F.lit(0)) + F.lit(n_special) * F.col("n_lines")).cast("long")
+    return (cells.join(F.broadcast(tokens), ["vocab_lang", "lang"], "left")
+            .select("vocab_lang", "lang", F.try_divide("n_bytes", total).alias("bpt"), "n_bytes",
+                    total.alias("n_tokens")))
 
 
 def option_prompts(mcq: DataFrame) -> DataFrame:

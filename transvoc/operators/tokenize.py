@@ -16,8 +16,8 @@ needed.  (Spark maps are arrays with linear key search, so ``map[...]``
 lookups against a vocabulary would cost O(V) per token; joins are hashed.)
 
 Two tokenizers: ``word`` (split on single spaces, unknown -> ``UNK_ID``) and
-``greedy`` longest-match subword pieces (an unmatched character is one unknown piece), computed once per distinct
-word and joined back.
+``greedy`` longest-match subword pieces (an unmatched character is one unknown piece), walked once per distinct
+word (:mod:`transvoc.operators.trie`) and joined back.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from transvoc.operators.trie import greedy_pieces
 from transvoc.operators.vocab import CLS_ID, UNK_ID
-from transvoc.session import spread
 
 MAX_BROADCAST_ENTRIES = 2_000_000
 
@@ -122,49 +122,6 @@ def regroup(long_rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("
         F.array_sort(F.collect_list(st)).getField("__v").alias(out))
 
 
-def greedy_pieces(words_df: DataFrame, pieces: DataFrame, known_entries: int | None = None,
-                  max_broadcast_entries: int = MAX_BROADCAST_ENTRIES,
-                  unk: int = UNK_ID) -> DataFrame:
-    """JOB-1 greedy mode: longest-match pieces of distinct ``(vocab_lang, word)``
-    rows; adds ``ids array<int>``.
-
-    Candidates are the substrings no longer than the longest entry of any piece
-    vocabulary (one aggregate); they are joined to the piece vocabulary, the hits
-    of a word are gathered (bounded by the word's length times that entry's) and
-    a fold over the character positions walks them.
-    """
-    max_piece = int(pieces.agg(F.max(F.char_length("token"))).first()[0] or 1)
-    w = spread(words_df.select("vocab_lang", "word").distinct(), "vocab_lang", "word")
-    n = F.char_length("word")
-    cand = (w.select("vocab_lang", "word",
-                     F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).alias("s"))
-            .filter(F.col("s") <= n)
-            .select("vocab_lang", "word", "s",
-                    F.explode(F.sequence(F.lit(1), F.least(F.lit(max_piece), n - F.col("s") + 1)))
-                    .alias("l"))
-            .withColumn("token", F.expr("substring(word, s, l)")))
-    pv = _vocab_side(pieces, known_entries, max_broadcast_entries, "token", "id")
-    # best piece per (word, start): longest hit, else one unknown character;
-    # every start has its 1-character candidate, so every start gets a row
-    looked = cand.join(pv, ["vocab_lang", "token"], "left")
-    best = looked.groupBy("vocab_lang", "word", "s").agg(F.max(F.struct(
-        F.when(F.col("id").isNotNull(), F.col("l")).otherwise(F.lit(0)).alias("key"),
-        F.when(F.col("id").isNotNull(), F.col("l")).otherwise(F.lit(1)).alias("len"),
-        F.coalesce(F.col("id"), F.lit(unk)).alias("id"))).alias("b"))
-    dense = best.groupBy("vocab_lang", "word").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("s", "b.len", "b.id"))),
-        lambda x: F.struct(x["len"].alias("len"), x["id"].alias("id"))).alias("at"))
-    # walk: ``at[s - 1]`` is the best piece starting at character s
-    walk = (
-        "aggregate(sequence(1, greatest(char_length(word), 1)), "
-        "named_struct('nxt', 1, 'ids', cast(array() as array<int>)), "
-        "(_acc, _s) -> if(_s = _acc.nxt and _s <= char_length(word), "
-        "named_struct('nxt', _s + at[_s - 1].len, 'ids', concat(_acc.ids, array(at[_s - 1].id))), "
-        "_acc), _acc -> _acc.ids)")
-    empty = w.filter(n == 0).select("vocab_lang", "word", F.array().cast("array<int>").alias("ids"))
-    return dense.withColumn("ids", F.expr(walk)).drop("at").unionByName(empty)
-
-
 def encode(lines: DataFrame, vocab: DataFrame, mode: str = "word", pairs="same",
            keys: Sequence[str] = ("lang", "doc_id", "line_no"), line_col: str = "line",
            out: str = "ids", max_len: int | None = None, known_entries: int | None = None,
@@ -185,8 +142,7 @@ def encode(lines: DataFrame, vocab: DataFrame, mode: str = "word", pairs="same",
     elif mode == "greedy":
         occ = token_rows(base.select(*gkeys, line_col), gkeys, line_col).withColumnRenamed(
             "token", "word")
-        pcs = greedy_pieces(occ.select("vocab_lang", "word"), vocab, known_entries,
-                            max_broadcast_entries)
+        pcs = greedy_pieces(occ.select("vocab_lang", "word"), vocab)
         exploded = (occ.join(pcs, ["vocab_lang", "word"], "inner")
                     .select(*gkeys, "pos", F.posexplode("ids").alias("k", "token_id")))
         arr = regroup(exploded, gkeys, order=("pos", "k"), out=out)

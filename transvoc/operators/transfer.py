@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transvoc.operators.tokenize import greedy_pieces
+from transvoc.operators.trie import greedy_pieces
 
 SCORE_DIGITS = 12  # selection scores are compared after rounding (ties -> lowest id)
 #: Missing tokens that share one copy of their pair's anchors (their basis takes batch x k x dimensions numbers).

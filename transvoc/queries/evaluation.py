@@ -12,8 +12,8 @@ from transvoc import testbed as tb
 from transvoc.catalog import finish, register
 from transvoc.operators import lm as lm_ops
 from transvoc.operators import metrics
-from transvoc.operators.tokenize import (encode, encode_long, greedy_pieces, token_rows,
-                                         tokenize_with, with_vocab_langs)
+from transvoc.operators.tokenize import encode, encode_long, token_rows, tokenize_with, with_vocab_langs
+from transvoc.operators.trie import greedy_pieces
 from transvoc.operators.vocab import CLS_ID, UNK_ID
 from transvoc.session import scratch_path
 from transvoc.sources.mcq import read_mcq, read_min_pairs, write_mcq
@@ -98,28 +98,29 @@ def custom_tokenizer(spark, sf_dir):
                              F.size("ids").cast("long").alias("n_tokens")))
 
 
-GREEDY_SQL = O.with_ctes(["dev_tokens", "piece_vocab", "vlangs"], """
-, gwv AS (SELECT l.vocab_lang, w.word FROM (SELECT DISTINCT token AS word FROM dev_tokens) w
-          CROSS JOIN vlangs l),
-starts AS (SELECT vocab_lang, word, unnest(range(1, length(word) + 1)) AS s FROM gwv),
-subs AS (SELECT vocab_lang, word, s,
-                unnest(range(1, least((SELECT max(length(token)) FROM piece_vocab), length(word) - s + 1) + 1)) AS l
-         FROM starts),
-hits AS (SELECT x.vocab_lang, x.word, x.s, x.l, p.id FROM subs x
-         JOIN piece_vocab p ON p.lang = x.vocab_lang AND p.token = substring(x.word, x.s, x.l)),
-best AS (SELECT vocab_lang, word, s, max(l) AS l, arg_max(id, l) AS id
-         FROM hits GROUP BY vocab_lang, word, s),
-walk(vocab_lang, word, nxt, ids) AS (
-  SELECT vocab_lang, word, 1, []::INTEGER[] FROM gwv
-  UNION ALL
-  SELECT w.vocab_lang, w.word, w.nxt + coalesce(b.l, 1), list_append(w.ids, coalesce(b.id, 1))
-  FROM walk w LEFT JOIN best b ON b.vocab_lang = w.vocab_lang AND b.word = w.word AND b.s = w.nxt
-  WHERE w.nxt <= length(w.word))
+# Every distinct devtest word under every vocabulary, walked piece by piece.
+O.cte("greedy_words", ["dev_tokens", "vlangs"], """
+SELECT l.vocab_lang, w.word FROM (SELECT DISTINCT token AS word FROM dev_tokens) w CROSS JOIN vlangs l""")
+O.cte("greedy_best", ["greedy_words", "piece_vocab"], """
+SELECT vocab_lang, word, s, max(l) AS l, arg_max(id, l) AS id FROM (
+  SELECT x.vocab_lang, x.word, x.s, x.l, p.id
+  FROM (SELECT vocab_lang, word, s, unnest(range(1, least((SELECT max(length(token)) FROM piece_vocab),
+                                                          length(word) - s + 1) + 1)) AS l
+        FROM (SELECT vocab_lang, word, unnest(range(1, length(word) + 1)) AS s FROM greedy_words)) x
+  JOIN piece_vocab p ON p.lang = x.vocab_lang AND p.token = substring(x.word, x.s, x.l))
+GROUP BY vocab_lang, word, s""")
+O.cte("greedy_walk", ["greedy_words", "greedy_best"], """
+SELECT vocab_lang, word, 1 AS nxt, []::INTEGER[] AS ids FROM greedy_words
+UNION ALL
+SELECT w.vocab_lang, w.word, w.nxt + coalesce(b.l, 1), list_append(w.ids, coalesce(b.id, 1))
+FROM greedy_walk w LEFT JOIN greedy_best b ON b.vocab_lang = w.vocab_lang AND b.word = w.word AND b.s = w.nxt
+WHERE w.nxt <= length(w.word)""")
+O.cte("greedy_ids", ["greedy_walk"], "SELECT vocab_lang, word, ids FROM greedy_walk WHERE nxt > length(word)")
+
+
+@register("greedy_pieces", O.with_ctes(["greedy_ids"], """
 SELECT vocab_lang, word, array_to_string(ids, ',') AS pieces, CAST(len(ids) AS BIGINT) AS n_pieces
-FROM walk WHERE nxt > length(word)""", recursive=True)
-
-
-@register("greedy_pieces", GREEDY_SQL)
+FROM greedy_ids""", recursive=True))
 def greedy_pieces_q(spark, sf_dir):
     """JOB-1 greedy mode: longest-match pieces of every distinct devtest word
     under every language's piece vocabulary (words + characters)."""
@@ -132,18 +133,21 @@ def greedy_pieces_q(spark, sf_dir):
                              F.size("ids").cast("long").alias("n_pieces")))
 
 
-@register("token_compression", O.with_ctes(["devtest", "vlangs"], f"""
-SELECT l.vocab_lang, d.lang,
-       round(sum(strlen(d.line)) / sum(len({O.words('d.line')}) + 2), 6) AS bpt,
-       CAST(sum(strlen(d.line)) AS BIGINT) AS n_bytes,
-       CAST(sum(len({O.words('d.line')}) + 2) AS BIGINT) AS n_tokens
-FROM devtest d CROSS JOIN vlangs l GROUP BY l.vocab_lang, d.lang"""))
+O.cte("compression", ["dev_tokens", "devtest", "greedy_ids"], """
+SELECT t.vocab_lang, t.lang, d.n_bytes / (t.n_pieces + 2 * d.n_lines) AS bpt, d.n_bytes,
+       t.n_pieces + 2 * d.n_lines AS n_tokens
+FROM (SELECT g.vocab_lang, w.lang, sum(len(g.ids) * w.n) AS n_pieces
+      FROM (SELECT lang, token, count(*) AS n FROM dev_tokens GROUP BY lang, token) w
+      JOIN greedy_ids g ON g.word = w.token GROUP BY g.vocab_lang, w.lang) t
+JOIN (SELECT lang, sum(strlen(line)) AS n_bytes, count(*) AS n_lines FROM devtest GROUP BY lang) d USING (lang)""")
+
+
+@register("token_compression", O.with_ctes(["compression"], """
+SELECT vocab_lang, lang, round(bpt, 6) AS bpt, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_tokens AS BIGINT) AS n_tokens
+FROM compression""", recursive=True))
 def token_compression(spark, sf_dir):
-    """AGG-5: bytes per token (ratio of sums, two special ids per line)."""
-    m = tb.models(spark, sf_dir)
-    res = metrics.bytes_per_token(tb.devtest(spark, sf_dir), m.vocab, "word", "all", n_special=2,
-                                  known_entries=m.known, info=m.info)
-    return finish(res)
+    """AGG-5: bytes per token of every vocabulary's greedy tokenizer on every language."""
+    return finish(metrics.bytes_per_token(tb.devtest(spark, sf_dir), tb.models(spark, sf_dir).pieces))
 
 
 # ---------------------------------------------------------------- count model and scores

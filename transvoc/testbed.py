@@ -285,7 +285,7 @@ def transferred_models(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     target's with these source ids, its bigrams are the source's, and ``cells``
     pairs it with the two languages it is evaluated on.
     """
-    from transvoc.operators.tokenize import greedy_pieces
+    from transvoc.operators.trie import greedy_pieces
     from transvoc.operators.transfer import omp, pair_tokens
     m = models(spark, sf_dir)
     key = ["src_lang", "tgt_lang", "token"]
