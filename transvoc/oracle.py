@@ -215,32 +215,3 @@ WHERE NOT m.finetuned OR EXISTS (
     AND j.out = string_split(m.src_model, '/')[-1] || '_' || m.tgt_lang || '_finetuned')""")
 
 cte("emb_n", [], "SELECT count(*) AS n FROM embeddings")
-
-cte("lang_stats", ["pool"], f"""
-SELECT lang, sum(strlen(line)) / sum(len({words('line')})) AS w, avg(len({words('line')})) AS a,
-       row_number() OVER (ORDER BY lang) AS idx
-FROM pool GROUP BY lang""")
-cte("metrics", ["lang_stats"], """
-WITH c AS (
-  SELECT r.regime, s.lang AS src_lang, t.lang AS tgt_lang, m.method, r.g, m.k, s.idx AS i, t.idx AS j,
-         s.w AS ws, t.w AS wt, s.a AS as_, t.a AS at_, (m.k = 2 AND s.idx = 1 AND t.idx = 2) AS nc
-  FROM lang_stats t JOIN lang_stats s ON s.lang <> t.lang
-  CROSS JOIN (VALUES ('no-finetuning', 1), ('mono-finetuning', 2), ('mixed-finetuning', 3)) r(regime, g)
-  CROSS JOIN (VALUES ('fvt', 1), ('omp', 2), ('100mb_src', 3), ('10mb_tgt', 4)) m(method, k)
-), v AS (
-  SELECT regime, src_lang, tgt_lang, method,
-    CASE WHEN nc THEN NULL ELSE as_ * (10.0::DOUBLE + k - 0.5::DOUBLE * g) END AS src_log_ppl,
-    CASE WHEN nc THEN NULL ELSE at_ * (10.0::DOUBLE + k - 0.5::DOUBLE * g) END AS tgt_log_ppl,
-    CASE WHEN nc THEN NULL ELSE (8.0::DOUBLE + k - 0.5::DOUBLE * g) / ws + 0.01::DOUBLE * (i + 2 * j) END AS src_norm_ppl,
-    CASE WHEN nc THEN NULL ELSE (8.0::DOUBLE + k - 0.5::DOUBLE * g) / wt + 0.01::DOUBLE * (i + 2 * j) END AS tgt_norm_ppl,
-    CASE WHEN nc THEN NULL ELSE ws * (1.0::DOUBLE - 0.02::DOUBLE * k) END AS src_bpt,
-    CASE WHEN nc THEN NULL ELSE wt * (1.0::DOUBLE - 0.02::DOUBLE * k) END AS tgt_bpt,
-    CASE WHEN nc THEN NULL ELSE 0.5::DOUBLE + 0.03::DOUBLE * g + 0.01::DOUBLE * k + 0.005::DOUBLE * i END AS src_mbp,
-    CASE WHEN nc THEN NULL ELSE 0.5::DOUBLE + 0.03::DOUBLE * g + 0.01::DOUBLE * k + 0.005::DOUBLE * j END AS tgt_mbp,
-    CASE WHEN nc THEN NULL ELSE ((7 * i + 3 * k + 5 * g + i * j) % 10) / 25.0::DOUBLE END AS src_uid_prop,
-    CASE WHEN nc THEN NULL ELSE ((7 * j + 3 * k + 5 * g + i * j) % 10) / 25.0::DOUBLE END AS tgt_uid_prop
-  FROM c)
-SELECT regime, src_lang, tgt_lang, method, src_log_ppl, tgt_log_ppl, src_log_ppl + tgt_log_ppl AS sum_log_ppl,
-       src_norm_ppl, tgt_norm_ppl, src_norm_ppl + tgt_norm_ppl AS sum_norm_ppl, tgt_uid_prop, src_uid_prop,
-       src_bpt, tgt_bpt, src_mbp, tgt_mbp, src_mbp + tgt_mbp AS sum_mbp
-FROM v""")

@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from transvoc import oracle as O
 from transvoc import testbed as tb
 from transvoc.catalog import finish, register
-from transvoc.operators import metrics as MX
 from transvoc.operators import report as R
-from transvoc.operators.lm import context_counts
 from transvoc.queries import evaluation, transfer  # noqa: F401 - their CTEs
-from transvoc.session import cut_lineage, scratch_path
+from transvoc.session import scratch_path
 from transvoc.sources import metrics_json as MJ
 
-T = R.REPORT_THRESHOLD
+T = tb.GATE
 M13 = R.METRICS
 EVALUATED = "coalesce(" + ", ".join(M13) + ") IS NOT NULL"
 ALLOWED = ("method IN (" + ", ".join(f"'{m}'" for m in R.REPORT_METHODS) + ") AND NOT ("
@@ -54,9 +52,122 @@ def _r6(x: str) -> str:
     return f"round({x}, 6)"
 
 
+# ---------------------------------------------------------------- the metric matrix, from its definition
+
+# Weights of the transferred models: shared tokens, all pieces, all anchors, and the two ids that stand for themselves.
+O.cte("tweights", ["pair_shared", "token_pieces", f"omp_{tb.OMP_K}", "omp_anchors", "vlangs"], f"""
+SELECT src_lang, tgt_lang, method, tgt_id AS id, src_id AS sid, 1.0::DOUBLE AS w
+FROM pair_shared CROSS JOIN (VALUES ('fvt'), ('omp')) x(method)
+UNION ALL
+SELECT src_lang, tgt_lang, 'fvt', tgt_id, sid, count(*) / any_value(k)::DOUBLE
+FROM (SELECT src_lang, tgt_lang, tgt_id, len(ids) AS k, unnest(ids) AS sid FROM token_pieces) GROUP BY src_lang, tgt_lang, tgt_id, sid
+UNION ALL
+SELECT src_lang, tgt_lang, 'omp', tgt_id, src_ids[c], w FROM (
+  SELECT o.src_lang, o.tgt_lang, o.tgt_id, a.src_ids, unnest(o.chosen) AS c, unnest(o.coefs) AS w
+  FROM omp_{tb.OMP_K} o JOIN omp_anchors a USING (src_lang, tgt_lang))
+UNION ALL
+SELECT s.vocab_lang, t.vocab_lang, method, id, id, 1.0 FROM vlangs s JOIN vlangs t ON s.vocab_lang <> t.vocab_lang
+CROSS JOIN (VALUES ('fvt'), ('omp')) x(method) CROSS JOIN (VALUES (1), (2)) y(id)""")
+O.cte("plan_models", ["vlangs"], """
+SELECT *, vocab_lang || '|' || array_to_string(parts, '+') AS model FROM (
+  SELECT regime, s.vocab_lang AS src_lang, t.vocab_lang AS tgt_lang, label,
+         CASE label WHEN '100mb_src' THEN s.vocab_lang ELSE t.vocab_lang END AS vocab_lang,
+         list_concat([CASE label WHEN '100mb_src' THEN s.vocab_lang WHEN '10mb_tgt' THEN t.vocab_lang
+                      ELSE label || ':' || s.vocab_lang END],
+                     CASE WHEN label = '10mb_tgt' OR regime = 'no-finetuning' THEN []::VARCHAR[]
+                          WHEN regime = 'mono-finetuning' THEN [t.vocab_lang] ELSE [s.vocab_lang, t.vocab_lang] END) AS parts
+  FROM vlangs s JOIN vlangs t ON s.vocab_lang <> t.vocab_lang
+  CROSS JOIN (VALUES ('no-finetuning'), ('mono-finetuning'), ('mixed-finetuning')) r(regime)
+  CROSS JOIN (VALUES ('100mb_src'), ('10mb_tgt'), ('fvt'), ('omp')) x(label))""")
+# Held-out words and the same in reverse order, under every vocabulary.
+O.cte("side_tokens", ["min_pairs"], f"""
+SELECT lang, doc_id, line_no, side, unnest(ws) AS token, unnest(range(len(ws))) AS pos
+FROM (SELECT lang, doc_id, line_no, 0 AS side, {O.words('sen')} AS ws FROM min_pairs
+      UNION ALL SELECT lang, doc_id, line_no, 1, {O.words('wrong_sen')} FROM min_pairs)""")
+O.cte("side_labels", ["side_tokens", "vocab", "vlangs"], """
+SELECT *, coalesce(lag(tok) OVER (PARTITION BY vocab_lang, lang, doc_id, line_no, side ORDER BY pos), 2) AS prev
+FROM (SELECT l.vocab_lang, t.lang, t.doc_id, t.line_no, t.side, t.pos, coalesce(v.id, 1) AS tok
+      FROM side_tokens t CROSS JOIN vlangs l LEFT JOIN vocab v ON v.lang = l.vocab_lang AND v.token = t.token)""")
+O.cte("needed", ["side_labels"], "SELECT DISTINCT vocab_lang, prev, tok FROM side_labels")
+# Counts of every part: a language's text under a vocabulary, or a transferred model (W C W').
+O.cte("text_counts", ["pool_tokens", "vocab", "vlangs"], """
+SELECT vocab_lang, lang, prev, tok, count(*) AS n FROM (
+  SELECT *, coalesce(lag(tok) OVER (PARTITION BY vocab_lang, lang, doc_id, line_no ORDER BY pos), 2) AS prev
+  FROM (SELECT l.vocab_lang, t.lang, t.doc_id, t.line_no, t.pos, coalesce(v.id, 1) AS tok
+        FROM pool_tokens t CROSS JOIN vlangs l LEFT JOIN vocab v ON v.lang = l.vocab_lang AND v.token = t.token))
+GROUP BY ALL""")
+O.cte("moved_rows", ["tweights", "lm", "needed"], """
+SELECT p.src_lang, p.tgt_lang, p.method, p.id AS prev, c.tok AS b, sum(p.w * c.n) AS x
+FROM (SELECT w.* FROM tweights w SEMI JOIN needed n ON n.vocab_lang = w.tgt_lang AND n.prev = w.id) p
+JOIN lm c ON c.lang = p.src_lang AND c.prev = p.sid
+SEMI JOIN (SELECT DISTINCT src_lang, tgt_lang, method, sid FROM tweights) s
+  ON s.src_lang = p.src_lang AND s.tgt_lang = p.tgt_lang AND s.method = p.method AND s.sid = c.tok
+GROUP BY ALL""")
+O.cte("moved_contexts", ["tweights", "lm_ctx"], """
+SELECT w.src_lang, w.tgt_lang, w.method, w.id AS prev, greatest(0.0, sum(w.w * c.n_prev)) AS n
+FROM tweights w JOIN lm_ctx c ON c.lang = w.src_lang AND c.prev = w.sid GROUP BY ALL""")
+O.cte("moved_counts", ["moved_rows", "moved_contexts", "tweights", "needed"], """
+SELECT m.*, n.n AS context FROM (
+  SELECT w.src_lang, w.tgt_lang, w.method, d.prev, d.tok, sum(w.w * r.x) AS c
+  FROM needed d JOIN tweights w ON w.tgt_lang = d.vocab_lang AND w.id = d.tok
+  JOIN moved_rows r ON r.src_lang = w.src_lang AND r.tgt_lang = w.tgt_lang AND r.method = w.method AND r.prev = d.prev AND r.b = w.sid
+  GROUP BY ALL) m JOIN moved_contexts n USING (src_lang, tgt_lang, method, prev)""")
+O.cte("parts", ["moved_counts", "text_counts"], """
+SELECT vocab_lang, lang AS part, prev, tok, n::DOUBLE AS c FROM text_counts
+UNION ALL
+SELECT tgt_lang, method || ':' || src_lang, prev, tok, least(greatest(c, 0.0), context) FROM moved_counts""")
+O.cte("part_contexts", ["text_counts", "moved_contexts"], """
+SELECT vocab_lang, lang AS part, prev, sum(n)::DOUBLE AS n FROM text_counts GROUP BY ALL
+UNION ALL
+SELECT tgt_lang, method || ':' || src_lang, prev, n FROM moved_contexts""")
+O.cte("model_parts", ["plan_models"], """
+SELECT model, vocab_lang, unnest(parts) AS part FROM (SELECT DISTINCT model, vocab_lang, parts FROM plan_models)""")
+O.cte("model_losses", ["plan_models", "model_parts", "parts", "part_contexts", "side_labels"], f"""
+SELECT s.*, CAST(round(-ln((coalesce(c.c, 0.0) + {tb.ALPHA}) / (coalesce(n.n, 0.0) + {tb.ALPHA} * {tb.VOCAB_SIZE})) * 1e12) AS BIGINT) AS q
+FROM (SELECT DISTINCT m.model, l.vocab_lang, l.lang, l.prev, l.tok FROM side_labels l
+      JOIN (SELECT DISTINCT model, vocab_lang, unnest([src_lang, tgt_lang]) AS lang FROM plan_models) m USING (vocab_lang, lang)) s
+LEFT JOIN (SELECT model, prev, tok, sum(c) AS c FROM parts JOIN model_parts USING (vocab_lang, part) GROUP BY ALL) c
+  ON c.model = s.model AND c.prev = s.prev AND c.tok = s.tok
+LEFT JOIN (SELECT model, prev, sum(n) AS n FROM part_contexts JOIN model_parts USING (vocab_lang, part) GROUP BY ALL) n
+  ON n.model = s.model AND n.prev = s.prev""")
+O.cte("model_lines", ["model_losses", "side_labels", "dev_info"], f"""
+SELECT q.model, l.lang, l.doc_id, l.line_no, any_value(i.nbytes) AS nbytes,
+       sum(CASE WHEN side = 0 AND pos >= i.h AND pos < {tb.MAX_SEQ_LEN - 1}
+                THEN CASE WHEN l.tok = 1 THEN log2({tb.VOCAB_SIZE}) ELSE q / 1e12 / ln(2) END ELSE 0.0 END) AS surprisal,
+       count(*) FILTER (WHERE side = 0 AND pos < {tb.MAX_SEQ_LEN - 1} AND l.tok = 1) AS n_unk,
+       count(*) FILTER (WHERE side = 0 AND pos < {tb.MAX_SEQ_LEN - 1}) AS n_read,
+       sum(CASE WHEN side = 1 THEN q ELSE -q END) AS delta, count(*) FILTER (WHERE side = 0) >= {tb.MIN_PAIR_MAX_LEN} AS over
+FROM side_labels l JOIN model_losses q ON q.vocab_lang = l.vocab_lang AND q.lang = l.lang AND q.prev = l.prev AND q.tok = l.tok
+JOIN dev_info i ON i.lang = l.lang AND i.doc_id = l.doc_id AND i.line_no = l.line_no
+GROUP BY q.model, l.lang, l.doc_id, l.line_no""")
+O.cte("matrix", ["model_lines", "plan_models", "compression"], """
+WITH m AS (SELECT model, lang, avg(surprisal) AS log_ppl, avg(surprisal / nbytes) AS norm_ppl, avg(n_unk / n_read) AS uid,
+                  avg(CASE WHEN NOT over AND delta > 0 THEN 1.0 ELSE 0.0 END) AS mbp FROM model_lines GROUP BY model, lang)
+SELECT p.regime, p.src_lang, p.tgt_lang, p.label, a.log_ppl AS src_log_ppl, b.log_ppl AS tgt_log_ppl,
+       a.log_ppl + b.log_ppl AS sum_log_ppl, a.norm_ppl AS src_norm_ppl, b.norm_ppl AS tgt_norm_ppl,
+       a.norm_ppl + b.norm_ppl AS sum_norm_ppl, b.uid AS tgt_uid_prop, a.uid AS src_uid_prop, x.bpt AS src_bpt, y.bpt AS tgt_bpt,
+       a.mbp AS src_mbp, b.mbp AS tgt_mbp, a.mbp + b.mbp AS sum_mbp
+FROM plan_models p JOIN m a ON a.model = p.model AND a.lang = p.src_lang JOIN m b ON b.model = p.model AND b.lang = p.tgt_lang
+JOIN compression x ON x.vocab_lang = p.vocab_lang AND x.lang = p.src_lang
+JOIN compression y ON y.vocab_lang = p.vocab_lang AND y.lang = p.tgt_lang""")
+# What the reports read: the matrix, and empty cells for the labels that are never evaluated.
+O.cte("metrics", ["matrix"], f"""
+SELECT * RENAME (label AS method) FROM matrix
+UNION ALL BY NAME
+SELECT DISTINCT regime, src_lang, tgt_lang, m AS method FROM matrix CROSS JOIN (VALUES {", ".join(f"('{m}')" for m in tb.NOT_EVALUATED)}) x(m)""")
+
+
+@register("pair_metrics", O.with_ctes(["matrix"], f"""
+SELECT regime, src_lang, tgt_lang, label, {", ".join(f"{_r6(m)} AS {m}" for m in M13)} FROM matrix""", recursive=True))
+def pair_metrics(spark, sf_dir):
+    """JOB-11 / JN-4 / PRJ-3: the 13 metrics of every ordered pair, label and regime: source and target baseline and
+    the source model carried over by FVT and by OMP, untuned and tuned on the pair's text."""
+    return finish(tb.written_matrix(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- metrics documents
 
-@register("metrics_flatten", O.with_ctes(["metrics"], f"""
+@register("metrics_flatten", O.with_ctes(["metrics"], recursive=True, select=f"""
 SELECT regime, src_lang, tgt_lang, method, {", ".join(f"{_r6(m)} AS {m}" for m in M13)}
 FROM metrics WHERE {EVALUATED}"""))
 def metrics_flatten(spark, sf_dir):
@@ -69,7 +180,7 @@ def metrics_flatten(spark, sf_dir):
     return finish(back.filter(R.is_evaluated()))
 
 
-@register("metrics_nest", O.with_ctes(["metrics"], f"""
+@register("metrics_nest", O.with_ctes(["metrics"], recursive=True, select=f"""
 SELECT regime, src_lang, tgt_lang, method,
        CAST(CASE WHEN {EVALUATED} THEN 1 ELSE 0 END AS BIGINT) AS evaluated,
        round(sum_norm_ppl, 6) AS sum_norm_ppl
@@ -86,7 +197,7 @@ def metrics_nest(spark, sf_dir):
 
 # ---------------------------------------------------------------- gates and selection
 
-@register("quality_gates", O.with_ctes(["metrics"], f"""
+@register("quality_gates", O.with_ctes(["metrics"], recursive=True, select=f"""
 SELECT regime, src_lang, tgt_lang, method,
        CAST(CASE WHEN {_ok('src', T)} THEN 1 ELSE 0 END AS BIGINT) AS src_ok,
        CAST(CASE WHEN {_ok('tgt', T)} THEN 1 ELSE 0 END AS BIGINT) AS tgt_ok,
@@ -103,7 +214,7 @@ def quality_gates(spark, sf_dir):
                            R.pair_ok(R.DEFAULT_THRESHOLD).cast("long").alias("pair_ok_default")))
 
 
-@register("method_selection", O.with_ctes(["metrics"], f"""
+@register("method_selection", O.with_ctes(["metrics"], recursive=True, select=f"""
 SELECT regime, src_lang, tgt_lang, method,
        CAST(CASE WHEN {EVALUATED} THEN 1 ELSE 0 END AS BIGINT) AS evaluated
 FROM metrics WHERE {ALLOWED}"""))
@@ -116,7 +227,7 @@ def method_selection(spark, sf_dir):
 
 # ---------------------------------------------------------------- tables
 
-TARGET_SQL = O.with_ctes(["metrics"], f"""
+TARGET_SQL = O.with_ctes(["metrics"], recursive=True, select=f"""
 , {SKELETON}, {CELLS},
 st AS (
   SELECT regime, method,
@@ -141,12 +252,12 @@ SELECT regime, method, label, CAST(ord AS BIGINT) AS ord,
 FROM tgt_table""")
 def report_target(spark, sf_dir):
     """AGG-8 / AGG-14 / PRJ-4: target-side table per regime x method."""
-    return finish(R.report_target(tb.metrics(spark, sf_dir)).select(
+    return finish(R.report_target(tb.metrics(spark, sf_dir), T).select(
         "regime", "method", "label", "ord", "tgt_norm_ppl_median", "tgt_norm_ppl_std",
         "tgt_mbp_median", "tgt_mbp_std", "bytes_per_token", "n_cells"))
 
 
-@register("report_pair", O.with_ctes(["metrics"], f"""
+@register("report_pair", O.with_ctes(["metrics"], recursive=True, select=f"""
 , {SKELETON}, {CELLS},
 st AS (
   SELECT regime, method,
@@ -162,12 +273,12 @@ SELECT s.regime, s.method, s.label, CAST(s.ord AS BIGINT) AS ord,
 FROM skel s LEFT JOIN st ON st.regime = s.regime AND st.method = s.method"""))
 def report_pair(spark, sf_dir):
     """AGG-9: source + target table per regime x method."""
-    return finish(R.report_pair(tb.metrics(spark, sf_dir)).select(
+    return finish(R.report_pair(tb.metrics(spark, sf_dir), T).select(
         "regime", "method", "label", "ord", "sum_norm_ppl_median", "sum_norm_ppl_std",
         "sum_mbp_median", "sum_mbp_std", "n_cells"))
 
 
-@register("bilingual_medians", O.with_ctes(["metrics"], f"""
+@register("bilingual_medians", O.with_ctes(["metrics"], recursive=True, select=f"""
 , {SKELETON}, {CELLS},
 st AS (
   SELECT regime, method,
@@ -181,7 +292,7 @@ SELECT s.regime, s.method, s.label, round(src_ppl, 6) AS src_ppl, round(tgt_ppl,
 FROM skel s LEFT JOIN st ON st.regime = s.regime AND st.method = s.method"""))
 def bilingual_medians(spark, sf_dir):
     """AGG-10: scatter data per regime x method."""
-    return finish(R.bilingual_medians(tb.metrics(spark, sf_dir)).select(
+    return finish(R.bilingual_medians(tb.metrics(spark, sf_dir), T).select(
         "regime", "method", "label", "src_ppl", "tgt_ppl", "src_mbp", "tgt_mbp"))
 
 
@@ -195,7 +306,7 @@ def _columns(key: str, value: str, names) -> str:
 
 
 def _pivot_sql(side: str, gate: str) -> str:
-    return O.with_ctes(["metrics"], f"""
+    return O.with_ctes(["metrics"], recursive=True, select=f"""
 , {CELLS},
 c AS (SELECT {side}, regime, method, {_label_sql()} AS label, CAST({_ord_sql()} AS BIGINT) AS ord,
              upper(substring(src_lang, 1, 3)) || '-' || upper(substring(tgt_lang, 1, 3)) AS pair,
@@ -208,16 +319,16 @@ FROM c GROUP BY {side}, regime, method, label, ord""")
 @register("report_pivot_src", _pivot_sql("src_lang", _pair_ok(T)))
 def report_pivot_src(spark, sf_dir):
     """AGG-11 / SRT-4: per-source pivot of summed bits per byte."""
-    return finish(R.pivot_by_source(tb.metrics(spark, sf_dir), values=tb.pair_list(spark, sf_dir)))
+    return finish(R.pivot_by_source(tb.metrics(spark, sf_dir), T, values=tb.pair_list(spark, sf_dir)))
 
 
 @register("report_pivot_tgt", _pivot_sql("tgt_lang", _ok("tgt", T)))
 def report_pivot_tgt(spark, sf_dir):
     """AGG-12: per-target pivot, gated by the target side only."""
-    return finish(R.pivot_by_target(tb.metrics(spark, sf_dir), values=tb.pair_list(spark, sf_dir)))
+    return finish(R.pivot_by_target(tb.metrics(spark, sf_dir), T, values=tb.pair_list(spark, sf_dir)))
 
 
-MED_SQL = O.with_ctes(["metrics"], f"""
+MED_SQL = O.with_ctes(["metrics"], recursive=True, select=f"""
 , {CELLS},
 per AS (SELECT {_label_sql()} AS label, regime, method, upper(src_lang) AS col,
                median(CASE WHEN {_pair_ok(T)} THEN round(sum_norm_ppl + sign(sum_norm_ppl) * 1e-9, 3) END) AS m
@@ -229,7 +340,7 @@ SELECT label, regime, method, {_columns("col", "round(m, 6)", _LANGS)}
 FROM per GROUP BY label, regime, method""")
 def language_medians(spark, sf_dir):
     """AGG-13 / FN-9: median of each per-source pivot row, languages as columns."""
-    return finish(R.language_medians(tb.metrics(spark, sf_dir), langs=tb.lang_list(spark, sf_dir)))
+    return finish(R.language_medians(tb.metrics(spark, sf_dir), T, langs=tb.lang_list(spark, sf_dir)))
 
 
 @register("report_ranked", TARGET_SQL + """
@@ -248,7 +359,7 @@ def report_ranked(spark, sf_dir):
     """SRT-1 / SRT-2 / FN-7: the target table with baselines first and the
     best cell of each column marked (min for bits per byte, max for accuracy,
     compared at 3 decimals, all ties marked)."""
-    t = R.report_target(tb.metrics(spark, sf_dir))
+    t = R.report_target(tb.metrics(spark, sf_dir), T)
     r = R.rank_report(t, best_min=["tgt_norm_ppl_median"], best_max=["tgt_mbp_median"])
     return finish(r.select(
         "label", "regime", "method", "rank",
@@ -266,138 +377,6 @@ ORDER BY round(m + sign(m) * 1e-9, 3), (label LIKE '%100 MB src%' OR label LIKE
 def report_best_cell(spark, sf_dir):
     """SRT-3: the one best cell of the language-median table (on ties the first
     in row-major order, baselines first)."""
-    med = R.language_medians(tb.metrics(spark, sf_dir), langs=tb.lang_list(spark, sf_dir))
+    med = R.language_medians(tb.metrics(spark, sf_dir), T, langs=tb.lang_list(spark, sf_dir))
     cols = [c for c in med.columns if c not in ("label", "regime", "method")]
     return finish(R.best_cell(R.rank_report(R.with_labels(med)), "label", sorted(cols), order="rank"))
-
-
-# ---------------------------------------------------------------- real metric matrix
-
-# Transferred models: the target vocabulary with source ids, scored by the source's bigrams.
-O.cte("tmap", ["pair_shared", "token_pieces", "first_anchor"], """
-SELECT src_lang, tgt_lang, method, token, src_id AS id
-FROM pair_shared CROSS JOIN (VALUES ('fvt'), ('omp')) x(method)
-UNION ALL
-SELECT src_lang, tgt_lang, 'fvt', token, id FROM (
-  SELECT src_lang, tgt_lang, token, id,
-         row_number() OVER (PARTITION BY src_lang, tgt_lang, token ORDER BY count(*) DESC, id) AS rk
-  FROM (SELECT src_lang, tgt_lang, token, unnest(ids) AS id FROM token_pieces)
-  GROUP BY src_lang, tgt_lang, token, id) WHERE rk = 1
-UNION ALL
-SELECT src_lang, tgt_lang, 'omp', token, anchor_src FROM first_anchor""")
-O.cte("tmodels", ["vlangs"], """
-SELECT s.vocab_lang || '-' || t.vocab_lang || '-' || x.method AS model, s.vocab_lang AS src_lang,
-       t.vocab_lang AS tgt_lang, x.method
-FROM vlangs s JOIN vlangs t ON s.vocab_lang <> t.vocab_lang CROSS JOIN (VALUES ('fvt'), ('omp')) x(method)""")
-
-
-def _scored_sql(tokens: str, keys: str) -> str:
-    """Tokens (``lang, token, pos`` and ``keys``) under the transferred models of their language."""
-    return f"""
-SELECT e.*, {O.loss_expr('b.n', 'c.n_prev')} AS nats
-FROM (SELECT *, coalesce(lag(token_id) OVER (PARTITION BY model, lang, {keys} ORDER BY pos), 2) AS prev
-      FROM (SELECT m.model, m.src_lang, t.*, coalesce(x.id, 1) AS token_id
-            FROM {tokens} t JOIN tmodels m ON t.lang IN (m.src_lang, m.tgt_lang)
-            LEFT JOIN tmap x ON x.src_lang = m.src_lang AND x.tgt_lang = m.tgt_lang AND x.method = m.method
-              AND x.token = t.token)) e
-LEFT JOIN lm b ON b.lang = e.src_lang AND b.prev = e.prev AND b.tok = e.token_id
-LEFT JOIN lm_ctx c ON c.lang = e.src_lang AND c.prev = e.prev"""
-
-
-O.cte("tscored", ["dev_tokens", "tmodels", "tmap", "lm", "lm_ctx"], _scored_sql("dev_tokens", "doc_id, line_no"))
-O.cte("side_tokens", ["min_pairs"], f"""
-SELECT lang, doc_id, line_no, side, unnest(ws) AS token, unnest(range(len(ws))) AS pos
-FROM (SELECT lang, doc_id, line_no, 0 AS side, {O.words('sen')} AS ws FROM min_pairs
-      UNION ALL SELECT lang, doc_id, line_no, 1, {O.words('wrong_sen')} FROM min_pairs)""")
-O.cte("tsides", ["side_tokens", "tmodels", "tmap", "lm", "lm_ctx"],
-      _scored_sql("side_tokens", "doc_id, line_no, side"))
-
-PAIR_METRICS_SQL = O.with_ctes(["dev_per_line", "devtest", "vlangs", "mp_sides", "tscored", "tsides", "dev_info"], f"""
-, lines_scored AS (
-  SELECT vocab_lang AS model, lang, surprisal, nbytes, n_unk, n_counted FROM dev_per_line
-  UNION ALL
-  SELECT s.model, s.lang,
-         sum(CASE WHEN s.pos < i.h THEN 0.0 WHEN s.token_id = 1 THEN log2({tb.VOCAB_SIZE}) ELSE s.nats / ln(2) END),
-         any_value(i.nbytes), sum(CASE WHEN s.token_id = 1 THEN 1 ELSE 0 END), count(*)
-  FROM tscored s JOIN dev_info i ON i.lang = s.lang AND i.doc_id = s.doc_id AND i.line_no = s.line_no
-  WHERE s.pos < {tb.MAX_SEQ_LEN - 1} GROUP BY s.model, s.lang, s.doc_id, s.line_no),
-pm AS (SELECT model, lang, avg(surprisal) AS log_ppl, avg(surprisal / nbytes) AS norm_ppl,
-              avg(n_unk / n_counted) AS uid FROM lines_scored GROUP BY model, lang),
-bp AS (SELECT d.lang, sum(strlen(d.line)) / sum(len({O.words('d.line')}) + 2) AS bpt FROM devtest d GROUP BY d.lang),
-sides AS (
-  SELECT vocab_lang AS model, lang, doc_id, line_no, side, nll, ntok FROM mp_sides
-  UNION ALL
-  SELECT model, lang, doc_id, line_no, side, sum(nats), count(*) FROM tsides
-  GROUP BY model, lang, doc_id, line_no, side),
-pp AS (SELECT model, lang, doc_id, line_no,
-              sum(CASE WHEN side = 0 THEN nll ELSE 0 END) AS sen_nll,
-              sum(CASE WHEN side = 1 THEN nll ELSE 0 END) AS wrong_nll,
-              max(ntok) >= {tb.MIN_PAIR_MAX_LEN} AS over
-       FROM sides GROUP BY model, lang, doc_id, line_no),
-mb AS (SELECT model, lang,
-              avg(CASE WHEN NOT over AND wrong_nll - sen_nll > 1e-9 * greatest(1.0, abs(sen_nll))
-                       THEN 1.0 ELSE 0.0 END) AS mbp
-       FROM pp GROUP BY model, lang),
-m AS (SELECT pm.*, bp.bpt, mb.mbp FROM pm JOIN bp USING (lang) JOIN mb USING (model, lang)),
-cells AS (SELECT s.vocab_lang AS src_lang, t.vocab_lang AS tgt_lang, x.label,
-                 CASE x.label WHEN '100mb_src' THEN s.vocab_lang WHEN '10mb_tgt' THEN t.vocab_lang
-                      ELSE s.vocab_lang || '-' || t.vocab_lang || '-' || x.label END AS model
-          FROM vlangs s JOIN vlangs t ON s.vocab_lang <> t.vocab_lang
-          CROSS JOIN (VALUES ('100mb_src'), ('10mb_tgt'), ('fvt'), ('omp')) x(label))
-SELECT c.src_lang, c.tgt_lang, c.label,
-       round(a.log_ppl, 6) AS src_log_ppl, round(b.log_ppl, 6) AS tgt_log_ppl,
-       round(a.log_ppl + b.log_ppl, 6) AS sum_log_ppl,
-       round(a.norm_ppl, 6) AS src_norm_ppl, round(b.norm_ppl, 6) AS tgt_norm_ppl,
-       round(a.norm_ppl + b.norm_ppl, 6) AS sum_norm_ppl,
-       round(b.uid, 6) AS tgt_uid_prop, round(a.uid, 6) AS src_uid_prop,
-       round(a.bpt, 6) AS src_bpt, round(b.bpt, 6) AS tgt_bpt,
-       round(a.mbp, 6) AS src_mbp, round(b.mbp, 6) AS tgt_mbp, round(a.mbp + b.mbp, 6) AS sum_mbp
-FROM cells c
-JOIN m a ON a.model = c.model AND a.lang = c.src_lang
-JOIN m b ON b.model = c.model AND b.lang = c.tgt_lang""", recursive=True)
-
-
-def _per_model(dev, pairs_df, vocab, lm, known, info, ctx, cells):
-    """``vocab_lang, lang`` and the five one-sided metrics of every cell."""
-    ppl = MX.evaluate_ppl(dev, vocab, lm, "word", cells, tb.MAX_SEQ_LEN, tb.ALPHA, known_entries=known,
-                          info=info, ctx=ctx)
-    bpt = MX.bytes_per_token(dev, vocab, "word", cells, 2, known_entries=known, info=info)
-    mbp = MX.evaluate_min_pairs(pairs_df, vocab, lm, "word", tb.MIN_PAIR_MAX_LEN, tb.ALPHA,
-                                known_entries=known, info=info, ctx=ctx, pairs=cells)
-    return (ppl.select("vocab_lang", "lang", "log_ppl", "norm_ppl", F.col("uid_prop").alias("uid"))
-            .join(bpt.select("vocab_lang", "lang", "bpt"), ["vocab_lang", "lang"])
-            .join(mbp.select("vocab_lang", "lang", F.col("accuracy").alias("mbp")), ["vocab_lang", "lang"]))
-
-
-@register("pair_metrics", PAIR_METRICS_SQL)
-def pair_metrics(spark, sf_dir):
-    """JOB-11 / JN-4 / PRJ-3: the 13 metrics of the four models of every pair:
-    source and target baseline, and the source model carried over to the target
-    vocabulary by FVT and by OMP.  Each (model, language) is scored once; both
-    sides of every pair are then attached by equi-joins."""
-    mm = tb.models(spark, sf_dir)
-    dev, pairs_df = tb.devtest(spark, sf_dir), tb.min_pairs(spark, sf_dir)
-    base = _per_model(dev, pairs_df, mm.vocab, mm.lm, mm.known, mm.info, mm.ctx, "all")
-    vocab, lm, cells = tb.transferred_models(spark, sf_dir)
-    info = cells.select("vocab_lang").distinct().withColumn("V", F.lit(float(tb.VOCAB_SIZE)))
-    moved = _per_model(dev, pairs_df, vocab, lm, vocab.count(), info,
-                       cut_lineage(context_counts(lm), "transferred_ctx"), cells)
-    per = base.unionByName(moved)
-    langs = mm.info.select(F.col("vocab_lang").alias("l"))
-    labels = spark.createDataFrame([("100mb_src",), ("10mb_tgt",), ("fvt",), ("omp",)], "label string")
-    model = (F.when(F.col("label") == "100mb_src", F.col("src_lang"))
-             .when(F.col("label") == "10mb_tgt", F.col("tgt_lang"))
-             .otherwise(F.concat_ws("-", "src_lang", "tgt_lang", "label")))
-    cells = (langs.select(F.col("l").alias("src_lang"))
-             .join(F.broadcast(langs.select(F.col("l").alias("tgt_lang"))),
-                   F.col("src_lang") != F.col("tgt_lang"))
-             .crossJoin(F.broadcast(labels)).withColumn("model", model))
-    side = cut_lineage(per, "per_model")
-    a = side.select(F.col("vocab_lang").alias("model"), F.col("lang").alias("src_lang"),
-                    *[F.col(c).alias(f"src_{c}") for c in ("log_ppl", "norm_ppl", "uid", "bpt", "mbp")])
-    b = side.select(F.col("vocab_lang").alias("model"), F.col("lang").alias("tgt_lang"),
-                    *[F.col(c).alias(f"tgt_{c}") for c in ("log_ppl", "norm_ppl", "uid", "bpt", "mbp")])
-    out = (cells.join(a, ["model", "src_lang"]).join(b, ["model", "tgt_lang"])
-           .withColumnRenamed("src_uid", "src_uid_prop").withColumnRenamed("tgt_uid", "tgt_uid_prop"))
-    out = R.with_pair_sums(out)
-    return finish(out.select("src_lang", "tgt_lang", "label", *M13))

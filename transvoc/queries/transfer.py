@@ -194,5 +194,3 @@ def omp_k8(spark, sf_dir):
 def omp_k64(spark, sf_dir):
     """JOB-5 with the workload's own k, all pairs; the oracle takes the same steps one by one."""
     return _omp_k(spark, sf_dir, tb.OMP_K)
-
-O.cte("first_anchor", ["omp_1", "omp_anchors"], "SELECT o.*, a.src_ids[o.chosen[1]] AS anchor_src FROM omp_1 o JOIN omp_anchors a USING (src_lang, tgt_lang) WHERE len(o.chosen) = 1")
