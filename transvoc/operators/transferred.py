@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from transvoc.functions.text import byte_len, first_half, second_half
 from transvoc.operators.lm import context_counts
+from transvoc.operators.product import sampled_product
 from transvoc.operators.report import REGIMES
 from transvoc.operators.tokenize import encode_long, words_col
 from transvoc.operators.transfer import pair_tokens
@@ -73,22 +74,21 @@ def transferred_counts(weights: DataFrame, lm: DataFrame, need: DataFrame) -> tu
     """Counts ``(.., prev_id, token_id, c)`` and context counts ``(.., prev_id, n)`` of every transferred model for
     the bigrams ``need (vocab_lang, prev_id, token_id)``."""
     need = need.withColumnRenamed("vocab_lang", "tgt_lang")
-    of = lambda c: need.select("tgt_lang", F.col(c).alias("id")).distinct()
-    first = weights.join(of("prev_id"), ["tgt_lang", "id"], "left_semi").select(
-        *MOVED, F.col("id").alias("prev_id"), F.col("sid").alias("a"), "w")
-    second = weights.join(of("token_id"), ["tgt_lang", "id"], "left_semi").select(
-        *MOVED, F.col("id").alias("token_id"), F.col("sid").alias("b"), "w")
-    counts = lm.select(F.col("lang").alias("src_lang"), F.col("prev").alias("a"), F.col("tok").alias("b"), "n")
-    # W C, for the columns that W' takes
-    rows = (counts.join(second.select(*MOVED, "b").distinct(), ["src_lang", "b"])
-            .join(first, [*MOVED, "a"])
-            .groupBy(*MOVED, "prev_id", "b").agg(F.sum(F.col("w") * F.col("n")).alias("x")))
-    # (W C) W', for the bigrams that are needed
-    product = (need.join(second, ["tgt_lang", "token_id"]).join(rows, [*MOVED, "prev_id", "b"])
-               .groupBy(*MOVED, "prev_id", "token_id").agg(F.sum(F.col("w") * F.col("x")).alias("c")))
-    contexts = (first.join(context_counts(lm).select(F.col("lang").alias("src_lang"), F.col("prev").alias("a"), "n_prev"),
-                           ["src_lang", "a"])
-                .groupBy(*MOVED, "prev_id").agg(F.greatest(F.sum(F.col("w") * F.col("n_prev")), F.lit(0.0)).alias("n")))
+    entries = weights.select(*MOVED, F.col("id").alias("row"), F.col("sid").alias("col"), "w")
+    taken = weights.select(*MOVED, F.col("sid").alias("col")).distinct()
+    counts = (lm.select(F.col("lang").alias("src_lang"), F.col("prev").alias("a"), F.col("tok").alias("b"), "n")
+              .join(taken.withColumnRenamed("col", "a"), ["src_lang", "a"])
+              .join(taken.withColumnRenamed("col", "b"), [*MOVED, "b"], "left_semi"))
+    models = weights.select(*MOVED).distinct()
+    wanted = need.join(F.broadcast(models), "tgt_lang").select(  # one row a model
+        *MOVED, F.col("prev_id").alias("p"), F.col("token_id").alias("t"))
+    product = sampled_product(entries, counts, wanted, MOVED).select(
+        *MOVED, F.col("p").cast("int").alias("prev_id"), F.col("t").cast("int").alias("token_id"), "c")
+    first = weights.join(need.select("tgt_lang", F.col("prev_id").alias("id")).distinct(), ["tgt_lang", "id"], "left_semi")
+    contexts = (first.join(context_counts(lm).select(F.col("lang").alias("src_lang"), F.col("prev").alias("sid"), "n_prev"),
+                           ["src_lang", "sid"])
+                .groupBy(*MOVED, F.col("id").alias("prev_id"))
+                .agg(F.greatest(F.sum(F.col("w") * F.col("n_prev")), F.lit(0.0)).alias("n")))
     kept = product.join(contexts, [*MOVED, "prev_id"]).withColumn(
         "c", F.least(F.greatest("c", F.lit(0.0)), F.col("n"))).drop("n")
     return kept, contexts
