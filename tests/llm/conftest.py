@@ -3,7 +3,7 @@ import pytest
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = {"size": "1", "n": "2", "digest": "'d'", "key": "'k'", "block": "'b'", "blob": "'x'", "findings": "'f'",
             "ids": "'i'", "n_words": "7", "kept": "'yes'", "target": "'t'", "copies": "'c'", "row": "'r'",
-            "mark": "'m'", "range": "'g'", "next": "'n'", "rank": "3", "n_tokens": "4"}
+            "mark": "'m'", "pairs": "'p'", "n_entities": "9", "range": "'g'", "next": "'n'", "rank": "3", "n_tokens": "4"}
 
 
 @pytest.fixture()

@@ -143,7 +143,7 @@ def test_key_matters_and_reruns_agree(spark):
 def test_edges(spark, edge_docs, no_docs, clashing):
     mixed = clashing.withColumn("text", pii.F.when(pii.F.col("doc_id") == 1, pii.F.lit(TEXT)).otherwise(pii.F.col("text")))
     rows = pii.pseudonymize(mixed, KEY).collect()
-    assert len(rows) == 13 and pii.pseudonymize(mixed, KEY).columns == [*mixed.columns, "n_entities"]
+    assert len(rows) == 13 and pii.pseudonymize(mixed, KEY).columns == [*mixed.columns, "n_entities_1"]
     same = [r for r in rows if r["doc_id"] == 1]
     assert len(same) == 2 and same[0]["text"] == same[1]["text"] != TEXT
     before = sorted(str(r["text"]) for r in mixed.collect() if r["doc_id"] != 1)
@@ -162,3 +162,37 @@ def test_documents(spark):
         assert r["n_entities"] == len(old) and (old or r["text"] == before[r["doc_id"]])
         for m in old:
             assert before[r["doc_id"]][m.start:m.end] not in r["text"]
+
+
+def test_short_addresses_never_run_out(spark):
+    from itertools import product as pairs
+    from string import ascii_lowercase as az
+    rows = [(i, f"write to {a}@{b}.co now") for i, (a, b) in enumerate(pairs(az, az))]
+    rows += [(1000 + i, f"or {a}@{b}.com") for i, (a, b) in enumerate(pairs("0123456789", "0123456789"))]
+    out = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()
+    given = [r.text.split()[2 if r.doc_id < 1000 else 1] for r in out]
+    assert len(set(given)) == len(rows) and not set(given) & {t.split()[2 if i < 1000 else 1] for i, t in rows}
+
+
+def test_no_name_gets_another_name_of_the_corpus(spark):
+    men = [n for n in pii.GIVEN["m", "LATIN"]]
+    women = [n for n in pii.GIVEN["f", "LATIN"]]
+    rows = [(i, f"Mr. Xavi {n} and Ms. Yara {w}") for i, (n, w) in enumerate(zip(men, women, strict=True))]
+    rows += [(100 + i, f"Mr. Zed{'abcdefghij'[i]} Quux") for i in range(10)]
+    out = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()
+    real = {w.casefold() for _, t in rows for w in t.split() if w[0].isupper()} - {"mr.", "ms."}
+    for r in out:
+        assert not {w.casefold() for w in r.text.split()} & real
+
+
+def test_one_person_under_two_titles(spark):
+    rows = [(1, "Mr. Kimbo Leeson came."), (2, "Dr. Kimbo Leeson left."), (3, "Dr. Qimbo Leeson left.")]
+    out = {r.doc_id: r.text.split()[1:3] for r in pii.pseudonymize(
+        spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    assert out[1] == out[2] and out[3][0] != out[1][0] and out[3][1] == out[1][1]
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a@b.co", "p", 7, "m")], "doc_id long, text string, pairs string, n_entities int, mark string")
+    r = pii.pseudonymize(df, b"k").first()
+    assert (r.pairs, r.n_entities, r.mark, r.n_entities_1) == ("p", 7, "m", 1) and r.text != "a@b.co"

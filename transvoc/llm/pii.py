@@ -17,7 +17,9 @@ names in other scripts have no gendered forms).
 2. The distinct entities of the whole corpus get a candidate each from an HMAC of
    kind, normal form and attempt.  A candidate is refused if it is an original of
    the corpus, has been given to another entity, or is asked for by several in
-   this attempt (the least of them gets it); the refused try again.  So different
+   this attempt (the least of them gets it); the refused try again, and late attempts
+   are longer, so that no kind runs out of surrogates.  Given names and surnames
+   share one space, so none gets another's.  So different
    entities stay different and no surrogate is somebody's real value, and the same
    entity has the same surrogate in all documents (coreference).  Parts of a
    person's name are entities of their own, so ``John Smith`` and ``Mr. Smith``
@@ -30,9 +32,10 @@ pair is sent once, so an entity in a third of all documents meets its surrogate
 rows that are split by skew handling.  The entity table is written after each
 attempt, below ``spark.checkpoint.dir``.
 
-Defined results: null text stays null with no entity.  Repeated rows get the same
-text.  A text without entities is returned unchanged.  Extra columns are kept as
-they are.  Without the key a surrogate does not lead back to its original; the
+Defined results: null text stays null with no entity; an empty or very long text is
+handled like any other, whole.  Repeated rows get the same text.  An empty table gives an
+empty result.  A text without entities is returned unchanged.  Extra columns are kept as
+they are, whatever their names.  Without the key a surrogate does not lead back to its original; the
 same key gives the same surrogates for the same corpus.
 """
 
@@ -352,8 +355,9 @@ def candidate(kind: str, normal: str, attempt: int, key: bytes) -> str:
 
     Where a format has too few values for all entities, later attempts get longer."""
     draw = _Stream(key, kind, normal, str(attempt))
-    if attempt >= TIGHT and kind in ("phone", "card", "ssn"):
-        normal += "0" * (1 + (attempt - TIGHT) // 10)
+    extra = 1 + (attempt - TIGHT) // 10 if attempt >= TIGHT else 0
+    if kind in ("phone", "card", "ssn", "iban"):
+        normal += "0" * extra
     number = lambda s, lead=False: "".join(
         str(1 + draw.below(9) if lead and i == 0 and c != "0" else draw.below(10)) for i, c in enumerate(s))
     if kind.startswith("given_") or kind == "surname":
@@ -369,8 +373,7 @@ def candidate(kind: str, normal: str, attempt: int, key: bytes) -> str:
             new = stem[:-1] + ends[draw.below(len(ends))]
             # A listed name may be of another gender.
             return parts[draw.below(len(parts))] + new if new in _GENDER else new
-        longer = normal[:1] * (1 + (attempt - TIGHT) // 10) if attempt >= TIGHT else ""
-        return "".join(_letter(c, draw) if c.isalpha() else c for c in normal + longer)
+        return "".join(_letter(c, draw) if c.isalpha() else c for c in normal + normal[:1] * extra)
     if kind == "initial":
         new = "".join(_letter(c, draw) if c.isalpha() else c for c in normal)
         return new[:1] + "".join(_letter(normal[0], draw) for _ in range(attempt // 2)) + new[1:]
@@ -381,11 +384,11 @@ def candidate(kind: str, normal: str, attempt: int, key: bytes) -> str:
                                  for c in s)
         # The domain's own stream: addresses of one domain stay of one domain, except when refused.
         own, draw = draw, _Stream(key, "domain", domain, str(attempt))
-        host = ".".join([*map(mask, labels[:-1]), labels[-1]])
+        host = ".".join([mask("a" * extra + labels[0]), *map(mask, labels[1:-1]), labels[-1]])
         draw = own
-        return f"{mask(local)}@{host}"
+        return f"{mask(local + 'a' * extra)}@{host}"
     if kind == "ip":
-        return ".".join(str(1 + draw.below(254)) for _ in range(4))
+        return ".".join(str(1 + draw.below(254)) for _ in range(4 + extra))
     if kind == "phone":
         code, rest = normal.split("|")
         # Prefixes of national numbers stay: 0, or 8 and 1 before ten digits.
@@ -456,7 +459,8 @@ def _mark(text: str):
 
 
 def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
-    """``kind, normal, surrogate`` for distinct ``kind, normal``, without collisions inside a kind."""
+    """``kind, normal, surrogate`` for distinct ``kind, normal``; a surrogate is neither given twice nor an original,
+    for names of any kind together, for the other kinds within each."""
 
     def draw(attempt: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,49 +471,68 @@ def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
                                                  names=["kind", "normal", "surrogate"])
         return run
 
+    space = F.when(_is_given() | (F.col("kind") == "surname"), F.lit("name")).otherwise(F.col("kind")).alias("space")
     open_, given, attempt = entities.select("kind", "normal"), None, 0
-    originals = entities.select("kind", F.col("normal").alias("surrogate"))
+    originals = entities.select(space, F.col("normal").alias("surrogate")).distinct()
     while not open_.isEmpty():
         asked = cut_lineage(open_.mapInArrow(draw(attempt), "kind string, normal string, surrogate string"),
                             "pii-asked")
-        free = (asked.groupBy("kind", "surrogate").agg(F.min("normal").alias("normal"))
-                .join(originals, ["kind", "surrogate"], "left_anti"))
+        free = (asked.groupBy(space, "surrogate").agg(F.min(F.struct("normal", "kind")).alias("first"))
+                .join(originals, ["space", "surrogate"], "left_anti"))
         if given is not None:
-            free = free.join(given.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        free = cut_lineage(free.select("kind", "normal", "surrogate"), "pii-free")
+            free = free.join(given.select(space, "surrogate"), ["space", "surrogate"], "left_anti")
+        free = cut_lineage(free.select("first.kind", "first.normal", "surrogate"), "pii-free")
         given = free if given is None else given.unionByName(free)
         open_ = cut_lineage(open_.join(free.select("kind", "normal"), ["kind", "normal"], "left_anti"), "pii-open")
         attempt += 1
     return given if given is not None else entities.select("kind", "normal", F.lit("").alias("surrogate"))
 
 
+def _is_given():
+    return F.col("kind").startswith("given_")
+
+
+def with_entities(found: DataFrame) -> DataFrame:
+    """Mentions with ``entity``, the kind of the entity they mean: a given name whose gender the text does not tell has
+    the one that most of its other mentions in the corpus have (equally many: male), so it is the same person's name
+    in every document."""
+    told = (found.where(_is_given() & (F.col("kind") != "given_x")).groupBy("normal", "kind").agg(F.sum("n").alias("n"))
+            .groupBy("normal").agg(F.max_by("kind", F.struct("n", "kind")).alias("told")))
+    untold = found.where("kind = 'given_x'").join(told, "normal", "left").select(
+        "mark", "kind", "normal", "n", F.coalesce("told", "kind").alias("entity"))
+    return found.where("kind <> 'given_x'").withColumn("entity", F.col("kind")).unionByName(untold)
+
+
 def pseudonymize(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` rewritten and ``n_entities``, its number of mentions."""
-    found = cut_lineage(mentions(docs, text=text).distinct(), "pii-mentions")
-    entities = cut_lineage(found.select("kind", "normal").distinct(), "pii-entities")
-    table = surrogate_table(entities, key)
+    """``docs`` with ``text`` rewritten and ``n_entities``, its number of mentions (``n_entities_1``, ... where
+    ``docs`` has such a column itself)."""
+    found = cut_lineage(with_entities(cut_lineage(mentions(docs, text=text).distinct(), "pii-found")), "pii-mentions")
+    entities = cut_lineage(found.select(F.col("entity").alias("kind"), "normal").distinct(), "pii-entities")
+    table = surrogate_table(entities, key).withColumnRenamed("kind", "entity")
     per_text = cut_lineage(
-        found.join(table, ["kind", "normal"]).groupBy("mark").agg(
-            F.collect_list(F.struct("kind", "normal", "surrogate")).alias("pairs"), F.sum("n").alias("n_entities")),
+        found.join(table, ["entity", "normal"]).groupBy("mark").agg(
+            F.collect_list(F.struct("kind", "normal", "surrogate")).alias("pairs"), F.sum("n").alias("n_found")),
         "pii-pairs")
-    columns = [c for c in docs.columns if c != "n_entities"]
-    at = columns.index(text)
-    rows = docs.select(*columns)
+    at, names = docs.columns.index(text), [f"c{i}" for i in range(len(docs.columns))]  # whatever docs calls them
+    rows, body = docs.toDF(*names), f"c{at}"
     # Texts that cannot hold an entity stay where they are.
-    may = F.coalesce(F.col(text).rlike(MAY_HOLD), F.lit(False))
-    joined = (rows.where(may).withColumn("__mark", _mark(text))
-              .join(per_text.withColumnRenamed("mark", "__m"), F.col("__mark") == F.col("__m"), "left")
-              .select(*columns, F.coalesce("n_entities", F.lit(0)).cast("long").alias("n_entities"), "pairs"))
+    may = F.coalesce(F.col(body).rlike(MAY_HOLD), F.lit(False))
+    joined = (rows.where(may).withColumn("own", _mark(body)).join(per_text, F.col("own") == F.col("mark"), "left")
+              .select(*names, F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"), "pairs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = []
-            for body, pairs in zip(batch.column(at), batch.column(len(columns) + 1), strict=True):
+            for own, pairs in zip(batch.column(at), batch.column(len(names) + 1), strict=True):
                 held = pairs.as_py()
-                new.append(rewrite(body.as_py(), {(p["kind"], p["normal"]): p["surrogate"] for p in held})
-                           if held else body.as_py())
-            kept = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(len(columns) + 1)]
-            yield pa.RecordBatch.from_arrays(kept, names=[*columns, "n_entities"])
-
-    return (joined.mapInArrow(run, joined.drop("pairs").schema)
-            .unionByName(rows.where(~may).withColumn("n_entities", F.lit(0).cast("long"))))
+                new.append(rewrite(own.as_py(), {(p["kind"], p["normal"]): p["surrogate"] for p in held})
+                           if held else own.as_py())
+            kept = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(len(names) + 1)]
+            yield pa.RecordBatch.from_arrays(kept, names=[*names, "n_found"])
+
+    out = (joined.mapInArrow(run, joined.drop("pairs").schema)
+           .unionByName(rows.where(~may).withColumn("n_found", F.lit(0).cast("long"))))
+    count, k = "n_entities", 0
+    while count in docs.columns:
+        count = f"n_entities_{(k := k + 1)}"
+    return out.toDF(*docs.columns, count)
