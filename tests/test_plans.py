@@ -1,23 +1,26 @@
-"""Plan operators and the alternative bigram-model route."""
+"""Plan operators and the bigram scorer."""
+
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from transvoc.operators.lm import train_lm, train_lm_from_words
-from transvoc.operators.tokenize import encode_long
-from transvoc.operators.vocab import word_bigrams
+from transvoc.operators.lm import score
 from transvoc.plans import experiment as X
 from transvoc.sources.mcq import read_min_pairs
 
 
-def test_lm_from_word_bigrams_equals_token_route(spark):
-    lines = spark.createDataFrame(
-        [("xx", 0, i, s) for i, s in enumerate(["a b c a", "b a", "", "c c d a b"])],
-        "lang string, doc_id long, line_no int, line string")
-    vocab = spark.createDataFrame([("xx", "a", 4), ("xx", "b", 5)], "lang string, token string, id int")
-    one = train_lm(encode_long(lines, vocab, "same", keys=["lang"], known_entries=2))
-    two = train_lm_from_words(word_bigrams(lines), vocab, known_entries=2)
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+def test_unknown_labels_take_their_counts_from_the_contexts(spark):
+    lm = spark.createDataFrame([("xx", 2, 1, 5), ("xx", 1, 1, 9), ("xx", 1, 4, 1), ("xx", 4, 4, 2)],
+                               "lang string, prev int, tok int, n long")
+    rows = spark.createDataFrame([("xx", p, t) for p in (1, 2, 4, 7) for t in (1, 4, 5)],
+                                 "vocab_lang string, prev_id int, token_id int")
+    n, c = {2: 5, 1: 10, 4: 2}, {(2, 1): 5, (1, 1): 9, (1, 4): 1, (4, 4): 2}
+    for bound in (None, 10):
+        got = {(r.prev_id, r.token_id): r.loss_nats for r in score(rows, lm, 6, ctx_bound=bound).collect()}
+        assert len(got) == 12
+        for (p, t), loss in got.items():
+            assert loss == pytest.approx(-math.log((c.get((p, t), 0) + 0.1) / (n.get(p, 0) + 0.6)))
 
 
 def test_pairs_routing_and_filters(spark):

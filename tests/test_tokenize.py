@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from transvoc.operators.tokenize import encode, encode_long
@@ -76,15 +78,17 @@ def test_word_encode_unknown_and_empty(spark):
     assert [(r["token_id"], r["prev_id"]) for r in rows] == [(4, 2), (5, 4), (UNK, 5)]
 
 
-def test_top_k_two_phase_is_exact(spark):
+@pytest.mark.parametrize("most", [1, 3, 30])
+@pytest.mark.parametrize("k", [1, 25, 499, 5000])
+def test_top_k_is_exact(spark, k, most):
     rnd = random.Random(5)
-    rows = [("a" if i % 4 else "b", f"w{i}", rnd.randint(1, 30)) for i in range(2000)]
+    rows = [("a" if i % 4 else "b", f"w{i}", rnd.randint(1, most)) for i in range(2000)]
     df = spark.createDataFrame(rows, "lang string, token string, n long")
-    got = {(r["lang"], r["token"]) for r in top_k_per_group(df, "lang", 25, buckets=7).collect()}
-    expect = set()
+    got = {(r["lang"], r["token"]): r["rank"] for r in top_k_per_group(df, "lang", k).collect()}
+    expect = {}
     for lang in ("a", "b"):
-        best = sorted((r for r in rows if r[0] == lang), key=lambda r: (-r[2], r[1]))[:25]
-        expect |= {(lang, r[1]) for r in best}
+        best = sorted((r for r in rows if r[0] == lang), key=lambda r: (-r[2], r[1]))[:k]
+        expect |= {(lang, r[1]): i for i, r in enumerate(best, 1)}
     assert got == expect
 
 

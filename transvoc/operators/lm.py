@@ -15,13 +15,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from transvoc.operators.vocab import CLS_ID, UNK_ID
 
 
+#: Losses that are added up are whole numbers of 1 / UNIT nats, so that sums don't depend on their order.
+UNIT = 10 ** 12
+
+
+def whole(nats: Column) -> Column:
+    """A loss as a whole number of 1 / UNIT nats."""
+    return F.round(nats * F.lit(float(UNIT))).cast("long")
+
+
 def label_rows(enc: DataFrame, keys: Sequence[str], ids: str = "ids",
                prepend: int = CLS_ID) -> DataFrame:
     """Array form to label rows ``(keys..., pos, token_id, prev_id)``; the
@@ -42,57 +51,46 @@ def train_lm(rows: DataFrame, lang: str = "vocab_lang") -> DataFrame:
             .agg(F.count(F.lit(1)).cast("long").alias("n")))
 
 
-def train_lm_from_words(bigrams: DataFrame, vocab: DataFrame, known_entries: int | None = None,
-                        max_broadcast_entries: int = 2_000_000, prepend: int = CLS_ID,
-                        unk: int = UNK_ID) -> DataFrame:
-    """JOB-6 from word bigram counts: map both words to ids (two hash-join
-    lookups against the vocabulary; unknown -> ``unk``, line start ->
-    ``prepend``) and re-aggregate.  Works on the bigram table, which is much
-    smaller than the token stream."""
-    v = vocab.select("lang", "token", F.col("id").cast("int").alias("__tid"))
-    pv = vocab.select("lang", F.col("token").alias("prev_token"),
-                      F.col("id").cast("int").alias("__pid"))
-    if known_entries is not None and known_entries <= max_broadcast_entries:
-        v, pv = F.broadcast(v), F.broadcast(pv)
-    j = bigrams.join(v, ["lang", "token"], "left").join(pv, ["lang", "prev_token"], "left")
-    return j.groupBy(
-        "lang",
-        F.when(F.col("prev_token").isNull(), F.lit(prepend))
-        .otherwise(F.coalesce("__pid", F.lit(unk))).cast("int").alias("prev"),
-        F.coalesce("__tid", F.lit(unk)).cast("int").alias("tok"),
-    ).agg(F.sum("n").cast("long").alias("n"))
-
-
 def context_counts(lm: DataFrame) -> DataFrame:
     """``(lang, prev, n_prev)``: at most vocabulary-size rows per language."""
     return lm.groupBy("lang", "prev").agg(F.sum("n").cast("long").alias("n_prev"))
 
 
+def unknown_counts(lm: DataFrame, unk: int = UNK_ID) -> DataFrame:
+    """``(lang, prev, n_unk)``: how often the unknown word follows; at most vocabulary-size rows per language."""
+    return lm.where(F.col("tok") == unk).select("lang", "prev", F.col("n").alias("n_unk"))
+
+
 def score(rows: DataFrame, lm: DataFrame, vocab_size, alpha: float = 0.1,
           model_col: str = "vocab_lang", ctx: DataFrame | None = None,
           ctx_bound: int | None = None, max_broadcast_rows: int = 5_000_000) -> DataFrame:
     """JOB-7: add-alpha bigram loss ``-ln((c + a) / (n + a V))`` per label row.
 
-    ``vocab_size`` is a number or the name of a column holding V.  The
-    bigram table grows with the corpus and is not hinted: AQE decides at run
-    time (broadcast when small, else sort-merge with skew splitting for hot
-    bigrams such as unknown-unknown).  The context table has at most V rows
-    per model and is broadcast when the caller's ``ctx_bound`` allows it.
+    ``vocab_size`` is a number or the name of a column holding V.  Unknown
+    labels, the hot key of a text in another language, never meet the bigram
+    table: their counts stand in the context table, which has at most V rows
+    per model and is broadcast when the caller's ``ctx_bound`` allows it.  The
+    other labels join the bigram table, which grows with the corpus and is not
+    hinted: AQE decides at run time (broadcast when small, else sort-merge with
+    skew splitting).
     """
-    big = lm.select(F.col("lang").alias(model_col), F.col("prev").alias("prev_id"),
-                    F.col("tok").alias("token_id"), F.col("n").alias("__c"))
-    ctx = (context_counts(lm) if ctx is None else ctx).select(F.col("lang").alias(model_col),
-                                    F.col("prev").alias("prev_id"),
-                                    F.col("n_prev").alias("__n"))
+    big = lm.where(F.col("tok") != UNK_ID).select(
+        F.col("lang").alias(model_col), F.col("prev").alias("prev_id"), F.col("tok").alias("token_id"), F.col("n").alias("__c"))
+    ctx = (context_counts(lm) if ctx is None else ctx).join(unknown_counts(lm), ["lang", "prev"], "left").select(
+        F.col("lang").alias(model_col), F.col("prev").alias("prev_id"), F.col("n_prev").alias("__n"),
+        F.col("n_unk").alias("__u"))
     if ctx_bound is not None and ctx_bound <= max_broadcast_rows:
         # at most V rows per model: broadcast under the caller's bound
         ctx = F.broadcast(ctx)
     v = F.col(vocab_size) if isinstance(vocab_size, str) else F.lit(float(vocab_size))
     a = F.lit(float(alpha))
-    out = (rows.join(big, [model_col, "prev_id", "token_id"], "left")
-           .join(ctx, [model_col, "prev_id"], "left"))
-    loss = -F.log((F.coalesce("__c", F.lit(0)) + a) / (F.coalesce("__n", F.lit(0)) + a * v))
-    return out.withColumn("loss_nats", loss).drop("__c", "__n")
+    loss = lambda c: -F.log((F.coalesce(c, F.lit(0)) + a) / (F.coalesce("__n", F.lit(0)) + a * v))
+    known = (rows.where(F.col("token_id") != UNK_ID).join(big, [model_col, "prev_id", "token_id"], "left")
+             .join(ctx, [model_col, "prev_id"], "left").withColumn("loss_nats", loss("__c")))
+    unknown = (rows.where(F.col("token_id") == UNK_ID).join(ctx, [model_col, "prev_id"], "left")
+               .withColumn("loss_nats", loss("__u")))
+    columns = [*rows.columns, "loss_nats"]
+    return known.select(*columns).unionByName(unknown.select(*columns))
 
 
 def score_with(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:

@@ -195,18 +195,17 @@ def evaluate_mcq(mcq: DataFrame, vocab: DataFrame, lm: DataFrame, mode: str = "w
                  scorer=None, info: DataFrame | None = None,
                  ctx: DataFrame | None = None) -> DataFrame:
     """JOB-9 / WIN-5 / AGG-6: accuracy per model; option loss is the total in
-    nats with no unknown penalty; the least loss wins, lowest index on ties."""
+    whole 1 / UNIT nats with no unknown penalty, so its sum has no order; the least loss
+    wins, lowest index on ties."""
     prompts = option_prompts(mcq).withColumn("lang", F.lit("mcq"))
     rows = label_rows_for(prompts, vocab, mode, "all", ["item_id", "opt"], ["correct"],
                           known_entries, max_len - 1, info=info)
     rows = rows.join(_sizes(vocab, info), "vocab_lang")
     tl = _scored(rows, lm, alpha, scorer, ctx)
     opt_loss = tl.groupBy("vocab_lang", "item_id", "correct", "opt").agg(
-        F.sum("loss_nats").alias("loss"))
-    # losses are compared at 9 decimals: float summation order must not
-    # break an exact tie, which goes to the lowest option index
+        F.sum(lm_ops.whole(F.col("loss_nats"))).alias("loss"))
     picked = opt_loss.groupBy("vocab_lang", "item_id", "correct").agg(
-        F.min_by("opt", F.struct(F.round("loss", 9), "opt")).alias("pred"))
+        F.min_by("opt", F.struct("loss", "opt")).alias("pred"))
     return picked.groupBy("vocab_lang").agg(
         F.avg(((F.col("pred") + 1) == F.col("correct")).cast("double")).alias("accuracy"),
         F.count(F.lit(1)).cast("long").alias("n_items"))
@@ -216,15 +215,14 @@ def evaluate_min_pairs(pairs_df: DataFrame, vocab: DataFrame, lm: DataFrame,
                        mode: str = "word", max_length: int | None = 50, alpha: float = 0.1,
                        pair_keys: Sequence[str] = ("doc_id", "line_no"),
                        known_entries: int | None = None, scorer=None,
-                       tie_rel: float = 1e-9, info: DataFrame | None = None,
+                       info: DataFrame | None = None,
                        ctx: DataFrame | None = None, pairs="all") -> DataFrame:
     """JOB-10 / AGG-7: share of pairs with ``wrong_nll - sen_nll > 0`` (strict).
 
-    Each side is scored from the prepended id on, in nats.  A pair where
-    either side has ``>= max_length`` tokens gets delta 0 (incorrect).  Two
-    sides with the same multiset of label losses (e.g. all-unknown lines) tie
-    in exact arithmetic; float summation order must not break the tie, so a
-    delta within ``tie_rel`` of the sentence loss counts as 0.
+    Each side is scored from the prepended id on, in whole 1 / UNIT nats: sums
+    have no order, so two sides with the same losses (e.g. all-unknown lines)
+    tie exactly.  A pair where either side has ``>= max_length`` tokens counts
+    as incorrect.
     """
     pair_keys = list(pair_keys)
     sides = pairs_df.select("lang", *pair_keys, F.explode(F.array(
@@ -236,17 +234,13 @@ def evaluate_min_pairs(pairs_df: DataFrame, vocab: DataFrame, lm: DataFrame,
     rows = rows.join(_sizes(vocab, info), "vocab_lang")
     tl = _scored(rows, lm, alpha, scorer, ctx)
     # one pass: per pair, the two side totals and lengths from the label rows
+    side, cost = F.col("side"), lm_ops.whole(F.col("loss_nats"))
     per_pair = tl.groupBy("vocab_lang", "lang", *pair_keys).agg(
-        F.coalesce(F.sum(F.when(F.col("side") == 0, F.col("loss_nats"))), F.lit(0.0)).alias("sen_nll"),
-        F.coalesce(F.sum(F.when(F.col("side") == 1, F.col("loss_nats"))), F.lit(0.0)).alias("wrong_nll"),
-        F.count_if(F.col("side") == 0).alias("sen_len"),
-        F.count_if(F.col("side") == 1).alias("wrong_len"))
+        F.sum(F.when(side == 1, cost).otherwise(-cost)).alias("delta"),
+        F.count_if(side == 0).alias("sen_len"), F.count_if(side == 1).alias("wrong_len"))
     over = (F.lit(False) if max_length is None else
             (F.col("sen_len") >= max_length) | (F.col("wrong_len") >= max_length))
-    raw = F.col("wrong_nll") - F.col("sen_nll")
-    tol = F.lit(tie_rel) * F.greatest(F.lit(1.0), F.abs(F.col("sen_nll")))
-    delta = F.when(over | (F.abs(raw) <= tol), F.lit(0.0)).otherwise(raw)
-    return per_pair.withColumn("delta", delta).groupBy("vocab_lang", "lang").agg(
-        F.avg((F.col("delta") > 0).cast("double")).alias("accuracy"),
+    return per_pair.groupBy("vocab_lang", "lang").agg(
+        F.avg((~over & (F.col("delta") > 0)).cast("double")).alias("accuracy"),
         F.count(F.lit(1)).cast("long").alias("n_pairs"),
         F.sum(over.cast("int")).cast("long").alias("n_over"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transvoc.operators.prefix import doc_block, exclusive_prefix_sum
@@ -71,3 +71,48 @@ def pack_segments(enc: DataFrame, seg_len: int, corpus: Sequence[str] = ("lang",
             .withColumn("labels", F.col("input_ids"))
             .withColumn("n_real", n.cast("long"))
             .drop("__body"))
+
+
+def job_pieces(files: DataFrame, totals: DataFrame, body_len: int, job: Sequence[str]) -> DataFrame:
+    """Where the segments of every job lie in its files' streams, from lengths alone.
+
+    ``files`` is ``(job.., file_ord, file)``, ``totals`` is ``(file, n)``: tokens of
+    each file.  A job's stream is its files one after the other; each segment is one range or more of a
+    file: ``(job.., seg_no, at, file, chunk, first, n)``, the ``n`` tokens from ``first`` on in the
+    file's chunk, which come at place ``at`` of the job's stream.  Chunks are as long as segments,
+    so a range meets two at most.
+    """
+    job, b = list(job), F.lit(body_len)
+    before = Window.partitionBy(*job).orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)  # a job's files
+    placed = files.join(F.broadcast(totals), "file").withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ranges = (placed.withColumn("seg_no", F.explode(F.sequence(
+                  F.floor(F.col("base") / b), F.floor((F.col("base") + F.col("n") - 1) / b))))
+              .withColumn("lo", F.greatest("base", F.col("seg_no") * b) - F.col("base"))
+              .withColumn("hi", F.least(F.col("base") + F.col("n"), (F.col("seg_no") + 1) * b) - F.col("base")))
+    met = ranges.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("lo") / b), F.floor((F.col("hi") - 1) / b))))
+    lo, hi = F.greatest("lo", F.col("chunk") * b), F.least("hi", (F.col("chunk") + 1) * b)
+    return met.select(*job, "seg_no", (F.col("base") + lo).alias("at"), "file", "chunk",
+                      (lo - F.col("chunk") * b).cast("int").alias("first"), (hi - lo).cast("int").alias("n"))
+
+
+def pack_jobs(jobs: DataFrame, chunks: DataFrame, seg_len: int, job: Sequence[str], files: str = "train",
+              pre: int = CLS_ID, pad: int = PAD_ID) -> DataFrame:
+    """SET-2 + JOB-3: ``(job.., seg_no, input_ids, n_real)``, the segments of every job's files in job order.
+
+    ``jobs`` has the job's columns, ``vocab_lang`` and the list ``files``; ``chunks (file, vocab_lang, seg_no,
+    input_ids, n_real)`` are the files' own packed streams (:func:`pack_segments`).  Jobs hold ranges, not
+    text: a file is read, encoded and packed once for each vocabulary, whatever the number of jobs that use it.
+    """
+    job = list(job)
+    listed = jobs.select(*job, "vocab_lang", F.posexplode(files).alias("file_ord", "file"))
+    totals = (chunks.groupBy("file", "vocab_lang").agg(F.sum("n_real").alias("n"))
+              .groupBy("file").agg(F.first("n").alias("n")))  # words are counted the same under every vocabulary
+    pieces = job_pieces(listed, totals, seg_len - 1, [*job, "vocab_lang"])
+    text = chunks.select("file", "vocab_lang", F.col("seg_no").alias("chunk"), "input_ids")
+    rows = pieces.join(text, ["file", "vocab_lang", "chunk"]).select(
+        *job, "seg_no", "at", F.expr("slice(input_ids, first + 2, n)").alias("part"))
+    body = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]))
+    segs = rows.groupBy(*job, "seg_no").agg(body.alias("body"))
+    n = F.size("body")
+    return segs.select(*job, "seg_no", F.concat(F.array(F.lit(pre)), "body", F.array_repeat(
+        F.lit(pad), F.lit(seg_len - 1) - n)).alias("input_ids"), n.cast("long").alias("n_real"))

@@ -210,6 +210,12 @@ def format_stat(median_col, std_col=None, digits: int = 3):
     return F.when(c.isNull(), F.lit("N/A")).otherwise(F.regexp_replace(text, ",", ""))
 
 
+def to_number(text) -> Column:
+    """FN-9: the number that a shown cell begins with; NULL where there is none (``N/A``)."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract(c, r"^\s*(-?\d+(?:\.\d+)?)", 1).try_cast("double")
+
+
 def rank_report(table: DataFrame, best_min: Sequence[str] = (), best_max: Sequence[str] = (),
                 digits: int = 3, baselines: Sequence[str] = BASELINES) -> DataFrame:
     """SRT-1 / SRT-2: baselines first, then the rest, both in original order

@@ -22,7 +22,7 @@ word (:mod:`transvoc.operators.trie`) and joined back.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -163,3 +163,19 @@ def tokenize_with(fn: Callable[[pd.Series], pd.Series]):
     def _tok(s: pd.Series) -> pd.Series:
         return fn(s)
     return _tok
+
+
+def tokenize_with_artifact(path: str, load: Callable, fn: Callable):
+    """UDF-2 for a tokenizer that has to be loaded: ``load`` gets the Parquet table at ``path``, a shared folder, as
+    an Arrow table, once a task; ``fn(loaded, vocab_lang, text)`` then turns each batch into lists of ids.
+    The tokenizer neither passes the driver nor travels with the query."""
+    @F.pandas_udf("array<int>")
+    def _tok(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        system, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (None, path)
+        loaded = load(pq.read_table(folder, filesystem=system))
+        for vocab_lang, text in batches:
+            yield fn(loaded, vocab_lang, text)
+    return _tok

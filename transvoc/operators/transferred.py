@@ -26,11 +26,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transvoc.functions.text import byte_len, first_half, second_half
-from transvoc.operators.lm import context_counts
+from transvoc.operators.lm import UNIT, context_counts, whole
 from transvoc.operators.product import sampled_product
 from transvoc.operators.report import REGIMES
 from transvoc.operators.tokenize import encode_long, words_col
@@ -40,8 +40,6 @@ from transvoc.operators.vocab import CLS_ID, UNK_ID
 
 PAIR = ["src_lang", "tgt_lang"]
 MOVED = [*PAIR, "method"]
-#: Losses are kept as whole numbers of 1 / UNIT nats.
-UNIT = 10 ** 12
 #: Bigrams that are broadcast at most, the most frequent ones, and lines that each must have.
 HEAVY_KEYS, HEAVY_LINES = 1000, 1000
 
@@ -170,11 +168,6 @@ def model_losses(seen: DataFrame, plan: DataFrame, counts: DataFrame, contexts:
     return rows.select("vocab_lang", "lang", "prev_id", "token_id", "model", "V", whole(loss).alias("q"))
 
 
-def whole(nats: Column) -> Column:
-    """A loss as a whole number of 1 / UNIT nats."""
-    return F.round(nats * F.lit(float(UNIT))).cast("long")
-
-
 def score_lines(labels: DataFrame, losses: DataFrame, heavy: DataFrame, max_pair_len: int) -> DataFrame:
     """``(model, lang, doc_id, line_no, surprisal, nbytes, n_unk, n_read, delta, over)`` of every line under every model.
 

@@ -25,48 +25,34 @@ def line_tokens(lines: DataFrame, line_col: str = "line", keep=("lang",)) -> Dat
 
 
 def top_k_per_group(counts: DataFrame, group: str, k: int, n_col: str = "n",
-                    key_col: str = "token", rank_col: str = "rank",
-                    buckets: int = 64) -> DataFrame:
-    """Exact top-k per group in two phases so a huge group never sits in one task.
+                    key_col: str = "token", rank_col: str = "rank") -> DataFrame:
+    """Exact top-k per group, by count (descending), then key.
 
-    Phase 1 ranks inside ``(group, hash(key) mod buckets)``; the global top-k of
-    a group is contained in the union of the bucket top-ks, so phase 2 ranks at
-    most ``buckets * k`` candidates per group.
+    A histogram of the counts tells each group's threshold: fewer than ``k`` keys
+    have more.  These are taken unseen; of the keys that have exactly as many, the
+    least are taken (each task passes on ``k`` of them at most).  So the last
+    step ranks ``k`` keys a group, whatever the number of keys.
     """
-    order = [F.col(n_col).desc(), F.col(key_col).asc()]
-    bucket = F.pmod(F.xxhash64(F.col(key_col)), F.lit(buckets))
-    w1 = Window.partitionBy(group, "__bucket").orderBy(*order)
-    cand = (counts.withColumn("__bucket", bucket)
-            .withColumn("__r1", F.row_number().over(w1))
-            .filter(F.col("__r1") <= k).drop("__bucket", "__r1"))
-    w2 = Window.partitionBy(group).orderBy(*order)
-    return cand.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)
-
-
-def word_bigrams(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """``(lang, prev_token, token, n)``: word bigram counts of a corpus
-    (``prev_token`` NULL at line start).  One pass over the token stream with
-    map-side partial aggregation; both the vocabulary (its per-word sums) and
-    the bigram model (after id lookup) are derived from this table."""
-    from transvoc.operators.tokenize import token_rows
-    return (token_rows(lines, ["lang"], line_col)
-            .groupBy("lang", "prev_token", "token")
-            .agg(F.count(F.lit(1)).cast("long").alias("n")))
-
-
-def build_vocab(lines: DataFrame, k: int, line_col: str = "line",
-                bigrams: DataFrame | None = None) -> DataFrame:
+    more = Window.partitionBy(group).orderBy(F.col(n_col).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    hist = counts.groupBy(group, n_col).agg(F.count(F.lit(1)).alias("__keys"))  # distinct counts of a group
+    cut = (hist.withColumn("__above", F.coalesce(F.sum("__keys").over(more), F.lit(0))).where(F.col("__above") < k)
+           .groupBy(group).agg(F.min(n_col).alias("__least"), F.max("__above").alias("__above")))
+    held = counts.join(F.broadcast(cut), group)  # one row a group
+    sure = held.where(F.col(n_col) > F.col("__least"))
+    tied = (held.where(F.col(n_col) == F.col("__least"))
+            .withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(F.col(key_col).asc())))
+            .where(F.col("__r") <= k).where(F.col("__r") <= F.lit(k) - F.col("__above")).drop("__r"))
+    order = Window.partitionBy(group).orderBy(F.col(n_col).desc(), F.col(key_col).asc())
+    return sure.unionByName(tied).drop("__least", "__above").withColumn(rank_col, F.row_number().over(order))
+
+
+def build_vocab(lines: DataFrame, k: int, line_col: str = "line") -> DataFrame:
     """JOB-2: top-``k`` words per language; ``id = rank + N_RESERVED - 1``.
 
-    Output ``(lang, token, id int, n bigint)``.  With ``bigrams`` (from
-    :func:`word_bigrams`) the counts are summed from that table instead of
-    exploding the corpus again.
+    Output ``(lang, token, id int, n bigint)``.
     """
-    if bigrams is not None:
-        counts = bigrams.groupBy("lang", "token").agg(F.sum("n").cast("long").alias("n"))
-    else:
-        counts = (line_tokens(lines, line_col).groupBy("lang", "token")
-                  .agg(F.count(F.lit(1)).cast("long").alias("n")))
+    counts = (line_tokens(lines, line_col).groupBy("lang", "token")
+              .agg(F.count(F.lit(1)).cast("long").alias("n")))
     top = top_k_per_group(counts, "lang", k)
     return top.select("lang", "token",
                       (F.col("rank") + F.lit(N_RESERVED - 1)).cast("int").alias("id"), "n")
@@ -91,15 +77,3 @@ def piece_vocab(vocab: DataFrame, lines: DataFrame, line_col: str = "line") -> D
              .select("lang", "token",
                      (F.col("__max") + F.row_number().over(w)).cast("int").alias("id")))
     return vocab.select("lang", "token", "id").unionByName(extra)
-
-
-def shared_vocab(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """JN-8: tokens in both vocabularies (the anchors)."""
-    return (tgt.select("token", F.col("id").alias("tgt_id"))
-            .join(src.select("token", F.col("id").alias("src_id")), "token", "inner"))
-
-
-def missing_vocab(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """JN-9: target tokens absent from the source vocabulary."""
-    return (tgt.select("token", F.col("id").alias("tgt_id"))
-            .join(src.select("token"), "token", "left_anti"))

@@ -105,6 +105,11 @@ def loss_expr(c: str, n: str) -> str:
     return f"-ln((coalesce({c}, 0) + {ALPHA}) / (coalesce({n}, 0) + {ALPHA} * {VOCAB_SIZE}))"
 
 
+def whole_loss(c: str, n: str) -> str:
+    """In whole 1e-12 nats, so that sums have no order."""
+    return f"CAST(round({loss_expr(c, n)} * 1e12) AS BIGINT)"
+
+
 PARAMS = dict(ALPHA=ALPHA, MAX_SEQ_LEN=MAX_SEQ_LEN, MCQ_MAX_LEN=MCQ_MAX_LEN,
               MIN_PAIR_MAX_LEN=MIN_PAIR_MAX_LEN, VOCAB_SIZE=VOCAB_SIZE)
 

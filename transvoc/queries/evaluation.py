@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from transvoc import oracle as O
@@ -12,7 +13,7 @@ from transvoc import testbed as tb
 from transvoc.catalog import finish, register
 from transvoc.operators import lm as lm_ops
 from transvoc.operators import metrics
-from transvoc.operators.tokenize import encode, encode_long, token_rows, tokenize_with, with_vocab_langs
+from transvoc.operators.tokenize import encode, encode_long, token_rows, tokenize_with_artifact, with_vocab_langs
 from transvoc.operators.trie import greedy_pieces
 from transvoc.operators.vocab import CLS_ID, UNK_ID
 from transvoc.session import scratch_path
@@ -77,24 +78,31 @@ def encode_lines(spark, sf_dir):
 
 
 @register("custom_tokenizer", O.with_ctes(["dev_enc"], """
-SELECT e.lang, e.doc_id, CAST(e.line_no AS BIGINT) AS line_no,
+SELECT e.vocab_lang, e.lang, e.doc_id, CAST(e.line_no AS BIGINT) AS line_no,
        array_to_string(list(e.token_id ORDER BY e.pos), ',') AS ids,
        CAST(count(*) AS BIGINT) AS n_tokens
-FROM dev_enc e WHERE e.vocab_lang = 'en' GROUP BY e.lang, e.doc_id, e.line_no"""))
+FROM dev_enc e GROUP BY e.vocab_lang, e.lang, e.doc_id, e.line_no"""))
 def custom_tokenizer(spark, sf_dir):
-    """UDF-2: a user tokenizer (here: a Python word lookup over the ``en``
-    vocabulary, as a tokenizer model would be loaded) applied through an
-    Arrow-batched pandas UDF."""
-    v = tb.models(spark, sf_dir).vocab.filter(F.col("lang") == "en").select("token", "id")
-    table = {r["token"]: int(r["id"]) for r in v.collect()}  # model-sized: k entries
-
-    def tok(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [] if t == "" else [table.get(w, UNK_ID) for w in t.split(" ")])
-
-    udf = tokenize_with(tok)
-    d = tb.devtest(spark, sf_dir).filter(F.col("line") != "")
-    out = d.select("lang", "doc_id", "line_no", udf("line").alias("ids"))
-    return finish(out.select("lang", "doc_id", "line_no", F.array_join("ids", ",").alias("ids"),
+    """UDF-2: a user tokenizer (here: a Python word lookup, as a tokenizer model would be loaded) of every
+    vocabulary, read by the workers from the shared folder, applied through an Arrow-batched pandas UDF."""
+    m = tb.models(spark, sf_dir)
+    path = scratch_path(spark, "tokenizers")
+    m.vocab.select("lang", "token", "id").write.parquet(path)
+
+    def load(table: pa.Table) -> dict[str, dict[str, int]]:
+        tables: dict[str, dict[str, int]] = {}
+        for lang, token, i in zip(*(table.column(c).to_pylist() for c in ("lang", "token", "id")), strict=True):
+            tables.setdefault(lang, {})[token] = i
+        return tables
+
+    def tok(tables: dict[str, dict[str, int]], lang: pd.Series, line: pd.Series) -> pd.Series:
+        return pd.Series([[] if t == "" else [tables[v].get(w, UNK_ID) for w in t.split(" ")]
+                          for v, t in zip(lang, line, strict=True)])
+
+    udf = tokenize_with_artifact(path, load, tok)
+    d = with_vocab_langs(tb.devtest(spark, sf_dir).filter(F.col("line") != ""), m.vocab, "all", m.info)
+    out = d.select("vocab_lang", "lang", "doc_id", "line_no", udf("vocab_lang", "line").alias("ids"))
+    return finish(out.select("vocab_lang", "lang", "doc_id", "line_no", F.array_join("ids", ",").alias("ids"),
                              F.size("ids").cast("long").alias("n_tokens")))
 
 
@@ -265,7 +273,7 @@ WITH prompts AS (
   SELECT *, coalesce(lag(token_id) OVER (PARTITION BY vocab_lang, item_id, opt ORDER BY pos), 2) AS prev
   FROM enc
 )
-SELECT x.vocab_lang, x.item_id, x.correct, x.opt, sum({O.loss_expr('b.n', 'c.n_prev')}) AS loss
+SELECT x.vocab_lang, x.item_id, x.correct, x.opt, sum({O.whole_loss('b.n', 'c.n_prev')}) AS loss
 FROM lab x
 LEFT JOIN lm b ON b.lang = x.vocab_lang AND b.prev = x.prev AND b.tok = x.token_id
 LEFT JOIN lm_ctx c ON c.lang = x.vocab_lang AND c.prev = x.prev
@@ -291,7 +299,7 @@ def mcq_items(spark, sf_dir):
 @register("mcq_accuracy", O.with_ctes(["mcq_scored"], """
 SELECT vocab_lang, round(avg(CASE WHEN opt + 1 = correct THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
        CAST(count(*) AS BIGINT) AS n_items
-FROM (SELECT *, row_number() OVER (PARTITION BY vocab_lang, item_id ORDER BY round(loss, 9), opt) AS rk
+FROM (SELECT *, row_number() OVER (PARTITION BY vocab_lang, item_id ORDER BY loss, opt) AS rk
       FROM mcq_scored) WHERE rk = 1
 GROUP BY vocab_lang"""))
 def mcq_accuracy(spark, sf_dir):
@@ -321,7 +329,7 @@ WITH sides AS (
                                          ORDER BY pos), 2) AS prev FROM enc
 )
 SELECT x.vocab_lang, x.lang, x.doc_id, x.line_no, x.side,
-       sum({O.loss_expr('b.n', 'c.n_prev')}) AS nll, count(*) AS ntok
+       sum({O.whole_loss('b.n', 'c.n_prev')}) AS nll, count(*) AS ntok
 FROM lab x
 LEFT JOIN lm b ON b.lang = x.vocab_lang AND b.prev = x.prev AND b.tok = x.token_id
 LEFT JOIN lm_ctx c ON c.lang = x.vocab_lang AND c.prev = x.prev
@@ -329,10 +337,11 @@ GROUP BY x.vocab_lang, x.lang, x.doc_id, x.line_no, x.side""")
 
 
 @register("minimal_pairs", O.with_ctes(["min_pairs"], """
-SELECT lang, doc_id, CAST(line_no AS BIGINT) AS line_no, sen, wrong_sen FROM min_pairs"""))
+SELECT lang, doc_id, CAST(line_no AS BIGINT) AS line_no, sen, wrong_sen FROM min_pairs
+WHERE lang <> (SELECT min(lang) FROM documents)"""))
 def minimal_pairs(spark, sf_dir):
-    """SRC-5: minimal pairs (correct sentence, words reversed), of the run's languages."""
-    return finish(read_min_pairs(tb.min_pairs(spark, sf_dir), *tb.lang_list(spark, sf_dir)))
+    """SRC-5: minimal pairs (correct sentence, words reversed) of a run's languages: all but the first."""
+    return finish(read_min_pairs(tb.min_pairs(spark, sf_dir), *tb.lang_list(spark, sf_dir)[1:]))
 
 
 @register("minimal_pair_accuracy", O.with_ctes(["mp_sides"], f"""
@@ -343,8 +352,7 @@ def minimal_pairs(spark, sf_dir):
          max(ntok) >= {tb.MIN_PAIR_MAX_LEN} AS over
   FROM mp_sides GROUP BY vocab_lang, lang, doc_id, line_no)
 SELECT vocab_lang, lang,
-       round(avg(CASE WHEN NOT over AND wrong_nll - sen_nll > 1e-9 * greatest(1.0, abs(sen_nll))
-                      THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       round(avg(CASE WHEN NOT over AND wrong_nll - sen_nll > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
        CAST(count(*) AS BIGINT) AS n_pairs,
        CAST(sum(CASE WHEN over THEN 1 ELSE 0 END) AS BIGINT) AS n_over
 FROM pp GROUP BY vocab_lang, lang"""))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from transvoc import oracle as O
 from transvoc import testbed as tb
 from transvoc.catalog import finish, register
+from transvoc.operators.packing import pack_jobs, pack_segments
+from transvoc.operators.tokenize import encode
 from transvoc.plans import experiment as X
-from transvoc.session import scratch_path
+from transvoc.session import cut_lineage, scratch_path
 from transvoc.sources.sinks import write_manifest
 
 REGIME_OF = {False: ["no-finetuning"], True: ["mono-finetuning", "mixed-finetuning"]}
@@ -102,6 +104,65 @@ def routed_lines(spark, sf_dir):
                               F.md5("line").alias("line_md5")))
 
 
+_B = tb.PACK_LEN - 1
+# The vocabulary of a job's model: the source's for its base, else the target's.
+_VOCAB_OF = "CASE kind WHEN 'transfer' THEN split_part(model_spec, '-', 2) ELSE regexp_extract(model_spec, '/([^/_]+)_', 1) END"
+
+
+@register("packed_jobs", O.with_ctes(["ft_plan", "sampled_share", "vocab"], f"""
+, files AS (
+  SELECT 'data/' || split || '/' || lower(lang || '.txt') AS file, doc_id, line_no, {O.words('line')} AS ws FROM sampled_share),
+jf AS (
+  SELECT regime, src_lang, out, {_VOCAB_OF} AS vocab_lang, 'train' AS split, unnest(train) AS file,
+         unnest(range(len(train))) AS file_ord FROM ft_plan
+  UNION ALL
+  SELECT regime, src_lang, out, {_VOCAB_OF}, 'valid', unnest(valid), unnest(range(len(valid))) FROM ft_plan),
+lines AS (
+  SELECT jf.regime, jf.src_lang, jf.out, jf.split, jf.vocab_lang, f.ws,
+         coalesce(sum(len(f.ws) + 1) OVER (PARTITION BY jf.regime, jf.out, jf.split ORDER BY jf.file_ord, f.doc_id, f.line_no
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM jf JOIN files f ON f.file = jf.file),
+words AS (
+  SELECT regime, src_lang, out, split, vocab_lang, start + len(ws) AS idx, NULL AS word FROM lines
+  UNION ALL
+  SELECT regime, src_lang, out, split, vocab_lang, start + unnest(range(len(ws))), unnest(ws) FROM lines),
+ids AS (
+  SELECT w.*, CASE WHEN word IS NULL THEN 3 ELSE coalesce(v.id, 1) END AS id
+  FROM words w LEFT JOIN vocab v ON v.lang = w.vocab_lang AND v.token = w.word)
+SELECT regime, src_lang, out, split, CAST(idx // {_B} AS BIGINT) AS seg_no, CAST(count(*) AS BIGINT) AS n_real,
+       md5(array_to_string(list_concat([2], list(id ORDER BY idx), list_transform(range({_B} - count(*)), lambda x: 0)), ',')) AS ids_md5
+FROM ids GROUP BY regime, src_lang, out, split, idx // {_B}"""))
+def packed_jobs(spark, sf_dir):
+    """SET-2 + JOB-3: the train and valid segments of every fine-tuning job, in the ids of its model's vocabulary.
+    Files are encoded and packed once for each vocabulary; jobs are ranges of these streams."""
+    m = tb.models(spark, sf_dir)
+    vocab_of = F.when(F.col("kind") == "transfer", F.split_part("model_spec", F.lit("-"), F.lit(2))).otherwise(
+        F.regexp_extract("model_spec", "/([^/_]+)_", 1))
+    jobs = cut_lineage(_ft_plan(spark, sf_dir).withColumn("vocab_lang", vocab_of), "jobs")
+    text = tb.split_files(spark, sf_dir).withColumn("lang", F.lit(""))
+    uses = (jobs.select("vocab_lang", F.explode(F.concat("train", "valid")).alias("file")).distinct())  # files x vocabularies
+    enc = encode(text.join(F.broadcast(uses), "file"), m.vocab, "word", "same", ["file", "doc_id", "line_no"],
+                 known_entries=m.known)
+    chunks = cut_lineage(pack_segments(enc, tb.PACK_LEN, ["file", "vocab_lang"], docs_per_block=tb.DOCS_PER_BLOCK)
+                         .select("file", "vocab_lang", "seg_no", "input_ids", "n_real"), "job_chunks")
+    job, both = ["regime", "src_lang", "out"], None
+    for split in ("train", "valid"):
+        rows = pack_jobs(jobs, chunks, tb.PACK_LEN, job, split).withColumn("split", F.lit(split))
+        both = rows if both is None else both.unionByName(rows)
+    return finish(both.select(*job, "split", "seg_no", "n_real", F.md5(F.array_join("input_ids", ",")).alias("ids_md5")))
+
+
+@register("source_jobs", O.with_ctes(["tplan", "existing"], f"""
+SELECT src_lang, tgt_lang, method, model, finetuned FROM (
+  SELECT *, false AS finetuned FROM tplan
+  UNION ALL SELECT * REPLACE (model || '_finetuned' AS model), true FROM tplan)
+WHERE src_lang = '{tb.EXISTING_SRC}'"""))
+def source_jobs(spark, sf_dir):
+    """FLT-1: the manifest rows of one source language."""
+    rows = X.for_source(tb.manifest(spark, sf_dir), tb.EXISTING_SRC)
+    return finish(rows.select("src_lang", "tgt_lang", "method", "model", "finetuned"))
+
+
 @register("resolve_base", O.with_ctes(["resolved"], """
 SELECT regime, model, finetuned, base_model FROM resolved"""))
 def resolve_base(spark, sf_dir):

@@ -380,3 +380,24 @@ def report_best_cell(spark, sf_dir):
     med = R.language_medians(tb.metrics(spark, sf_dir), T, langs=tb.lang_list(spark, sf_dir))
     cols = [c for c in med.columns if c not in ("label", "regime", "method")]
     return finish(R.best_cell(R.rank_report(R.with_labels(med)), "label", sorted(cols), order="rank"))
+
+
+def _shown(x: str) -> str:
+    return f"printf('%.3f', round({x} + sign({x}) * 1e-9, 3))"
+
+
+@register("report_text", TARGET_SQL + f"""
+, shown AS (
+  SELECT label, coalesce({_shown('tgt_norm_ppl_median')} || ' (std=' || {_shown('tgt_norm_ppl_std')} || ')', 'N/A') AS norm_ppl,
+         coalesce({_shown('tgt_mbp_median')} || ' (std=' || {_shown('tgt_mbp_std')} || ')', 'N/A') AS mbp,
+         coalesce({_shown('bytes_per_token')}, 'N/A') AS bpt
+  FROM tgt_table)
+SELECT *, TRY_CAST(split_part(norm_ppl, ' ', 1) AS DOUBLE) AS norm_ppl_number, TRY_CAST(split_part(mbp, ' ', 1) AS DOUBLE) AS mbp_number,
+       TRY_CAST(bpt AS DOUBLE) AS bpt_number FROM shown""")
+def report_text(spark, sf_dir):
+    """FN-7 / FN-9: the target table as it is shown, ``median (std=..)`` or ``N/A``, and the numbers read back from the
+    shown cells."""
+    t = R.report_target(tb.metrics(spark, sf_dir), T).select(
+        "label", R.format_stat("tgt_norm_ppl_median", "tgt_norm_ppl_std").alias("norm_ppl"),
+        R.format_stat("tgt_mbp_median", "tgt_mbp_std").alias("mbp"), R.format_stat("bytes_per_token").alias("bpt"))
+    return finish(t.select("*", *(R.to_number(c).alias(f"{c}_number") for c in ("norm_ppl", "mbp", "bpt"))))
