@@ -116,6 +116,16 @@ def for_source(manifest: DataFrame, lang: str) -> DataFrame:
     return manifest.filter(F.col("src_lang") == lang)
 
 
+def tuned_manifests(jobs: DataFrame, found: DataFrame) -> DataFrame:
+    """SNK-2: the manifest of every job's output: that of the model it starts from with ``finetuned`` set, only where
+    that model has one (a base model has none).  ``found`` is a scanned manifest tree."""
+    fields = [f.name for f in MANIFEST_SCHEMA.fields if f.name != "finetuned"]
+    start = found.select(F.col("model").alias("model_spec"), *(F.col(c).alias(f"m_{c}") for c in fields))
+    return jobs.select("regime", "out", "model_spec").join(start, "model_spec").select(
+        F.concat_ws("/", "regime", "out").alias("model"), *(F.col(f"m_{c}").alias(c) for c in fields),
+        F.lit(True).alias("finetuned"))
+
+
 def finetune_plan(manifest: DataFrame, existing: DataFrame | None = None,
                   overwrite: bool = False,
                   regimes: Sequence[tuple[str, bool]] = (("mono-finetuning", False),

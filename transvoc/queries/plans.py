@@ -11,6 +11,7 @@ from transvoc.operators.packing import pack_jobs, pack_segments
 from transvoc.operators.tokenize import encode
 from transvoc.plans import experiment as X
 from transvoc.session import cut_lineage, scratch_path
+from transvoc.sources.manifest_tree import write_manifest_tree
 from transvoc.sources.sinks import write_manifest
 
 REGIME_OF = {False: ["no-finetuning"], True: ["mono-finetuning", "mixed-finetuning"]}
@@ -53,6 +54,26 @@ def _ft_plan(spark, sf_dir, skip_existing=True):
     return X.finetune_plan(tb.manifest(spark, sf_dir), existing, overwrite=False)
 
 
+@register("manifest_tree", O.with_ctes(["ft_plan", "manifest"], """
+SELECT model, src_lang, tgt_lang, src_model, tgt_model, method, finetuned, '' AS folder FROM manifest WHERE NOT finetuned
+UNION ALL
+SELECT j.out, m.src_lang, m.tgt_lang, m.src_model, m.tgt_model, m.method, true, j.regime
+FROM ft_plan j JOIN manifest m ON m.model = j.model_spec WHERE NOT m.finetuned"""))
+def manifest_tree(spark, sf_dir):
+    """SNK-2 + SRC-7 in the original layout: manifests written as ``<model>/transfer_info.json``, found again,
+    and written for the fine-tuned models of both regimes, flipped, where the model they start from has one."""
+    root = scratch_path(spark, "manifest_tree")
+    write_manifest_tree(tb.manifest(spark, sf_dir).filter(~F.col("finetuned")), f"{root}/models")
+    found = X.read_manifest(spark, f"{root}/models", "folders")
+    tuned = X.tuned_manifests(_ft_plan(spark, sf_dir), found)
+    write_manifest_tree(tuned, f"{root}/tuned")
+    both = found.withColumn("folder", F.lit(""))
+    for regime in REGIME_OF[True]:
+        back = X.read_manifest(spark, f"{root}/tuned/{regime}", "folders")
+        both = both.unionByName(back.withColumn("folder", F.lit(regime)))
+    return finish(both.select(*MANIFEST_COLS, "folder"))
+
+
 @register("finetune_plan", O.with_ctes(["ft_plan"], """
 SELECT regime, src_lang, kind, model_spec, out, array_to_string(train, ',') AS train,
        array_to_string(valid, ',') AS valid FROM ft_plan"""))
@@ -117,15 +138,15 @@ jf AS (
          unnest(range(len(train))) AS file_ord FROM ft_plan
   UNION ALL
   SELECT regime, src_lang, out, {_VOCAB_OF}, 'valid', unnest(valid), unnest(range(len(valid))) FROM ft_plan),
-lines AS (
+job_lines AS (
   SELECT jf.regime, jf.src_lang, jf.out, jf.split, jf.vocab_lang, f.ws,
          coalesce(sum(len(f.ws) + 1) OVER (PARTITION BY jf.regime, jf.out, jf.split ORDER BY jf.file_ord, f.doc_id, f.line_no
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM jf JOIN files f ON f.file = jf.file),
 words AS (
-  SELECT regime, src_lang, out, split, vocab_lang, start + len(ws) AS idx, NULL AS word FROM lines
+  SELECT regime, src_lang, out, split, vocab_lang, start + len(ws) AS idx, NULL AS word FROM job_lines
   UNION ALL
-  SELECT regime, src_lang, out, split, vocab_lang, start + unnest(range(len(ws))), unnest(ws) FROM lines),
+  SELECT regime, src_lang, out, split, vocab_lang, start + unnest(range(len(ws))), unnest(ws) FROM job_lines),
 ids AS (
   SELECT w.*, CASE WHEN word IS NULL THEN 3 ELSE coalesce(v.id, 1) END AS id
   FROM words w LEFT JOIN vocab v ON v.lang = w.vocab_lang AND v.token = w.word)
