@@ -162,7 +162,7 @@ SELECT regime, src_lang, tgt_lang, label, {", ".join(f"{_r6(m)} AS {m}" for m in
 def pair_metrics(spark, sf_dir):
     """JOB-11 / JN-4 / PRJ-3: the 13 metrics of every ordered pair, label and regime: source and target baseline and
     the source model carried over by FVT and by OMP, untuned and tuned on the pair's text."""
-    return finish(tb.written_matrix(spark, sf_dir))
+    return finish(tb.written_matrix(spark, sf_dir, again=True))
 
 
 # ---------------------------------------------------------------- metrics documents

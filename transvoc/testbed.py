@@ -316,8 +316,8 @@ def pair_matrix(spark, sf_dir) -> DataFrame:
 _MATRIX: dict[tuple, str] = {}
 
 
-def written_matrix(spark, sf_dir) -> DataFrame:
-    """:func:`pair_matrix`, written once for the session and the input files as they are now."""
+def written_matrix(spark, sf_dir, again: bool = False) -> DataFrame:
+    """:func:`pair_matrix`, written once for the session and the input files as they are now (or ``again``)."""
     sc = spark.sparkContext
     path_of = sc._jvm.org.apache.hadoop.fs.Path
     files = []
@@ -329,7 +329,7 @@ def written_matrix(spark, sf_dir) -> DataFrame:
                   for f in (fs.listStatus(folder) if status.isDirectory() else [status])]
     key = (sc.applicationId, tuple(sorted(files)))
     kept = _MATRIX.get(key)
-    if kept is None or not path_of(kept).getFileSystem(sc._jsc.hadoopConfiguration()).exists(path_of(kept)):
+    if again or kept is None or not path_of(kept).getFileSystem(sc._jsc.hadoopConfiguration()).exists(path_of(kept)):
         kept = scratch_path(spark, "pair_matrix")
         pair_matrix(spark, sf_dir).write.parquet(kept)
         _MATRIX[key] = kept
