@@ -59,3 +59,26 @@ def test_matches_definition(spark, lines, L):
     # concatenating the unpadded bodies gives the stream back
     body = [t for ids, mask in run(spark, lines, L) for t, m in zip(ids[1:], mask[1:]) if m]
     assert body == [t for ids in lines for t in (*ids, SEP)]
+
+
+def test_jobs_are_their_files_one_after_the_other(spark):
+    import random
+
+    from transvoc.operators.packing import pack_jobs
+    r = random.Random(4)
+    files = {f"f{i}": [[r.randint(4, 9) for _ in range(r.randint(0, 7))] for _ in range(n)]
+             for i, n in enumerate((9, 1, 14, 4))}
+    enc = spark.createDataFrame(
+        [(f, v, 0, i, [x * 10 * (v == "b") + x for x in ids]) for f, rows in files.items() for v in "ab"
+         for i, ids in enumerate(rows)], "file string, vocab_lang string, doc_id long, line_no int, ids array<int>")
+    L = 6
+    chunks = pack_segments(enc, L, ["file", "vocab_lang"])
+    jobs = [("j1", "a", ["f0"]), ("j2", "b", ["f0", "f2"]), ("j3", "a", ["f2", "f1", "f3"]), ("j4", "b", ["f1", "f0"])]
+    got = {}
+    out = pack_jobs(spark.createDataFrame(jobs, "job string, vocab_lang string, train array<string>"), chunks, L, ["job"])
+    for row in out.collect():
+        got.setdefault(row.job, {})[row.seg_no] = (list(row.input_ids), row.n_real)
+    for job, v, names in jobs:
+        stream = [t for f in names for ids in files[f] for t in [*(x * 10 * (v == "b") + x for x in ids), 3]]
+        cut = [stream[i:i + L - 1] for i in range(0, len(stream), L - 1)]
+        assert got[job] == {i: ([2, *c, *[0] * (L - 1 - len(c))], len(c)) for i, c in enumerate(cut)}

@@ -80,3 +80,36 @@ def test_existing_outputs_count_in_their_own_regime(spark):
     assert X.resolve_base(manifest, every.select("regime", "out"), regimes).count() == 4 + 2 * 4
     with pytest.raises(FileNotFoundError, match="2 missing"):
         X.resolve_base(manifest, mono, regimes)      # the mixed siblings are not there
+
+
+def test_manifest_tree_round_trip(spark, tmp_dir):
+    import os
+
+    from transvoc.sources.manifest_tree import FILE_NAME, write_manifest_tree
+    langs = spark.createDataFrame([("aa",), ("bb",)], "lang string")
+    manifest = X.manifest_rows(X.transfer_plan(X.language_pairs(X.language_mapping(langs)))).filter(~F.col("finetuned"))
+    write_manifest_tree(manifest.repartition(3), f"{tmp_dir}/models")
+    assert sorted(os.listdir(f"{tmp_dir}/models")) == ["aa-bb-fvt", "aa-bb-omp", "bb-aa-fvt", "bb-aa-omp"]
+    assert os.listdir(f"{tmp_dir}/models/aa-bb-fvt") == [FILE_NAME]
+    os.makedirs(f"{tmp_dir}/models/without")  # no manifest: no row
+    back = X.read_manifest(spark, f"{tmp_dir}/models", "folders")
+    key = lambda df: sorted(map(str, df.select(*sorted(manifest.columns)).collect()))
+    assert key(back) == key(manifest)
+    jobs = spark.createDataFrame([("mono", "x_finetuned", "aa-bb-fvt"), ("mono", "base_finetuned", "models/aa_100mb")],
+                                 "regime string, out string, model_spec string")
+    tuned = X.tuned_manifests(jobs, back).collect()
+    assert [(r.model, r.finetuned, r.src_lang) for r in tuned] == [("mono/x_finetuned", True, "aa")]
+    write_manifest_tree(manifest.limit(0), f"{tmp_dir}/none")
+    assert os.listdir(f"{tmp_dir}/none") == []
+
+
+def test_failed_manifest_write_leaves_nothing(spark, tmp_dir):
+    import os
+
+    from transvoc.sources.manifest_tree import ManifestWriter
+    from pyspark.sql import Row
+    writer = ManifestWriter(f"{tmp_dir}/t")
+    message = writer.write(iter([Row(model="m", src_lang="a")]))
+    assert os.listdir(f"{tmp_dir}/t") == [writer.staging]
+    writer.abort([message, None])
+    assert os.listdir(f"{tmp_dir}/t") == []

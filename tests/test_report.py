@@ -67,3 +67,8 @@ def test_nest_then_flatten_is_identity(spark):
     assert sorted(map(tuple, back.select(*key, *R.METRICS).collect())) == \
         sorted(map(tuple, df.select(*key, *R.METRICS).collect()))
     assert back.filter(R.is_evaluated()).count() == 2
+
+
+def test_shown_cells_to_numbers(spark):
+    df = spark.createDataFrame([("1.250 (std=0.100)",), ("-3",), ("N/A",), (None,), ("x 1",), (" 2.5",)], "t string")
+    assert [r[0] for r in df.select(R.to_number("t")).collect()] == [1.25, -3.0, None, None, None, 2.5]
