@@ -7,6 +7,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from transvoc.llm import queries, warc
 
@@ -110,3 +111,35 @@ def test_edges(spark):
     assert warc.derive(warc.as_responses(pages.limit(0))).collect() == []
     others = warc.as_responses(pages).withColumn("warc_type", warc.F.lit("request"))
     assert warc.derive(others).collect() == []
+
+
+def test_ids_follow_the_content(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>one</p>"), (1, "http://a/", "<p>two</p>"), (None, None, "<p>three</p>"),
+                                   (None, None, "<p>four</p>")], "page_id long, url string, html string")
+    responses = warc.as_responses(pages)
+    assert responses.select("record_id").distinct().count() == 4
+    ids = [r.record_id for r in warc.derive(responses).collect()]
+    assert len(ids) == len(set(ids)) == 8
+    bare = warc.derive(responses.withColumn("record_id", F.lit(None).cast("string"))).collect()
+    assert len({r.record_id for r in bare}) == 8 and all(r.refers_to is None for r in bare)
+
+
+@pytest.mark.parametrize("meta", ['<meta charset="windows-1252">', "<META http-equiv=Content-Type content='text/html; charset=ISO-8859-1'>"])
+def test_the_page_names_its_character_set(meta):
+    body = f"<html><head>{meta}<title>x</title></head><p>Größe é".encode("latin-1")
+    assert "Größe é" in warc.payload_text("text/html", body)
+    assert "Größe" not in warc.payload_text("text/html; charset=utf-8", body)   # the header comes first
+    assert "Größe" not in warc.payload_text("text/html", b" " * 2000 + body)
+
+
+def test_files_are_read_in_batches(spark, tmp_dir, monkeypatch):
+    import gzip
+    records = [f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:{i}>\r\nContent-Length: {n}\r\n\r\n".encode()
+               + b"x" * n + b"\r\n\r\n" for i, n in enumerate((0, 5, 70, 3, 90))]
+    with open(f"{tmp_dir}/a.warc.gz", "wb") as f:
+        f.write(b"".join(map(gzip.compress, records)))
+    with open(f"{tmp_dir}/b.warc", "wb") as f:
+        f.write(b"".join(records))
+    monkeypatch.setattr(warc, "READ_BYTES", 50)
+    got = sorted((r.record_id, len(r.block)) for r in warc.read_warc(spark, f"{tmp_dir}/*").collect())
+    assert got == sorted([(f"<urn:x:{i}>", n) for i, n in enumerate((0, 5, 70, 3, 90))] * 2)

@@ -6,19 +6,22 @@ the payload is text, a ``conversion`` record with the plain text.  Both name the
 source in ``WARC-Refers-To`` (and its URI and date), carry digests of their own,
 and the metadata names the conversion and every header and digest of the source,
 so each step can be traced and checked.  Record ids are UUIDs of version 5 of the
-source's id and the record type: a second run makes the same records.
+source's id (without one: its URI, date and digest) and the record type: a second run
+makes the same records.
 
 A record is one row, and derivatives are made where the row is read: no shuffle,
 and memory of one record.  :func:`write_warc` writes rows as WARC files with
 Spark's text writer (a record ends with two line ends, which is the line
-separator given to it); :func:`read_warc` reads such files, one file a task.
+separator given to it); :func:`read_warc` reads such files record by record, one file a task.
 
 Defined results: a null or empty payload gives an empty conversion; null headers
 are left out.  A payload that is compressed or chunked by its HTTP headers is
 undone first; one that cannot be undone, or is not text, gives only metadata,
-which says so.  Unknown character sets are read as UTF-8 with replacement.
-Records of other types make nothing.  Repeated rows make repeated records.  Extra
-columns are ignored but for those named in ``keep``.
+which says so.  The character set is that of the HTTP header, else of the page's
+``<meta>``; unknown ones are read as UTF-8 with replacement.  Very long payloads are
+converted whole.  Records of other types make nothing.  Repeated rows make repeated records; rows of
+equal id and URL with other content have records of their own.  An empty table makes no records.
+Extra columns are ignored but for those named in ``keep``.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -40,6 +45,8 @@ from pyspark.sql import functions as F
 from transvoc.llm.html_text import lines_of
 
 VERSION = "WARC/1.1"
+#: Bytes of records that a reading task hands over at a time.
+READ_BYTES = 32_000_000
 END = "\r\n"
 RECORD = ("record_id string, warc_type string, refers_to string, target_uri string, date string, "
           "content_type string, block_digest string, payload_digest string, header string, block string")
@@ -53,7 +60,7 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def derived_id(source: str | None, kind: str) -> str:
+def derived_id(source: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{source}#{kind}')}>"
 
 
@@ -108,14 +115,22 @@ def decoded_body(headers: dict[str, str], body: bytes) -> bytes | None:
     return body
 
 
+#: Where a page names its character set itself, and in how many bytes.
+META_CHARSET = re.compile(rb"""<meta\b[^>]*?\bcharset\s*=\s*["']?\s*([\w.:-]+)""", re.I)
+META_BYTES = 1024
+
+
 def payload_text(content_type: str, body: bytes) -> str | None:
     """The payload as a string, or None if its type isn't text."""
     kind = content_type.split(";")[0].strip().lower()
     if kind and not kind.startswith("text/") and kind not in ("application/xhtml+xml", "application/xml", "application/json"):
         return None
     found = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", content_type, re.I)
+    named = found[1] if found else "utf-8"
+    if not found and ("html" in kind or not kind) and (meta := META_CHARSET.search(body[:META_BYTES])):
+        named = meta[1].decode("ascii", "replace")
     try:
-        return body.decode(found[1] if found else "utf-8", "replace")
+        return body.decode(named, "replace")
     except LookupError:
         return body.decode("utf-8", "replace")
 
@@ -161,7 +176,7 @@ def derivatives(record: dict) -> list[dict]:
 
     def make(kind: str, content: str, mime: str) -> dict:
         data = content.encode("utf-8", "replace")
-        own, summed = derived_id(source, kind), digest(data)
+        own, summed = derived_id(source or f"{uri} {date} {digest(block)}", kind), digest(data)
         fields = [("WARC-Type", kind), ("WARC-Record-ID", own), *base, ("WARC-Block-Digest", summed),
                   ("WARC-Payload-Digest", summed), ("Content-Type", mime), ("Content-Length", str(len(data)))]
         return {"record_id": own, "warc_type": kind, "refers_to": source, "target_uri": uri, "date": date,
@@ -224,7 +239,7 @@ def as_responses(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
                     F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     block = F.concat(F.encode(head, "utf-8"), body)
-    h = F.md5(F.concat_ws("|", F.col(page_id).cast("string"), F.col(url)))
+    h = F.md5(F.concat_ws("|", F.col(page_id).cast("string"), F.col(url), F.sha2(block, 256)))
     record_id = F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"),
                          F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"),
                          F.substring(h, 21, 12), F.lit(">"))
@@ -242,32 +257,47 @@ def write_warc(records: DataFrame, path: str) -> None:
      .write.option("lineSep", END + END).text(path))
 
 
-def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of one uncompressed WARC file."""
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        gap = data.index(b"\r\n\r\n", start)
-        fields = named_fields(data[start:gap].decode("utf-8", "replace").partition("\n")[2])
+def parse_records(stream: BinaryIO) -> Iterator[dict]:
+    """The records of one uncompressed WARC file, one at a time."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        head = []
+        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+            head.append(line)
+        fields = named_fields(b"".join(head).decode("utf-8", "replace"))
         by_name = {n.lower(): v for n, v in fields}
-        size = int(by_name.get("content-length", "0"))
         yield {"record_id": by_name.get("warc-record-id"), "warc_type": by_name.get("warc-type"),
                "target_uri": by_name.get("warc-target-uri"), "date": by_name.get("warc-date"),
-               "headers": END.join(f"{n}: {v}" for n, v in fields), "block": data[gap + 4:gap + 4 + size]}
-        at = gap + 4 + size
+               "headers": END.join(f"{n}: {v}" for n, v in fields),
+               "block": stream.read(int(by_name.get("content-length", "0")))}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files (plain or gzip) that match ``path``."""
+    """Records of the WARC files (plain or gzip, of any number of members) that match ``path``.
+
+    A task holds a file as it is stored and ``READ_BYTES`` of its records."""
     names = ["record_id", "warc_type", "target_uri", "date", "headers"]
 
+    def packed(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array([r[n] for r in rows], pa.string()) for n in names),
+             pa.array([r["block"] for r in rows], pa.binary())], names=[*names, "block"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                rows = list(parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([r[n] for r in rows], pa.string()) for n in names),
-                     pa.array([r["block"] for r in rows], pa.binary())], names=[*names, "block"])
+                stored = io.BytesIO(content.as_buffer())
+                zipped = stored.getbuffer()[:2] == b"\x1f\x8b"
+                rows, held = [], 0
+                for record in parse_records(io.BufferedReader(gzip.GzipFile(fileobj=stored)) if zipped else stored):
+                    rows.append(record)
+                    held += len(record["block"])
+                    if held >= READ_BYTES:
+                        yield packed(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield packed(rows)
 
     return (spark.read.format("binaryFile").load(path).select("content")
             .mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", block binary"))
