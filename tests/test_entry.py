@@ -22,4 +22,4 @@ def test_oracles_match_queries():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     own = set(catalog.QUERIES)
-    assert own - set(o) == {"omp_k8", "omp_k64"}
+    assert own - set(o) == set()
