@@ -61,14 +61,14 @@ def test_random_against_sequential(spark, seed):
 
 def test_prefix_sum_independent_of_blocks_and_partitions(spark):
     rnd = random.Random(7)
-    rows = [("a" if i % 3 else "b", i, 0, rnd.randint(0, 100)) for i in range(300)]
+    rows = [("a" if i % 3 else "b", i * i, 0, rnd.randint(0, 100)) for i in range(300)]  # ids of any density
     df = spark.createDataFrame(rows, "lang string, doc_id long, line_no int, v long")
     expect, acc = {}, {}
     for lang, d, _, v in rows:
         expect[(lang, d)] = acc.get(lang, 0)
         acc[lang] = acc.get(lang, 0) + v
-    for block, parts, fanout in ((1, 1, None), (7, 3, None), (1000, 5, None), (3, 4, 5), (1, 2, 2)):
+    for block, parts in ((1, 1), (7, 3), (1000, 5), (10**6, 2)):
         out = exclusive_prefix_sum(df.repartition(parts), ["lang"], doc_block("doc_id", block),
-                                   ["doc_id", "line_no"], "v", block_fanout=fanout)
+                                   ["doc_id", "line_no"], "v")
         got = {(r["lang"], r["doc_id"]): r["before"] for r in out.collect()}
         assert got == expect

@@ -7,7 +7,9 @@ holds a third of the corpus.  The two-level scheme used here:
 1. every row carries a ``block`` that is monotone in the order key
    (``doc_id div B`` for documents, the file split for text files);
 2. block totals: ``groupBy(keys, block).sum`` (partial aggregation, tiny output);
-3. block offsets: exclusive running sum over the block table, one row per block;
+3. block offsets: the block table, one row per block, is written in range partitions
+   with their own totals; a partition's offset is a sum over a row per partition,
+   a block's a running sum inside its partition;
 4. in-block offsets: exclusive running sum ``partitionBy(keys, block)``, so one
    task never holds more than one block;
 5. join (3) onto (4) on ``(keys, block)`` - the big side is already clustered on
@@ -24,63 +26,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from transvoc.session import cut_lineage
 
-def block_offsets(df: DataFrame, keys: Sequence[str], block: str | Column, value: str,
-                  block_fanout: int | None = None) -> DataFrame:
-    """The small block table ``(keys..., __block0, __btotal, __boff)``: one row
+
+def _offsets(totals: DataFrame, keys: Sequence[str], block: str) -> DataFrame:
+    """``(keys..., block, __btotal, __boff)`` of a table of block totals: the totals are written in range partitions
+    of keys and block, the partitions' sums (a row a group and partition) give where each begins, and a
+    task adds up the blocks of one partition only."""
+    n = int(totals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    dealt = cut_lineage(totals.repartitionByRange(n, *keys, block).withColumn("__part", F.spark_partition_id()), "blocks")
+    parts = dealt.groupBy(*keys, "__part").agg(F.sum("__btotal").alias("__psum")).withColumn(
+        "__pbefore", F.coalesce(F.sum("__psum").over(before(Window.partitionBy(*keys).orderBy("__part"))), F.lit(0)))
+    within = F.coalesce(F.sum("__btotal").over(before(Window.partitionBy(*keys, "__part").orderBy(block))), F.lit(0))
+    return (dealt.withColumn("__within", within).join(F.broadcast(parts.drop("__psum")), [*keys, "__part"])
+            .select(*keys, block, "__btotal", (F.col("__pbefore") + F.col("__within")).alias("__boff")))
+
+
+def block_offsets(df: DataFrame, keys: Sequence[str], block: str | Column, value: str) -> DataFrame:
+    """The block table ``(keys..., __block0, __btotal, __boff)``: one row
     per block with the sum of ``value`` over all earlier blocks of the group.
     Callers may write it once and pass it to :func:`exclusive_prefix_sum`."""
     keys = list(keys)
     b = df.withColumn("__block0", block if isinstance(block, Column) else F.col(block))
-    totals = b.groupBy(*keys, "__block0").agg(F.sum(value).alias("__btotal"))
-    if block_fanout:
-        up = exclusive_prefix_sum(totals, keys,
-                                  F.expr(f"__block0 div {int(block_fanout)}"),
-                                  ["__block0"], "__btotal", out="__up", _depth=1)
-        return up.withColumnRenamed("__up", "__boff")
-    w = (Window.partitionBy(*keys).orderBy("__block0")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return totals.withColumn("__boff", F.coalesce(F.sum("__btotal").over(w), F.lit(0)))
+    return _offsets(b.groupBy(*keys, "__block0").agg(F.sum(value).alias("__btotal")), keys, "__block0")
 
 
 def exclusive_prefix_sum(df: DataFrame, keys: Sequence[str], block: str | Column,
                          order: Sequence[str], value: str, out: str = "before",
-                         block_fanout: int | None = None,
-                         _depth: int = 0, offsets: DataFrame | None = None) -> DataFrame:
+                         offsets: DataFrame | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over earlier rows of the same ``keys`` group.
 
     ``order`` must sort rows of one group in the intended order, and ``block``
-    must be non-decreasing along that order.  The block table has one row per
-    block; when even that is too long for one task per group (billions of
-    documents), ``block_fanout`` (numeric blocks only) computes the block
-    offsets with the same scheme one level up, on super-blocks of
-    ``block_fanout`` blocks.
+    must be non-decreasing along that order; blocks may be as many as the rows.
     """
     keys = list(keys)
-    blk = f"__block{_depth}"
-    df = df.withColumn(blk, block if isinstance(block, Column) else F.col(block))
-    totals = df.groupBy(*keys, blk).agg(F.sum(value).alias("__btotal"))
-    if offsets is not None:
-        # precomputed by block_offsets (depth 0): no second pass for totals
-        offsets = offsets.select(*keys, F.col("__block0").alias(blk), "__boff")
-    elif block_fanout:
-        up = f"__up{_depth}"
-        offsets = exclusive_prefix_sum(
-            totals, keys, F.expr(f"{blk} div {int(block_fanout)}"), [blk],
-            "__btotal", out=up, _depth=_depth + 1).select(*keys, blk, F.col(up).alias("__boff"))
-    else:
-        w_blocks = (Window.partitionBy(*keys).orderBy(blk)
-                    .rowsBetween(Window.unboundedPreceding, -1))
-        offsets = totals.select(
-            *keys, blk,
-            F.coalesce(F.sum("__btotal").over(w_blocks), F.lit(0)).alias("__boff"),
-        )
-    w_in = (Window.partitionBy(*keys, blk).orderBy(*order)
+    df = df.withColumn("__block0", block if isinstance(block, Column) else F.col(block))
+    if offsets is None:  # else computed by block_offsets: no second pass for totals
+        offsets = block_offsets(df, keys, "__block0", value)
+    w_in = (Window.partitionBy(*keys, "__block0").orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, -1))
     inner = df.withColumn("__inoff", F.coalesce(F.sum(value).over(w_in), F.lit(0)))
-    res = inner.join(offsets, on=[*keys, blk], how="inner")
+    res = inner.join(offsets.select(*keys, "__block0", "__boff"), on=[*keys, "__block0"], how="inner")
     res = res.withColumn(out, (F.col("__boff") + F.col("__inoff")).cast("long"))
-    return res.drop(blk, "__boff", "__inoff")
+    return res.drop("__block0", "__boff", "__inoff")
 
 
 def doc_block(doc_col: str = "doc_id", docs_per_block: int = 256) -> Column:

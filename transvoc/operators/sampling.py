@@ -31,7 +31,7 @@ def premiums(spark: SparkSession, mapping: Mapping[str, float]) -> DataFrame:
 
 def byte_budget_split(lines: DataFrame, premium: DataFrame, train_bytes: float = 1e7,
                       valid_bytes: float = 1e6, order: Sequence[str] = ("doc_id", "line_no"),
-                      docs_per_block: int = 256, block_fanout: int | None = None) -> DataFrame:
+                      docs_per_block: int = 256) -> DataFrame:
     """WIN-1/WIN-2: label each line ``train`` or ``valid``; other lines are dropped.
 
     ``lines`` needs ``lang``, the ``order`` columns (the first one, a document
@@ -49,7 +49,7 @@ def byte_budget_split(lines: DataFrame, premium: DataFrame, train_bytes: float =
     B = int(docs_per_block)
     df = lines.withColumn("bytes", byte_len("line"))
     blk = doc_block(order[0], B)
-    offs = cut_lineage(block_offsets(df, ["lang"], blk, "bytes", block_fanout), "sample_blocks")
+    offs = cut_lineage(block_offsets(df, ["lang"], blk, "bytes"), "sample_blocks")
     budgets = {r["lang"]: (float(r["factor"]) * float(train_bytes), float(r["factor"]) * float(valid_bytes))
                for r in premium.collect()}
     tb = df.sparkSession.createDataFrame([(k, v[0]) for k, v in budgets.items()],
