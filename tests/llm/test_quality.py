@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,39 +60,113 @@ def test_binomial_tail_of_many():
     assert 0 <= Q.binomial_tail(5000, 10**6, 0.0052) < 0.01
 
 
-def counts(stratum, good, bad, rule=0):
-    """Rows as holdout_counts gives them, from the numbers of cutoffs that rows are beyond."""
-    return ([(stratum, 1, rule, b, n) for b, n in Counter(good).items()]
-            + [(stratum, 0, rule, b, n) for b, n in Counter(bad).items()])
+def at(size, *beyond):
+    return np.bincount(beyond, minlength=size)
 
 
-RULE = (Q.Rule("r", "n_symbols", "n_words", (0.1, 0.2, 0.3)),)
+def test_path():
+    """The rule that catches more bad for the others it rejects comes first; a rule that catches none never."""
+    bad = [at(4, *[3] * 30 + [1] * 5 + [0] * 5), at(4, *[2] * 20 + [0] * 20), at(4, *[0] * 40)]
+    other = [at(4, *[3] * 10 + [0] * 90), at(4, *[1] * 50 + [0] * 50), at(4, *[2] * 50 + [0] * 50)]
+    assert Q.path(bad, other) == [(1, 1), (0, 2), (0, 0)]
+    # Without others a step costs the cutoffs that it passes.
+    assert Q.path(bad[:1], [at(4)]) == [(0, 2), (0, 0)]
+    assert Q.path([at(4)], [at(4)]) == []
 
 
-def test_safe_cutoffs():
-    rows = counts("x", [0] * 2000, [3] * 50 + [0] * 50)
-    (c,) = Q.safe_cutoffs(rows, RULE, risk=0.05, delta=0.05, loss=10)
-    assert (c.cutoff, c.good, c.good_rejected, c.bad_rejected) == (0.3, 2000, 0, 50)
-    # Too few good documents to be sure, none labelled, or nothing caught: no rule.
-    assert Q.safe_cutoffs(counts("x", [0] * 20, [3] * 50), RULE, risk=0.05, delta=0.05, loss=10) == []
-    assert Q.safe_cutoffs(counts("x", [], [3] * 50), RULE, risk=0.05, delta=0.05, loss=10) == []
-    assert Q.safe_cutoffs(counts("x", [0] * 2000, [0] * 50), RULE, risk=0.05, delta=0.05, loss=10) == []
-    # Good documents beyond the lenient cutoff stop the sequence.
-    assert Q.safe_cutoffs(counts("x", [3] * 200 + [0] * 1000, [3] * 50), RULE, risk=0.05, delta=0.05, loss=0) == []
+def test_first_step():
+    rules = (Q.Rule("r", "n_symbols", "n_words", (0.1, 0.2, 0.3)), Q.Rule("s", "n_digits", "n_words", (0.1, 0.2)))
+    assert Q.first_step([(1, 1), (0, 2), (0, 0)], rules) == [[3, 2, 2, 1], [3, 3, 0]]
+
+
+def best(good, bad, loss=10.0, delta=0.05):
+    return Q.best_safe_step(np.array(good), np.array(bad), risk=0.05, delta=delta, loss=loss)
+
+
+def test_best_safe_step():
+    assert best([0, 0, 200], [5, 45, 50]) == 1
+    assert best([0, 2, 198], [50, 5, 45]) == 0              # the stricter step costs more than it brings
+    assert best([0, 2, 198], [50, 5, 45], loss=0) == 1
+    # 86 good documents do at a quarter of delta, 85 don't; none labelled, or nothing caught: no step.
+    assert best([0, 86], [5, 5], delta=0.0125) == 0
+    assert best([0, 85], [5, 5], delta=0.0125) is None
+    assert best([0, 0], [5, 5]) is None
+    assert best([0, 200], [0, 50]) is None
+    # Good documents at the first step stop the sequence.
+    assert best([100, 0, 900], [50, 50, 0], loss=0) is None
 
 
 def test_guarantee():
-    """Over many holdouts, the share in which a stratum loses more than the risk stays below delta."""
+    """Over many holdouts, the share in which a stratum loses more than the risk stays below delta,
+    whatever number of steps lies beyond the risk."""
     rng = random.Random(2)
     violations = 0
     for _ in range(300):
-        rate = 0.06  # beyond the risk: choosing this cutoff breaks the promise
-        good = [3 if rng.random() < rate else 0 for _ in range(600)]
-        chosen = Q.safe_cutoffs(counts("x", good, [3] * 100), RULE, risk=0.05, delta=0.05, loss=0)
-        violations += bool(chosen)
+        good = [0] * 41
+        for _ in range(600):    # each step rejects another 0.4 %: from the thirteenth on beyond the risk
+            step = rng.random() / 0.004
+            good[int(min(step, 40))] += 1
+        got = best(good, [100] * 41, loss=0)
+        violations += got is not None and 0.004 * (got + 1) > 0.05
     assert violations <= 0.05 * 300
 
 
+def plain_cutoffs(docs, labels, risk=0.05, delta=0.05, loss=10):
+    """The chosen vectors by loops over documents: ``{lang: {rule number: cutoff}}``."""
+    given = {}
+    for key, label in labels:
+        if label is not None:
+            given.setdefault(key, set()).add(label)
+    pools = {}
+    for key, lang, text in docs:
+        f = dict(zip(Q.FEATURES, Q.measure(text), strict=True))
+        if f["n_words"] < 10 or 100 * f["n_repeat_words"] > 20 * f["n_words"] or len(given.get(key, ())) > 1:
+            continue
+        values = [f[r.top] / f[r.bottom] if f[r.bottom] else 0.0 for r in Q.RULES]
+        pools.setdefault(lang, {0: [], 1: [], None: []})[next(iter(given.get(key, [None])))].append(values)
+    strata = sum(bool(p[0] and p[1]) for p in pools.values())
+    chosen = {}
+    for lang, pool in pools.items():
+        vector, vectors = {}, []
+        while True:
+            options = []
+            for r, rule in enumerate(Q.RULES):
+                now = vector.get(r, math.inf)
+                tighter = [c for c in rule.cutoffs if c < now]
+                for passed, c in enumerate(reversed(tighter), 1):
+                    caught = sum(c < v[r] <= now for v in pool[0])
+                    cost = sum(c < v[r] <= now for v in pool[None]) + passed / len(rule.cutoffs)
+                    options.append((caught / cost, -r, -passed, c))
+            gain, r, _, c = max(options)
+            if gain <= 0:
+                break
+            vector = vector | {-r: c}
+            vectors.append(vector)
+        top, good, bad = 0.0, pool[1], pool[0]
+        for vector in vectors:
+            k, caught = (sum(any(v[r] > c for r, c in vector.items()) for v in group) for group in (good, bad))
+            if not good or sum(math.comb(len(good), i) * risk**i * (1 - risk)**(len(good) - i)
+                               for i in range(k + 1)) > delta / strata:
+                break
+            if caught / len(bad) - loss * k / len(good) > top:
+                top = caught / len(bad) - loss * k / len(good)
+                chosen[lang] = vector
+    return chosen
+
+
+def test_query_against_plain_loops(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").collect()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect()
+    want = plain_cutoffs([tuple(d) for d in docs], [tuple(x) for x in labels])
+    assert "en" in want
+    rows = {r["doc_id"]: r for r in queries.op7_quality_rules(spark, sf).collect()}
+    for d in docs:
+        f = dict(zip(Q.FEATURES, Q.measure(d["text"]), strict=True))
+        beyond = any(f[Q.RULES[r].top] > c * f[Q.RULES[r].bottom] for r, c in want.get(d["lang"], {}).items())
+        assert rows[d["doc_id"]]["kept"] == (not rows[d["doc_id"]]["base_failed"] and not beyond)
+
+
 def test_planted_labels(spark):
     rng = random.Random(4)
     docs, labels = [], []

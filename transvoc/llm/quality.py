@@ -1,24 +1,35 @@
 """Quality rules whose thresholds carry a statistical guarantee.
 
 Every document gets features (:data:`FEATURES`).  A rule rejects a document whose
-feature lies beyond a cutoff.  Cutoffs are chosen on a labelled holdout, for each
-stratum by itself: a cutoff is *safe* if the good documents it rejects, ``k`` of
-``n``, are so few that a true rate of ``risk`` would give as few only with a small
-probability (the exact binomial bound of Clopper and Pearson).  As the risks of
-several rules add up, each rule is tested at ``risk / rules``; ``delta`` is divided
-by the number of rules and strata (Bonferroni), and a rule's cutoffs are tested in
-a fixed sequence, from lenient to strict, up to the first that fails.  So with
-probability ``1 - delta`` no stratum loses more than ``risk`` of its good documents
-to the rules.  Of a rule's safe cutoffs the one that does the most good is taken;
-a rule that has none, or catches nothing, stays off in that stratum.
+feature lies beyond a cutoff.  A stratum's cutoffs are chosen together, as a vector
+with one cutoff a rule, on a labelled holdout of that stratum alone:
+
+1. A *path* of vectors leads from "no rule" to ever stricter ones.  Each step
+   tightens one rule, the one that catches the most labelled bad documents for the
+   unlabelled documents it rejects.  Labelled good documents have no part in this,
+   so the path is fixed as far as they are concerned.
+2. The vectors are tested along the path: a vector is *safe* if the good documents
+   that any of its rules rejects, ``k`` of ``n``, are so few that a true rate of
+   ``risk`` would give as few only with probability ``delta`` divided by the number
+   of strata (the exact binomial bound of Clopper and Pearson, with Bonferroni's
+   correction).  Testing stops at the first vector that fails; in such a fixed
+   sequence the tests need no further correction.
+3. Of the safe vectors the one that does the most good is taken.
+
+So with probability ``1 - delta`` no stratum loses more than ``risk`` of its good
+documents to all rules together.  With the default risk and delta and four strata,
+86 labelled good documents suffice for a cutoff that rejects none of them.
 
 Scale: features are computed where a text is read and nothing but numbers leaves;
-the holdout is reduced to counts by (stratum, rule, cutoff) before it is
-collected: as many rows as there are strata times :data:`RULES`' grid.
+documents are reduced to counts by (stratum, rule, cutoff) and labelled ones to
+counts by (stratum, step of the path) before they are collected: as many rows as
+there are strata times :data:`RULES`' grid.  Texts of any length are read whole.
 
 Defined results: null text has no words, no lines and fails the base rules (fewer
 than ten words).  Null stratum values are a stratum.  A stratum without labelled
-good documents, or an empty label table, has no rule beyond the base ones.
+good documents, or an empty label table, has no rule beyond the base ones.  Steps
+that are worth the same are taken in the order of the rules, the lenient first; of
+vectors that do the same good the lenient is chosen.  An empty table gives none.
 Documents with contradicting labels, or a null label, teach nothing; repeated
 equal labels count once.  Repeated rows each get their verdict.  Extra columns
 are ignored.
@@ -153,6 +164,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 @dataclass(frozen=True)
 class Cutoff:
+    """One rule's part in the vector of a stratum; the numbers are those of the whole vector."""
     stratum: str | None
     rule: Rule
     cutoff: float
@@ -161,16 +173,20 @@ class Cutoff:
     bad_rejected: int
 
 
-def holdout_counts(measured: DataFrame, labels: DataFrame, *, key: str, stratum: str, label: str,
-                   rules: tuple[Rule, ...]) -> DataFrame:
-    """``stratum, rule, beyond, label, n``: labelled rows by how many of a rule's cutoffs they are beyond."""
+#: A step of a path: from here on, ``rule`` (by number) rejects beyond its cutoff of this index.
+Step = tuple[int, int]
+
+
+def with_labels(measured: DataFrame, labels: DataFrame, *, key: str, stratum: str, label: str,
+                rules: tuple[Rule, ...]) -> DataFrame:
+    """``stratum`` (as a string), ``label``, ``beyond`` of rows that pass the base rules: by how many of its
+    cutoffs each rule's value is beyond; label null: unlabelled."""
     agreed = (labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("__key"))
-              .agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other"))
-    beyond = F.array(*(F.struct(F.lit(i).alias("rule"), _beyond(r).alias("beyond")) for i, r in enumerate(rules)))
-    return (measured.where(~base_failed()).join(agreed, F.col(key) == F.col("__key"))
-            .select(F.col(stratum).alias("stratum"), "label", F.explode(beyond).alias("b"))
-            .groupBy("stratum", "label", F.col("b.rule").alias("rule"), F.col("b.beyond").alias("beyond"))
-            .agg(F.count("*").alias("n")))
+              .agg(F.min(label).alias("__label"), F.max(label).alias("__other")))
+    return (measured.where(~base_failed()).join(agreed, F.col(key) == F.col("__key"), "left")
+            .where(F.col("__label").isNull() | (F.col("__label") == F.col("__other")))
+            .select(F.col(stratum).cast("string").alias("stratum"), (F.col("__label") != 0).cast("int").alias("label"),
+                    F.array(*map(_beyond, rules)).alias("beyond")))
 
 
 def _beyond(rule: Rule) -> Column:
@@ -178,46 +194,98 @@ def _beyond(rule: Rule) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, rule.cutoffs)), lambda c: c < value))
 
 
-def safe_cutoffs(counts: list[tuple], rules: tuple[Rule, ...], *, risk: float, delta: float,
-                 loss: float) -> list[Cutoff]:
-    """For each stratum and rule, the best safe cutoff.
+def path(bad: list[np.ndarray], other: list[np.ndarray]) -> list[Step]:
+    """Steps from no rule to ever stricter ones.
 
-    A rule's cutoffs are tested from the most lenient on and testing stops at the
-    first that fails, which needs no correction within the rule; ``delta`` is
-    divided by the number of (stratum, rule) pairs and ``risk`` by the number of
-    rules.  Among the safe ones the best rejects the largest share of bad
-    documents, less ``loss`` times the share of good ones; ties go to the lenient.
+    ``bad`` and ``other`` count, for each rule, the labelled bad and the unlabelled
+    documents by the number of cutoffs that they are beyond.  A step's worth is
+    the number of further bad documents it catches over its cost: the share of further
+    others that it rejects, and, for want of others, the cutoffs it passes.
     """
-    strata = sorted({c[0] for c in counts}, key=lambda s: (s is None, s))
-    chosen = []
-    for stratum in strata:
-        for number, rule in enumerate(rules):
-            size = len(rule.cutoffs)
-            at = np.zeros((2, size + 1), np.int64)
-            for s, label, r, beyond, n in counts:
-                if s == stratum and r == number:
-                    at[1 if label else 0, beyond] += n
-            bad, good = int(at[0].sum()), int(at[1].sum())
-            best, best_gain = None, 0.0
-            for c in range(size - 1, -1, -1):
-                k, caught = int(at[1, c + 1:].sum()), int(at[0, c + 1:].sum())
-                if not good or binomial_tail(k, good, risk / len(rules)) > delta / (len(strata) * len(rules)):
-                    break
-                gain = caught / max(bad, 1) - loss * k / good
-                if gain > best_gain:
-                    best, best_gain = Cutoff(stratum, rule, rule.cutoffs[c], good, k, caught), gain
-            if best:
-                chosen.append(best)
-    return chosen
+    caught = [np.cumsum(b[::-1])[::-1][1:] for b in bad]        # at cutoff j: documents beyond more than j
+    lost = [np.cumsum(o[::-1])[::-1][1:] for o in other]
+    at = [len(c) for c in caught]
+    steps = []
+    while True:
+        best, worth = None, 0.0
+        for rule, now in enumerate(at):
+            had = caught[rule][now] if now < len(caught[rule]) else 0
+            paid = lost[rule][now] if now < len(lost[rule]) else 0
+            for j in range(now - 1, -1, -1):
+                cost = lost[rule][j] - paid + (now - j) / len(caught[rule])
+                gain = (caught[rule][j] - had) / cost
+                if gain > worth:
+                    best, worth = (rule, j), gain
+        if best is None:
+            return steps
+        at[best[0]] = best[1]
+        steps.append(best)
+
+
+def first_step(steps: list[Step], rules: tuple[Rule, ...]) -> list[list[int]]:
+    """For each rule, by the number of cutoffs a value is beyond, the first step that rejects it."""
+    return [[next((t for t, (r, j) in enumerate(steps) if r == rule and j < beyond), len(steps))
+             for beyond in range(len(rules[rule].cutoffs) + 1)] for rule in range(len(rules))]
+
+
+def best_safe_step(good: np.ndarray, bad: np.ndarray, *, risk: float, delta: float, loss: float) -> int | None:
+    """The best safe step, or none.
+
+    ``good`` and ``bad`` count labelled documents by the first step that rejects
+    them; the last place counts those that no step does.  Steps are tested in order
+    up to the first that fails at ``delta``.  The best rejects the largest share of
+    bad documents, less ``loss`` times the share of good ones.
+    """
+    n = int(good.sum())
+    best, most = None, 0.0
+    for t in range(len(good) - 1):
+        k, caught = int(good[:t + 1].sum()), int(bad[:t + 1].sum())
+        if not n or binomial_tail(k, n, risk) > delta:
+            break
+        gain = caught / max(int(bad.sum()), 1) - loss * k / n
+        if gain > most:
+            best, most = t, gain
+    return best
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: str = "lang",
               label: str = "quality", rules: tuple[Rule, ...] = RULES, risk: float = 0.05,
               delta: float = 0.05, loss: float = 10.0) -> list[Cutoff]:
-    """Cutoffs from the labelled rows of ``measured`` (``label`` 1: good, 0: bad)."""
-    rows = holdout_counts(measured, labels, key=key, stratum=stratum, label=label, rules=rules).collect()
-    counts = [(r["stratum"], r["label"], r["rule"], r["beyond"], r["n"]) for r in rows]
-    return safe_cutoffs(counts, rules, risk=risk, delta=delta, loss=loss)
+    """Cutoffs from the rows of ``measured`` and their labels (0: bad, others: good)."""
+    rows = with_labels(measured, labels, key=key, stratum=stratum, label=label, rules=rules)
+    cells = (rows.where("label is null or label = 0")
+             .select("stratum", "label", F.posexplode("beyond").alias("rule", "beyond"))
+             .groupBy("stratum", "label", "rule", "beyond").agg(F.count("*").alias("n")).collect())
+    counts: dict = {}
+    for c in cells:
+        per_rule = counts.setdefault(c["stratum"], {}).setdefault(
+            c["label"], [np.zeros(len(r.cutoffs) + 1, np.int64) for r in rules])
+        per_rule[c["rule"]][c["beyond"]] += c["n"]
+    none = [np.zeros(len(r.cutoffs) + 1, np.int64) for r in rules]
+    paths = {s: path(by[0], by.get(None, none)) for s, by in counts.items() if 0 in by}
+    if not paths:
+        return []
+
+    spark = measured.sparkSession
+    reach = spark.createDataFrame([(s, first_step(steps, rules)) for s, steps in paths.items()],
+                                  "path_stratum string, reach array<array<int>>")
+    firsts = F.zip_with("reach", "beyond", lambda r, b: F.get(r, b))
+    levels = (rows.where("label is not null").join(F.broadcast(reach), F.col("stratum").eqNullSafe(F.col("path_stratum")))
+              .groupBy("stratum", "label", F.array_min(firsts).alias("step")).agg(F.count("*").alias("n")).collect())
+    tested = {s: np.zeros((2, len(steps) + 1), np.int64) for s, steps in paths.items()}
+    for c in levels:
+        tested[c["stratum"]][c["label"], c["step"]] += c["n"]
+
+    chosen = []
+    strata = sum(bool(t[1].sum()) for t in tested.values())
+    for s in sorted(paths, key=lambda s: (s is None, s)):
+        bad, good = tested[s]
+        t = best_safe_step(good, bad, risk=risk, delta=delta / max(strata, 1), loss=loss)
+        if t is not None:
+            vector = dict(paths[s][:t + 1])     # a rule's last step is its strictest
+            chosen += [Cutoff(s, rules[r], rules[r].cutoffs[j], int(good.sum()), int(good[:t + 1].sum()),
+                              int(bad[:t + 1].sum())) for r, j in sorted(vector.items())]
+    return chosen
 
 
 def rejected_by(cutoffs: list[Cutoff], *, stratum: str = "lang") -> Column:
