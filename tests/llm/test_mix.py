@@ -80,6 +80,29 @@ def test_order_is_by_odds(spark):
         assert prefix > 0 and extra <= mix.LAST_PLACES + 1
 
 
+def tied(spark, n, key, text):
+    rows = [(key(i), "a", text(i), i % 2) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, source string, text string, note long")
+
+
+@pytest.mark.parametrize("key", [lambda i: None, lambda i: 7, lambda i: i // 300])
+@pytest.mark.parametrize("text", [lambda i: "w " * 10, lambda i: f"w{i} " * (1 + i % 19), lambda i: f"w{i % 3} " * 10])
+def test_equal_keys_come_near_the_target(spark, key, text):
+    """Null or repeated ids, with equal or different texts: as many rows are taken as the target holds."""
+    docs = tied(spark, 1000, key, text)
+    runs = []
+    for parts in (1, 7):
+        rows = mix.mix(docs.repartition(parts), size=queries.n_words(F.col("text")), keys=("doc_id", "text")).collect()
+        assert len(rows) == 1000
+        _, taken, target = checked(rows)
+        assert abs(taken["a"] - target["a"]) <= 20 and target["a"] == pytest.approx(1.5 * rows[0]["source_size"])
+        runs.append(sorted(rows, key=str))
+        # Every row is still there.
+        assert sorted((r["doc_id"] or -1, r["text"], r["note"]) for r in rows) == sorted(
+            (key(i) or -1, text(i), i % 2) for i in range(1000))
+    assert runs[0] == runs[1]
+
+
 def test_weights_of_documents(spark):
     docs = spark.createDataFrame([(i, "a" if i % 2 else "b", 10, 3.0 if i % 4 == 1 else 1.0) for i in range(800)],
                                  "doc_id long, source string, size long, w double")

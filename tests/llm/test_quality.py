@@ -67,7 +67,7 @@ def at(size, *beyond):
 def test_path():
     """The rule that catches more bad for the others it rejects comes first; a rule that catches none never."""
     bad = [at(4, *[3] * 30 + [1] * 5 + [0] * 5), at(4, *[2] * 20 + [0] * 20), at(4, *[0] * 40)]
-    other = [at(4, *[3] * 10 + [0] * 90), at(4, *[1] * 50 + [0] * 50), at(4, *[2] * 50 + [0] * 50)]
+    other = [at(4, *[3] * 10 + [1] * 20 + [0] * 70), at(4, *[1] * 50 + [0] * 50), at(4, *[2] * 50 + [0] * 50)]
     assert Q.path(bad, other) == [(1, 1), (0, 2), (0, 0)]
     # Without others a step costs the cutoffs that it passes.
     assert Q.path(bad[:1], [at(4)]) == [(0, 2), (0, 0)]

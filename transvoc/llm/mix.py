@@ -23,8 +23,14 @@ spread over its buckets.
 Defined results: null or wordless text has size 0 and is taken with 0 words;
 null ``source`` is a source of its own, last in order; a source without words
 has target 0.  The draw depends on ``seed`` and the key columns alone, so
-reruns agree; rows equal in all key columns share one draw.  An empty table
-gives an empty mix.  Extra columns are untouched, whatever their names.
+reruns agree; name the text, or a hash of it, among the keys where ids are null or
+repeat.  Rows equal in all key columns share one draw and so one place in the
+order.  Where the target falls inside such a group, as many of its rows are taken as
+fit: the group is reduced to its distinct rows and their numbers, and copies are
+counted off in order of content, so a group of any size passes through partial
+aggregation; which of wholly equal rows is taken makes no difference.  Very long
+texts are read whole, for their size only.  An empty table gives an empty mix.
+Extra columns are untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -118,6 +124,16 @@ def _not_in(taken: Column):
     return lambda x: ~F.array_contains(taken, x["__q"])
 
 
+def _counted_off(tied: DataFrame, kept: list[str]) -> DataFrame:
+    """The ``kept`` columns of rows that share their source's cut, the first ``part`` of them drawn."""
+    rows = (tied.groupBy("__source", F.sha2(F.to_json("__doc"), 256).alias("__content"))
+            .agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*kept, "part"))))
+    before = F.sum("n").over(Window.partitionBy("__source").orderBy("__content")) - F.col("n")
+    return (rows.withColumn("__before", before)
+            .withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+            .select(*kept, (F.col("__i") + F.col("__before") <= F.col("part")).alias("__drawn")))
+
+
 def mix(docs: DataFrame, *, size: Column, source: str = "source", keys: Sequence[str] = ("doc_id",),
         weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_copies: float = 2.0,
         weight: str | None = None, seed: int = 17) -> DataFrame:
@@ -166,13 +182,22 @@ def mix(docs: DataFrame, *, size: Column, source: str = "source", keys: Sequence
 
     edge = (_with_plan(ranked, cut, n_sources, F.col("__u"))
             .where(F.col("bucket") == F.col("cut_bucket"))
-            .groupBy("__source", "left", "__q").agg(F.sum("__size").alias("words")))
+            .groupBy("__source", "left", "__q")
+            .agg(F.sum("__size").alias("words"), F.count("*").alias("n"),
+                 F.min("__size").alias("each"), F.max("__size").alias("longest")))
     edge = edge.withColumn("sum", F.sum("words").over(by_source.orderBy("__q")))
     inside = F.col("sum") <= F.col("left")
+    # Rows that share a draw and do not all fit: as many as do.
+    split = (~inside & (F.col("sum") - F.col("words") < F.col("left"))
+             & (F.col("n") > 1) & (F.col("each") == F.col("longest")))
+    edge = edge.withColumn("part", F.when(split, F.floor(
+        (F.col("left") - F.col("sum") + F.col("words")) / F.col("each"))))
     cuts = edge.groupBy("__source").agg(
         F.coalesce(F.max(F.when(inside, F.col("__q"))), F.lit(-1.0)).alias("cut_q"),
-        (F.first("left") - F.coalesce(F.max(F.when(inside, F.col("sum"))), F.lit(0))).alias("gap"),
-        F.collect_list(F.when(~inside, F.struct("words", "__q"))).alias("others"))
+        (F.first("left") - F.coalesce(F.max(F.when(inside, F.col("sum"))), F.lit(0))
+         - F.coalesce(F.max(F.col("part") * F.col("each")), F.lit(0))).alias("gap"),
+        F.max(F.when(split, F.col("__q"))).alias("part_q"), F.max("part").alias("part"),
+        F.collect_list(F.when(~inside & ~split, F.struct("words", "__q"))).alias("others"))
     # The last places: up to LAST_PLACES that fit below the gap, the largest first, and perhaps
     # one that passes it, whichever of these ends nearest to the target.
     cuts = cuts.withColumn("taken", F.array().cast("array<double>"))
@@ -189,13 +214,13 @@ def mix(docs: DataFrame, *, size: Column, source: str = "source", keys: Sequence
             "taken": F.when(F.col("fit").isNull(), F.col("taken"))
             .otherwise(F.concat("taken", F.array(F.col("fit.__q")))),
             "gap": F.col("gap") - F.coalesce("fit.words", F.lit(0))})
-    cuts = cuts.select("__source", "cut_q", F.least(*ends)["taken"].alias("last"))
+    cuts = cuts.select("__source", "cut_q", "part_q", "part", F.least(*ends)["taken"].alias("last"))
     plan = (sources.join(cut.withColumnRenamed("source", "c_source"),
                          F.col("source").eqNullSafe(F.col("c_source")), "left")
             .join(cuts.withColumnRenamed("__source", "e_source"),
                   F.col("source").eqNullSafe(F.col("e_source")), "left")
             .select("source", "source_size", "target", "weighted", "buckets", "cut_bucket",
-                    "cut_q", "last"))
+                    "cut_q", "last", "part_q", "part"))
     plan = cut_lineage(plan, "mix-plan")
 
     placed = _with_order(_with_plan(marked, plan, n_sources, F.col("__u")), max_copies)
@@ -205,7 +230,14 @@ def mix(docs: DataFrame, *, size: Column, source: str = "source", keys: Sequence
         | ((F.col("bucket") == F.col("cut_bucket"))
            & ((F.col("__q") <= F.col("cut_q"))
               | F.array_contains("last", F.col("__q")))))
-    copies = F.col("__whole") + F.when(drawn, 1).otherwise(0)
+    placed = placed.withColumn("__drawn", drawn)
+    if not plan.where("part > 0").isEmpty():
+        parted = F.coalesce((F.col("bucket") == F.col("cut_bucket")) & (F.col("__q") == F.col("part_q"))
+                            & (F.col("part") > 0), F.lit(False))
+        kept = ["__doc", "__size", "source_size", "target", "__whole"]
+        placed = (placed.where(~parted).select(*kept, "__drawn")
+                  .unionByName(_counted_off(placed.where(parted), kept)))
+    copies = F.col("__whole") + F.when(F.col("__drawn"), 1).otherwise(0)
     added = {"size": F.col("__size"), "source_size": F.col("source_size"), "target": F.col("target"),
              "copies": copies.cast("int"), "taken": (copies * F.col("__size")).cast("long")}
     return placed.select(*(F.col(f"__doc.`{c}`").alias(c) for c in docs.columns if c not in added),

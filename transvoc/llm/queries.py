@@ -48,8 +48,9 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 3, 1, 2, ... by source, half as many words again as there are."""
-    sized = read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return mix.mix(sized, size=F.col("size")).select(
+    sized = read(spark, sf_dir, "documents").select(
+        "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    return mix.mix(sized, size=F.col("size"), keys=("doc_id", "text_hash")).select(
         "doc_id", "size", "source_size", "target", "taken", "copies")
 
 
