@@ -13,7 +13,9 @@ kept, and returns a DataFrame; all but the last return the columns of
 5. ``tokens``: texts are encoded, and decoded again as a check.
 
 Every stage takes an empty table, null values, repeated rows and further columns,
-which it passes on.
+which it passes on.  Very long texts go through whole.  Ties are settled as in the
+operators: by the smallest id among near copies, by content among rows that share a
+draw in the mix.
 """
 
 from __future__ import annotations
@@ -63,7 +65,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix.mix(held(docs, "doc_id", "source", "text"), size=n_words(F.col("text")))
+    mixed = mix.mix(held(docs, "doc_id", "source", "text"), size=n_words(F.col("text")),
+                    keys=("doc_id", "text"))
     return (mixed.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
             .select("__row.*"))
 
