@@ -49,6 +49,17 @@ def test_read_min_pairs_by_three_letter_code(spark):
     assert [r["sen"] for r in read_min_pairs(df, "eng_Latn".lower()).collect()] == ["a"]
 
 
+def test_minimal_pairs_of_every_language(spark, tmp_dir):
+    from transvoc import catalog
+
+    catalog.load_all()
+    rows = [(9, "b a", "aa"), (19, "c d", "bb"), (29, "e\n\nf g", "cc"), (39, "h i", None), (40, "j k", "aa")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_dir}/documents.parquet")
+    got = catalog.QUERIES["minimal_pairs"](spark, tmp_dir).collect()
+    assert {(r.lang, r.sen, r.wrong_sen) for r in got} == {
+        ("aa", "b a", "a b"), ("bb", "c d", "d c"), ("cc", "e", "e"), ("cc", "f g", "g f"), (None, "h i", "i h")}
+
+
 def test_read_manifest_folder_layout(spark, tmp_dir):
     import json
     import os

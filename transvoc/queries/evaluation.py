@@ -337,11 +337,11 @@ GROUP BY x.vocab_lang, x.lang, x.doc_id, x.line_no, x.side""")
 
 
 @register("minimal_pairs", O.with_ctes(["min_pairs"], """
-SELECT lang, doc_id, CAST(line_no AS BIGINT) AS line_no, sen, wrong_sen FROM min_pairs
-WHERE lang <> (SELECT min(lang) FROM documents)"""))
+SELECT lang, doc_id, CAST(line_no AS BIGINT) AS line_no, sen, wrong_sen FROM min_pairs"""))
 def minimal_pairs(spark, sf_dir):
-    """SRC-5: minimal pairs (correct sentence, words reversed) of a run's languages: all but the first."""
-    return finish(read_min_pairs(tb.min_pairs(spark, sf_dir), *tb.lang_list(spark, sf_dir)[1:]))
+    """SRC-5: minimal pairs (correct sentence, words reversed) of every language, and of lines without one."""
+    pairs = tb.min_pairs(spark, sf_dir)
+    return finish(read_min_pairs(pairs, *tb.lang_list(spark, sf_dir)).unionByName(pairs.where(F.col("lang").isNull())))
 
 
 @register("minimal_pair_accuracy", O.with_ctes(["mp_sides"], f"""

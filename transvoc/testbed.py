@@ -203,7 +203,7 @@ def languages(spark, sf_dir) -> DataFrame:
 def lang_list(spark, sf_dir) -> list[str]:
     """Sorted language codes (bounded metadata; the scan reads one column)."""
     rows = languages(spark, sf_dir).collect()
-    return sorted(r["lang"] for r in rows)
+    return sorted(r["lang"] for r in rows if r["lang"] is not None)
 
 
 def pair_list(spark, sf_dir) -> list[str]:
