@@ -117,3 +117,27 @@ def test_lines_against_plain_loops(spark):
             assert got[i].n_unk == sum(t == 1 for t in ids[:4]) and got[i].over == (len(ids) >= 5)
             assert got[i].delta / TM.UNIT == pytest.approx(sum(loss(ids[::-1])) - sum(loss(ids)), abs=1e-9)
         assert got[1].delta == 0 and got[4].delta == 0  # the same words again: an exact tie
+
+
+@pytest.mark.parametrize("size", [1, 7, 10**6])
+def test_blocks_of_packed_lines_under_many_models(spark, size):
+    vocab = spark.createDataFrame([("s", "a", 4), ("s", "b", 5), ("t", "b", 4)], "lang string, token string, id int")
+    texts = ["a b a a c", "c c c c", "a", "b a", "a b b a", "b a", "a b b"]
+    rows = [(x, None if i == 5 else i % 3, i, text) for i, text in enumerate(texts) for x in ("s", "t")]
+    lines = spark.createDataFrame([*rows, ("s", 0, 6, "a a")], "lang string, doc_id long, line_no int, line string")
+    packed = TM.packed_lines(TM.label_counts(lines, vocab, 5)).cache()
+    flat = TM.unpacked_lines(packed)
+    assert packed.count() == 2 * len({r[:3] for r in rows} | {("s", 0, 6)}) + 2  # a line read twice, of another length
+    seen, heavy = TM.heavy_bigrams(flat)
+    models = F.when(F.col("vocab_lang") == "s", F.array(F.lit("m"), F.lit("n"))).otherwise(F.array(F.lit("o")))
+    losses = (seen.drop("lines").withColumn("models", models).withColumn("V", F.lit(6.0)).withColumn("q", F.transform(
+        "models", lambda m: TM.whole(F.log(2.0 + F.col("token_id") + F.ascii(m) * F.col("prev_id"))))))
+    one = losses.select("vocab_lang", "lang", "prev_id", "token_id", "V", F.explode(F.arrays_zip(F.col("models").alias("m"), "q")).alias("z"))
+    want = (flat.join(one, ["vocab_lang", "lang", "prev_id", "token_id"]).groupBy(*TM.LINE, "z.m")
+            .agg(F.sum(F.when(F.col("token_id") == 1, 0).otherwise(F.col("n_scored") * F.col("z.q"))).alias("known"),
+                 F.sum(F.when(F.col("token_id") == 1, F.col("n_scored")).otherwise(0)).alias("unknown"),
+                 F.sum((F.col("n_wrong") - F.col("n_sen")) * F.col("z.q")).alias("delta")).collect())
+    got = TM.score_lines(packed, losses, heavy, 5, block_labels=size).collect()
+    shown = lambda r, bits: (r.lang, r.doc_id, r.line_no, r.nbytes, r.delta, round(bits, 9))
+    assert sorted(((r.model, *map(str, shown(r, r.surprisal))) for r in got)) == sorted(
+        (r.m, *map(str, shown(r, r.known / TM.UNIT / math.log(2) + r.unknown * math.log2(6)))) for r in want)

@@ -16,8 +16,10 @@ of all models for the bigrams that the held-out text has come from one table of
 parts (:func:`part_counts`).
 
 All held-out lines are read and split once (:func:`label_counts`); a line keeps each of its
-bigrams with how often it occurs, so the commonest, two unknown words, is one row a line.  Losses
-are computed per distinct bigram and joined back (:func:`score_lines`); the bigrams that
+bigrams with how often it occurs, so the commonest, two unknown words, is one entry a line.  Losses
+are computed per distinct bigram, for all models in one row (:func:`model_losses`).  Lines are scored in
+blocks (:func:`score_lines`): a block gets each of its distinct bigrams once and multiplies its
+lines with the losses of all models, so no row a line, bigram and model is ever shuffled; the bigrams that
 most lines have are measured and broadcast, the others are shuffled.  Losses are summed as
 whole numbers (:data:`UNIT`), so sums don't depend on their order and equal sentences tie exactly.
 """
@@ -26,6 +28,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +46,11 @@ PAIR = ["src_lang", "tgt_lang"]
 MOVED = [*PAIR, "method"]
 #: Bigrams that are broadcast at most, the most frequent ones, and lines that each must have.
 HEAVY_KEYS, HEAVY_LINES = 1000, 1000
+#: Bigrams of lines in a block that is scored at once, about.
+BLOCK_LABELS = 500_000
+#: What a line keeps of each of its bigrams, and what identifies a line under a vocabulary.
+COUNTED = ["prev_id", "token_id", "n_scored", "n_read", "n_sen", "n_wrong"]
+LINE = ["vocab_lang", "lang", "doc_id", "line_no", "nbytes"]
 
 
 def transferred_weights(vocab: DataFrame, pieces: DataFrame, rebuilt: DataFrame) -> DataFrame:
@@ -136,6 +145,9 @@ def label_counts(lines: DataFrame, vocab: DataFrame, max_len: int, known_entries
     occurs among the scored labels (second half, within ``max_len`` ids), among the labels within ``max_len``, in the line, and in the
     reversed line; ``nbytes`` are those of the second half."""
     ws = words_col("line")
+    spark = lines.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = lines.repartition(n, "lang", "doc_id", "line_no")  # what follows is grouped by line: no shuffle of bigrams
     sides = lines.withColumn("half", first_half("line")).select(
         "lang", "doc_id", "line_no", byte_len(second_half("line")).alias("nbytes"),
         F.size(words_col("half")).alias("h"), F.explode(F.array(
@@ -149,45 +161,119 @@ def label_counts(lines: DataFrame, vocab: DataFrame, max_len: int, known_entries
         F.count_if(F.col("side") == 0).alias("n_sen"), F.count_if(F.col("side") == 1).alias("n_wrong"))
 
 
+def packed_lines(labels: DataFrame) -> DataFrame:
+    """One row a line and vocabulary, its bigrams and their counts (``COUNTED``) in parallel lists."""
+    if dict(labels.dtypes)["prev_id"].startswith("array"):
+        return labels
+    return labels.groupBy(*LINE).agg(*(F.collect_list(F.col(c).cast("int")).alias(c) for c in COUNTED))
+
+
+def unpacked_lines(lines: DataFrame) -> DataFrame:
+    """The rows of :func:`label_counts` again."""
+    zipped = F.explode(F.arrays_zip(*COUNTED)).alias("z")
+    return lines.select(*LINE, zipped).select(*LINE, *(F.col(f"z.{c}") for c in COUNTED))
+
+
 def model_losses(seen: DataFrame, plan: DataFrame, counts: DataFrame, contexts: DataFrame, sizes: DataFrame,
                  alpha: float) -> DataFrame:
-    """``(vocab_lang, lang, prev_id, token_id, model, q)``: the add-alpha loss of each bigram ``seen`` in a language, under every
-    model that is scored on it, in 1 / UNIT nats."""
-    parts = (plan.select("model", "vocab_lang", "parts").distinct()
-             .select("model", "vocab_lang", F.explode("parts").alias("part"))
-             .groupBy("model", "vocab_lang", "part").agg(F.count(F.lit(1)).alias("times")))
+    """``(vocab_lang, lang, prev_id, token_id, V, models, q)``: the add-alpha losses of each bigram ``seen`` in a language,
+    under every model that is scored on it, in 1 / UNIT nats.  ``models`` is the same list for all bigrams of a
+    vocabulary and language; the counts of a bigram's parts stand in one row, too."""
+    parts = (plan.select("model", "vocab_lang", "parts").distinct())
     on = (plan.select("model", "vocab_lang", F.explode(F.array("src_lang", "tgt_lang")).alias("lang")).distinct()
-          .join(sizes, "vocab_lang"))
-    c = (counts.join(F.broadcast(parts), ["vocab_lang", "part"]).groupBy("model", "prev_id", "token_id")
-         .agg(F.sum(F.col("c") * F.col("times")).alias("c")))
-    n = (contexts.join(F.broadcast(parts), ["vocab_lang", "part"]).groupBy("model", "prev_id")
-         .agg(F.sum(F.col("n") * F.col("times")).alias("n")))
-    rows = (seen.join(F.broadcast(on), ["vocab_lang", "lang"])
-            .join(c, ["model", "prev_id", "token_id"], "left").join(n, ["model", "prev_id"], "left"))
-    loss = -F.log((F.coalesce("c", F.lit(0.0)) + F.lit(alpha)) / (F.coalesce("n", F.lit(0.0)) + F.lit(alpha) * F.col("V")))
-    return rows.select("vocab_lang", "lang", "prev_id", "token_id", "model", "V", whole(loss).alias("q"))
-
-
-def score_lines(labels: DataFrame, losses: DataFrame, heavy: DataFrame, max_pair_len: int) -> DataFrame:
+          .join(parts, ["model", "vocab_lang"]).groupBy("vocab_lang", "lang")
+          .agg(F.array_sort(F.collect_list(F.struct("model", "parts"))).alias("m")).join(sizes, "vocab_lang"))
+    by_part = lambda v: F.map_from_entries(F.collect_list(F.struct("part", v)))
+    c = (counts.groupBy("vocab_lang", "prev_id", "token_id", "part").agg(F.sum("c").alias("c"))
+         .groupBy("vocab_lang", "prev_id", "token_id").agg(by_part("c").alias("c")))
+    n = (contexts.groupBy("vocab_lang", "prev_id", "part").agg(F.sum("n").alias("n"))
+         .groupBy("vocab_lang", "prev_id").agg(by_part("n").alias("n")))
+    rows = (seen.join(F.broadcast(on), ["vocab_lang", "lang"])  # languages squared
+            .join(c, ["vocab_lang", "prev_id", "token_id"], "left").join(n, ["vocab_lang", "prev_id"], "left"))
+    total = lambda v, m: F.aggregate(
+        m["parts"], F.lit(0.0), lambda acc, p: acc + F.coalesce(F.try_element_at(F.col(v), p), F.lit(0.0)))
+    loss = lambda m: whole(-F.log(
+        (total("c", m) + F.lit(alpha)) / (total("n", m) + F.lit(alpha) * F.col("V"))))
+    return rows.select("vocab_lang", "lang", "prev_id", "token_id", "V", F.col("m.model").alias("models"),
+                       F.transform("m", loss).alias("q"))
+
+
+def _score_block(lines: pa.Table, losses: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``known`` and ``delta`` (a row a line, a column a model) of a block's lines, and which lines have any loss."""
+    flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy()
+    code = lambda t, p: (p.astype(np.int64) << 32) | t.astype(np.int64)
+    q = flat(losses, "q").reshape(losses.num_rows, -1)
+    keys = code(losses.column("token_id").to_numpy(), losses.column("prev_id").to_numpy())
+    order = np.argsort(keys)
+    keys = keys[order]
+    token = flat(lines, "token_id")
+    wanted = code(token, flat(lines, "prev_id"))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    has = keys[at] == wanted
+    of = np.repeat(np.arange(lines.num_rows), np.asarray(lines.column("k")))[has]
+    row, token = order[at[has]], token[has]
+    scored = np.where(token == UNK_ID, 0, flat(lines, "n_scored")[has]).astype(np.int64)
+    more = (flat(lines, "n_wrong")[has] - flat(lines, "n_sen")[has]).astype(np.int64)
+    known, delta = (np.zeros((q.shape[1], lines.num_rows), np.int64) for _ in range(2))
+    for out, factor in ((known, scored), (delta, more)):
+        used = np.flatnonzero(factor)  # most bigrams are as frequent in the reversed line
+        for m in range(q.shape[1]):
+            np.add.at(out[m], of[used], factor[used] * q[row[used], m])
+    return known.T, delta.T, np.bincount(of, minlength=lines.num_rows) > 0
+
+
+def score_lines(labels: DataFrame, losses: DataFrame, heavy: DataFrame, max_pair_len: int,
+                block_labels: int = BLOCK_LABELS) -> DataFrame:
     """``(model, lang, doc_id, line_no, surprisal, nbytes, n_unk, n_read, delta, over)`` of every line under every model.
 
     ``surprisal`` in bits: an unknown label costs log2(V) whatever the model says; ``delta``: by how much the
-    reversed line costs more, in 1 / UNIT nats.  The bigrams ``heavy`` are joined by broadcast."""
-    key = ["vocab_lang", "lang", "prev_id", "token_id"]
-    most = labels.join(F.broadcast(heavy), key, "left_semi").join(
-        F.broadcast(losses.join(F.broadcast(heavy), key, "left_semi")), key)
-    rest = labels.join(F.broadcast(heavy), key, "left_anti").join(
-        losses.join(F.broadcast(heavy), key, "left_anti"), key)
-    unknown = F.col("token_id") == UNK_ID
-    known_q = F.sum(F.when(unknown, F.lit(0).cast("long")).otherwise(F.col("n_scored") * F.col("q")))
-    per_line = most.unionByName(rest).groupBy("model", "V", "lang", "doc_id", "line_no", "nbytes").agg(
-        known_q.alias("known"), F.sum(F.when(unknown, F.col("n_scored")).otherwise(0)).alias("unknown"),
-        F.sum(F.when(unknown, F.col("n_read")).otherwise(0)).alias("n_unk"), F.sum("n_read").alias("n_read"),
-        F.sum((F.col("n_wrong") - F.col("n_sen")) * F.col("q")).alias("delta"),
-        (F.sum("n_sen") >= max_pair_len).alias("over"))
-    bits = F.col("known") / F.lit(UNIT * math.log(2.0)) + F.col("unknown") * F.log2("V")
-    return per_line.select("model", "lang", "doc_id", "line_no", bits.alias("surprisal"), "nbytes", "n_unk", "n_read",
-                           "delta", "over")
+    reversed line costs more, in 1 / UNIT nats.  ``labels`` may be packed already (:func:`packed_lines`).  Lines are
+    dealt into blocks by their counted bigrams; a block gets the losses of its distinct bigrams, those of ``heavy`` by broadcast."""
+    pair, key = ["vocab_lang", "lang"], ["vocab_lang", "lang", "prev_id", "token_id"]
+    if "models" not in losses.columns:
+        losses = (losses.groupBy(*key, "V").agg(F.array_sort(F.collect_list(F.struct("model", "q"))).alias("m"))
+                  .select(*key, "V", F.col("m.model").alias("models"), F.col("m.q").alias("q")))
+    lines = packed_lines(labels)
+    count = lambda c, of: F.aggregate(F.arrays_zip(c, "token_id"), F.lit(0), lambda acc, x: acc + F.when(
+        F.lit(True) if of is None else x["token_id"] == of, x[c]).otherwise(0))
+    lines = lines.withColumn("k", F.size("prev_id"))
+    blocks = lines.groupBy(*pair).agg(F.ceil(F.sum("k") / F.lit(block_labels)).alias("blocks"))
+    dealt = (lines.join(F.broadcast(blocks), pair)  # languages squared
+             .withColumn("block", F.pmod(F.xxhash64("doc_id", "line_no", "nbytes"), F.col("blocks"))).drop("blocks"))
+    met = dealt.select(*pair, "block", F.explode(F.arrays_zip("prev_id", "token_id")).alias("z")).select(
+        *pair, "block", "z.prev_id", "z.token_id").distinct()
+    table = losses.select(*key, "q")
+    most = met.join(F.broadcast(heavy), key, "left_semi").join(
+        F.broadcast(table.join(F.broadcast(heavy), key, "left_semi")), key)
+    rest = met.join(F.broadcast(heavy), key, "left_anti").join(table.join(F.broadcast(heavy), key, "left_anti"), key)
+    own = dealt.select(*pair, "block", *LINE[2:], "k", "prev_id", "token_id", "n_scored", "n_sen", "n_wrong",
+                       count("n_scored", UNK_ID).alias("unknown"), count("n_read", UNK_ID).alias("n_unk"),
+                       count("n_read", None).alias("n_read"), (count("n_sen", None) >= max_pair_len).alias("over"))
+    out = [*pair, *LINE[2:], "unknown", "n_unk", "n_read", "over"]
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        if found.num_rows and block.num_rows:
+            known, delta, scored = _score_block(block, found)
+        else:
+            known = delta = np.zeros((block.num_rows, 0), np.int64)
+            scored = np.zeros(block.num_rows, bool)
+        width = pa.array(np.arange(block.num_rows + 1, dtype=np.int32) * known.shape[1])
+        lists = {n: pa.ListArray.from_arrays(width, pa.array(np.ascontiguousarray(x).ravel()))
+                 for n, x in (("known", known), ("delta", delta))}
+        return pa.table({c: block.column(c) for c in out} | lists).filter(pa.array(scored))
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", known array<bigint>, delta array<bigint>"
+    right = most.unionByName(rest).select(*pair, "block", "prev_id", "token_id", "q")
+    keys = [*pair, "block"]
+    scored = (own.groupBy(*keys).cogroup(right.toDF(*(f"r_{c}" for c in right.columns)).toDF(*right.columns).groupBy(*keys))
+              .applyInArrow(run, schema))
+    names = losses.groupBy(*pair, "V").agg(F.first("models").alias("models"))  # a row a vocabulary and language
+    per_line = scored.join(F.broadcast(names), pair).select(
+        *out, "V", F.explode(F.arrays_zip(F.col("models").alias("model"), "known", "delta")).alias("z"))
+    bits = F.col("z.known") / F.lit(UNIT * math.log(2.0)) + F.col("unknown") * F.log2("V")
+    return per_line.select("z.model", "lang", "doc_id", "line_no", bits.alias("surprisal"), "nbytes", "n_unk", "n_read",
+                           "z.delta", "over")
 
 
 def model_metrics(lines: DataFrame) -> DataFrame:

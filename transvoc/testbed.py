@@ -301,8 +301,9 @@ def pair_matrix(spark, sf_dir) -> DataFrame:
     from transvoc.operators.report import METRICS, with_pair_sums
     m, dev = models(spark, sf_dir), devtest(spark, sf_dir)
     plan = TM.model_plan(m.info.select(F.col("vocab_lang").alias("lang")))
-    labels = cut_lineage(TM.label_counts(dev.where(~is_blank("line")), m.vocab, MAX_SEQ_LEN, m.known, m.info), "labels")
-    seen, heavy = TM.heavy_bigrams(labels)
+    labels = cut_lineage(TM.packed_lines(
+        TM.label_counts(dev.where(~is_blank("line")), m.vocab, MAX_SEQ_LEN, m.known, m.info)), "labels")
+    seen, heavy = TM.heavy_bigrams(TM.unpacked_lines(labels))
     seen, heavy = cut_lineage(seen, "seen"), cut_lineage(heavy, "heavy")
     need = seen.select("vocab_lang", "prev_id", "token_id").distinct()
     counts, contexts = TM.part_counts(cut_lineage(weights(spark, sf_dir), "weights"),
