@@ -82,3 +82,16 @@ def test_jobs_are_their_files_one_after_the_other(spark):
         stream = [t for f in names for ids in files[f] for t in [*(x * 10 * (v == "b") + x for x in ids), 3]]
         cut = [stream[i:i + L - 1] for i in range(0, len(stream), L - 1)]
         assert got[job] == {i: ([2, *c, *[0] * (L - 1 - len(c))], len(c)) for i, c in enumerate(cut)}
+
+
+def test_ranges_of_jobs_are_not_broadcast(spark, tmp_dir):
+    from transvoc.operators.packing import pack_jobs
+
+    spark.sql("SELECT 'j' AS job, 'v' AS vocab_lang, array('f', 'g') AS train").write.parquet(f"{tmp_dir}/jobs")
+    (spark.range(40).selectExpr("if(id < 30, 'f', 'g') AS file", "'v' AS vocab_lang", "if(id < 30, id, id - 30) AS seg_no",
+                                "array(2, cast(id AS int), 3) AS input_ids", "2L AS n_real").write.parquet(f"{tmp_dir}/chunks"))
+    jobs, chunks = (spark.read.parquet(f"{tmp_dir}/{x}") for x in ("jobs", "chunks"))
+    segs = pack_jobs(jobs, chunks, 3, ["job"])
+    plan = segs._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "SortMergeJoin" in line and "chunk" in line]
+    assert [r.input_ids[1] for r in segs.orderBy("seg_no").collect()] == list(range(40))

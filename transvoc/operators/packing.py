@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from transvoc.operators.prefix import doc_block, exclusive_prefix_sum
 from transvoc.operators.vocab import CLS_ID, PAD_ID, SEP_ID
+from transvoc.session import spread
 
 
 def token_offsets(enc: DataFrame, corpus: Sequence[str], order: Sequence[str],
@@ -78,14 +79,14 @@ def job_pieces(files: DataFrame, totals: DataFrame, body_len: int, job: Sequence
 
     ``files`` is ``(job.., file_ord, file)``, ``totals`` is ``(file, n)``: tokens of
     each file.  A job's stream is its files one after the other; each segment is one range or more of a
-    file: ``(job.., seg_no, at, file, chunk, first, n)``, the ``n`` tokens from ``first`` on in the
+    file, a row each, however few the jobs are: ``(job.., seg_no, at, file, chunk, first, n)``, the ``n`` tokens from ``first`` on in the
     file's chunk, which come at place ``at`` of the job's stream.  Chunks are as long as segments,
     so a range meets two at most.
     """
     job, b = list(job), F.lit(body_len)
     before = Window.partitionBy(*job).orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)  # a job's files
     placed = files.join(F.broadcast(totals), "file").withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    ranges = (placed.withColumn("seg_no", F.explode(F.sequence(
+    ranges = (spread(placed, *job, "file_ord").withColumn("seg_no", F.explode(F.sequence(
                   F.floor(F.col("base") / b), F.floor((F.col("base") + F.col("n") - 1) / b))))
               .withColumn("lo", F.greatest("base", F.col("seg_no") * b) - F.col("base"))
               .withColumn("hi", F.least(F.col("base") + F.col("n"), (F.col("seg_no") + 1) * b) - F.col("base")))
@@ -109,7 +110,8 @@ def pack_jobs(jobs: DataFrame, chunks: DataFrame, seg_len: int, job: Sequence[st
               .groupBy("file").agg(F.first("n").alias("n")))  # words are counted the same under every vocabulary
     pieces = job_pieces(listed, totals, seg_len - 1, [*job, "vocab_lang"])
     text = chunks.select("file", "vocab_lang", F.col("seg_no").alias("chunk"), "input_ids")
-    rows = pieces.join(text, ["file", "vocab_lang", "chunk"]).select(
+    # Spark takes the ranges for as few as the jobs; as many as the segments, they are never broadcast
+    rows = pieces.hint("merge").join(text, ["file", "vocab_lang", "chunk"]).select(
         *job, "seg_no", "at", F.expr("slice(input_ids, first + 2, n)").alias("part"))
     body = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]))
     segs = rows.groupBy(*job, "seg_no").agg(body.alias("body"))
