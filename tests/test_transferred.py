@@ -141,3 +141,59 @@ def test_blocks_of_packed_lines_under_many_models(spark, size):
     shown = lambda r, bits: (r.lang, r.doc_id, r.line_no, r.nbytes, r.delta, round(bits, 9))
     assert sorted(((r.model, *map(str, shown(r, r.surprisal))) for r in got)) == sorted(
         (r.m, *map(str, shown(r, r.known / TM.UNIT / math.log(2) + r.unknown * math.log2(6)))) for r in want)
+
+
+def _scored_models(spark):
+    """Lines with a repeated key, a repeated line, an unknown language and double spaces, and two vocabularies."""
+    vocab = spark.createDataFrame([("s", "a", 4), ("s", "b", 5), ("t", "b", 4), ("t", "", 5)], "lang string, token string, id int")
+    rows = [("s", 1, 0, "a b a a c"), ("s", 1, 0, "b a b c b"), ("s", 1, 0, "a b a a c"), ("t", None, 1, "b  b q b b"),
+            (None, 2, 0, "a b"), ("t", 3, 0, "c c c"), ("t", 3, 1, "b"), ("t", 3, 2, "")]
+    return vocab, spark.createDataFrame(rows, "lang string, doc_id long, line_no int, line string")
+
+
+def test_counted_lines_equal_joined_ones_without_joins(spark):
+    vocab, lines = _scored_models(spark)
+    got = TM.counted_lines(lines, vocab, 4)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()  # a line is split once for all vocabularies
+    want = TM._joined_label_counts(lines, vocab, 4, None, None)
+    shown = lambda df: sorted(map(str, df.select(*TM.LINE, *TM.COUNTED).collect()))
+    assert shown(TM.unpacked_lines(got)) == shown(want) != []
+    assert shown(TM.label_counts(lines, vocab, 4, known_entries=10**9)) == shown(want)
+
+
+def test_text_counts_split_the_corpus_once(spark):
+    from transvoc.operators.tokenize import encode_long
+    vocab, lines = _scored_models(spark)
+    rows = encode_long(lines, vocab, "all", keys=["lang"])
+    want = rows.groupBy("vocab_lang", "lang", F.col("prev_id").alias("prev"), F.col("token_id").alias("tok")).agg(
+        F.count(F.lit(1)).alias("n"))
+    for known in (None, 4):
+        got = TM.text_counts(lines, vocab, known)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) != []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Cross") < plan.index("Generate")  # the vocabularies are met above the split, by counted pairs
+    assert plan.count("Generate") == 1
+
+
+def test_losses_follow_the_parts_in_order(spark):
+    plan = TM.model_plan(spark.createDataFrame([("s",), ("t",)], "lang string"))
+    seen = spark.createDataFrame([("t", "s", 4, 5), ("t", "t", 4, 5), ("t", "t", 1, 1), ("t", None, 4, 5)],
+                                 "vocab_lang string, lang string, prev_id int, token_id int")
+    counts = {"t": 2.0, "s": 1.0, "fvt:s": 0.3}
+    contexts = {"t": 7.0, "s": 3.0, "omp:s": 0.9}
+    c = spark.createDataFrame([("t", k, 4, 5, v) for k, v in counts.items()],
+                              "vocab_lang string, part string, prev_id int, token_id int, c double")
+    n = spark.createDataFrame([("t", k, 4, v) for k, v in contexts.items()],
+                              "vocab_lang string, part string, prev_id int, n double")
+    sizes = spark.createDataFrame([("s", 6.0), ("t", 6.0)], "vocab_lang string, V double")
+    out = TM.model_losses(seen, plan, c, n, sizes, 0.1)
+    parts = {r.model: list(r.parts) for r in plan.collect()}
+    got = out.collect()
+    assert sorted((r.lang, r.prev_id) for r in got) == [("s", 4), ("t", 1), ("t", 4)]  # a null language has no model
+    for r in got:
+        assert list(r.models) == sorted(r.models) and len(r.q) == len(r.models) and r.V == 6.0
+        for model, q in zip(r.models, r.q, strict=True):
+            top = sum(counts.get(p, 0.0) for p in parts[model]) if r.prev_id == 4 else 0.0
+            below = sum(contexts.get(p, 0.0) for p in parts[model]) if r.prev_id == 4 else 0.0
+            assert abs(q - round(-math.log((top + 0.1) / (below + 0.6)) * TM.UNIT)) <= 1
+    assert "transform" not in out._jdf.queryExecution().optimizedPlan().toString()  # losses of a batch are computed together

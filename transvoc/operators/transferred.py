@@ -27,20 +27,25 @@ whole numbers (:data:`UNIT`), so sums don't depend on their order and equal sent
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transvoc.functions.text import byte_len, first_half, second_half
-from transvoc.operators.lm import UNIT, context_counts, whole
+from transvoc.operators.lm import UNIT, context_counts, whole  # noqa: F401 - whole: for callers that make losses
 from transvoc.operators.product import sampled_product
 from transvoc.operators.report import REGIMES
-from transvoc.operators.tokenize import encode_long, words_col
+from transvoc.operators.tokenize import MAX_BROADCAST_ENTRIES, encode_long, token_rows, with_vocab_langs, words_col
 from transvoc.operators.transfer import pair_tokens
 from transvoc.operators.trie import greedy_pieces
 from transvoc.operators.vocab import CLS_ID, UNK_ID
+from transvoc.session import cut_lineage, scratch_path
 
 PAIR = ["src_lang", "tgt_lang"]
 MOVED = [*PAIR, "method"]
@@ -101,6 +106,29 @@ def transferred_counts(weights: DataFrame, lm: DataFrame, need: DataFrame) -> tu
     return kept, contexts
 
 
+def text_counts(lines: DataFrame, vocab: DataFrame, known_entries: int | None = None,
+                info: DataFrame | None = None) -> DataFrame:
+    """``(vocab_lang, lang, prev, tok, n)``: bigram counts of the lines of every language under every vocabulary.
+
+    Words get one number for all vocabularies (null: in none of them), and pairs of these are counted before they meet
+    a vocabulary, so the corpus is split and looked up once, whatever the number of vocabularies."""
+    small = F.broadcast if known_entries is not None and known_entries <= MAX_BROADCAST_ENTRIES else lambda df: df
+    # written once, so that the numbers stay the same
+    words = cut_lineage(vocab.select("token").distinct().withColumn("word", F.monotonically_increasing_id()), "words")
+    rows = (token_rows(lines, ["lang"])
+            .join(small(words), "token", "left")
+            .join(small(words.toDF("prev_token", "before")), "prev_token", "left")
+            .withColumn("before", F.when(F.col("pos") == 0, F.lit(-1)).otherwise(F.col("before"))))
+    pairs = rows.groupBy("lang", "before", "word").agg(F.count(F.lit(1)).alias("n"))
+    ids = vocab.select(F.col("lang").alias("vocab_lang"), "token", F.col("id").cast("int").alias("id")).join(small(words), "token")
+    own = lambda word, out: small(ids.select("vocab_lang", F.col("word").alias(word), F.col("id").alias(out)))
+    unknown = F.lit(UNK_ID)
+    found = (with_vocab_langs(pairs, vocab, "all", info)
+             .join(own("before", "p"), ["vocab_lang", "before"], "left").join(own("word", "t"), ["vocab_lang", "word"], "left"))
+    prev = F.when(F.col("before") == -1, F.lit(CLS_ID)).otherwise(F.coalesce("p", unknown))
+    return found.groupBy("vocab_lang", "lang", prev.alias("prev"), F.coalesce("t", unknown).alias("tok")).agg(F.sum("n").alias("n"))
+
+
 def part_counts(weights: DataFrame, lm_all: DataFrame, need: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(vocab_lang, part, prev_id, token_id, c)`` and ``(vocab_lang, part, prev_id, n)``: the counts of every part.
     A part is a language, whose text is counted under the vocabulary, or ``method:source``."""
@@ -144,10 +172,82 @@ def label_counts(lines: DataFrame, vocab: DataFrame, max_len: int, known_entries
     ``(vocab_lang, lang, doc_id, line_no, nbytes, prev_id, token_id, n_scored, n_read, n_sen, n_wrong)``: how often it
     occurs among the scored labels (second half, within ``max_len`` ids), among the labels within ``max_len``, in the line, and in the
     reversed line; ``nbytes`` are those of the second half."""
-    ws = words_col("line")
+    return unpacked_lines(counted_lines(lines, vocab, max_len, known_entries, info))
+
+
+def counted_lines(lines: DataFrame, vocab: DataFrame, max_len: int, known_entries: int | None = None,
+                  info: DataFrame | None = None) -> DataFrame:
+    """:func:`label_counts` in packed form (:func:`packed_lines`).
+
+    A line's words are looked up once for all vocabularies and its bigrams counted in Arrow batches; the workers read
+    the vocabularies, which are model-sized, from the shared folder.  Beyond ``MAX_BROADCAST_ENTRIES`` entries words
+    join them instead."""
     spark = lines.sparkSession
     n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lines = lines.repartition(n, "lang", "doc_id", "line_no")  # what follows is grouped by line: no shuffle of bigrams
+    if known_entries is not None and known_entries > MAX_BROADCAST_ENTRIES:
+        return packed_lines(_joined_label_counts(lines, vocab, max_len, known_entries, info))
+    path = scratch_path(spark, "label_vocab")
+    vocab.select("lang", "token", F.col("id").cast("int").alias("id")).write.parquet(path)
+    body = lines.withColumn("half", first_half("line")).select(
+        *LINE[1:4], byte_len(second_half("line")).alias("nbytes"), F.size(words_col("half")).alias("h"),
+        words_col("line").alias("ws")).where(F.size("ws") > 0)
+    texts = body.groupBy(*LINE[1:]).agg(F.collect_list(F.struct("h", "ws")).alias("texts"))  # lines with one key count as one
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
+    schema = ", ".join(["vocab_lang string", *(f"`{c}` {kinds[c]}" for c in LINE[1:]), *(f"{c} array<int>" for c in COUNTED)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, tokens, ids = _vocabularies(path)
+        for batch in batches:
+            for lang, rows, lists in _count_batch(batch.column("texts"), tokens, ids, langs, max_len):
+                keys = [batch.column(c).take(rows) for c in LINE[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), *keys, *lists], [*LINE, *COUNTED])
+
+    return texts.mapInArrow(run, schema)
+
+
+def _vocabularies(path: str) -> tuple[list[str], pa.Array, np.ndarray]:
+    """Languages, the distinct tokens of all vocabularies, and the ids: a row a language, a column a token, and a last one
+    of unknown ids."""
+    system, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (None, path)
+    table = pq.read_table(folder, filesystem=system).combine_chunks()
+    lang, token = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "token"))
+    ids = np.full((len(lang.dictionary), len(token.dictionary) + 1), UNK_ID, np.int64)
+    ids[lang.indices.to_numpy(), token.indices.to_numpy()] = table.column("id").to_numpy()
+    return lang.dictionary.to_pylist(), token.dictionary, ids
+
+
+def _count_batch(texts: pa.ListArray, tokens: pa.Array, ids: np.ndarray, langs: list[str],
+                 max_len: int) -> Iterator[tuple[str, pa.Array, list[pa.ListArray]]]:
+    """For each vocabulary its language, the rows that have bigrams, and their ``COUNTED`` lists."""
+    items = texts.flatten()
+    words, sizes = pc.struct_field(items, "ws"), pc.list_value_length(pc.struct_field(items, "ws")).to_numpy()
+    found = pc.fill_null(pc.index_in(words.flatten(), value_set=tokens), len(tokens)).to_numpy()
+    ends = np.cumsum(sizes)
+    pos = np.arange(len(found)) - np.repeat(ends - sizes, sizes)
+    last = pos == np.repeat(sizes, sizes) - 1
+    row = np.repeat(np.repeat(np.arange(len(texts)), pc.list_value_length(texts).to_numpy()), sizes)
+    read = pos < max_len - 1
+    scored = read & (pos >= np.repeat(pc.struct_field(items, "h").to_numpy(), sizes))
+    width = int(max(ids.max(initial=0), CLS_ID)) + 1
+    for lang, own in zip(langs, ids, strict=True):
+        tok = own[found].astype(np.int64)
+        prev = np.where(pos == 0, CLS_ID, np.roll(tok, 1))
+        after = np.where(last, CLS_ID, np.roll(tok, -1))  # what comes before it in the reversed line
+        code = lambda p, tok=tok: (row * width + p) * width + tok
+        keys, at = np.unique(np.concatenate((code(prev), code(after))), return_inverse=True)
+        forward, back = at[:len(tok)], at[len(tok):]
+        counts = [np.bincount(forward[kept], minlength=len(keys)) for kept in (scored, read, slice(None))]
+        values = [keys // width % width, keys % width, *counts, np.bincount(back, minlength=len(keys))]
+        of, k = np.unique(keys // width ** 2, return_counts=True)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(k))).astype(np.int32))
+        yield lang, pa.array(of), [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in values]
+
+
+def _joined_label_counts(lines: DataFrame, vocab: DataFrame, max_len: int, known_entries: int | None,
+                         info: DataFrame | None) -> DataFrame:
+    """:func:`label_counts` by joins, for vocabularies of any size."""
+    ws = words_col("line")
     sides = lines.withColumn("half", first_half("line")).select(
         "lang", "doc_id", "line_no", byte_len(second_half("line")).alias("nbytes"),
         F.size(words_col("half")).alias("h"), F.explode(F.array(
@@ -183,19 +283,58 @@ def model_losses(seen: DataFrame, plan: DataFrame, counts: DataFrame, contexts:
     on = (plan.select("model", "vocab_lang", F.explode(F.array("src_lang", "tgt_lang")).alias("lang")).distinct()
           .join(parts, ["model", "vocab_lang"]).groupBy("vocab_lang", "lang")
           .agg(F.array_sort(F.collect_list(F.struct("model", "parts"))).alias("m")).join(sizes, "vocab_lang"))
-    by_part = lambda v: F.map_from_entries(F.collect_list(F.struct("part", v)))
+    spark, keys = seen.sparkSession, ["vocab_lang", "lang"]
+    known = on.select(*keys, "V", F.col("m.model").alias("models"), F.col("m.parts").alias("parts")).collect()  # languages squared
+    of = {(r["vocab_lang"], r["lang"]): (r["V"], r["parts"]) for r in known}
+    names = spark.createDataFrame([(r["vocab_lang"], r["lang"], r["V"], r["models"]) for r in known],
+                                  "vocab_lang string, lang string, V double, models array<string>")
+    listed = lambda v: F.collect_list(F.struct("part", F.col(v).alias("x"))).alias(v)
     c = (counts.groupBy("vocab_lang", "prev_id", "token_id", "part").agg(F.sum("c").alias("c"))
-         .groupBy("vocab_lang", "prev_id", "token_id").agg(by_part("c").alias("c")))
+         .groupBy("vocab_lang", "prev_id", "token_id").agg(listed("c")))
     n = (contexts.groupBy("vocab_lang", "prev_id", "part").agg(F.sum("n").alias("n"))
-         .groupBy("vocab_lang", "prev_id").agg(by_part("n").alias("n")))
-    rows = (seen.join(F.broadcast(on), ["vocab_lang", "lang"])  # languages squared
+         .groupBy("vocab_lang", "prev_id").agg(listed("n")))
+    rows = (seen.select(*keys, "prev_id", "token_id").join(F.broadcast(names.select(*keys)), keys, "left_semi")
             .join(c, ["vocab_lang", "prev_id", "token_id"], "left").join(n, ["vocab_lang", "prev_id"], "left"))
-    total = lambda v, m: F.aggregate(
-        m["parts"], F.lit(0.0), lambda acc, p: acc + F.coalesce(F.try_element_at(F.col(v), p), F.lit(0.0)))
-    loss = lambda m: whole(-F.log(
-        (total("c", m) + F.lit(alpha)) / (total("n", m) + F.lit(alpha) * F.col("V"))))
-    return rows.select("vocab_lang", "lang", "prev_id", "token_id", "V", F.col("m.model").alias("models"),
-                       F.transform("m", loss).alias("q"))
+    rows = rows.select(*keys, "prev_id", "token_id", "c", "n")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:4])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            for v, lang in sorted(set(zip(*pair, strict=True))):
+                here = pa.array(np.flatnonzero((pair[0] == v) & (pair[1] == lang)))
+                some = batch.take(here)
+                q = _losses(some.column("c"), some.column("n"), *of[v, lang], alpha)
+                ends = pa.array(np.arange(len(q) + 1, dtype=np.int32) * q.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns[:4], pa.ListArray.from_arrays(ends, pa.array(q.ravel()))], [*some.schema.names[:4], "q"])
+
+    found = rows.mapInArrow(run, f"{kinds}, q array<bigint>")
+    return found.join(F.broadcast(names), keys).select(*keys, "prev_id", "token_id", "V", "models", "q")
+
+
+def _losses(c: pa.ListArray, n: pa.ListArray, size: float, models: list[list[str]], alpha: float) -> np.ndarray:
+    """Losses in 1 / UNIT nats, a row a bigram, a column a model; a model's parts are added up in their order."""
+    def by_part(lists: pa.ListArray) -> dict[str, np.ndarray]:
+        items = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        part, x = pc.struct_field(items, "part").dictionary_encode(), pc.struct_field(items, "x").to_numpy(zero_copy_only=False)
+        out = {}
+        for i, name in enumerate(part.dictionary.to_pylist()):
+            at = part.indices.to_numpy(zero_copy_only=False) == i
+            out[name] = np.zeros(len(lists))
+            out[name][row[at]] = x[at]
+        return out
+
+    c, n, none = by_part(c), by_part(n), np.zeros(len(c))
+    q = np.empty((len(none), len(models)), np.int64)
+    for m, parts in enumerate(models):
+        top, below = none, none
+        for part in parts:
+            top, below = top + c.get(part, none), below + n.get(part, none)
+        nats = -np.log((top + alpha) / (below + alpha * size)) * UNIT
+        q[:, m] = np.copysign(np.floor(np.abs(nats) + 0.5), nats)
+    return q
 
 
 def _score_block(lines: pa.Table, losses: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

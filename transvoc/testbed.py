@@ -278,10 +278,9 @@ def transfer_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def lm_all(spark, sf_dir) -> DataFrame:
     """``(vocab_lang, lang, prev, tok, n)``: bigram counts of every language's pool under every vocabulary."""
+    from transvoc.operators.transferred import text_counts
     m = models(spark, sf_dir)
-    rows = encode_long(pool(spark, sf_dir), m.vocab, "all", keys=["lang"], known_entries=m.known, info=m.info)
-    return rows.groupBy("vocab_lang", "lang", F.col("prev_id").alias("prev"), F.col("token_id").alias("tok")).agg(
-        F.count(F.lit(1)).alias("n"))
+    return text_counts(pool(spark, sf_dir), m.vocab, m.known, m.info)
 
 
 def weights(spark, sf_dir) -> DataFrame:
@@ -301,8 +300,7 @@ def pair_matrix(spark, sf_dir) -> DataFrame:
     from transvoc.operators.report import METRICS, with_pair_sums
     m, dev = models(spark, sf_dir), devtest(spark, sf_dir)
     plan = TM.model_plan(m.info.select(F.col("vocab_lang").alias("lang")))
-    labels = cut_lineage(TM.packed_lines(
-        TM.label_counts(dev.where(~is_blank("line")), m.vocab, MAX_SEQ_LEN, m.known, m.info)), "labels")
+    labels = cut_lineage(TM.counted_lines(dev.where(~is_blank("line")), m.vocab, MAX_SEQ_LEN, m.known, m.info), "labels")
     seen, heavy = TM.heavy_bigrams(TM.unpacked_lines(labels))
     seen, heavy = cut_lineage(seen, "seen"), cut_lineage(heavy, "heavy")
     need = seen.select("vocab_lang", "prev_id", "token_id").distinct()
