@@ -95,3 +95,11 @@ def test_ranges_of_jobs_are_not_broadcast(spark, tmp_dir):
     plan = segs._jdf.queryExecution().executedPlan().toString()
     assert [line for line in plan.splitlines() if "SortMergeJoin" in line and "chunk" in line]
     assert [r.input_ids[1] for r in segs.orderBy("seg_no").collect()] == list(range(40))
+
+
+def test_ids_are_made_once_for_lengths_and_places(spark):
+    from transvoc.operators.packing import token_offsets
+    enc = spark.createDataFrame([("c", k, 0, [7] * k) for k in range(9)], "lang string, doc_id long, line_no int, ids array<int>")
+    placed = token_offsets(enc, ["lang"], ["doc_id", "line_no"], docs_per_block=2)
+    assert "ExistingRDD" not in placed._jdf.queryExecution().executedPlan().toString()  # read from where they were written
+    assert [r["start"] for r in placed.orderBy("doc_id").collect()] == [sum(range(1, k + 1)) for k in range(9)]

@@ -99,3 +99,18 @@ def test_build_vocab_ids_and_pieces(spark):
     assert {(r["token"], r["id"]) for r in v.collect()} == {("b", 4), ("a", 5)}
     pv = piece_vocab(v, lines)
     assert {(r["token"], r["id"]) for r in pv.collect()} == {("b", 4), ("a", 5), ("c", 6)}
+
+
+def test_word_encode_in_batches_equals_joins(spark):
+    vocab = spark.createDataFrame([("s", "a", 4), ("s", "b", 5), ("t", "b", 4), ("t", "", 5)], "lang string, token string, id int")
+    rows = [("s", 1, 0, "a b a a c"), ("s", 1, 0, "b a b"), ("s", 1, 0, ""), ("s", 1, 0, ""), ("t", None, 1, "b  b q"),
+            (None, 2, 0, "a b"), ("u", 3, 0, "a b"), ("t", 3, 1, ""), ("t", 3, 2, None)]
+    lines = spark.createDataFrame(rows, "lang string, doc_id long, line_no int, line string")
+    shown = lambda df: sorted(map(str, df.select("vocab_lang", "lang", "doc_id", "line_no", "ids").collect()))
+    for pairs in ("same", "all"):
+        for max_len in (None, 2):
+            got = encode(lines, vocab, "word", pairs, max_len=max_len, known_entries=4)
+            want = encode(lines, vocab, "word", pairs, max_len=max_len, known_entries=4, max_broadcast_entries=3)
+            assert shown(got) == shown(want) != []
+    plan = encode(lines, vocab, "word", "same", known_entries=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan  # no row a token, and every line is read once

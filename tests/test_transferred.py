@@ -153,7 +153,7 @@ def _scored_models(spark):
 
 def test_counted_lines_equal_joined_ones_without_joins(spark):
     vocab, lines = _scored_models(spark)
-    got = TM.counted_lines(lines, vocab, 4)
+    got = TM.counted_lines(lines, vocab, 4, known_entries=4)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()  # a line is split once for all vocabularies
     want = TM._joined_label_counts(lines, vocab, 4, None, None)
     shown = lambda df: sorted(map(str, df.select(*TM.LINE, *TM.COUNTED).collect()))

@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from transvoc.operators.prefix import doc_block, exclusive_prefix_sum
 from transvoc.operators.vocab import CLS_ID, PAD_ID, SEP_ID
-from transvoc.session import spread
+from transvoc.session import cut_lineage, spread
 
 
 def token_offsets(enc: DataFrame, corpus: Sequence[str], order: Sequence[str],
                   ids: str = "ids", sep: int = SEP_ID, docs_per_block: int = 256) -> DataFrame:
     """WIN-3: ``start`` / ``end`` of every line's ids (+ separator) in the
-    concatenated stream of its corpus."""
-    df = enc.withColumn("__toks", F.concat(F.col(ids), F.array(F.lit(sep))))
+    concatenated stream of its corpus.  The ids are written once, as their lengths are needed before their places."""
+    df = cut_lineage(enc, "stream_ids").withColumn("__toks", F.concat(F.col(ids), F.array(F.lit(sep))))
     df = df.withColumn("__n", F.size("__toks").cast("long"))
     df = exclusive_prefix_sum(df, corpus, doc_block(order[0], docs_per_block), order, "__n",
                               out="start")

@@ -24,12 +24,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transvoc.operators.trie import greedy_pieces
 from transvoc.operators.vocab import CLS_ID, UNK_ID
+from transvoc.session import scratch_path
 
 MAX_BROADCAST_ENTRIES = 2_000_000
 
@@ -130,11 +136,14 @@ def encode(lines: DataFrame, vocab: DataFrame, mode: str = "word", pairs="same",
     """JOB-1 in array form: ``(vocab_lang, keys..., carry..., out array<int>)``.
 
     Lines without tokens get an empty array.  ``max_len`` truncates (SRT-5).
-    ``carry`` columns are constant per line and travel with the keys.
+    ``carry`` columns are constant per line and travel with the keys.  Words meet a vocabulary that the caller's
+    ``known_entries`` bounds in Arrow batches of whole lines, a larger one by joins.
     """
     keys = [k for k in keys if k != "vocab_lang"]
     gkeys = ["vocab_lang", *keys, *carry]
     base = with_vocab_langs(lines, vocab, pairs, info)
+    if mode == "word" and known_entries is not None and known_entries <= max_broadcast_entries:
+        return _encode_batches(base, vocab, gkeys, line_col, out, max_len)
     if mode == "word":
         longf = encode_long(base.select(*gkeys, line_col), vocab, pairs, [*keys, *carry],
                             line_col, known_entries, max_broadcast_entries, info=info)
@@ -156,6 +165,62 @@ def encode(lines: DataFrame, vocab: DataFrame, mode: str = "word", pairs="same",
     return res
 
 
+def write_vocabularies(vocab: DataFrame) -> str:
+    """Vocabularies as a table in the shared folder, for :func:`read_vocabularies` in the workers."""
+    path = scratch_path(vocab.sparkSession, "vocabularies")
+    vocab.select("lang", "token", F.col("id").cast("int").alias("id")).write.parquet(path)
+    return path
+
+
+def read_vocabularies(path: str, unk: int = UNK_ID) -> tuple[list[str], pa.Array, np.ndarray]:
+    """Languages, the distinct tokens of all vocabularies, and the ids: a row a language, a column a token; a last
+    row and a last column of unknown ids."""
+    system, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (None, path)
+    table = pq.read_table(folder, filesystem=system).combine_chunks()
+    lang, token = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "token"))
+    ids = np.full((len(lang.dictionary) + 1, len(token.dictionary) + 1), unk, np.int32)
+    ids[lang.indices.to_numpy(), token.indices.to_numpy()] = table.column("id").to_numpy()
+    return lang.dictionary.to_pylist(), token.dictionary, ids
+
+
+def _encode_batches(base: DataFrame, vocab: DataFrame, gkeys: Sequence[str], line_col: str, out: str,
+                    max_len: int | None) -> DataFrame:
+    """Word-mode :func:`encode`: lines with one key meet by a shuffle of text, words are looked up in Arrow batches.
+    Of lines with one key, the empty ones stay for themselves and the ids of the others are merged by position."""
+    path = write_vocabularies(vocab)
+    texts = base.where(F.col(line_col).isNotNull()).groupBy(*gkeys).agg(F.collect_list(line_col).alias("__texts"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, tokens, ids = read_vocabularies(path)
+        for batch in batches:
+            rows, lists = _line_ids(batch.column("__texts"), batch.column("vocab_lang"), langs, tokens, ids)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in gkeys), lists], [*gkeys, out])
+
+    res = texts.mapInArrow(run, f"{kinds}, `{out}` array<int>")
+    return res if max_len is None else res.withColumn(out, F.slice(F.col(out), 1, int(max_len)))
+
+
+def _line_ids(texts: pa.ListArray, vocab_langs: pa.Array, langs: list[str], tokens: pa.Array,
+              ids: np.ndarray) -> tuple[pa.Array, pa.ListArray]:
+    """Rows, repeated for empty lines, and the ids of each."""
+    lines = texts.flatten()
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(texts).to_numpy())
+    empty = pc.equal(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False)
+    split = pc.split_pattern(lines.filter(pa.array(~empty)), " ")
+    sizes = pc.list_value_length(split).to_numpy()
+    of = np.repeat(row[~empty], sizes)
+    of_lang = pc.fill_null(pc.index_in(vocab_langs, value_set=pa.array(langs, pa.string())), len(langs)).to_numpy()
+    found = pc.fill_null(pc.index_in(split.flatten(), value_set=tokens), len(tokens)).to_numpy()
+    values = ids[of_lang[of], found]
+    if len(np.unique(row[~empty])) < len(sizes):  # more lines than one with a key
+        pos = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        values = values[np.lexsort((values, pos, of))]
+    rows, k = np.unique(of, return_counts=True)
+    ends = np.concatenate(([0], np.cumsum(k), np.full(int(empty.sum()), len(of)))).astype(np.int32)
+    return pa.array(np.concatenate((rows, row[empty]))), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
 def tokenize_with(fn: Callable[[pd.Series], pd.Series]):
     """UDF-2: wrap a user tokenizer (``Series[str] -> Series[list[int]]``) as an
     Arrow-batched pandas UDF returning ``array<int>``."""

@@ -32,8 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as fs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +39,12 @@ from transvoc.functions.text import byte_len, first_half, second_half
 from transvoc.operators.lm import UNIT, context_counts, whole  # noqa: F401 - whole: for callers that make losses
 from transvoc.operators.product import sampled_product
 from transvoc.operators.report import REGIMES
-from transvoc.operators.tokenize import MAX_BROADCAST_ENTRIES, encode_long, token_rows, with_vocab_langs, words_col
+from transvoc.operators.tokenize import (MAX_BROADCAST_ENTRIES, encode_long, read_vocabularies, token_rows, with_vocab_langs,
+                                         words_col, write_vocabularies)
 from transvoc.operators.transfer import pair_tokens
 from transvoc.operators.trie import greedy_pieces
 from transvoc.operators.vocab import CLS_ID, UNK_ID
-from transvoc.session import cut_lineage, scratch_path
+from transvoc.session import cut_lineage
 
 PAIR = ["src_lang", "tgt_lang"]
 MOVED = [*PAIR, "method"]
@@ -180,15 +179,14 @@ def counted_lines(lines: DataFrame, vocab: DataFrame, max_len: int, known_entrie
     """:func:`label_counts` in packed form (:func:`packed_lines`).
 
     A line's words are looked up once for all vocabularies and its bigrams counted in Arrow batches; the workers read
-    the vocabularies, which are model-sized, from the shared folder.  Beyond ``MAX_BROADCAST_ENTRIES`` entries words
+    the vocabularies from the shared folder.  Beyond ``MAX_BROADCAST_ENTRIES`` entries, or without ``known_entries``, words
     join them instead."""
     spark = lines.sparkSession
     n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lines = lines.repartition(n, "lang", "doc_id", "line_no")  # what follows is grouped by line: no shuffle of bigrams
-    if known_entries is not None and known_entries > MAX_BROADCAST_ENTRIES:
+    if known_entries is None or known_entries > MAX_BROADCAST_ENTRIES:
         return packed_lines(_joined_label_counts(lines, vocab, max_len, known_entries, info))
-    path = scratch_path(spark, "label_vocab")
-    vocab.select("lang", "token", F.col("id").cast("int").alias("id")).write.parquet(path)
+    path = write_vocabularies(vocab)
     body = lines.withColumn("half", first_half("line")).select(
         *LINE[1:4], byte_len(second_half("line")).alias("nbytes"), F.size(words_col("half")).alias("h"),
         words_col("line").alias("ws")).where(F.size("ws") > 0)
@@ -197,26 +195,15 @@ def counted_lines(lines: DataFrame, vocab: DataFrame, max_len: int, known_entrie
     schema = ", ".join(["vocab_lang string", *(f"`{c}` {kinds[c]}" for c in LINE[1:]), *(f"{c} array<int>" for c in COUNTED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, tokens, ids = _vocabularies(path)
+        langs, tokens, ids = read_vocabularies(path)
         for batch in batches:
-            for lang, rows, lists in _count_batch(batch.column("texts"), tokens, ids, langs, max_len):
+            for lang, rows, lists in _count_batch(batch.column("texts"), tokens, ids[:-1], langs, max_len):
                 keys = [batch.column(c).take(rows) for c in LINE[1:]]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), *keys, *lists], [*LINE, *COUNTED])
 
     return texts.mapInArrow(run, schema)
 
 
-def _vocabularies(path: str) -> tuple[list[str], pa.Array, np.ndarray]:
-    """Languages, the distinct tokens of all vocabularies, and the ids: a row a language, a column a token, and a last one
-    of unknown ids."""
-    system, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (None, path)
-    table = pq.read_table(folder, filesystem=system).combine_chunks()
-    lang, token = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "token"))
-    ids = np.full((len(lang.dictionary), len(token.dictionary) + 1), UNK_ID, np.int64)
-    ids[lang.indices.to_numpy(), token.indices.to_numpy()] = table.column("id").to_numpy()
-    return lang.dictionary.to_pylist(), token.dictionary, ids
-
-
 def _count_batch(texts: pa.ListArray, tokens: pa.Array, ids: np.ndarray, langs: list[str],
                  max_len: int) -> Iterator[tuple[str, pa.Array, list[pa.ListArray]]]:
     """For each vocabulary its language, the rows that have bigrams, and their ``COUNTED`` lists."""
