@@ -114,3 +114,13 @@ def test_word_encode_in_batches_equals_joins(spark):
             assert shown(got) == shown(want) != []
     plan = encode(lines, vocab, "word", "same", known_entries=4)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan  # no row a token, and every line is read once
+
+
+def test_score_hashes_a_large_bigram_table(spark):
+    from transvoc.operators import lm as lm_ops
+    lm = spark.createDataFrame([("s", 2, 4, 3), ("s", 4, 4, 1), ("s", 4, 1, 2)], "lang string, prev int, tok int, n long")
+    rows = spark.createDataFrame([("s", p, t) for p in (1, 2, 4) for t in (1, 4, 5)] + [(None, 2, 4)],
+                                 "vocab_lang string, prev_id int, token_id int")
+    few, many = (lm_ops.score(rows, lm, 6, lm_rows=n) for n in (3, lm_ops.SMALL_LM + 1))
+    assert "ShuffledHashJoin" in many._jdf.queryExecution().executedPlan().toString()  # labels are not sorted to meet it
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))

@@ -22,6 +22,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from transvoc.operators.vocab import CLS_ID, UNK_ID
 
 
+#: Rows of a bigram table up to which Spark may choose to broadcast it.
+SMALL_LM = 200_000
 #: Losses that are added up are whole numbers of 1 / UNIT nats, so that sums don't depend on their order.
 UNIT = 10 ** 12
 
@@ -63,19 +65,22 @@ def unknown_counts(lm: DataFrame, unk: int = UNK_ID) -> DataFrame:
 
 def score(rows: DataFrame, lm: DataFrame, vocab_size, alpha: float = 0.1,
           model_col: str = "vocab_lang", ctx: DataFrame | None = None,
-          ctx_bound: int | None = None, max_broadcast_rows: int = 5_000_000) -> DataFrame:
+          ctx_bound: int | None = None, max_broadcast_rows: int = 5_000_000, lm_rows: int | None = None) -> DataFrame:
     """JOB-7: add-alpha bigram loss ``-ln((c + a) / (n + a V))`` per label row.
 
     ``vocab_size`` is a number or the name of a column holding V.  Unknown
     labels, the hot key of a text in another language, never meet the bigram
     table: their counts stand in the context table, which has at most V rows
     per model and is broadcast when the caller's ``ctx_bound`` allows it.  The
-    other labels join the bigram table, which grows with the corpus and is not
-    hinted: AQE decides at run time (broadcast when small, else sort-merge with
-    skew splitting).
+    other labels join the bigram table, which grows with the corpus: where the
+    caller's ``lm_rows`` tell that it is not small, a task hashes its share of the
+    table (its keys are unique) and lets the labels, frequent ones too, pass
+    unsorted.  Else AQE decides at run time.
     """
     big = lm.where(F.col("tok") != UNK_ID).select(
         F.col("lang").alias(model_col), F.col("prev").alias("prev_id"), F.col("tok").alias("token_id"), F.col("n").alias("__c"))
+    if lm_rows is not None and lm_rows > SMALL_LM:
+        big = big.hint("shuffle_hash")
     ctx = (context_counts(lm) if ctx is None else ctx).join(unknown_counts(lm), ["lang", "prev"], "left").select(
         F.col("lang").alias(model_col), F.col("prev").alias("prev_id"), F.col("n_prev").alias("__n"),
         F.col("n_unk").alias("__u"))

@@ -33,9 +33,10 @@ def _scored(rows: DataFrame, lm: DataFrame, alpha: float, scorer=None,
             ctx: DataFrame | None = None) -> DataFrame:
     if scorer is not None:
         return lm_ops.score_with(rows, scorer)
-    # context rows: at most one per (model, vocabulary id), counted where they are a written table
-    return lm_ops.score(rows, lm, "V", alpha=alpha, ctx=ctx,
-                        ctx_bound=ctx.count() if ctx is not None else None)
+    # context rows: at most one per (model, vocabulary id), counted where they and the bigrams are written tables
+    written = ctx is not None
+    return lm_ops.score(rows, lm, "V", alpha=alpha, ctx=ctx, ctx_bound=ctx.count() if written else None,
+                        lm_rows=lm.count() if written else None)
 
 
 def _sizes(vocab: DataFrame, info: DataFrame | None) -> DataFrame:

@@ -177,7 +177,7 @@ def token_scores(spark, sf_dir):
     m = tb.models(spark, sf_dir)
     rows = encode_long(tb.devtest(spark, sf_dir), m.vocab, "all",
                        known_entries=m.known, info=m.info)
-    tl = lm_ops.score(rows, m.lm, tb.VOCAB_SIZE, alpha=tb.ALPHA, ctx=m.ctx)
+    tl = lm_ops.score(rows, m.lm, tb.VOCAB_SIZE, alpha=tb.ALPHA, ctx=m.ctx, ctx_bound=m.ctx.count(), lm_rows=m.lm.count())
     return finish(tl.select("vocab_lang", "lang", "doc_id", "line_no", "pos", "token_id",
                             "prev_id", "loss_nats"))
 
