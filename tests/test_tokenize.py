@@ -124,3 +124,18 @@ def test_score_hashes_a_large_bigram_table(spark):
     few, many = (lm_ops.score(rows, lm, 6, lm_rows=n) for n in (3, lm_ops.SMALL_LM + 1))
     assert "ShuffledHashJoin" in many._jdf.queryExecution().executedPlan().toString()  # labels are not sorted to meet it
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+def test_words_of_the_pool_are_counted_once(spark):
+    from transvoc.operators import vocab as VO
+    from transvoc.testbed import Models
+    rows = [("s", "a b a"), ("s", "b  c"), (None, "a"), ("t", ""), ("t", None), ("t", " x "), ("s", "a b a")]
+    lines = spark.createDataFrame(rows, "lang string, line string")
+    want = VO.line_tokens(lines).groupBy("lang", "token").count().collect()
+    counts = VO.counted_words(lines)
+    assert sorted(map(str, map(tuple, counts.collect()))) == sorted(map(str, map(tuple, want)))
+    assert "Generate" not in counts._jdf.queryExecution().optimizedPlan().toString()  # a row a distinct word of a task, not a word
+    m = Models(spark, "nowhere")  # both vocabularies come from the written counts: no text is read
+    m._cache["pool_words"] = counts
+    assert sorted(map(tuple, m.vocab.collect())) == sorted(map(tuple, VO.build_vocab(lines, 2000).collect()))
+    assert sorted(map(tuple, m.pieces.collect())) == sorted(map(tuple, VO.piece_vocab(m.vocab, lines).collect()))

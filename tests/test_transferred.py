@@ -197,3 +197,30 @@ def test_losses_follow_the_parts_in_order(spark):
             below = sum(contexts.get(p, 0.0) for p in parts[model]) if r.prev_id == 4 else 0.0
             assert abs(q - round(-math.log((top + 0.1) / (below + 0.6)) * TM.UNIT)) <= 1
     assert "transform" not in out._jdf.queryExecution().optimizedPlan().toString()  # losses of a batch are computed together
+
+
+def test_pairs_of_words_are_counted_before_they_leave_a_task(spark):
+    """No row a word: batches of lines give counted pairs, and the labels are opened once for the losses of a block."""
+    vocab, lines = _scored_models(spark)
+    plan = TM.text_counts(lines, vocab, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "prev_token" not in plan
+    labels = TM.counted_lines(lines, vocab, 4, known_entries=4)
+    seen = TM.seen_bigrams(TM.unpacked_lines(labels))
+    losses = (seen.drop("lines").withColumn("models", F.array(F.lit("m"))).withColumn("V", F.lit(6.0))
+              .withColumn("q", F.array(F.lit(1).cast("long"))))
+    scored = TM.score_lines(labels.localCheckpoint(), losses.localCheckpoint(), seen.drop("lines").limit(1).localCheckpoint(), 4)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(arrays_zip(prev_id") == 1 and "aggregate(" not in plan
+
+
+@pytest.mark.parametrize("most", [1, 3, 10**6])
+def test_word_portions_hold_all_words(most):
+    import pyarrow as pa
+
+    from transvoc.operators.vocab import word_portions
+    texts = [["a b", None, "", "c  d"], [], [""], [" e"]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["s"] * len(t), pa.string()), pa.array(t, pa.string())], ["lang", "line"])
+               for t in texts]
+    got = list(word_portions(iter(batches), most=most))
+    assert [w for _, _, words in got for w in words.to_pylist()] == ["a", "b", "c", "", "d", "", "e"]
+    assert [n for langs, sizes, _ in got for n in zip(langs.to_pylist(), sizes.tolist(), strict=True)] == [("s", 2), ("s", 3), ("s", 2)]

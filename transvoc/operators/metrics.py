@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from transvoc.functions.text import byte_len, first_half, is_blank, join_prompt, second_half
 from transvoc.operators import lm as lm_ops
-from transvoc.operators.tokenize import encode, encode_long, token_rows, with_vocab_langs, words_col
+from transvoc.operators.tokenize import encode, encode_long, with_vocab_langs, words_col
 from transvoc.operators.trie import greedy_pieces
-from transvoc.operators.vocab import PAD_ID, UNK_ID
+from transvoc.operators.vocab import PAD_ID, UNK_ID, counted_words
+from transvoc.session import cut_lineage
 
 LN2 = math.log(2.0)
 
@@ -166,8 +167,7 @@ def bytes_per_token(lines: DataFrame, pieces: DataFrame, pairs="all", n_special:
     Words are counted by language before they meet a vocabulary, so neither the
     lines nor the words' occurrences are repeated for each vocabulary.
     """
-    words = token_rows(lines, ["lang"]).groupBy("lang", F.col("token").alias("word")).agg(
-        F.count(F.lit(1)).alias("n"))
+    words = cut_lineage(counted_words(lines), "words").withColumnRenamed("token", "word")  # read twice
     sizes = lines.groupBy("lang").agg(F.sum(byte_len("line")).cast("long").alias("n_bytes"),
                                       F.count(F.lit(1)).alias("n_lines"))
     grid = with_vocab_langs(words, pieces, pairs, info).select("vocab_lang", "lang", "word", "n")

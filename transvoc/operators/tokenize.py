@@ -172,11 +172,16 @@ def write_vocabularies(vocab: DataFrame) -> str:
     return path
 
 
+def read_shared(path: str) -> pa.Table:
+    """A Parquet table in the shared folder, read in a worker."""
+    system, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (None, path)
+    return pq.read_table(folder, filesystem=system).combine_chunks()
+
+
 def read_vocabularies(path: str, unk: int = UNK_ID) -> tuple[list[str], pa.Array, np.ndarray]:
     """Languages, the distinct tokens of all vocabularies, and the ids: a row a language, a column a token; a last
     row and a last column of unknown ids."""
-    system, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (None, path)
-    table = pq.read_table(folder, filesystem=system).combine_chunks()
+    table = read_shared(path)
     lang, token = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "token"))
     ids = np.full((len(lang.dictionary) + 1, len(token.dictionary) + 1), unk, np.int32)
     ids[lang.indices.to_numpy(), token.indices.to_numpy()] = table.column("id").to_numpy()

@@ -39,12 +39,12 @@ from transvoc.functions.text import byte_len, first_half, second_half
 from transvoc.operators.lm import UNIT, context_counts, whole  # noqa: F401 - whole: for callers that make losses
 from transvoc.operators.product import sampled_product
 from transvoc.operators.report import REGIMES
-from transvoc.operators.tokenize import (MAX_BROADCAST_ENTRIES, encode_long, read_vocabularies, token_rows, with_vocab_langs,
-                                         words_col, write_vocabularies)
+from transvoc.operators.tokenize import (MAX_BROADCAST_ENTRIES, encode_long, read_shared, read_vocabularies, token_rows,
+                                         with_vocab_langs, words_col, write_vocabularies)
 from transvoc.operators.transfer import pair_tokens
 from transvoc.operators.trie import greedy_pieces
-from transvoc.operators.vocab import CLS_ID, UNK_ID
-from transvoc.session import cut_lineage
+from transvoc.operators.vocab import CLS_ID, UNK_ID, word_portions
+from transvoc.session import scratch_path
 
 PAIR = ["src_lang", "tgt_lang"]
 MOVED = [*PAIR, "method"]
@@ -113,12 +113,16 @@ def text_counts(lines: DataFrame, vocab: DataFrame, known_entries: int | None =
     a vocabulary, so the corpus is split and looked up once, whatever the number of vocabularies."""
     small = F.broadcast if known_entries is not None and known_entries <= MAX_BROADCAST_ENTRIES else lambda df: df
     # written once, so that the numbers stay the same
-    words = cut_lineage(vocab.select("token").distinct().withColumn("word", F.monotonically_increasing_id()), "words")
-    rows = (token_rows(lines, ["lang"])
-            .join(small(words), "token", "left")
-            .join(small(words.toDF("prev_token", "before")), "prev_token", "left")
-            .withColumn("before", F.when(F.col("pos") == 0, F.lit(-1)).otherwise(F.col("before"))))
-    pairs = rows.groupBy("lang", "before", "word").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(lines.sparkSession, "words")
+    vocab.select("token").distinct().withColumn("word", F.monotonically_increasing_id()).write.parquet(path)
+    words = lines.sparkSession.read.parquet(path)
+    if known_entries is not None and known_entries <= MAX_BROADCAST_ENTRIES:
+        pairs = _counted_pairs(lines, path)
+    else:
+        rows = (token_rows(lines, ["lang"])
+                .join(words, "token", "left").join(words.toDF("prev_token", "before"), "prev_token", "left")
+                .withColumn("before", F.when(F.col("pos") == 0, F.lit(-1)).otherwise(F.col("before"))))
+        pairs = rows.groupBy("lang", "before", "word").agg(F.count(F.lit(1)).alias("n"))
     ids = vocab.select(F.col("lang").alias("vocab_lang"), "token", F.col("id").cast("int").alias("id")).join(small(words), "token")
     own = lambda word, out: small(ids.select("vocab_lang", F.col("word").alias(word), F.col("id").alias(out)))
     unknown = F.lit(UNK_ID)
@@ -128,6 +132,35 @@ def text_counts(lines: DataFrame, vocab: DataFrame, known_entries: int | None =
     return found.groupBy("vocab_lang", "lang", prev.alias("prev"), F.coalesce("t", unknown).alias("tok")).agg(F.sum("n").alias("n"))
 
 
+def _counted_pairs(lines: DataFrame, path: str) -> DataFrame:
+    """``(lang, before, word, n)``: pairs of the numbers that words have in the table ``(token, word)`` at ``path``, null if
+    none, -1 before a line; counted in Arrow batches before they are shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = read_shared(path)
+        tokens, size = table.column("token").combine_chunks(), len(table)
+        numbers = pa.concat_arrays([table.column("word").combine_chunks(), pa.array([None, -1], pa.int64())])
+        for langs, sizes, words in word_portions(batches):
+            word = pc.fill_null(pc.index_in(words, value_set=tokens), size).to_numpy().astype(np.int64)
+            before = np.roll(word, 1)
+            before[np.cumsum(sizes) - sizes] = size + 1
+            lang = langs.dictionary_encode(null_encoding="encode")
+            codes = (np.repeat(lang.indices.to_numpy().astype(np.int64), sizes) * (size + 2) + before) * (size + 2) + word
+            keys, n = np.unique(codes, return_counts=True)
+            rest, word = np.divmod(keys, size + 2)
+            rows, k = np.unique(rest, return_counts=True)  # a row a language and word before, with lists of what follows
+            of, before = np.divmod(rows, size + 2)
+            ends = pa.array(np.concatenate(([0], np.cumsum(k))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [lang.dictionary.take(pa.array(of)), numbers.take(pa.array(before)),
+                 pa.ListArray.from_arrays(ends, numbers.take(pa.array(word))),
+                 pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int64)))], ["lang", "before", "words", "ns"])
+
+    kind = lines.schema["lang"].dataType.simpleString()
+    counted = lines.select("lang", "line").mapInArrow(run, f"lang {kind}, before bigint, words array<bigint>, ns array<bigint>")
+    return (counted.select("lang", "before", F.explode(F.arrays_zip("words", "ns")).alias("z"))
+            .groupBy("lang", "before", F.col("z.words").alias("word")).agg(F.sum("z.ns").alias("n")))
+
+
 def part_counts(weights: DataFrame, lm_all: DataFrame, need: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(vocab_lang, part, prev_id, token_id, c)`` and ``(vocab_lang, part, prev_id, n)``: the counts of every part.
     A part is a language, whose text is counted under the vocabulary, or ``method:source``."""
@@ -188,9 +221,9 @@ def counted_lines(lines: DataFrame, vocab: DataFrame, max_len: int, known_entrie
         return packed_lines(_joined_label_counts(lines, vocab, max_len, known_entries, info))
     path = write_vocabularies(vocab)
     body = lines.withColumn("half", first_half("line")).select(
-        *LINE[1:4], byte_len(second_half("line")).alias("nbytes"), F.size(words_col("half")).alias("h"),
-        words_col("line").alias("ws")).where(F.size("ws") > 0)
-    texts = body.groupBy(*LINE[1:]).agg(F.collect_list(F.struct("h", "ws")).alias("texts"))  # lines with one key count as one
+        *LINE[1:4], byte_len(second_half("line")).alias("nbytes"), F.size(words_col("half")).alias("h"), "line").where(
+        F.col("line") != "")
+    texts = body.groupBy(*LINE[1:]).agg(F.collect_list(F.struct("h", "line")).alias("texts"))  # lines with one key count as one
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
     schema = ", ".join(["vocab_lang string", *(f"`{c}` {kinds[c]}" for c in LINE[1:]), *(f"{c} array<int>" for c in COUNTED)])
 
@@ -208,7 +241,8 @@ def _count_batch(texts: pa.ListArray, tokens: pa.Array, ids: np.ndarray, langs:
                  max_len: int) -> Iterator[tuple[str, pa.Array, list[pa.ListArray]]]:
     """For each vocabulary its language, the rows that have bigrams, and their ``COUNTED`` lists."""
     items = texts.flatten()
-    words, sizes = pc.struct_field(items, "ws"), pc.list_value_length(pc.struct_field(items, "ws")).to_numpy()
+    words = pc.split_pattern(pc.struct_field(items, "line"), " ")
+    sizes = pc.list_value_length(words).to_numpy()
     found = pc.fill_null(pc.index_in(words.flatten(), value_set=tokens), len(tokens)).to_numpy()
     ends = np.cumsum(sizes)
     pos = np.arange(len(found)) - np.repeat(ends - sizes, sizes)
@@ -217,15 +251,17 @@ def _count_batch(texts: pa.ListArray, tokens: pa.Array, ids: np.ndarray, langs:
     read = pos < max_len - 1
     scored = read & (pos >= np.repeat(pc.struct_field(items, "h").to_numpy(), sizes))
     width = int(max(ids.max(initial=0), CLS_ID)) + 1
+    role = np.where(scored, 0, np.where(read, 1, 2))  # of a word in its line; 3: in the reversed line
     for lang, own in zip(langs, ids, strict=True):
         tok = own[found].astype(np.int64)
         prev = np.where(pos == 0, CLS_ID, np.roll(tok, 1))
         after = np.where(last, CLS_ID, np.roll(tok, -1))  # what comes before it in the reversed line
         code = lambda p, tok=tok: (row * width + p) * width + tok
-        keys, at = np.unique(np.concatenate((code(prev), code(after))), return_inverse=True)
-        forward, back = at[:len(tok)], at[len(tok):]
-        counts = [np.bincount(forward[kept], minlength=len(keys)) for kept in (scored, read, slice(None))]
-        values = [keys // width % width, keys % width, *counts, np.bincount(back, minlength=len(keys))]
+        found_at = np.sort(np.concatenate((code(prev) * 4 + role, code(after) * 4 + 3)))
+        first = np.flatnonzero(np.diff(found_at >> 2, prepend=-1))
+        keys, at = found_at[first] >> 2, np.repeat(np.arange(len(first)), np.diff(first, append=len(found_at)))
+        n = np.bincount(at * 4 + (found_at & 3), minlength=4 * len(keys)).reshape(-1, 4)
+        values = [keys // width % width, keys % width, n[:, 0], n[:, 0] + n[:, 1], n[:, :3].sum(axis=1), n[:, 3]]
         of, k = np.unique(keys // width ** 2, return_counts=True)
         offsets = pa.array(np.concatenate(([0], np.cumsum(k))).astype(np.int32))
         yield lang, pa.array(of), [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in values]
@@ -348,34 +384,39 @@ def _score_block(lines: pa.Table, losses: pa.Table) -> tuple[np.ndarray, np.ndar
     return known.T, delta.T, np.bincount(of, minlength=lines.num_rows) > 0
 
 
+def _line_sums(lines: pa.Table) -> list[np.ndarray]:
+    """Of each line: its scored unknown labels, its unknown labels and its labels among the read ones, all its labels."""
+    flat = lambda c: lines.column(c).combine_chunks().flatten().to_numpy()
+    of, unknown = np.repeat(np.arange(lines.num_rows), np.asarray(lines.column("k"))), flat("token_id") == UNK_ID
+    counts = (flat("n_scored") * unknown, flat("n_read") * unknown, flat("n_read"), flat("n_sen"))
+    return [np.bincount(of, weights=n, minlength=lines.num_rows).astype(np.int64) for n in counts]
+
+
 def score_lines(labels: DataFrame, losses: DataFrame, heavy: DataFrame, max_pair_len: int,
                 block_labels: int = BLOCK_LABELS) -> DataFrame:
     """``(model, lang, doc_id, line_no, surprisal, nbytes, n_unk, n_read, delta, over)`` of every line under every model.
 
     ``surprisal`` in bits: an unknown label costs log2(V) whatever the model says; ``delta``: by how much the
     reversed line costs more, in 1 / UNIT nats.  ``labels`` may be packed already (:func:`packed_lines`).  Lines are
-    dealt into blocks by their counted bigrams; a block gets the losses of its distinct bigrams, those of ``heavy`` by broadcast."""
+    dealt into blocks by their counted bigrams; a block gets the losses of its distinct bigrams, and those of all of ``heavy``."""
     pair, key = ["vocab_lang", "lang"], ["vocab_lang", "lang", "prev_id", "token_id"]
     if "models" not in losses.columns:
         losses = (losses.groupBy(*key, "V").agg(F.array_sort(F.collect_list(F.struct("model", "q"))).alias("m"))
                   .select(*key, "V", F.col("m.model").alias("models"), F.col("m.q").alias("q")))
     lines = packed_lines(labels)
-    count = lambda c, of: F.aggregate(F.arrays_zip(c, "token_id"), F.lit(0), lambda acc, x: acc + F.when(
-        F.lit(True) if of is None else x["token_id"] == of, x[c]).otherwise(0))
     lines = lines.withColumn("k", F.size("prev_id"))
     blocks = lines.groupBy(*pair).agg(F.ceil(F.sum("k") / F.lit(block_labels)).alias("blocks"))
     dealt = (lines.join(F.broadcast(blocks), pair)  # languages squared
              .withColumn("block", F.pmod(F.xxhash64("doc_id", "line_no", "nbytes"), F.col("blocks"))).drop("blocks"))
-    met = dealt.select(*pair, "block", F.explode(F.arrays_zip("prev_id", "token_id")).alias("z")).select(
-        *pair, "block", "z.prev_id", "z.token_id").distinct()
     table = losses.select(*key, "q")
-    most = met.join(F.broadcast(heavy), key, "left_semi").join(
-        F.broadcast(table.join(F.broadcast(heavy), key, "left_semi")), key)
-    rest = met.join(F.broadcast(heavy), key, "left_anti").join(table.join(F.broadcast(heavy), key, "left_anti"), key)
-    own = dealt.select(*pair, "block", *LINE[2:], "k", "prev_id", "token_id", "n_scored", "n_sen", "n_wrong",
-                       count("n_scored", UNK_ID).alias("unknown"), count("n_read", UNK_ID).alias("n_unk"),
-                       count("n_read", None).alias("n_read"), (count("n_sen", None) >= max_pair_len).alias("over"))
-    out = [*pair, *LINE[2:], "unknown", "n_unk", "n_read", "over"]
+    most = (blocks.select(*pair, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+            .join(F.broadcast(table.join(F.broadcast(heavy), key, "left_semi")), pair))  # every block gets them
+    met = dealt.select(*pair, "block", F.explode(F.arrays_zip("prev_id", "token_id")).alias("z")).select(
+        *pair, "block", "z.prev_id", "z.token_id")
+    rest = met.join(F.broadcast(heavy), key, "left_anti").distinct().join(table, key)
+    own = dealt.select(*pair, "block", *LINE[2:], "k", *COUNTED)
+    out = [*pair, *LINE[2:]]
+    summed = ["unknown", "n_unk", "n_read", "n_sen"]
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
 
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
@@ -387,19 +428,21 @@ def score_lines(labels: DataFrame, losses: DataFrame, heavy: DataFrame, max_pair
         width = pa.array(np.arange(block.num_rows + 1, dtype=np.int32) * known.shape[1])
         lists = {n: pa.ListArray.from_arrays(width, pa.array(np.ascontiguousarray(x).ravel()))
                  for n, x in (("known", known), ("delta", delta))}
-        return pa.table({c: block.column(c) for c in out} | lists).filter(pa.array(scored))
+        sums = {n: pa.array(x) for n, x in zip(summed, _line_sums(block), strict=True)}
+        return pa.table({c: block.column(c) for c in out} | sums | lists).filter(pa.array(scored))
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", known array<bigint>, delta array<bigint>"
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in out), *(f"{c} bigint" for c in summed),
+                        "known array<bigint>, delta array<bigint>"])
     right = most.unionByName(rest).select(*pair, "block", "prev_id", "token_id", "q")
     keys = [*pair, "block"]
     scored = (own.groupBy(*keys).cogroup(right.toDF(*(f"r_{c}" for c in right.columns)).toDF(*right.columns).groupBy(*keys))
               .applyInArrow(run, schema))
-    names = losses.groupBy(*pair, "V").agg(F.first("models").alias("models"))  # a row a vocabulary and language
+    names = losses.select(*pair, "V", "models").distinct()  # a row a vocabulary and language
     per_line = scored.join(F.broadcast(names), pair).select(
-        *out, "V", F.explode(F.arrays_zip(F.col("models").alias("model"), "known", "delta")).alias("z"))
+        *out, *summed, "V", F.explode(F.arrays_zip(F.col("models").alias("model"), "known", "delta")).alias("z"))
     bits = F.col("z.known") / F.lit(UNIT * math.log(2.0)) + F.col("unknown") * F.log2("V")
     return per_line.select("z.model", "lang", "doc_id", "line_no", bits.alias("surprisal"), "nbytes", "n_unk", "n_read",
-                           "z.delta", "over")
+                           "z.delta", (F.col("n_sen") >= max_pair_len).alias("over"))
 
 
 def model_metrics(lines: DataFrame) -> DataFrame:
@@ -412,9 +455,19 @@ def model_metrics(lines: DataFrame) -> DataFrame:
 
 def heavy_bigrams(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct bigrams by vocabulary and language with the lines that have them, and the commonest of these."""
-    seen = labels.groupBy("vocab_lang", "lang", "prev_id", "token_id").agg(F.count(F.lit(1)).alias("lines"))
+    seen = seen_bigrams(labels)
+    return seen, commonest(seen)
+
+
+def seen_bigrams(labels: DataFrame) -> DataFrame:
+    """``(vocab_lang, lang, prev_id, token_id, lines)``: distinct bigrams and the lines that have them."""
+    return labels.groupBy("vocab_lang", "lang", "prev_id", "token_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def commonest(seen: DataFrame) -> DataFrame:
+    """The bigrams of :func:`seen_bigrams` that most lines have: ``HEAVY_KEYS`` at most."""
     heavy = seen.where(F.col("lines") >= HEAVY_LINES).orderBy(F.col("lines").desc(), *seen.columns[:4]).limit(HEAVY_KEYS)
-    return seen, heavy.drop("lines")
+    return heavy.drop("lines")
 
 
 def pair_cells(plan: DataFrame, per_model: DataFrame, compression: DataFrame) -> DataFrame:

@@ -6,6 +6,11 @@ tokens are ranked by (count desc, token asc).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +22,8 @@ UNK_ID = 1
 CLS_ID = 2
 SEP_ID = 3
 N_RESERVED = 4
+#: Words that a task counts at a time, about.
+COUNT_WORDS = 2_000_000
 
 
 def line_tokens(lines: DataFrame, line_col: str = "line", keep=("lang",)) -> DataFrame:
@@ -24,6 +31,44 @@ def line_tokens(lines: DataFrame, line_col: str = "line", keep=("lang",)) -> Dat
     return lines.select(*keep, F.posexplode(words(line_col)).alias("pos", "token"))
 
 
+def word_portions(batches: Iterator[pa.RecordBatch], line_col: str = "line",
+                  most: int = COUNT_WORDS) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
+    """Languages and numbers of words of non-empty lines, and their words: of as many Arrow batches as have ``most`` words."""
+    langs, split, held = [], [], 0
+    for batch in batches:
+        some = batch.filter(pc.greater(pc.binary_length(batch.column(line_col)), 0))
+        langs.append(some.column("lang"))
+        split.append(pc.split_pattern(some.column(line_col), " "))
+        held += len(split[-1].flatten())
+        if held >= most:
+            yield _joined(langs, split)
+            langs, split, held = [], [], 0
+    if held:
+        yield _joined(langs, split)
+
+
+def _joined(langs: list[pa.Array], split: list[pa.ListArray]) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    return (pa.concat_arrays(langs), np.concatenate([pc.list_value_length(s).to_numpy() for s in split]),
+            pa.concat_arrays([s.flatten() for s in split]))
+
+
+def counted_words(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """``(lang, token, n bigint)``: the words of the lines of every language, counted in Arrow batches before they are
+    shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, sizes, found in word_portions(batches, line_col):
+            lang, word = langs.dictionary_encode(null_encoding="encode"), found.dictionary_encode()
+            codes = np.repeat(lang.indices.to_numpy().astype(np.int64), sizes) * len(word.dictionary) + word.indices.to_numpy()
+            keys, n = np.unique(codes, return_counts=True)
+            of, which = np.divmod(keys, len(word.dictionary))
+            yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(of)), word.dictionary.take(pa.array(which)),
+                                              pa.array(n.astype(np.int64))], ["lang", "token", "n"])
+
+    kind = lines.schema["lang"].dataType.simpleString()
+    return (lines.select("lang", line_col).mapInArrow(run, f"lang {kind}, token string, n bigint")
+            .groupBy("lang", "token").agg(F.sum("n").alias("n")))
+
+
 def top_k_per_group(counts: DataFrame, group: str, k: int, n_col: str = "n",
                     key_col: str = "token", rank_col: str = "rank") -> DataFrame:
     """Exact top-k per group, by count (descending), then key.
@@ -51,8 +96,11 @@ def build_vocab(lines: DataFrame, k: int, line_col: str = "line") -> DataFrame:
 
     Output ``(lang, token, id int, n bigint)``.
     """
-    counts = (line_tokens(lines, line_col).groupBy("lang", "token")
-              .agg(F.count(F.lit(1)).cast("long").alias("n")))
+    return counted_vocab(counted_words(lines, line_col), k)
+
+
+def counted_vocab(counts: DataFrame, k: int) -> DataFrame:
+    """:func:`build_vocab` from :func:`counted_words`."""
     top = top_k_per_group(counts, "lang", k)
     return top.select("lang", "token",
                       (F.col("rank") + F.lit(N_RESERVED - 1)).cast("int").alias("id"), "n")
@@ -64,8 +112,13 @@ def piece_vocab(vocab: DataFrame, lines: DataFrame, line_col: str = "line") -> D
     Characters that are not already tokens get ids after the largest id of the
     language's vocabulary, in character order.  Output ``(lang, token, id)``.
     """
+    return counted_piece_vocab(vocab, counted_words(lines, line_col))
+
+
+def counted_piece_vocab(vocab: DataFrame, counts: DataFrame) -> DataFrame:
+    """:func:`piece_vocab` from :func:`counted_words`."""
     from transvoc.session import spread
-    dw = spread(line_tokens(lines, line_col).select("lang", "token").distinct(), "lang", "token")
+    dw = spread(counts.select("lang", "token"), "lang", "token")
     chars = (dw.select("lang", F.explode(F.transform(
         F.sequence(F.lit(1), F.greatest(F.char_length("token"), F.lit(1))),
         lambda i: F.substring(F.col("token"), i, 1))).alias("token"))

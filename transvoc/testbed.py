@@ -15,7 +15,8 @@ from transvoc.functions.text import py_strip
 from transvoc.operators.lm import train_lm
 from transvoc.operators.tokenize import encode_long
 from transvoc.operators.sampling import DEFAULT_PREMIUMS, premiums
-from transvoc.operators.vocab import N_RESERVED, build_vocab, piece_vocab
+from transvoc.operators.vocab import (N_RESERVED, build_vocab, counted_piece_vocab, counted_vocab, counted_words,
+                                      piece_vocab)
 from transvoc.session import cut_lineage, scratch_path, table_path
 from transvoc.sources.tables import read_parquet
 
@@ -123,9 +124,14 @@ class Models:
         from transvoc.operators.lm import context_counts
         return self._keep("ctx", lambda: context_counts(self.lm))
 
+    @property
+    def pool_words(self) -> DataFrame:
+        """``(lang, token, n)`` of the pool: counted once for both vocabularies."""
+        return self._keep("pool_words", lambda: counted_words(pool(self.spark, self.sf_dir)))
+
     @property
     def vocab(self) -> DataFrame:
-        return self._keep("vocab", lambda: vocab(self.spark, self.sf_dir))
+        return self._keep("vocab", lambda: counted_vocab(self.pool_words, VOCAB_K))
 
     @property
     def lm(self) -> DataFrame:
@@ -133,7 +139,7 @@ class Models:
 
     @property
     def pieces(self) -> DataFrame:
-        return self._keep("pieces", lambda: pieces(self.spark, self.sf_dir, self.vocab))
+        return self._keep("pieces", lambda: counted_piece_vocab(self.vocab, self.pool_words))
 
 
 def mcq(spark, sf_dir) -> DataFrame:
@@ -301,14 +307,14 @@ def pair_matrix(spark, sf_dir) -> DataFrame:
     m, dev = models(spark, sf_dir), devtest(spark, sf_dir)
     plan = TM.model_plan(m.info.select(F.col("vocab_lang").alias("lang")))
     labels = cut_lineage(TM.counted_lines(dev.where(~is_blank("line")), m.vocab, MAX_SEQ_LEN, m.known, m.info), "labels")
-    seen, heavy = TM.heavy_bigrams(TM.unpacked_lines(labels))
-    seen, heavy = cut_lineage(seen, "seen"), cut_lineage(heavy, "heavy")
+    seen = cut_lineage(TM.seen_bigrams(TM.unpacked_lines(labels)), "seen")
+    heavy = cut_lineage(TM.commonest(seen), "heavy")
     need = seen.select("vocab_lang", "prev_id", "token_id").distinct()
     counts, contexts = TM.part_counts(cut_lineage(weights(spark, sf_dir), "weights"),
                                       cut_lineage(lm_all(spark, sf_dir), "lm_all"), need)
     losses = cut_lineage(TM.model_losses(seen.drop("lines"), plan, counts, contexts, m.info, ALPHA), "losses")
     per_model = TM.model_metrics(TM.score_lines(labels, losses, heavy, MIN_PAIR_MAX_LEN))
-    cells = TM.pair_cells(plan, cut_lineage(per_model, "per_model"), bytes_per_token(dev, m.pieces))
+    cells = TM.pair_cells(plan, cut_lineage(per_model, "per_model"), bytes_per_token(dev, m.pieces, info=m.info))
     return with_pair_sums(cells).select("regime", "src_lang", "tgt_lang", "label", *METRICS)
 
 
