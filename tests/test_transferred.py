@@ -224,3 +224,17 @@ def test_word_portions_hold_all_words(most):
     got = list(word_portions(iter(batches), most=most))
     assert [w for _, _, words in got for w in words.to_pylist()] == ["a", "b", "c", "", "d", "", "e"]
     assert [n for langs, sizes, _ in got for n in zip(langs.to_pylist(), sizes.tolist(), strict=True)] == [("s", 2), ("s", 3), ("s", 2)]
+
+
+def test_counts_of_parts_are_shuffled_once(spark):
+    import re
+    plan = TM.model_plan(spark.createDataFrame([("s",), ("t",)], "lang string"))
+    seen = spark.createDataFrame([("t", "s", 4, 5)], "vocab_lang string, lang string, prev_id int, token_id int")
+    c = spark.createDataFrame([("t", "s", 4, 5, 1.0), ("t", "t", 4, 5, 2.0)],
+                              "vocab_lang string, part string, prev_id int, token_id int, c double")
+    n = spark.createDataFrame([("t", "s", 4, 3.0)], "vocab_lang string, part string, prev_id int, n double")
+    sizes = spark.createDataFrame([("s", 6.0), ("t", 6.0)], "vocab_lang string, V double")
+    steps = TM.model_losses(seen, plan, c, n, sizes, 0.1)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", steps)
+    assert sum("token_id" in by for by in dealt) <= 2  # the counts and the bigrams seen, dealt alike
+    assert not any("token_id" in by and "part#" in by for by in dealt)

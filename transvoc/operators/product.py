@@ -120,5 +120,6 @@ def sampled_product(weights: DataFrame, counts: DataFrame, wanted: DataFrame, gr
     return (places.groupBy(*keys).cogroup(entries.toDF(*(f"r_{n}" for n in entries.columns))
                                           .toDF(*entries.columns).groupBy(*keys))
             .applyInArrow(run, f"{kinds}, p long, t long, c double")
+            .repartition(*groups, "p")  # rows of the product stay together for the caller
             .groupBy(*groups, "p", "t").agg(F.sum("c").alias("c")))
 

@@ -93,16 +93,16 @@ def transferred_counts(weights: DataFrame, lm: DataFrame, need: DataFrame) -> tu
     models = weights.select(*MOVED).distinct()
     wanted = need.join(F.broadcast(models), "tgt_lang").select(  # one row a model
         *MOVED, F.col("prev_id").alias("p"), F.col("token_id").alias("t"))
-    product = sampled_product(entries, counts, wanted, MOVED).select(
-        *MOVED, F.col("p").cast("int").alias("prev_id"), F.col("t").cast("int").alias("token_id"), "c")
+    product = sampled_product(entries, counts, wanted, MOVED)
     first = weights.join(need.select("tgt_lang", F.col("prev_id").alias("id")).distinct(), ["tgt_lang", "id"], "left_semi")
     contexts = (first.join(context_counts(lm).select(F.col("lang").alias("src_lang"), F.col("prev").alias("sid"), "n_prev"),
                            ["src_lang", "sid"])
                 .groupBy(*MOVED, F.col("id").alias("prev_id"))
                 .agg(F.greatest(F.sum(F.col("w") * F.col("n_prev")), F.lit(0.0)).alias("n")))
-    kept = product.join(contexts, [*MOVED, "prev_id"]).withColumn(
-        "c", F.least(F.greatest("c", F.lit(0.0)), F.col("n"))).drop("n")
-    return kept, contexts
+    rows = contexts.select(*MOVED, F.col("prev_id").cast("long").alias("p"), "n")
+    kept = product.join(rows, [*MOVED, "p"])  # the product is dealt by its rows: it is not shuffled again
+    return kept.select(*MOVED, F.col("p").cast("int").alias("prev_id"), F.col("t").cast("int").alias("token_id"),
+                       F.least(F.greatest("c", F.lit(0.0)), F.col("n")).alias("c")), contexts
 
 
 def text_counts(lines: DataFrame, vocab: DataFrame, known_entries: int | None = None,
@@ -312,12 +312,16 @@ def model_losses(seen: DataFrame, plan: DataFrame, counts: DataFrame, contexts:
     names = spark.createDataFrame([(r["vocab_lang"], r["lang"], r["V"], r["models"]) for r in known],
                                   "vocab_lang string, lang string, V double, models array<string>")
     listed = lambda v: F.collect_list(F.struct("part", F.col(v).alias("x"))).alias(v)
-    c = (counts.groupBy("vocab_lang", "prev_id", "token_id", "part").agg(F.sum("c").alias("c"))
-         .groupBy("vocab_lang", "prev_id", "token_id").agg(listed("c")))
+    bigram = ["vocab_lang", "prev_id", "token_id"]  # one shuffle for both sums, the lists and the join
+    c = (counts.repartition(*bigram).groupBy(*bigram, "part").agg(F.sum("c").alias("c"))
+         .groupBy(*bigram).agg(listed("c")))
     n = (contexts.groupBy("vocab_lang", "prev_id", "part").agg(F.sum("n").alias("n"))
          .groupBy("vocab_lang", "prev_id").agg(listed("n")))
+    entries = sum({v: size for (v, _), (size, _) in of.items()}.values())
+    if entries * len({p for _, models in of.values() for m in models for p in m}) <= MAX_BROADCAST_ENTRIES:
+        n = F.broadcast(n)  # a row a vocabulary entry at most, with all parts
     rows = (seen.select(*keys, "prev_id", "token_id").join(F.broadcast(names.select(*keys)), keys, "left_semi")
-            .join(c, ["vocab_lang", "prev_id", "token_id"], "left").join(n, ["vocab_lang", "prev_id"], "left"))
+            .join(c, bigram, "left").join(n, ["vocab_lang", "prev_id"], "left"))
     rows = rows.select(*keys, "prev_id", "token_id", "c", "n")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:4])
 
