@@ -72,3 +72,24 @@ def test_nest_then_flatten_is_identity(spark):
 def test_shown_cells_to_numbers(spark):
     df = spark.createDataFrame([("1.250 (std=0.100)",), ("-3",), ("N/A",), (None,), ("x 1",), (" 2.5",)], "t string")
     assert [r[0] for r in df.select(R.to_number("t")).collect()] == [1.25, -3.0, None, None, None, 2.5]
+
+
+def test_every_query_makes_its_own_matrix(spark, monkeypatch, tmp_dir):
+    """What a report costs does not follow from the queries that ran before it in the session."""
+    from transvoc import catalog
+    from transvoc import testbed as tb
+    from transvoc.queries import report  # noqa: F401 - registers them
+    docs = spark.createDataFrame([(1, "de", "a"), (2, "en", "b")], "doc_id long, lang string, text string")
+    docs.write.parquet(f"{tmp_dir}/documents.parquet")
+    spark.createDataFrame([(1,)], "vec_id long").write.parquet(f"{tmp_dir}/embeddings.parquet")
+    made = []
+
+    def matrix(spark, sf_dir):
+        made.append(sf_dir)
+        return cells(spark, [("no-finetuning", "de", "en", "fvt", {"tgt_norm_ppl": float(len(made))})]).withColumnRenamed(
+            "method", "label")
+
+    monkeypatch.setattr(tb, "pair_matrix", matrix)
+    for n, name in enumerate(("pair_metrics", "quality_gates", "method_selection", "report_pivot_tgt"), 1):
+        assert catalog.QUERIES[name](spark, tmp_dir).count() > 0
+        assert len(made) == n

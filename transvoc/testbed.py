@@ -318,27 +318,10 @@ def pair_matrix(spark, sf_dir) -> DataFrame:
     return with_pair_sums(cells).select("regime", "src_lang", "tgt_lang", "label", *METRICS)
 
 
-_MATRIX: dict[tuple, str] = {}
-
-
-def written_matrix(spark, sf_dir, again: bool = False) -> DataFrame:
-    """:func:`pair_matrix`, written once for the session and the input files as they are now (or ``again``)."""
-    sc = spark.sparkContext
-    path_of = sc._jvm.org.apache.hadoop.fs.Path
-    files = []
-    for name in ("documents", "embeddings"):
-        folder = path_of(table_path(sf_dir, name))
-        fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
-        status = fs.getFileStatus(folder)
-        files += [(f.getPath().toString(), f.getLen(), f.getModificationTime())
-                  for f in (fs.listStatus(folder) if status.isDirectory() else [status])]
-    key = (sc.applicationId, tuple(sorted(files)))
-    kept = _MATRIX.get(key)
-    if again or kept is None or not path_of(kept).getFileSystem(sc._jsc.hadoopConfiguration()).exists(path_of(kept)):
-        kept = scratch_path(spark, "pair_matrix")
-        pair_matrix(spark, sf_dir).write.parquet(kept)
-        _MATRIX[key] = kept
-    return spark.read.parquet(kept)
+def written_matrix(spark, sf_dir) -> DataFrame:
+    """:func:`pair_matrix`, written once for the query that reads it; as with all model artifacts, nothing is kept for
+    another query of the session, whose cost would then follow from what ran before it."""
+    return cut_lineage(pair_matrix(spark, sf_dir), "pair_matrix")
 
 
 #: Labels of the metrics file that no run evaluates.
