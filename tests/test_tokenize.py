@@ -139,3 +139,14 @@ def test_words_of_the_pool_are_counted_once(spark):
     m._cache["pool_words"] = counts
     assert sorted(map(tuple, m.vocab.collect())) == sorted(map(tuple, VO.build_vocab(lines, 2000).collect()))
     assert sorted(map(tuple, m.pieces.collect())) == sorted(map(tuple, VO.piece_vocab(m.vocab, lines).collect()))
+
+
+def test_characters_are_gathered_in_batches(spark):
+    from transvoc.operators.vocab import counted_piece_vocab
+    vocab = spark.createDataFrame([("s", "ab", 4), ("s", "a", 5), ("t", "ß", 4)], "lang string, token string, id int")
+    counts = spark.createDataFrame([("s", "ab😀", 1), ("s", "", 3), ("s", None, 1), ("t", "ßé", 1), (None, "zz", 1), ("u", "x", 1)],
+                                   "lang string, token string, n long")
+    got = counted_piece_vocab(vocab, counts)
+    assert sorted(map(tuple, got.collect())) == [("s", "a", 5), ("s", "ab", 4), ("s", "b", 6), ("s", "😀", 7),
+                                                 ("t", "é", 5), ("t", "ß", 4)]
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()

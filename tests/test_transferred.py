@@ -238,3 +238,35 @@ def test_counts_of_parts_are_shuffled_once(spark):
     dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", steps)
     assert sum("token_id" in by for by in dealt) <= 2  # the counts and the bigrams seen, dealt alike
     assert not any("token_id" in by and "part#" in by for by in dealt)
+
+
+def test_bigrams_of_packed_lines_are_counted_in_batches(spark, monkeypatch):
+    vocab, lines = _scored_models(spark)
+    packed = TM.counted_lines(lines, vocab, 4, known_entries=4)
+    want = TM.seen_bigrams(TM.unpacked_lines(packed))
+    got = TM.seen_bigrams(packed)
+    assert got.schema.names == want.schema.names
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no row for a bigram of a line
+    none = TM.seen_bigrams(TM.counted_lines(lines.limit(0), vocab, 4, known_entries=4))
+    assert none.collect() == []
+
+
+@pytest.mark.parametrize("most", [1, 3, 10**6])
+def test_losses_of_a_line_are_summed_across_portions(monkeypatch, most):
+    import pyarrow as pa
+    monkeypatch.setattr(TM, "SUMMED_LABELS", most)
+    big = 2**55
+    ints = lambda rows, kind=pa.int32(): pa.array(rows, pa.list_(kind))
+    ids = [[4, 5, 6], [], [9], [5], [4, 1]]  # no loss is known for 9
+    n = lambda x: ints([[x] * len(r) for r in ids])
+    lines = pa.table({"k": pa.array([len(r) for r in ids]), "prev_id": n(2), "token_id": ints(ids),
+                      "n_scored": n(3), "n_wrong": ints([[0, 2, 1], [], [0], [1], [0, 4]]), "n_sen": n(1)})
+    q = {1: [10, 20], 4: [big, -1], 5: [1, 2], 6: [7, big]}
+    losses = pa.table({"prev_id": pa.array([2] * 4, pa.int32()), "token_id": pa.array([6, 1, 5, 4], pa.int32()),
+                       "q": ints([q[6], q[1], q[5], q[4]], pa.int64())})
+    known, delta, scored = TM._score_block(lines, losses)
+    assert known.tolist() == [[3 * (big + 8), 3 * (big + 1)], [0, 0], [0, 0], [3, 6], [3 * big, -3]]
+    assert delta.tolist() == [[-big + 1, 1 + 2], [0, 0], [0, 0], [0, 0], [-big + 30, 1 + 60]]
+    assert scored.tolist() == [True, False, False, True, True]

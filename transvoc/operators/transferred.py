@@ -43,15 +43,15 @@ from transvoc.operators.tokenize import (MAX_BROADCAST_ENTRIES, encode_long, rea
                                          with_vocab_langs, words_col, write_vocabularies)
 from transvoc.operators.transfer import pair_tokens
 from transvoc.operators.trie import greedy_pieces
-from transvoc.operators.vocab import CLS_ID, UNK_ID, word_portions
+from transvoc.operators.vocab import CLS_ID, COUNT_WORDS, UNK_ID, word_portions
 from transvoc.session import scratch_path
 
 PAIR = ["src_lang", "tgt_lang"]
 MOVED = [*PAIR, "method"]
 #: Bigrams that are broadcast at most, the most frequent ones, and lines that each must have.
 HEAVY_KEYS, HEAVY_LINES = 1000, 1000
-#: Bigrams of lines in a block that is scored at once, about.
-BLOCK_LABELS = 500_000
+#: Bigrams of lines in a block that is scored at once, about, and those whose losses are summed at a time.
+BLOCK_LABELS, SUMMED_LABELS = 1_000_000, 8192
 #: What a line keeps of each of its bigrams, and what identifies a line under a vocabulary.
 COUNTED = ["prev_id", "token_id", "n_scored", "n_read", "n_sen", "n_wrong"]
 LINE = ["vocab_lang", "lang", "doc_id", "line_no", "nbytes"]
@@ -380,12 +380,14 @@ def _score_block(lines: pa.Table, losses: pa.Table) -> tuple[np.ndarray, np.ndar
     row, token = order[at[has]], token[has]
     scored = np.where(token == UNK_ID, 0, flat(lines, "n_scored")[has]).astype(np.int64)
     more = (flat(lines, "n_wrong")[has] - flat(lines, "n_sen")[has]).astype(np.int64)
-    known, delta = (np.zeros((q.shape[1], lines.num_rows), np.int64) for _ in range(2))
+    known, delta = (np.zeros((lines.num_rows, q.shape[1]), np.int64) for _ in range(2))
     for out, factor in ((known, scored), (delta, more)):
         used = np.flatnonzero(factor)  # most bigrams are as frequent in the reversed line
-        for m in range(q.shape[1]):
-            np.add.at(out[m], of[used], factor[used] * q[row[used], m])
-    return known.T, delta.T, np.bincount(of, minlength=lines.num_rows) > 0
+        for start in range(0, len(used), SUMMED_LABELS):
+            some = used[start:start + SUMMED_LABELS]
+            first = np.flatnonzero(np.diff(of[some], prepend=-1))  # a line's bigrams stand together
+            out[of[some][first]] += np.add.reduceat(factor[some, None] * q[row[some]], first, axis=0)
+    return known, delta, np.bincount(of, minlength=lines.num_rows) > 0
 
 
 def _line_sums(lines: pa.Table) -> list[np.ndarray]:
@@ -464,8 +466,44 @@ def heavy_bigrams(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def seen_bigrams(labels: DataFrame) -> DataFrame:
-    """``(vocab_lang, lang, prev_id, token_id, lines)``: distinct bigrams and the lines that have them."""
-    return labels.groupBy("vocab_lang", "lang", "prev_id", "token_id").agg(F.count(F.lit(1)).alias("lines"))
+    """``(vocab_lang, lang, prev_id, token_id, lines)``: distinct bigrams and the lines that have them.  Those of
+    packed lines (:func:`packed_lines`) are counted in Arrow batches before they are shuffled."""
+    keys = ["vocab_lang", "lang"]
+    if not dict(labels.dtypes)["prev_id"].startswith("array"):
+        return labels.groupBy(*keys, "prev_id", "token_id").agg(F.count(F.lit(1)).alias("lines"))
+    rows = labels.select(*keys, "prev_id", "token_id")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-2])
+
+    def count(part: pa.Table) -> pa.RecordBatch:
+        group = np.zeros(part.num_rows, np.int64)
+        for c in keys:
+            value = part.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+            group = group * len(value.dictionary) + value.indices.to_numpy()
+        _, row, of = np.unique(group, return_index=True, return_inverse=True)
+        prev, token = (part.column(c).combine_chunks() for c in ("prev_id", "token_id"))
+        of = np.repeat(of, pc.list_value_length(prev).to_numpy())
+        prev, token = (x.flatten().to_numpy().astype(np.int64) for x in (prev, token))
+        width = int(max(prev.max(initial=0), token.max(initial=0))) + 1
+        found, n = np.unique((of * width + prev) * width + token, return_counts=True)
+        rest, token = np.divmod(found, width)
+        of, prev = np.divmod(rest, width)
+        own = [part.column(c).combine_chunks().take(pa.array(row[of])) for c in keys]
+        return pa.RecordBatch.from_arrays([*own, pa.array(prev.astype(np.int32)), pa.array(token.astype(np.int32)),
+                                           pa.array(n.astype(np.int64))], [*keys, "prev_id", "token_id", "lines"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch.column("prev_id").flatten())
+            if size >= COUNT_WORDS:
+                yield count(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield count(pa.Table.from_batches(held))
+
+    return (rows.mapInArrow(run, f"{kinds}, prev_id int, token_id int, lines bigint")
+            .groupBy(*keys, "prev_id", "token_id").agg(F.sum("lines").alias("lines")))
 
 
 def commonest(seen: DataFrame) -> DataFrame:

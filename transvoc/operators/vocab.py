@@ -117,12 +117,17 @@ def piece_vocab(vocab: DataFrame, lines: DataFrame, line_col: str = "line") -> D
 
 def counted_piece_vocab(vocab: DataFrame, counts: DataFrame) -> DataFrame:
     """:func:`piece_vocab` from :func:`counted_words`."""
-    from transvoc.session import spread
-    dw = spread(counts.select("lang", "token"), "lang", "token")
-    chars = (dw.select("lang", F.explode(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.char_length("token"), F.lit(1))),
-        lambda i: F.substring(F.col("token"), i, 1))).alias("token"))
-        .filter(F.col("token") != "").distinct())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = batch.column("lang").dictionary_encode(null_encoding="encode")
+            for i in range(len(lang.dictionary)):
+                own = batch.column("token").filter(pc.equal(lang.indices, i)).drop_null()
+                found = sorted(set().union(*own.to_pylist()))
+                yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array([i] * len(found), pa.int32())),
+                                                  pa.array(found, pa.string())], ["lang", "token"])
+
+    kind = counts.schema["lang"].dataType.simpleString()
+    chars = counts.select("lang", "token").mapInArrow(run, f"lang {kind}, token string").distinct()
     new_chars = chars.join(vocab.select("lang", "token"), ["lang", "token"], "left_anti")
     top = vocab.groupBy("lang").agg(F.max("id").alias("__max"))
     w = Window.partitionBy("lang").orderBy("token")

@@ -307,7 +307,7 @@ def pair_matrix(spark, sf_dir) -> DataFrame:
     m, dev = models(spark, sf_dir), devtest(spark, sf_dir)
     plan = TM.model_plan(m.info.select(F.col("vocab_lang").alias("lang")))
     labels = cut_lineage(TM.counted_lines(dev.where(~is_blank("line")), m.vocab, MAX_SEQ_LEN, m.known, m.info), "labels")
-    seen = cut_lineage(TM.seen_bigrams(TM.unpacked_lines(labels)), "seen")
+    seen = cut_lineage(TM.seen_bigrams(labels), "seen")
     heavy = cut_lineage(TM.commonest(seen), "heavy")
     need = seen.select("vocab_lang", "prev_id", "token_id").distinct()
     counts, contexts = TM.part_counts(cut_lineage(weights(spark, sf_dir), "weights"),
