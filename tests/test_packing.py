@@ -103,3 +103,50 @@ def test_ids_are_made_once_for_lengths_and_places(spark):
     placed = token_offsets(enc, ["lang"], ["doc_id", "line_no"], docs_per_block=2)
     assert "ExistingRDD" not in placed._jdf.queryExecution().executedPlan().toString()  # read from where they were written
     assert [r["start"] for r in placed.orderBy("doc_id").collect()] == [sum(range(1, k + 1)) for k in range(9)]
+
+
+def test_jobs_of_long_chunks_are_their_files_one_after_the_other(spark):
+    """Chunks of several segments: whole ones are cut from one chunk, others put together from pieces of two or more."""
+    import random
+
+    from transvoc.operators.packing import pack_jobs
+    r = random.Random(11)
+    files = {f"f{i}": [[r.randint(4, 9) for _ in range(r.randint(0, 7))] for _ in range(n)]
+             for i, n in enumerate((40, 1, 27, 2, 1))}
+    enc = spark.createDataFrame(
+        [(f, v, i, 0, [x * 10 * (v == "b") + x for x in ids]) for f, rows in files.items() for v in "ab"
+         for i, ids in enumerate(rows)], "file string, vocab_lang string, doc_id long, line_no int, ids array<int>")
+    jobs = [("j1", "a", ["f0"]), ("j2", "b", ["f0", "f2"]), ("j3", "a", ["f1", "f4", "f3", "f2", "f1"]), ("j4", "b", ["f2", "f1", "f0"])]
+    table = spark.createDataFrame(jobs, "job string, vocab_lang string, train array<string>")
+    for L, held in ((6, 4), (3, 5), (30, 2)):
+        chunk_len = held * (L - 1) + 1
+        got = {}
+        for row in pack_jobs(table, pack_segments(enc, chunk_len, ["file", "vocab_lang"]), L, ["job"], chunk_len=chunk_len).collect():
+            assert row.seg_no not in got.setdefault(row.job, {})
+            got[row.job][row.seg_no] = (list(row.input_ids), row.n_real)
+        for job, v, names in jobs:
+            stream = [t for f in names for ids in files[f] for t in [*(x * 10 * (v == "b") + x for x in ids), 3]]
+            cut = [stream[i:i + L - 1] for i in range(0, len(stream), L - 1)]
+            assert got[job] == {i: ([2, *c, *[0] * (L - 1 - len(c))], len(c)) for i, c in enumerate(cut)}
+
+
+def test_only_pieces_at_the_ends_of_chunks_are_listed(spark):
+    """A file of 4,000 tokens from place 3 on has 400 segments of 10; pieces are listed for those that a chunk of 500 cuts."""
+    from transvoc.operators.packing import job_pieces
+    placed = spark.createDataFrame([("j", "f", 3, 4000)], "job string, file string, base long, n long")
+    got = [tuple(r) for r in job_pieces(placed, 10, 500).select("chunk", "seg_no", "at", "first", "n").orderBy("at").collect()]
+    want = [p for c in range(8) for p in ((c, 50 * c, 500 * c + 3, 0, 7), (c, 50 * (c + 1), 500 * (c + 1), 497, 3))]
+    assert got == want
+
+
+def test_segments_within_a_chunk_are_not_shuffled(spark, tmp_dir):
+    from transvoc.operators.packing import pack_jobs
+
+    (spark.range(50).selectExpr("'f' AS file", "'v' AS vocab_lang", "id AS seg_no", "40L AS n_real",
+                                "concat(array(2), transform(sequence(1, 40), x -> cast(id * 40 + x AS int))) AS input_ids")
+     .write.parquet(f"{tmp_dir}/chunks"))
+    jobs = spark.sql("SELECT 'j' AS job, 'v' AS vocab_lang, array('f') AS train")
+    segs = pack_jobs(jobs, spark.read.parquet(f"{tmp_dir}/chunks"), 5, ["job"], chunk_len=41)
+    assert [x for r in segs.orderBy("seg_no").collect() for x in r.input_ids[1:]] == list(range(1, 2001))
+    whole = segs.where("n_real = 4")._jdf.queryExecution().optimizedPlan().toString().split("Union", 1)[1].split("\n:- ", 1)[1].split("\n+- ", 1)[0]
+    assert "slice" in whole and "collect_list" not in whole and "Repartition" not in whole

@@ -116,6 +116,22 @@ def test_word_encode_in_batches_equals_joins(spark):
     assert "Generate" not in plan and "Join" not in plan  # no row a token, and every line is read once
 
 
+def test_lines_of_several_vocabularies_are_shuffled_once(spark):
+    vocab = spark.createDataFrame([("s", "a", 4), ("s", "b", 5), ("t", "b", 4), ("t", "", 5)], "lang string, token string, id int")
+    rows = [("f", 1, 0, "a b a a c"), ("f", 1, 0, "b a b"), ("f", 1, 0, ""), ("f", 1, 0, ""), ("g", None, 1, "b  b q"),
+            (None, 2, 0, "a b"), ("h", 3, 0, "a b"), ("g", 3, 1, ""), ("g", 3, 2, None), ("g", None, 1, "q a a b")]
+    lines = spark.createDataFrame(rows, "lang string, doc_id long, line_no int, line string")
+    pairs = spark.createDataFrame([("s", "f"), ("t", "f"), ("t", "g"), ("u", "g")], "vocab_lang string, lang string")
+    shown = lambda df: sorted(map(str, df.select("vocab_lang", "lang", "doc_id", "line_no", "ids").collect()))
+    for max_len in (None, 2):
+        got = encode(lines, vocab, "word", pairs, max_len=max_len, known_entries=4)
+        want = encode(lines, vocab, "word", pairs, max_len=max_len, known_entries=4, max_broadcast_entries=3)
+        assert shown(got) == shown(want) != []
+    plan = encode(lines, vocab, "word", pairs, known_entries=4)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "hashpartitioning" in x and "doc_id" in x]
+    assert len(dealt) == 1 and "vocab_lang" not in dealt[0]
+
+
 def test_score_hashes_a_large_bigram_table(spark):
     from transvoc.operators import lm as lm_ops
     lm = spark.createDataFrame([("s", 2, 4, 3), ("s", 4, 4, 1), ("s", 4, 1, 2)], "lang string, prev int, tok int, n long")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transvoc.operators.prefix import doc_block, exclusive_prefix_sum
@@ -74,47 +74,71 @@ def pack_segments(enc: DataFrame, seg_len: int, corpus: Sequence[str] = ("lang",
             .drop("__body"))
 
 
-def job_pieces(files: DataFrame, totals: DataFrame, body_len: int, job: Sequence[str]) -> DataFrame:
-    """Where the segments of every job lie in its files' streams, from lengths alone.
+def _whole(at: Column, n: Column, body_len: int) -> tuple[Column, Column]:
+    """Of a stream's ``n`` tokens from place ``at`` on: the first segment that begins in them, and the first from there on
+    that does not end in them; the segments between lie in them whole."""
+    b = F.lit(body_len)
+    return F.floor((at + b - 1) / b), F.floor((at + n) / b)
+
+
+def job_pieces(placed: DataFrame, body_len: int, chunk_len: int) -> DataFrame:
+    """The pieces of segments that no single chunk holds whole, from lengths alone.
 
-    ``files`` is ``(job.., file_ord, file)``, ``totals`` is ``(file, n)``: tokens of
-    each file.  A job's stream is its files one after the other; each segment is one range or more of a
-    file, a row each, however few the jobs are: ``(job.., seg_no, at, file, chunk, first, n)``, the ``n`` tokens from ``first`` on in the
-    file's chunk, which come at place ``at`` of the job's stream.  Chunks are as long as segments,
-    so a range meets two at most.
+    ``placed`` is ``(job.., file, base, n)``: a job's files of ``n`` tokens and their places in its stream, one
+    after the other.  A file's chunks hold ``chunk_len`` tokens, the last one the rest.  A chunk may begin with the end of a
+    segment, or lie in it altogether, and may end with the beginning of another: ``(job.., file, chunk, seg_no, at, first, n)``,
+    the ``n`` tokens from ``first`` on in the chunk, which come at place ``at`` of the job's stream.
     """
-    job, b = list(job), F.lit(body_len)
-    before = Window.partitionBy(*job).orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)  # a job's files
-    placed = files.join(F.broadcast(totals), "file").withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    ranges = (spread(placed, *job, "file_ord").withColumn("seg_no", F.explode(F.sequence(
-                  F.floor(F.col("base") / b), F.floor((F.col("base") + F.col("n") - 1) / b))))
-              .withColumn("lo", F.greatest("base", F.col("seg_no") * b) - F.col("base"))
-              .withColumn("hi", F.least(F.col("base") + F.col("n"), (F.col("seg_no") + 1) * b) - F.col("base")))
-    met = ranges.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("lo") / b), F.floor((F.col("hi") - 1) / b))))
-    lo, hi = F.greatest("lo", F.col("chunk") * b), F.least("hi", (F.col("chunk") + 1) * b)
-    return met.select(*job, "seg_no", (F.col("base") + lo).alias("at"), "file", "chunk",
-                      (lo - F.col("chunk") * b).cast("int").alias("first"), (hi - lo).cast("int").alias("n"))
+    b, c = F.lit(body_len), F.lit(chunk_len)
+    met = (placed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / c))))
+           .withColumn("__at", F.col("base") + F.col("chunk") * c)
+           .withColumn("__n", F.least(c, F.col("n") - F.col("chunk") * c)))
+    at, n = F.col("__at"), F.col("__n")
+    begin, end = _whole(at, n, body_len)
+    last = F.greatest(end * b - at, F.lit(0))  # where the last segment begins
+    piece = lambda seg, first, k: F.struct(seg.alias("seg_no"), (at + first).alias("at"), first.cast("int").alias("first"),
+                                           k.cast("int").alias("n"))
+    both = F.array(piece(begin - 1, F.lit(0), F.least(begin * b - at, n)),
+                   piece(end, last, F.when(end >= begin, at + n - end * b).otherwise(F.lit(0))))
+    return (met.drop("base", "n").withColumn("__p", F.explode(both)).where("__p.n > 0")
+            .select("*", "__p.*").drop("__at", "__n", "__p"))
 
 
 def pack_jobs(jobs: DataFrame, chunks: DataFrame, seg_len: int, job: Sequence[str], files: str = "train",
-              pre: int = CLS_ID, pad: int = PAD_ID) -> DataFrame:
+              pre: int = CLS_ID, pad: int = PAD_ID, chunk_len: int | None = None) -> DataFrame:
     """SET-2 + JOB-3: ``(job.., seg_no, input_ids, n_real)``, the segments of every job's files in job order.
 
     ``jobs`` has the job's columns, ``vocab_lang`` and the list ``files``; ``chunks (file, vocab_lang, seg_no,
-    input_ids, n_real)`` are the files' own packed streams (:func:`pack_segments`).  Jobs hold ranges, not
-    text: a file is read, encoded and packed once for each vocabulary, whatever the number of jobs that use it.
+    input_ids, n_real)`` are the files' own packed streams (:func:`pack_segments`, with segments of ``chunk_len``, by default
+    those of the jobs).  Jobs hold ranges, not text: a file is read, encoded and packed once for each vocabulary, whatever
+    the number of jobs that use it.  Segments that lie in one chunk are cut where the chunk is read; only the pieces of
+    others, of which a chunk has two a job at most, are shuffled.  So the longer the chunks, the less is shuffled.
     """
-    job = list(job)
+    job, b = list(job), seg_len - 1
     listed = jobs.select(*job, "vocab_lang", F.posexplode(files).alias("file_ord", "file"))
+    chunks = chunks.join(F.broadcast(listed.select("file", "vocab_lang").distinct()), ["file", "vocab_lang"])
     totals = (chunks.groupBy("file", "vocab_lang").agg(F.sum("n_real").alias("n"))
               .groupBy("file").agg(F.first("n").alias("n")))  # words are counted the same under every vocabulary
-    pieces = job_pieces(listed, totals, seg_len - 1, [*job, "vocab_lang"])
-    text = chunks.select("file", "vocab_lang", F.col("seg_no").alias("chunk"), "input_ids")
-    # Spark takes the ranges for as few as the jobs; as many as the segments, they are never broadcast
-    rows = pieces.hint("merge").join(text, ["file", "vocab_lang", "chunk"]).select(
-        *job, "seg_no", "at", F.expr("slice(input_ids, first + 2, n)").alias("part"))
-    body = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]))
-    segs = rows.groupBy(*job, "seg_no").agg(body.alias("body"))
-    n = F.size("body")
-    return segs.select(*job, "seg_no", F.concat(F.array(F.lit(pre)), "body", F.array_repeat(
-        F.lit(pad), F.lit(seg_len - 1) - n)).alias("input_ids"), n.cast("long").alias("n_real"))
+    before = Window.partitionBy(*job, "vocab_lang").orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (listed.join(F.broadcast(totals), "file").withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+              .drop("file_ord"))  # the files of the jobs' lists, as few as these
+    text = chunks.select("file", "vocab_lang", F.col("seg_no").alias("chunk"), "input_ids", F.col("n_real").alias("held"))
+
+    at = F.col("base") + F.col("chunk") * ((chunk_len or seg_len) - 1)
+    begin, end = _whole(at, F.col("held"), b)
+    used = text.join(F.broadcast(placed), ["file", "vocab_lang"]).withColumn("at", at).where(begin < end)
+    body = F.slice("input_ids", (F.col("seg_no") * b - F.col("at") + 2).cast("int"), F.lit(b))
+    whole = used.withColumn("seg_no", F.explode(F.sequence(begin, end - 1))).select(
+        *job, "seg_no", F.concat(F.array(F.lit(pre)), body).alias("input_ids"), F.lit(b).cast("long").alias("n_real"))
+
+    # Spark takes the pieces for as few as the jobs; as many as the chunks and more, they are never broadcast
+    pieces = job_pieces(spread(placed, *job, "file"), b, (chunk_len or seg_len) - 1)
+    tail = F.greatest(F.col("held") - b, F.lit(0)).cast("int")  # pieces are shorter than segments: the ends hold them
+    ends = text.select("file", "vocab_lang", "chunk", tail.alias("tail"), F.slice("input_ids", F.lit(2), F.lit(b)).alias("head_ids"),
+                       F.slice("input_ids", tail + 2, F.lit(b)).alias("tail_ids"))
+    rows = pieces.hint("merge").join(ends, ["file", "vocab_lang", "chunk"]).select(*job, "seg_no", "at", F.expr(
+        "if(first = 0, slice(head_ids, 1, n), slice(tail_ids, first - tail + 1, n))").alias("part"))
+    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]))
+    cut, n = rows.groupBy(*job, "seg_no").agg(parts.alias("body")), F.size("body")
+    return whole.unionByName(cut.select(*job, "seg_no", F.concat(F.array(F.lit(pre)), "body", F.array_repeat(
+        F.lit(pad), F.lit(b) - n)).alias("input_ids"), n.cast("long").alias("n_real")))

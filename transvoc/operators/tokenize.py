@@ -137,13 +137,18 @@ def encode(lines: DataFrame, vocab: DataFrame, mode: str = "word", pairs="same",
 
     Lines without tokens get an empty array.  ``max_len`` truncates (SRT-5).
     ``carry`` columns are constant per line and travel with the keys.  Words meet a vocabulary that the caller's
-    ``known_entries`` bounds in Arrow batches of whole lines, a larger one by joins.
+    ``known_entries`` bounds in Arrow batches of whole lines, a larger one by joins.  Lines that explicit ``pairs``
+    (each counted once) give several vocabularies are then shuffled once for all of them.
     """
     keys = [k for k in keys if k != "vocab_lang"]
     gkeys = ["vocab_lang", *keys, *carry]
+    batches = mode == "word" and known_entries is not None and known_entries <= max_broadcast_entries
+    if batches and isinstance(pairs, DataFrame) and "lang" in keys and "vocab_lang" not in lines.columns:
+        texts = with_vocab_langs(_texts(lines, [*keys, *carry], line_col), vocab, pairs.distinct())
+        return _encode_texts(texts.select(*gkeys, "__texts"), vocab, gkeys, out, max_len)
     base = with_vocab_langs(lines, vocab, pairs, info)
-    if mode == "word" and known_entries is not None and known_entries <= max_broadcast_entries:
-        return _encode_batches(base, vocab, gkeys, line_col, out, max_len)
+    if batches:
+        return _encode_texts(_texts(base, gkeys, line_col), vocab, gkeys, out, max_len)
     if mode == "word":
         longf = encode_long(base.select(*gkeys, line_col), vocab, pairs, [*keys, *carry],
                             line_col, known_entries, max_broadcast_entries, info=info)
@@ -188,12 +193,15 @@ def read_vocabularies(path: str, unk: int = UNK_ID) -> tuple[list[str], pa.Array
     return lang.dictionary.to_pylist(), token.dictionary, ids
 
 
-def _encode_batches(base: DataFrame, vocab: DataFrame, gkeys: Sequence[str], line_col: str, out: str,
-                    max_len: int | None) -> DataFrame:
-    """Word-mode :func:`encode`: lines with one key meet by a shuffle of text, words are looked up in Arrow batches.
+def _texts(lines: DataFrame, keys: Sequence[str], line_col: str) -> DataFrame:
+    """``(keys.., __texts)``: lines with one key meet by a shuffle of text."""
+    return lines.where(F.col(line_col).isNotNull()).groupBy(*keys).agg(F.collect_list(line_col).alias("__texts"))
+
+
+def _encode_texts(texts: DataFrame, vocab: DataFrame, gkeys: Sequence[str], out: str, max_len: int | None) -> DataFrame:
+    """Word-mode :func:`encode` of ``(gkeys.., __texts)``: words are looked up in Arrow batches.
     Of lines with one key, the empty ones stay for themselves and the ids of the others are merged by position."""
     path = write_vocabularies(vocab)
-    texts = base.where(F.col(line_col).isNotNull()).groupBy(*gkeys).agg(F.collect_list(line_col).alias("__texts"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -126,6 +126,7 @@ def routed_lines(spark, sf_dir):
 
 
 _B = tb.PACK_LEN - 1
+CHUNK_SEGMENTS = 64  # segments in a chunk of a file's stream, from which the jobs' segments are cut
 # The vocabulary of a job's model: the source's for its base, else the target's.
 _VOCAB_OF = "CASE kind WHEN 'transfer' THEN split_part(model_spec, '-', 2) ELSE regexp_extract(model_spec, '/([^/_]+)_', 1) END"
 
@@ -155,22 +156,27 @@ SELECT regime, src_lang, out, split, CAST(idx // {_B} AS BIGINT) AS seg_no, CAST
 FROM ids GROUP BY regime, src_lang, out, split, idx // {_B}"""))
 def packed_jobs(spark, sf_dir):
     """SET-2 + JOB-3: the train and valid segments of every fine-tuning job, in the ids of its model's vocabulary.
-    Files are encoded and packed once for each vocabulary; jobs are ranges of these streams."""
+    Files are shuffled once, encoded and packed once for each vocabulary, in chunks of many segments; jobs are ranges of
+    these streams."""
     m = tb.models(spark, sf_dir)
     vocab_of = F.when(F.col("kind") == "transfer", F.split_part("model_spec", F.lit("-"), F.lit(2))).otherwise(
         F.regexp_extract("model_spec", "/([^/_]+)_", 1))
     jobs = cut_lineage(_ft_plan(spark, sf_dir).withColumn("vocab_lang", vocab_of), "jobs")
-    text = tb.split_files(spark, sf_dir).withColumn("lang", F.lit(""))
-    uses = (jobs.select("vocab_lang", F.explode(F.concat("train", "valid")).alias("file")).distinct())  # files x vocabularies
-    enc = encode(text.join(F.broadcast(uses), "file"), m.vocab, "word", "same", ["file", "doc_id", "line_no"],
-                 known_entries=m.known)
-    chunks = cut_lineage(pack_segments(enc, tb.PACK_LEN, ["file", "vocab_lang"], docs_per_block=tb.DOCS_PER_BLOCK)
-                         .select("file", "vocab_lang", "seg_no", "input_ids", "n_real"), "job_chunks")
+    uses = (jobs.select("vocab_lang", F.explode(F.concat("train", "valid")).alias("lang")).distinct())  # files x vocabularies
+    text = tb.split_files(spark, sf_dir).withColumnRenamed("file", "lang")  # a file is to `encode` what a language's corpus is
+    enc = encode(text, m.vocab, "word", uses, ["lang", "doc_id", "line_no"], known_entries=m.known)
+    chunk_len = CHUNK_SEGMENTS * (tb.PACK_LEN - 1) + 1
+    chunks = cut_lineage(pack_segments(enc, chunk_len, ["lang", "vocab_lang"], docs_per_block=tb.DOCS_PER_BLOCK).select(
+        F.col("lang").alias("file"), "vocab_lang", "seg_no", "input_ids", "n_real"), "job_chunks")
     job, both = ["regime", "src_lang", "out"], None
     for split in ("train", "valid"):
-        rows = pack_jobs(jobs, chunks, tb.PACK_LEN, job, split).withColumn("split", F.lit(split))
+        of = jobs.select(*job, "vocab_lang", split, F.concat_ws("\n", "vocab_lang", split).alias("stream"))
+        # jobs with the same files and vocabulary have the same segments, which are packed once
+        segs = pack_jobs(of.drop(*job).distinct(), chunks, tb.PACK_LEN, ["stream"], split, chunk_len=chunk_len).select(
+            "stream", "seg_no", "n_real", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+        rows = segs.join(F.broadcast(of.select(*job, "stream")), "stream").withColumn("split", F.lit(split))
         both = rows if both is None else both.unionByName(rows)
-    return finish(both.select(*job, "split", "seg_no", "n_real", F.md5(F.array_join("input_ids", ",")).alias("ids_md5")))
+    return finish(both.select(*job, "split", "seg_no", "n_real", "ids_md5"))
 
 
 @register("source_jobs", O.with_ctes(["tplan", "existing"], f"""
