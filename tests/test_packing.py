@@ -150,3 +150,44 @@ def test_segments_within_a_chunk_are_not_shuffled(spark, tmp_dir):
     assert [x for r in segs.orderBy("seg_no").collect() for x in r.input_ids[1:]] == list(range(1, 2001))
     whole = segs.where("n_real = 4")._jdf.queryExecution().optimizedPlan().toString().split("Union", 1)[1].split("\n:- ", 1)[1].split("\n+- ", 1)[0]
     assert "slice" in whole and "collect_list" not in whole and "Repartition" not in whole
+
+
+def test_lines_with_a_place_in_their_block_are_not_dealt_to_blocks_again(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from transvoc.operators import packing, prefix
+    r = random.Random(8)
+    rows, place = [], {}
+    for f in "fg":
+        for doc in range(40):
+            for line in range(r.randint(0, 3)):
+                n = r.randint(0, 6)
+                for v in "ab":
+                    at = place.get((f, v, doc // 8), 0)
+                    rows.append((f, v, doc, line, [r.randint(4, 9) for _ in range(n)], at))
+                    place[f, v, doc // 8] = at + n + 1
+    enc = spark.createDataFrame(rows, "file string, vocab_lang string, doc_id long, line_no int, ids array<int>, at long").repartition(4)
+    shown = lambda df: sorted(map(str, df.select("file", "vocab_lang", "seg_no", "input_ids", "n_real").collect()))
+    want = shown(pack_segments(enc.drop("at"), 9, ["file", "vocab_lang"], docs_per_block=8))
+    few = prefix.MAX_BROADCAST_BLOCKS
+    try:
+        for most in (few, 1):
+            prefix.MAX_BROADCAST_BLOCKS = most
+            got = pack_segments(enc, 9, ["file", "vocab_lang"], docs_per_block=8, within="at", alike=["vocab_lang"])
+            assert shown(got) == want
+    finally:
+        prefix.MAX_BROADCAST_BLOCKS = few
+    placed = packing.token_offsets(enc, ["file", "vocab_lang"], ["doc_id", "line_no"], docs_per_block=8, within="at", alike=["vocab_lang"])
+    plan = placed.select("file", F.col("ids"), "start")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "ids" in x]
+    assert "SortMergeJoin" not in plan
+
+
+def test_short_ids_are_shuffled_as_short_integers(spark):
+    enc = spark.createDataFrame([("c", k, 0, [k + 2 ** 15 - 9] * k) for k in range(9)], "lang string, doc_id long, line_no int, ids array<int>")
+    shown = lambda df: sorted(map(str, df.collect()))
+    short = pack_segments(enc, 5, below=2 ** 15)
+    assert short.schema == pack_segments(enc, 5).schema and shown(short) == shown(pack_segments(enc, 5, below=2 ** 15 + 1))
+    assert "smallint" in short._jdf.queryExecution().optimizedPlan().toString()

@@ -72,3 +72,19 @@ def test_prefix_sum_independent_of_blocks_and_partitions(spark):
                                    ["doc_id", "line_no"], "v")
         got = {(r["lang"], r["doc_id"]): r["before"] for r in out.collect()}
         assert got == expect
+
+
+@pytest.mark.parametrize("train,valid", [(0, 0), (150, 40), (700, 300), (10**6, 5), (2600, 10**6)])
+def test_labels_without_places_are_the_same(spark, train, valid):
+    """Blocks inside a budget are labelled whole; only lines of the others are dealt by block."""
+    rnd = random.Random(train + valid)
+    rows = [(lang, doc, n, "x" * rnd.choice((0, 0, 1, 7, 30))) for lang in ("en", "de", "fr") for doc in range(-20, 90)
+            if rnd.random() < 0.7 for n in range(rnd.randint(1, 3))]
+    lines = spark.createDataFrame(rows + [("en", None, 0, "xyz")], "lang string, doc_id long, line_no int, line string").repartition(5)
+    prem = premiums(spark, {"en": 1.0, "de": 0.5, "fr": 1.25})
+    want = byte_budget_split(lines, prem, train, valid, docs_per_block=8)
+    got = byte_budget_split(lines, prem, train, valid, docs_per_block=8, places=False)
+    shown = lambda df: sorted(map(str, df.select("lang", "doc_id", "line_no", "line", "bytes", "split").collect()))
+    assert "before" not in got.columns and shown(got) == shown(want) != []
+    whole = got._jdf.queryExecution().optimizedPlan().toString().split("Union", 1)[1].split("\n:- ", 1)[1].split("\n+- ", 1)[0]
+    assert "Window" not in whole and "Aggregate" not in whole

@@ -132,6 +132,28 @@ def test_lines_of_several_vocabularies_are_shuffled_once(spark):
     assert len(dealt) == 1 and "vocab_lang" not in dealt[0]
 
 
+def test_lines_dealt_by_block_know_their_place(spark):
+    vocab = spark.createDataFrame([("s", "a", 4), ("t", "b", 4)], "lang string, token string, id int")
+    rnd = random.Random(3)
+    rows = [(lang, doc, n, " ".join(rnd.choices("abc", k=rnd.randint(0, 4)))) for lang in "fg" for doc in range(-5, 30)
+            for n in range(rnd.randint(0, 4))]
+    rows += [("f", 7, 9, x) for x in ("a b", "", "c", "", "")] + [("g", None, 0, "a"), ("f", 8, 0, None)]
+    lines = spark.createDataFrame(rows, "lang string, doc_id long, line_no int, line string").repartition(5)
+    pairs = spark.createDataFrame([("s", "f"), ("t", "f"), ("t", "g")], "vocab_lang string, lang string")
+    block = F.expr("doc_id div 4")
+    plain = encode(lines, vocab, "word", pairs, known_entries=2)
+    got = encode(lines, vocab, "word", pairs, known_entries=2, block=block)
+    shown = lambda df: sorted(map(str, df.select(*plain.columns).collect()))
+    assert shown(got) == shown(plain)
+    of = {}
+    for r in got.where("doc_id IS NOT NULL").orderBy("doc_id", "line_no", "before").collect():
+        of.setdefault((r.vocab_lang, r.lang, int(r.doc_id / 4)), []).append((r.before, len(r.ids) + 1))
+    assert all(at == sum(n for _, n in own[:k]) for own in of.values() for k, (at, _) in enumerate(own))
+    assert {k[0] + k[1] for k in of} == {"sf", "tf", "tg"}
+    with pytest.raises(ValueError):
+        encode(lines, vocab, "word", pairs, known_entries=2, block=block, max_len=3)
+
+
 def test_score_hashes_a_large_bigram_table(spark):
     from transvoc.operators import lm as lm_ops
     lm = spark.createDataFrame([("s", 2, 4, 3), ("s", 4, 4, 1), ("s", 4, 1, 2)], "lang string, prev int, tok int, n long")

@@ -18,35 +18,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from transvoc.operators.prefix import doc_block, exclusive_prefix_sum
+from transvoc.operators.prefix import doc_block, exclusive_prefix_sum, sum_by_blocks
 from transvoc.operators.vocab import CLS_ID, PAD_ID, SEP_ID
 from transvoc.session import cut_lineage, spread
 
 
 def token_offsets(enc: DataFrame, corpus: Sequence[str], order: Sequence[str],
-                  ids: str = "ids", sep: int = SEP_ID, docs_per_block: int = 256) -> DataFrame:
+                  ids: str = "ids", sep: int = SEP_ID, docs_per_block: int = 256, within: str | None = None,
+                  alike: Sequence[str] = ()) -> DataFrame:
     """WIN-3: ``start`` / ``end`` of every line's ids (+ separator) in the
-    concatenated stream of its corpus.  The ids are written once, as their lengths are needed before their places."""
+    concatenated stream of its corpus.  The ids are written once, as their lengths are needed before their places.
+    Lines whose place in their block is known (``within``) are not dealt to blocks again."""
     df = cut_lineage(enc, "stream_ids").withColumn("__toks", F.concat(F.col(ids), F.array(F.lit(sep))))
     df = df.withColumn("__n", F.size("__toks").cast("long"))
-    df = exclusive_prefix_sum(df, corpus, doc_block(order[0], docs_per_block), order, "__n",
-                              out="start")
+    block = doc_block(order[0], docs_per_block)
+    df = (exclusive_prefix_sum(df, corpus, block, order, "__n", out="start") if within is None else
+          sum_by_blocks(df, corpus, block, "__n", within, out="start", alike=alike))
     return df.withColumn("end", F.col("start") + F.col("__n"))
 
 
 def pack_segments(enc: DataFrame, seg_len: int, corpus: Sequence[str] = ("lang",),
                   order: Sequence[str] = ("doc_id", "line_no"), ids: str = "ids",
                   pre: int = CLS_ID, sep: int = SEP_ID, pad: int = PAD_ID,
-                  reference_mask: bool = False, docs_per_block: int = 256) -> DataFrame:
+                  reference_mask: bool = False, docs_per_block: int = 256, within: str | None = None,
+                  alike: Sequence[str] = (), below: int | None = None) -> DataFrame:
     """JOB-3: ``(corpus..., seg_no, input_ids, attention_mask, labels, n_real)``.
 
     ``n_real`` counts stream tokens in the segment (without the prepended id).
     The mask marks the prepended id and the real tokens; ``reference_mask``
     reproduces the original's padded-segment mask, which has one 1 too few.
+    ``within`` names the column with a line's place in its block of ``docs_per_block`` documents, if ``enc`` has one;
+    corpora that differ in the columns ``alike`` alone have lines of the same lengths.  Ids ``below`` 2^15 are shuffled
+    as short integers.
     """
     corpus, order = list(corpus), list(order)
     body_len = seg_len - 1
-    df = token_offsets(enc, corpus, order, ids, sep, docs_per_block)
+    df = token_offsets(enc, corpus, order, ids, sep, docs_per_block, within, alike)
     b = F.lit(body_len)
     df = df.withColumn("seg_no", F.explode(F.sequence(
         F.floor(F.col("start") / b).cast("long"),
@@ -55,9 +62,10 @@ def pack_segments(enc: DataFrame, seg_len: int, corpus: Sequence[str] = ("lang",
     hi = F.least(F.col("end"), (F.col("seg_no") + 1) * b)
     df = df.withColumn("__lo", lo).withColumn(
         "__piece", F.slice("__toks", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")))
-    segs = df.groupBy(*corpus, "seg_no").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__lo", "__piece"))),
-                              lambda s: s["__piece"])).alias("__body"))
+    if short := below is not None and below <= 2 ** 15:
+        df = df.withColumn("__piece", F.col("__piece").cast("array<smallint>"))
+    body = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__lo", "__piece"))), lambda s: s["__piece"]))
+    segs = df.groupBy(*corpus, "seg_no").agg((body.cast("array<int>") if short else body).alias("__body"))
     n = F.size("__body")
     n_pad = F.lit(body_len) - n
     input_ids = F.concat(F.array(F.lit(pre)), F.col("__body"), F.array_repeat(F.lit(pad), n_pad))

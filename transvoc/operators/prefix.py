@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from transvoc.session import cut_lineage
 
+MAX_BROADCAST_BLOCKS = 1_000_000
+
 
 def _offsets(totals: DataFrame, keys: Sequence[str], block: str) -> DataFrame:
     """``(keys..., block, __btotal, __boff)`` of a table of block totals: the totals are written in range partitions
@@ -72,6 +74,25 @@ def exclusive_prefix_sum(df: DataFrame, keys: Sequence[str], block: str | Column
     return res.drop("__block0", "__boff", "__inoff")
 
 
+def sum_by_blocks(df: DataFrame, keys: Sequence[str], block: str | Column, value: str, within: str,
+                  out: str = "before", alike: Sequence[str] = ()) -> DataFrame:
+    """:func:`exclusive_prefix_sum` of rows that have the sum over earlier rows of their block in ``within`` already: they
+    only meet the block table, which is broadcast when counted.  ``df`` is read twice.  Groups that differ in ``alike`` alone
+    have the same block sums."""
+    keys = list(keys)
+    own = [k for k in keys if k not in alike]
+    df = df.withColumn("__block0", block if isinstance(block, Column) else F.col(block))
+    totals = df.groupBy(*keys, "__block0").agg(F.sum(value).alias("__btotal"))
+    if own != keys:
+        totals = totals.groupBy(*own, "__block0").agg(F.first("__btotal").alias("__btotal"))
+    totals = cut_lineage(totals, "block_totals")
+    offsets = _offsets(totals, own, "__block0").select(*own, "__block0", "__boff")
+    if totals.count() <= MAX_BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
+    return (df.join(offsets, [*own, "__block0"]).withColumn(out, (F.col("__boff") + F.col(within)).cast("long"))
+            .drop("__block0", "__boff", within))
+
+
 def doc_block(doc_col: str = "doc_id", docs_per_block: int = 256) -> Column:
     """Block key for rows ordered by ``(doc_id, line_no)``."""
     return F.expr(f"`{doc_col}` div {int(docs_per_block)}")

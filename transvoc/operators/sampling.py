@@ -31,7 +31,7 @@ def premiums(spark: SparkSession, mapping: Mapping[str, float]) -> DataFrame:
 
 def byte_budget_split(lines: DataFrame, premium: DataFrame, train_bytes: float = 1e7,
                       valid_bytes: float = 1e6, order: Sequence[str] = ("doc_id", "line_no"),
-                      docs_per_block: int = 256) -> DataFrame:
+                      docs_per_block: int = 256, places: bool = True) -> DataFrame:
     """WIN-1/WIN-2: label each line ``train`` or ``valid``; other lines are dropped.
 
     ``lines`` needs ``lang``, the ``order`` columns (the first one, a document
@@ -43,7 +43,9 @@ def byte_budget_split(lines: DataFrame, premium: DataFrame, train_bytes: float =
     range filter on the document id, which parquet row-group statistics can
     prune) -> the exact bytes that went to train; (3) the line offsets and the
     labels, for the blocks that begin within a budget alone.  The train total per
-    language is metadata (one value per language).
+    language is metadata (one value per language).  Without ``places``, for callers that need no
+    ``before``, blocks that lie in a budget whole get their label from the block table, and only lines of
+    the others are shuffled.
     """
     order = list(order)
     B = int(docs_per_block)
@@ -101,13 +103,25 @@ def byte_budget_split(lines: DataFrame, premium: DataFrame, train_bytes: float =
     within = F.lit(False)
     for lang, last in sorted(needed.items()):
         within = within | ((F.col("lang") == lang) & (F.col(order[0]) < (int(last) + 1) * B))
+    inside = None
+    if not places:
+        end = F.col("__boff") + F.col("__btotal")
+        late = F.col("__boff") > F.col("t_budget")
+        span = offs.join(F.broadcast(meta), "lang").groupBy("lang").agg(
+            F.max(F.when(end <= F.col("t_budget"), F.col("__block0"))).alias("t_to"), F.min(F.when(late, F.col("__block0"))).alias("v_from"),
+            F.max(F.when(late & (end - F.col("train_total") <= F.col("v_budget")), F.col("__block0"))).alias("v_to"))
+        spans = df.sparkSession.createDataFrame([tuple(r) for r in span.collect()], "lang string, t_to long, v_from long, v_to long")
+        df = df.filter(within).join(F.broadcast(spans), "lang").withColumn("split", F.when(blk <= F.col("t_to"), F.lit("train")).when(
+            blk.between(F.col("v_from"), F.col("v_to")), F.lit("valid"))).drop("t_to", "v_from", "v_to")
+        inside, df = df.filter(F.col("split").isNotNull()), df.filter(F.col("split").isNull()).drop("split")
     out = exclusive_prefix_sum(df.filter(within), ["lang"], blk, order, "bytes", out="before", offsets=offs)
     out = out.join(F.broadcast(meta), "lang")
     is_train = F.col("before") <= F.col("t_budget")
     split = (F.when(is_train, F.lit("train"))
              .when(F.col("before") - F.col("train_total") <= F.col("v_budget"), F.lit("valid")))
-    return (out.withColumn("split", split).filter(F.col("split").isNotNull())
-            .drop("factor", "t_budget", "v_budget", "train_total"))
+    out = (out.withColumn("split", split).filter(F.col("split").isNotNull())
+           .drop("factor", "t_budget", "v_budget", "train_total"))
+    return out if inside is None else inside.unionByName(out.drop("before"))
 
 
 def sample_summary(split: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as fs
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transvoc.operators.trie import greedy_pieces
@@ -132,19 +132,24 @@ def encode(lines: DataFrame, vocab: DataFrame, mode: str = "word", pairs="same",
            keys: Sequence[str] = ("lang", "doc_id", "line_no"), line_col: str = "line",
            out: str = "ids", max_len: int | None = None, known_entries: int | None = None,
            max_broadcast_entries: int = MAX_BROADCAST_ENTRIES,
-           carry: Sequence[str] = (), info: DataFrame | None = None) -> DataFrame:
+           carry: Sequence[str] = (), info: DataFrame | None = None, block: Column | None = None) -> DataFrame:
     """JOB-1 in array form: ``(vocab_lang, keys..., carry..., out array<int>)``.
 
     Lines without tokens get an empty array.  ``max_len`` truncates (SRT-5).
     ``carry`` columns are constant per line and travel with the keys.  Words meet a vocabulary that the caller's
     ``known_entries`` bounds in Arrow batches of whole lines, a larger one by joins.  Lines that explicit ``pairs``
-    (each counted once) give several vocabularies are then shuffled once for all of them.
+    (each counted once) give several vocabularies are then shuffled once for all of them.  With a ``block``, a column that does
+    not fall along the ``keys`` after ``lang``, these are dealt by block, and each row gets ``before``: the tokens, and a
+    separator a row, of the earlier rows of its language and block (:func:`transvoc.operators.packing.pack_segments`).
     """
     keys = [k for k in keys if k != "vocab_lang"]
     gkeys = ["vocab_lang", *keys, *carry]
     batches = mode == "word" and known_entries is not None and known_entries <= max_broadcast_entries
     if batches and isinstance(pairs, DataFrame) and "lang" in keys and "vocab_lang" not in lines.columns:
-        texts = with_vocab_langs(_texts(lines, [*keys, *carry], line_col), vocab, pairs.distinct())
+        if block is not None and max_len is not None:
+            raise ValueError("places in a block are those of whole lines")
+        texts = with_vocab_langs(_texts(lines, [*keys, *carry], line_col, block), vocab, pairs.distinct())
+        gkeys = [*gkeys, "before"] if block is not None else gkeys
         return _encode_texts(texts.select(*gkeys, "__texts"), vocab, gkeys, out, max_len)
     base = with_vocab_langs(lines, vocab, pairs, info)
     if batches:
@@ -193,9 +198,19 @@ def read_vocabularies(path: str, unk: int = UNK_ID) -> tuple[list[str], pa.Array
     return lang.dictionary.to_pylist(), token.dictionary, ids
 
 
-def _texts(lines: DataFrame, keys: Sequence[str], line_col: str) -> DataFrame:
-    """``(keys.., __texts)``: lines with one key meet by a shuffle of text."""
-    return lines.where(F.col(line_col).isNotNull()).groupBy(*keys).agg(F.collect_list(line_col).alias("__texts"))
+def _texts(lines: DataFrame, keys: Sequence[str], line_col: str, block: Column | None = None) -> DataFrame:
+    """``(keys.., __texts)``: lines with one key meet by a shuffle of text; with a ``block`` also ``before``."""
+    lines = lines.where(F.col(line_col).isNotNull())
+    if block is None:
+        return lines.groupBy(*keys).agg(F.collect_list(line_col).alias("__texts"))
+    dealt = ["lang", "__block"]
+    texts = (lines.withColumn("__block", block).repartition(*dealt).groupBy(*dealt, *(k for k in keys if k != "lang"))
+             .agg(F.collect_list(line_col).alias("__texts")))
+    words = F.expr(f"aggregate(__texts, 0L, (n, x) -> n + size({words_sql('x')}))")
+    rows = F.expr("size(filter(__texts, x -> x = '')) + int(exists(__texts, x -> x != ''))")
+    before = Window.partitionBy(*dealt).orderBy(*(k for k in keys if k != "lang")).rowsBetween(Window.unboundedPreceding, -1)
+    return (texts.withColumn("__n", words + rows).withColumn("before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+            .select(*keys, "before", "__texts"))
 
 
 def _encode_texts(texts: DataFrame, vocab: DataFrame, gkeys: Sequence[str], out: str, max_len: int | None) -> DataFrame:
@@ -208,7 +223,10 @@ def _encode_texts(texts: DataFrame, vocab: DataFrame, gkeys: Sequence[str], out:
         langs, tokens, ids = read_vocabularies(path)
         for batch in batches:
             rows, lists = _line_ids(batch.column("__texts"), batch.column("vocab_lang"), langs, tokens, ids)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in gkeys), lists], [*gkeys, out])
+            cols = {c: batch.column(c).take(rows) for c in gkeys} | {out: lists}
+            if "before" in cols:
+                cols["before"] = pc.add(cols["before"], _earlier(rows, lists))
+            yield pa.RecordBatch.from_arrays([*cols.values()], [*cols])
 
     res = texts.mapInArrow(run, f"{kinds}, `{out}` array<int>")
     return res if max_len is None else res.withColumn(out, F.slice(F.col(out), 1, int(max_len)))
@@ -234,6 +252,16 @@ def _line_ids(texts: pa.ListArray, vocab_langs: pa.Array, langs: list[str], toke
     return pa.array(np.concatenate((rows, row[empty]))), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
+def _earlier(rows: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """Tokens and separators of the earlier rows with the same key: the ids of its lines, then its empty lines."""
+    rows, n = rows.to_numpy(), pc.list_value_length(lists).to_numpy()
+    k = int(np.count_nonzero(n))  # empty lines come last, by row
+    ids = np.zeros(rows.max(initial=-1) + 1, np.int64)
+    ids[rows[:k]] = n[:k] + 1
+    empty = rows[k:]
+    return pa.array(np.concatenate((np.zeros(k, np.int64), ids[empty] + np.arange(len(empty)) - np.searchsorted(empty, empty))))
+
+
 def tokenize_with(fn: Callable[[pd.Series], pd.Series]):
     """UDF-2: wrap a user tokenizer (``Series[str] -> Series[list[int]]``) as an
     Arrow-batched pandas UDF returning ``array<int>``."""

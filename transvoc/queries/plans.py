@@ -8,6 +8,7 @@ from transvoc import oracle as O
 from transvoc import testbed as tb
 from transvoc.catalog import finish, register
 from transvoc.operators.packing import pack_jobs, pack_segments
+from transvoc.operators.prefix import doc_block
 from transvoc.operators.tokenize import encode
 from transvoc.plans import experiment as X
 from transvoc.session import cut_lineage, scratch_path
@@ -126,7 +127,7 @@ def routed_lines(spark, sf_dir):
 
 
 _B = tb.PACK_LEN - 1
-CHUNK_SEGMENTS = 64  # segments in a chunk of a file's stream, from which the jobs' segments are cut
+CHUNK_SEGMENTS = 16  # segments in a chunk of a file's stream, from which jobs cut theirs; Parquet readers hold some thousand chunks
 # The vocabulary of a job's model: the source's for its base, else the target's.
 _VOCAB_OF = "CASE kind WHEN 'transfer' THEN split_part(model_spec, '-', 2) ELSE regexp_extract(model_spec, '/([^/_]+)_', 1) END"
 
@@ -163,10 +164,13 @@ def packed_jobs(spark, sf_dir):
         F.regexp_extract("model_spec", "/([^/_]+)_", 1))
     jobs = cut_lineage(_ft_plan(spark, sf_dir).withColumn("vocab_lang", vocab_of), "jobs")
     uses = (jobs.select("vocab_lang", F.explode(F.concat("train", "valid")).alias("lang")).distinct())  # files x vocabularies
-    text = tb.split_files(spark, sf_dir).withColumnRenamed("file", "lang")  # a file is to `encode` what a language's corpus is
-    enc = encode(text, m.vocab, "word", uses, ["lang", "doc_id", "line_no"], known_entries=m.known)
+    text = tb.split_files(spark, sf_dir, places=False).withColumnRenamed("file", "lang")  # a file is to `encode` what a language's corpus is
+    enc = encode(text, m.vocab, "word", uses, ["lang", "doc_id", "line_no"], known_entries=m.known,
+                 block=doc_block("doc_id", tb.DOCS_PER_BLOCK))
+    within = "before" if "before" in enc.columns else None  # a vocabulary too large for batches is joined
     chunk_len = CHUNK_SEGMENTS * (tb.PACK_LEN - 1) + 1
-    chunks = cut_lineage(pack_segments(enc, chunk_len, ["lang", "vocab_lang"], docs_per_block=tb.DOCS_PER_BLOCK).select(
+    chunks = cut_lineage(pack_segments(enc, chunk_len, ["lang", "vocab_lang"], docs_per_block=tb.DOCS_PER_BLOCK,
+                                       within=within, alike=["vocab_lang"], below=tb.VOCAB_SIZE).select(
         F.col("lang").alias("file"), "vocab_lang", "seg_no", "input_ids", "n_real"), "job_chunks")
     job, both = ["regime", "src_lang", "out"], None
     for split in ("train", "valid"):

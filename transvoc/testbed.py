@@ -186,13 +186,13 @@ def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
                              docs_per_block=DOCS_PER_BLOCK)
 
 
-def sampled_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sampled_share(spark: SparkSession, sf_dir: str, places: bool = True) -> DataFrame:
     """The same split with budgets that are shares of each language's bytes, for
-    the queries whose work is to grow with the corpus."""
+    the queries whose work is to grow with the corpus; without ``places`` no ``before``."""
     from transvoc.operators.sampling import byte_budget_split
     rows = lines(spark, sf_dir)
     sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("line")).cast("double").alias("factor"))
-    return byte_budget_split(rows, sizes, TRAIN_SHARE, VALID_SHARE, docs_per_block=DOCS_PER_BLOCK)
+    return byte_budget_split(rows, sizes, TRAIN_SHARE, VALID_SHARE, docs_per_block=DOCS_PER_BLOCK, places=places)
 
 
 # ---- experiment plan relations (all bounded by the number of languages)
@@ -241,9 +241,9 @@ def existing(spark, sf_dir) -> DataFrame:
         F.concat(F.col("model"), F.lit("_finetuned")).alias("out"))
 
 
-def split_files(spark, sf_dir) -> DataFrame:
+def split_files(spark, sf_dir, places: bool = True) -> DataFrame:
     """Sampled lines as the training files ``data/<split>/<lang>.txt``."""
-    s = sampled_share(spark, sf_dir)
+    s = sampled_share(spark, sf_dir, places)
     return s.select(F.concat_ws("", F.lit(DATADIR + "/"), "split", F.lit("/"),
                                 F.lower(F.concat("lang", F.lit(".txt")))).alias("file"),
                     "doc_id", "line_no", "line")
